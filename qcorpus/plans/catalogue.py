@@ -1,0 +1,4 @@
+"""All registered queries: importing this module fills the registry."""
+
+from qcorpus.plans import corpus_queries, text_queries  # noqa: F401
+from qcorpus.plans.registry import IDS, ORACLE, QUERIES  # noqa: F401
