@@ -87,7 +87,11 @@ def quota_sample(df: DataFrame, quotas: DataFrame, class_col: str = "difficulty"
 
     Numbering inside a class uses bucketed row numbers, so a class holding a
     third of the corpus is still spread over many tasks."""
-    ranked = bucketed_row_number(df.filter(F.col(class_col).isNotNull()), [class_col], order_col, "class_rank")
+    # unclassified rows are numbered under "" and dropped by the inner join;
+    # a null filter here would be pushed below (and re-run) the projection
+    # that computes the class
+    keyed = df.withColumn(class_col, F.coalesce(F.col(class_col), F.lit("")))
+    ranked = bucketed_row_number(keyed, [class_col], order_col, "class_rank")
     q = quotas.select(F.col("class").alias(class_col), "quota")
     return ranked.join(F.broadcast(q), class_col, "inner").filter(F.col("class_rank") <= F.col("quota")) \
                  .drop("quota")

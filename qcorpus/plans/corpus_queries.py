@@ -127,7 +127,7 @@ def quota_sample(spark, sf_dir):
     scored = scored_corpus(spark, sf_dir)
     classified = scored.filter(F.col("difficulty").isNotNull())
     quotas = C.quota_targets(spark, classified.agg(F.count(F.lit(1))))
-    out = C.quota_sample(classified.select("question_id", "difficulty"), quotas)
+    out = C.quota_sample(scored.select("question_id", "difficulty"), quotas)
     return out.select("question_id", "difficulty", "class_rank")
 
 
