@@ -56,30 +56,45 @@ def read_catalog(spark: SparkSession, path: str) -> Catalog:
 
 def read_column_descriptions(spark: SparkSession, root: str) -> DataFrame:
     """A3: every ``*.csv`` below ``root`` (Latin-1, header row), one row per
-    described column: ``db_folder, table, column, description``.
+    described column: ``db_folder, table, column, description, file_path``.
 
     The table name is the file name without ``.csv``; the column name comes
     from ``original_column_name`` else ``Field``, the text from
-    ``column_description`` else ``Description``.  Files with different
-    headers are read in one pass: the union of their headers is resolved per
-    file by name (missing cells are null, not the text ``nan``, quirk Q9).
-    Rows with an empty column name are dropped; malformed rows are skipped.
+    ``column_description`` else ``Description``.  Files have different
+    headers: one Spark pass reads each file's first line (file listing and
+    header text are metadata-sized), files are grouped by header, each group
+    is read as CSV and the groups are combined with
+    ``unionByName(allowMissingColumns=True)``.  Missing cells are null, not
+    the text ``nan`` (quirk Q9); rows with an empty column name are dropped.
     """
-    raw = (spark.read.option("header", True).option("encoding", "ISO-8859-1")
-           .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-           .option("mode", "DROPMALFORMED").option("enforceSchema", False)
-           .csv(root))
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .option("pathGlobFilter", "*.csv").load(root)
+             .select("path", F.substring_index(F.decode(F.col("content"), "ISO-8859-1"), "\n", 1).alias("header")))
+    groups: dict[str, list[str]] = {}
+    for r in files.collect():
+        groups.setdefault(r["header"].strip(), []).append(r["path"])
+    parts = []
+    for paths in groups.values():
+        parts.append(spark.read.option("header", True).option("encoding", "ISO-8859-1")
+                     .option("mode", "DROPMALFORMED").csv(paths)
+                     .withColumn("__path", F.col("_metadata.file_path"))
+                     .withColumn("__name", F.col("_metadata.file_name")))
+    if not parts:
+        return spark.createDataFrame([], "db_folder string, table string, column string, description string, "
+                                         "file_path string")
+    raw = parts[0]
+    for p in parts[1:]:
+        raw = raw.unionByName(p, allowMissingColumns=True)
     have = set(raw.columns)
 
     def pick(*names):
         cs = [F.col(f"`{n}`") for n in names if n in have]
         return F.coalesce(*[F.when(F.trim(c) != "", c) for c in cs]) if cs else F.lit(None).cast("string")
 
-    path = F.col("_metadata.file_path")
-    table = F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", "")
+    path = F.url_decode(F.col("__path"))  # the metadata path is URL-encoded
     out = raw.select(
         F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("db_folder"),
-        table.alias("table"),
+        F.regexp_replace(F.url_decode(F.col("__name")), r"\.csv$", "").alias("table"),
         F.trim(pick("original_column_name", "Field")).alias("column"),
         F.trim(F.coalesce(pick("column_description", "Description"), F.lit(""))).alias("description"),
         path.alias("file_path"),
