@@ -124,10 +124,15 @@ ranked as (select question_id, difficulty,
 select question_id, difficulty, cast(class_rank as bigint) as class_rank
 from ranked join quotas on ranked.difficulty = quotas.class where class_rank <= quota""")
 def quota_sample(spark, sf_dir):
-    scored = scored_corpus(spark, sf_dir)
-    classified = scored.filter(F.col("difficulty").isNotNull())
-    quotas = C.quota_targets(spark, classified.agg(F.count(F.lit(1))))
-    out = C.quota_sample(scored.select("question_id", "difficulty"), quotas)
+    # the (id, class) pairs feed three branches (numbering, bucket offsets,
+    # quota total): materialise them once in the checkpoint folder instead of
+    # re-running the 31-keyword scoring per branch
+    from qcorpus.session import cut_lineage
+    classes = cut_lineage(scored_corpus(spark, sf_dir).select("question_id", "difficulty"))
+    # count(difficulty) counts classified rows without a filter that the
+    # optimizer would push into (and re-evaluate inside) the scan
+    quotas = C.quota_targets(spark, classes.agg(F.count("difficulty")))
+    out = C.quota_sample(classes, quotas)
     return out.select("question_id", "difficulty", "class_rank")
 
 
@@ -141,9 +146,12 @@ j as (select quotas.class, quotas.class_pos, cast(coalesce(cnt, 0) as bigint) as
 select class, class_pos, collected, quota, round(collected * 1.0 / quota, 6) as ratio from j
 where collected < quota order by collected * 1.0 / quota, class_pos limit 1""")
 def neediest_class(spark, sf_dir):
-    scored = scored_corpus(spark, sf_dir)
-    quotas = C.quota_targets(spark, scored.agg(F.count(F.lit(1))))
-    collected = scored.groupBy(F.col("difficulty").alias("class")).agg(F.count(F.lit(1)).alias("count"))
+    # null classes grouped under "" (no inferred isnotnull filter is pushed
+    # into the scoring projection by the join below)
+    collected = scored_corpus(spark, sf_dir).groupBy(F.coalesce("difficulty", F.lit("")).alias("class")) \
+        .agg(F.count(F.lit(1)).alias("count"))
+    # the total is the sum of the (few) class counts, not a second corpus scan
+    quotas = C.quota_targets(spark, collected.agg(F.sum("count")))
     return C.neediest_class(collected, quotas)
 
 
