@@ -155,16 +155,21 @@ def forbidden_words(sql: Column | str, target: Column | str,
     s = F.regexp_replace(s, r"'[^']*'", "")
     s = F.regexp_replace(s, r'"[^"]*"', "")
 
-    def found(words, pattern_of):
-        return F.filter(F.array(*[F.when(s.rlike(pattern_of(w)), F.lit(w)) for w in words]),
-                        lambda x: x.isNotNull())
+    def found(words):
+        # one alternation pass per list; whole-word matches of different
+        # words never overlap, so the match list holds every word present
+        single = [w for w in words if " " not in w]
+        hits = F.regexp_extract_all(s, F.lit(r"\b(" + "|".join(re.escape(w) for w in single) + r")\b"), 1)
+        present = [F.when(F.array_contains(hits, F.lit(w)), F.lit(w)) if " " not in w else
+                   F.when(s.rlike(r"\b" + re.escape(w).replace("\\ ", r"\s+") + r"\b"), F.lit(w))
+                   for w in words]
+        return F.filter(F.array(*present), lambda x: x.isNotNull())
 
     agg_words = [w for w in AGGREGATE_WORDS if not (strict_compat and " " in w)]
     tgt = _col(target)
     return (
-        F.when(tgt == "aggregation", found(AGGREGATION_FORBIDDEN, keyword_pattern))
-        .when(tgt.isin("simple", "conditional"),
-              found(agg_words, lambda w: r"\b" + re.escape(w).replace("\\ ", r"\s+") + r"\b"))
+        F.when(tgt == "aggregation", found(AGGREGATION_FORBIDDEN))
+        .when(tgt.isin("simple", "conditional"), found(agg_words))
         .otherwise(F.array().cast("array<string>"))
     )
 
