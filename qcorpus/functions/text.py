@@ -153,8 +153,10 @@ def quote_ident(name: Column | str) -> Column:
 
 def mask_schema(sr_text: Column | str, names: Column) -> Column:
     """Every schema name of ``names`` (ARRAY<STRING>, e.g. the database's
-    ``table.column`` list) replaced by ``[MASK]``, longest names first."""
-    ordered = F.array_sort(names, lambda a, b: F.length(b) - F.length(a))
+    ``table.column`` list) replaced by ``[MASK]``, longest names first (ties
+    by name)."""
+    ordered = F.array_sort(names, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a))
+                           .when(a < b, -1).when(a > b, 1).otherwise(0))
     return F.aggregate(ordered, F.coalesce(_col(sr_text), F.lit("")),
                        lambda acc, n: F.replace(acc, n, F.lit(MASK)))
 

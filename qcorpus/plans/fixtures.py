@@ -53,6 +53,7 @@ def sql_corpus(orders: DataFrame) -> DataFrame:
         F.concat(F.lit("What is recorded for order "), _s(key), F.lit("?")).alias("question"),
         sql.alias("sql"),
         status.alias("status"),
+        F.col("o_orderdate").alias("created_at"),
     )
 
 
@@ -70,7 +71,8 @@ select o_orderkey as question_id,
     when 5 then 'SELECT "in" FROM `between` WHERE x = ''like'''
     when 6 then '' else 'hello world' end as sql,
   case o_custkey % 5 when 0 then null when 1 then 'invalid_quality' when 2 then 'judge_failed'
-       else 'valid_quality' end as status
+       else 'valid_quality' end as status,
+  o_orderdate as created_at
 from orders
 """
 

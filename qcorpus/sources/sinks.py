@@ -29,10 +29,11 @@ def write_split(df: DataFrame, valid_path: str, rejected_path: str, status_col:
     return {"valid": obs_v.get["n"], "rejected": n_rej}
 
 
-def to_events(df: DataFrame, event: str, ts_col: str | None = None) -> DataFrame:
-    """Event rows with an ISO millisecond timestamp, previews cut to
-    200/120/200 characters and the reward rounded to 4."""
-    cols = [F.lit(event).alias("event"),
+def to_events(df: DataFrame, event, ts_col: str | None = None) -> DataFrame:
+    """Event rows (``event`` a name or a Column) with an ISO millisecond
+    timestamp, previews cut to 200/120/200 characters and the reward
+    rounded to 4."""
+    cols = [(F.lit(event) if isinstance(event, str) else event).alias("event"),
             F.date_format(F.col(ts_col) if ts_col else F.current_timestamp(),
                           "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp")]
     have = set(df.columns)
