@@ -62,15 +62,25 @@ def greedy_match_score(tokens: DataFrame, pair_col: str = "pair_id", side_col: s
     BERTScore computes on top of its encoder): P = mean over prediction
     tokens of the best cosine to a reference token, R likewise from the
     reference side, F1 = 2PR/(P+R).  ``side`` 0 = prediction, 1 = reference.
-    Tokens meet only the tokens of their own pair (a sentence-sized group)."""
+
+    One shuffle by pair: each pair's token vectors (a sentence-sized,
+    bounded group) are gathered into two arrays and the similarity matrix
+    is evaluated in place with higher-order functions, so no token-pair
+    table is materialised or joined twice.  Pairs missing either side are
+    skipped."""
     from qcorpus.operators.vectors import dot, l2_normalize
     t = tokens.select(pair_col, side_col, pos_col, l2_normalize(vec_col).alias("u"))
-    p = t.filter(F.col(side_col) == 0).select(pair_col, F.col(pos_col).alias("pp"), F.col("u").alias("up"))
-    g = t.filter(F.col(side_col) == 1).select(pair_col, F.col(pos_col).alias("gp"), F.col("u").alias("ug"))
-    sims = p.join(g, pair_col, "inner").withColumn("sim", dot("up", "ug"))
-    prec = sims.groupBy(pair_col, "pp").agg(F.max("sim").alias("m")).groupBy(pair_col).agg(F.avg("m").alias("p"))
-    rec = sims.groupBy(pair_col, "gp").agg(F.max("sim").alias("m")).groupBy(pair_col).agg(F.avg("m").alias("r"))
-    out = prec.join(rec, pair_col, "inner")
+    g = t.groupBy(pair_col).agg(
+        F.collect_list(F.when(F.col(side_col) == 0, F.col("u"))).alias("__p"),
+        F.collect_list(F.when(F.col(side_col) == 1, F.col("u"))).alias("__g"))
+    g = g.filter((F.size("__p") > 0) & (F.size("__g") > 0))
+
+    def mean_best(a, b):
+        best = F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: dot(x, y))))
+        return F.aggregate(best, F.lit(0.0).cast("double"), lambda acc, v: acc + v) / F.size(a)
+
+    out = g.select(pair_col, mean_best(F.col("__p"), F.col("__g")).alias("p"),
+                   mean_best(F.col("__g"), F.col("__p")).alias("r"))
     f1 = F.when(F.col("p") + F.col("r") != 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))) \
           .otherwise(F.lit(0.0))
     return out.select(pair_col, F.col("p").alias("bert_precision"), F.col("r").alias("bert_recall"),

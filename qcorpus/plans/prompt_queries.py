@@ -11,7 +11,6 @@ from qcorpus.functions.status import tag_prediction
 from qcorpus.operators import catalog as K
 from qcorpus.plans import fixtures
 from qcorpus.plans.registry import register
-from qcorpus.sources.catalog import flatten_catalog
 from qcorpus.sources.records import pending
 from qcorpus.sources.sinks import to_events
 
@@ -44,7 +43,8 @@ from f, fills""")
 def mask_and_fill(spark, sf_dir):
     mo = fixtures.load(spark, sf_dir, "model_outputs").withColumn(
         "db_id", F.concat(F.lit("db_"), (F.col("doc_id") % 25).cast("string")))
-    named = K.named_columns(flatten_catalog(fixtures.load(spark, sf_dir, "catalog")))
+    from qcorpus.plans.catalog_queries import catalog
+    named = K.named_columns(catalog(spark, sf_dir))
     names = named.groupBy("db_id").agg(F.collect_list(F.concat_ws(".", "table_name", "column_name")).alias("names"))
     j = mo.join(names, "db_id", "left")  # one row per database: dimension-sized
     masked = T.mask_schema("output", F.col("names"))

@@ -145,3 +145,26 @@ def test_batch_generate_and_judge_with_stub(spark):
     out = INF.judge_results(df.withColumn("executed_ok", F.lit(True)), lambda d: F.concat(F.lit("judge "), "q"), factory)
     got = {r.id: (r.status, r.judge_reasoning) for r in out.collect()}
     assert got == {1: ("valid_quality", "ok"), 2: ("invalid_quality", "ok")}
+
+
+def test_generate_until_class_retries_only_unresolved(spark):
+    from qcorpus.operators.attempts import generate_until_class
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(["simple", "aggregation", "complex", "conditional"])],
+                                  "item_id long, target string")
+    seen = []
+
+    def generate(pending_df, rnd):
+        seen.append((rnd, sorted(r.item_id for r in pending_df.collect())))
+        # round 1 answers every item with a simple statement; round 2 answers
+        # by target; later rounds would repeat round 2
+        sql_by_target = F.when(F.col("target") == "aggregation", "SELECT a, COUNT(*) FROM t GROUP BY a") \
+            .when(F.col("target") == "complex", "SELECT a, COUNT(*) FROM t WHERE b IN (1) GROUP BY a") \
+            .when(F.col("target") == "conditional", "SELECT a FROM t WHERE b IN (1)") \
+            .otherwise("SELECT a FROM t")
+        sql = F.lit("SELECT a FROM t") if rnd == 1 else sql_by_target
+        return pending_df.withColumn("sql", sql)
+
+    out = generate_until_class(items, generate, lambda d: S.score_columns(d), max_rounds=4)
+    got = {r.item_id: r.attempt for r in out.collect()}
+    assert got == {0: 1, 1: 2, 2: 2, 3: 2}
+    assert seen[0] == (1, [0, 1, 2, 3]) and seen[1] == (2, [1, 2, 3]) and seen[2] == (3, [])
