@@ -92,9 +92,12 @@ def generate_until_class(items: DataFrame, generate, score, max_rounds: int = MA
     pending = items
     accepted = None
     for rnd in range(1, max_rounds + 1):
+        if pending.limit(1).count() == 0:  # every item resolved: no more model calls
+            break
         out = score(generate(pending, rnd)).withColumn("attempt", F.lit(rnd))
         out = cut_lineage(out)
         ok = out.filter(F.col("difficulty") == F.col(target))
         accepted = ok if accepted is None else accepted.unionByName(ok)
-        pending = pending.join(ok.select(item), item, "left_anti")
+        # the next round's input is cut from this round's lineage too
+        pending = cut_lineage(pending.join(ok.select(item), item, "left_anti"))
     return accepted

@@ -191,3 +191,9 @@ def quality_stats(df: DataFrame, status_col: str = "status") -> DataFrame:
     )
     acc = F.when(F.col("total") > 0, F.col("correct") / F.col("total") * 100.0).otherwise(F.lit(0.0))
     return out.withColumn("accuracy", F.round(acc, 2)).withColumn("band", accuracy_band(F.col("accuracy")))
+
+
+def first_records(df: DataFrame, n: int, order_col: str) -> DataFrame:
+    """the first ``n`` records by ``order_col`` for a smoke run
+    (TakeOrdered: each task keeps ``n`` rows)."""
+    return df.orderBy(order_col).limit(n)

@@ -149,7 +149,7 @@ def derived_descriptions(cat):
                     .otherwise(F.lit("")).alias("description")).distinct()
 
 
-@register("describe_columns", "C2 A3", sql=f"""
+@register("describe_columns", "C2", sql=f"""
 with {CAT}, {NAMED}, {DESC_SQL}
 select n.db_id, n.table_name, n.column_name, coalesce(d.description, '') as description
 from named n left join (select lower(concat("table", '.', "column")) as key, max(description) as description

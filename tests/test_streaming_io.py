@@ -167,4 +167,18 @@ def test_generate_until_class_retries_only_unresolved(spark):
     out = generate_until_class(items, generate, lambda d: S.score_columns(d), max_rounds=4)
     got = {r.item_id: r.attempt for r in out.collect()}
     assert got == {0: 1, 1: 2, 2: 2, 3: 2}
-    assert seen[0] == (1, [0, 1, 2, 3]) and seen[1] == (2, [1, 2, 3]) and seen[2] == (3, [])
+    assert seen == [(1, [0, 1, 2, 3]), (2, [1, 2, 3])]  # stops once every item is resolved
+
+
+def test_correction_chain_with_stub(spark):
+    def drafts():
+        return lambda prompts: [{"text": "```SR\ndf1 = df.where(element = t.a)\n```"} for _ in prompts]
+
+    def finals():
+        return lambda prompts: [{"text": "```sql\nSELECT a FROM t\n```"} for _ in prompts]
+    df = spark.createDataFrame([(1, "q1")], "id int, question string")
+    out = INF.correction_chain(df, [
+        {"prompt": lambda d: F.concat(F.lit("SR for "), "question"), "factory": drafts, "out": "sr", "dialect": "stage"},
+        {"prompt": lambda d: F.concat(F.lit("SQL for "), "sr"), "factory": finals, "out": "final_sql", "dialect": "sql"},
+    ]).first()
+    assert out.sr == "df1 = df.where(element = t.a)" and out.final_sql == "SELECT a FROM t"
