@@ -30,17 +30,19 @@ def link_schema(texts: DataFrame, columns: DataFrame, id_col: str = "question_id
     ``star``, a ``(table, "*")`` row is added for every table named in a
     text that contains ``*``.  ``columns`` has db_id, table_name, column_name."""
     t = texts.select(id_col, "db_id", F.col(text_col).alias("__text"))
-    j = t.join(columns.select("db_id", "table_name", "column_name"), "db_id", "inner")
     text = F.col("__text")
-    linked = j.filter(_contains(text, F.col("table_name"), whole_word)
-                      & _contains(text, F.col("column_name"), whole_word)) \
-              .select(id_col, F.col("table_name").alias("table"), F.col("column_name").alias("column")).distinct()
+    # step 1: tables named in the text (expansion = tables per database);
+    # step 2: only the columns of those tables (expansion = their columns)
+    tables = columns.select("db_id", "table_name").distinct()
+    named_tables = t.join(tables, "db_id", "inner").filter(_contains(text, F.col("table_name"), whole_word))
+    cols = columns.select("db_id", "table_name", "column_name")
+    linked = named_tables.join(cols, ["db_id", "table_name"], "inner") \
+        .filter(_contains(text, F.col("column_name"), whole_word)) \
+        .select(id_col, F.col("table_name").alias("table"), F.col("column_name").alias("column")).distinct()
     if not star:
         return linked
-    tables = columns.select("db_id", "table_name").distinct()
-    stars = t.filter(F.instr(text, "*") > 0).join(tables, "db_id", "inner") \
-             .filter(_contains(text, F.col("table_name"), whole_word)) \
-             .select(id_col, F.col("table_name").alias("table"), F.lit("*").alias("column")).distinct()
+    stars = named_tables.filter(F.instr(text, "*") > 0) \
+        .select(id_col, F.col("table_name").alias("table"), F.lit("*").alias("column")).distinct()
     return linked.unionByName(stars)
 
 

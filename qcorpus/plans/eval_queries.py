@@ -89,8 +89,9 @@ def batch_ids(spark, sf_dir):
 
 @register("embed_documents", "I2 B28")
 def embed_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    e = V.batch_embed(docs.select("doc_id", "text"), "text")
+    from qcorpus.session import spread
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    e = V.batch_embed(docs, "text")
     return e.select("doc_id", F.size("embedding").cast("bigint").alias("dim"),
                     F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"),
                                                lambda a, x: a + x * x)), 6).alias("norm"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qcorpus.session import table
+from qcorpus.session import spread, table
 
 NL = "\n"
 FENCE = "```"
@@ -301,11 +301,15 @@ def vectors(embeddings: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived fixture by name, read from the given tables in ``sf_dir``."""
+    # per-row text work (scoring, extraction, masking) follows these reads,
+    # so small inputs are spread over the cores first
     builders = {
-        "sql_corpus": lambda: sql_corpus(table(spark, sf_dir, "orders")),
+        "sql_corpus": lambda: sql_corpus(spread(table(spark, sf_dir, "orders").select(
+            "o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate"))),
         "attempts": lambda: attempts(table(spark, sf_dir, "events")),
-        "model_outputs": lambda: model_outputs(table(spark, sf_dir, "documents")),
-        "sql_pairs": lambda: sql_pairs(table(spark, sf_dir, "orders")),
+        "model_outputs": lambda: model_outputs(spread(table(spark, sf_dir, "documents").select(
+            "doc_id", "text", "source", "n_chars"))),
+        "sql_pairs": lambda: sql_pairs(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))),
         "catalog": lambda: catalog(table(spark, sf_dir, "orders")),
         "vectors": lambda: vectors(table(spark, sf_dir, "embeddings")),
     }

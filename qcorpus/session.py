@@ -57,6 +57,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a small input over the cluster before CPU-heavy per-row work.
+
+    A small table stored as one parquet row group scans as a single task, so
+    regex scoring or text extraction would run on one core.  When the scan
+    has fewer partitions than the cluster's parallelism it is repartitioned
+    round-robin; large inputs (many splits already) pass through untouched,
+    so at scale this adds no shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the given parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
