@@ -77,16 +77,20 @@ def assign_round_robin(items: DataFrame, order_col: str, dbs: DataFrame, out_col
                  .drop("__pos", "__seq")
 
 
-def table_descriptions(described_columns: DataFrame) -> DataFrame:
+def table_descriptions(described_columns: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """Per (db_id, table): ``Table 'T' columns: [c1 (desc), c2, ...]`` in
-    column order (a description is appended in parentheses when non-empty)."""
+    column order (a description is appended in parentheses when non-empty).
+    With ``tables`` (db_id, table_name), tables without columns get ``[]``."""
     col_str = F.when(F.col("description") != "", F.concat("column_name", F.lit(" ("), "description", F.lit(")"))) \
                .otherwise(F.col("column_name"))
     g = described_columns.groupBy("db_id", "table_name").agg(
         F.sort_array(F.collect_list(F.struct("col_idx", col_str.alias("c")))).alias("cs"))
+    if tables is not None:
+        g = tables.select("db_id", "table_name").join(g, ["db_id", "table_name"], "left")
+    cs = F.coalesce(F.transform("cs", lambda x: x["c"]), F.array().cast("array<string>"))
     return g.select("db_id", "table_name",
                     F.concat(F.lit("Table '"), "table_name", F.lit("' columns: ["),
-                             F.array_join(F.transform("cs", lambda x: x["c"]), ", "), F.lit("]")).alias("schema_str"))
+                             F.array_join(cs, ", "), F.lit("]")).alias("schema_str"))
 
 
 def pack_budget(walks: DataFrame, table_desc: DataFrame, walk_col: str = "walk_id",
@@ -94,16 +98,24 @@ def pack_budget(walks: DataFrame, table_desc: DataFrame, walk_col: str = "walk_i
     """Per walk, keep the path's tables in order while
     ``chars + len + reserve <= limit`` (chars grows by len + 2 per kept
     table, stop at the first overflow); the context is the kept texts joined
-    by a blank line, cut at ``limit``.  Lengths are non-negative, so the
-    running-sum test equals the loop's break.  Windows run per walk (a
-    bounded group: the path length)."""
-    steps = walks.select(walk_col, "db_id", F.posexplode("path").alias("pos", "table_name")) \
-                 .join(table_desc, ["db_id", "table_name"], "inner")
-    ln = F.length("schema_str")
-    before = F.coalesce(F.sum(ln + 2).over(Window.partitionBy(walk_col).orderBy("pos")
-                                           .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = steps.withColumn("__before", before).filter(F.col("__before") + ln + reserve <= limit)
-    return kept.groupBy(walk_col).agg(
-        F.count(F.lit(1)).alias("kept_tables"),
-        F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "schema_str"))),
-                                             lambda x: x["schema_str"]), "\n\n"), 1, limit).alias("context"))
+    by a blank line, cut at ``limit``.
+
+    Each database's table texts become one map (a dimension-sized row per
+    database, joined onto the walks by ``db_id``); the budget is then a fold
+    over the walk's own path, so the walks are never exploded or shuffled."""
+    maps = table_desc.groupBy("db_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("table_name", "schema_str"))).alias("__descs"))
+    j = walks.join(maps, "db_id", "left")
+    texts = F.filter(F.transform("path", lambda t: F.element_at(F.col("__descs"), t)), lambda x: x.isNotNull())
+    init = F.struct(F.lit(0).alias("chars"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("stop"))
+
+    def step(acc, s):
+        fits = ~acc["stop"] & (acc["chars"] + F.length(s) + reserve <= limit)
+        return F.when(fits, F.struct((acc["chars"] + F.length(s) + 2).alias("chars"),
+                                     F.array_append(acc["kept"], s).alias("kept"), F.lit(False).alias("stop"))) \
+                .otherwise(F.struct(acc["chars"].alias("chars"), acc["kept"].alias("kept"), F.lit(True).alias("stop")))
+
+    kept = F.aggregate(F.coalesce(texts, F.array().cast("array<string>")), init, step)["kept"]
+    return j.select(walk_col, F.size(kept).cast("bigint").alias("kept_tables"),
+                    F.substring(F.array_join(kept, "\n\n"), 1, limit).alias("context")) \
+            .filter(F.col("kept_tables") > 0)

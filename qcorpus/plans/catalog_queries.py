@@ -299,7 +299,7 @@ select walk_id, count(*) as kept_tables,
 from kept group by 1""")
 def pack_budget(spark, sf_dir):
     cat, w = _walks(spark, sf_dir)
-    desc = W.table_descriptions(K.describe_columns(cat, derived_descriptions(cat)))
+    desc = W.table_descriptions(K.describe_columns(cat, derived_descriptions(cat)), cat.tables)
     out = W.pack_budget(w, desc)
     return out.select("walk_id", "kept_tables", F.md5("context").alias("context_md5"))
 
