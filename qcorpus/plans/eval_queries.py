@@ -299,9 +299,13 @@ def stream_progress(spark, sf_dir):
 
 
 @register("assemble_tokens", "H3", sql="""
-select event_id // 8 as request_id, string_agg(event_type, ' ' order by event_id) as message,
-  count(*) as n_tokens, bool_or(event_id % 8 = 7) as done, bool_or(event_type = 'error') as has_error
-from events group by 1""")
+with t as (select event_id // 8 as request_id, event_id as seq, event_type as token,
+                  event_id % 8 = 7 as done, event_type = 'error' as err from events),
+c as (select request_id, min(case when done or err then seq end) as close_seq from t group by 1)
+select t.request_id, string_agg(token, ' ' order by seq) as message, count(*) as n_tokens,
+  coalesce(bool_or(seq = close_seq and done), false) as done,
+  coalesce(bool_or(seq = close_seq and err and not done), false) as has_error
+from t join c on t.request_id = c.request_id where close_seq is null or seq <= close_seq group by 1""")
 def assemble_tokens(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     toks = ev.select(F.floor(F.col("event_id") / 8).cast("bigint").alias("request_id"), F.col("event_id").alias("seq"),

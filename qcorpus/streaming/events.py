@@ -48,15 +48,78 @@ def stream_progress(events: DataFrame, interval: str = "5 seconds", watermark: s
 
 
 def assemble_tokens(tokens: DataFrame) -> DataFrame:
-    """H3: one message per request from token events (request_id, seq,
-    token, done, error): tokens joined in sequence order, with the done and
-    error flags.  A request is a bounded group (one generation)."""
+    """H3 (batch or complete-mode stream): one message per request from token
+    events (request_id, seq, token, done, error).  The message is the tokens
+    in sequence order up to and including the first closing event (``done``,
+    or an ``error``, which ends the reference's token stream); ``done`` /
+    ``has_error`` tell how it closed.  Requests without a closing event are
+    reported open (both flags false).  A request is a bounded group (one
+    generation), gathered by one shuffle."""
+    kind = F.when(F.coalesce(F.col("done"), F.lit(False)), F.lit("done")) \
+            .when(F.col("error").isNotNull(), F.lit("error"))
     g = tokens.groupBy("request_id").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "token"))).alias("__t"),
-        F.bool_or(F.coalesce(F.col("done"), F.lit(False))).alias("done"),
-        F.bool_or(F.col("error").isNotNull()).alias("has_error"))
-    return g.select("request_id", F.array_join(F.transform("__t", lambda x: x["token"]), " ").alias("message"),
-                    F.size("__t").cast("bigint").alias("n_tokens"), "done", "has_error")
+        F.sort_array(F.collect_list(F.struct("seq", "token", kind.alias("kind")))).alias("__t"))
+    first = F.array_position(F.transform("__t", lambda x: x["kind"].isNotNull()), True)
+    kept = F.when(first > 0, F.slice("__t", 1, first.cast("int"))).otherwise(F.col("__t"))
+    closing = F.when(first > 0, F.element_at("__t", first.cast("int"))["kind"])
+    return g.select("request_id",
+                    F.array_join(F.transform(kept, lambda x: x["token"]), " ").alias("message"),
+                    F.size(kept).cast("bigint").alias("n_tokens"),
+                    F.coalesce(closing == "done", F.lit(False)).alias("done"),
+                    F.coalesce(closing == "error", F.lit(False)).alias("has_error"))
+
+
+ASSEMBLED_SCHEMA = "request_id long, message string, n_tokens long, done boolean, has_error boolean"
+
+
+def assemble_tokens_stateful(tokens: DataFrame, timeout: str | None = None,
+                             output_schema: str = ASSEMBLED_SCHEMA) -> DataFrame:
+    """H3 as a custom stateful streaming operator (append mode): tokens of
+    each request are kept in state until its closing event arrives, then the
+    message is emitted once and the state dropped.  With ``timeout`` (e.g.
+    ``"10 minutes"`` of processing time) a request idle that long is emitted
+    open; note that timeouts make the engine schedule no-data micro-batches,
+    so an ``availableNow`` query with open requests keeps running until they
+    time out.  State per request is one generation's tokens; events of a
+    request are expected in ``seq`` order across micro-batches and none after
+    its closing event, as a token stream delivers them (a later event would
+    open the request again)."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    timeout_ms = None
+    if timeout:
+        unit_ms = {"second": 1000, "minute": 60_000, "hour": 3_600_000}
+        n, unit = timeout.split()
+        timeout_ms = int(float(n) * unit_ms[unit.rstrip("s")])
+
+    def out(key, toks, done, err):
+        return pd.DataFrame({"request_id": [key[0]], "message": [" ".join(t for t in toks if t is not None)],
+                             "n_tokens": [len(toks)], "done": [done], "has_error": [err]})
+
+    def step(key, pdfs, state):
+        if state.hasTimedOut:
+            toks = list(state.get[1])
+            state.remove()
+            yield out(key, toks, False, False)
+            return
+        seqs, toks = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
+        rows = pd.concat(list(pdfs)).sort_values("seq")
+        for seq, tok, done, err in zip(rows["seq"], rows["token"], rows["done"], rows["error"]):
+            seqs.append(int(seq))
+            toks.append(None if pd.isna(tok) else tok)
+            is_done = bool(done) if not pd.isna(done) else False
+            if is_done or not pd.isna(err):
+                state.remove()
+                yield out(key, toks, is_done, not is_done)
+                return
+        state.update((seqs, toks))
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
+
+    return tokens.groupBy("request_id").applyInPandasWithState(
+        step, output_schema, "seqs array<long>, toks array<string>", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def score_stream(records: DataFrame, sql_col: str = "sql") -> DataFrame:

@@ -182,3 +182,32 @@ def test_correction_chain_with_stub(spark):
         {"prompt": lambda d: F.concat(F.lit("SQL for "), "sr"), "factory": finals, "out": "final_sql", "dialect": "sql"},
     ]).first()
     assert out.sr == "df1 = df.where(element = t.a)" and out.final_sql == "SELECT a FROM t"
+
+
+def test_stateful_token_assembly_equals_batch(spark, tmpdir_path):
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    toks = ev.select(F.floor(F.col("event_id") / 8).cast("long").alias("request_id"), F.col("event_id").alias("seq"),
+                     F.col("event_type").alias("token"), (F.col("event_id") % 8 == 7).alias("done"),
+                     F.when(F.col("event_type") == "error", F.lit("error")).alias("error"))
+    # a token stream sends nothing after a request's closing event
+    close = toks.groupBy("request_id").agg(
+        F.min(F.when(F.col("done") | F.col("error").isNotNull(), F.col("seq"))).alias("close_seq"))
+    toks = toks.join(close, "request_id").filter(F.col("close_seq").isNull() | (F.col("seq") <= F.col("close_seq"))) \
+               .drop("close_seq")
+    src = os.path.join(tmpdir_path, "tokens")
+    # three appends in sequence ranges whose borders cut through requests, so
+    # open requests carry their tokens in state across micro-batches
+    for lo, hi in ((0, 333), (333, 666), (666, 1 << 62)):
+        toks.filter((F.col("seq") >= lo) & (F.col("seq") < hi)).coalesce(1).write.mode("append").json(src)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(toks.schema).option("maxFilesPerTrigger", 1).json(src)
+    q = ST.assemble_tokens_stateful(stream).writeStream.format("memory").queryName("assembled_t") \
+        .outputMode("append").option("checkpointLocation", os.path.join(tmpdir_path, "ck3")) \
+        .trigger(availableNow=True).start()
+    _drain(q)
+    got = spark.table("assembled_t")
+    batch = ST.assemble_tokens(toks).filter(F.col("done") | F.col("has_error"))  # closed requests
+    assert got.count() == batch.count()
+    diff = got.exceptAll(batch)
+    assert diff.count() == 0, (diff.orderBy("request_id").take(2),
+                               batch.join(diff.select("request_id"), "request_id").orderBy("request_id").take(2))
