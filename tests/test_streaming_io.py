@@ -211,3 +211,41 @@ def test_stateful_token_assembly_equals_batch(spark, tmpdir_path):
     diff = got.exceptAll(batch)
     assert diff.count() == 0, (diff.orderBy("request_id").take(2),
                                batch.join(diff.select("request_id"), "request_id").orderBy("request_id").take(2))
+
+
+def test_csv_sink_first_records_and_preview(spark, tmpdir_path):
+    from qcorpus.operators.corpus import first_records
+    from qcorpus.operators.validate import fetch_preview
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    first = first_records(ev, 5, "event_id")
+    assert [r.event_id for r in first.collect()] == [0, 1, 2, 3, 4]
+    out = os.path.join(tmpdir_path, "trials_csv")
+    SK.write_csv(first.select("event_id", "value"), out, sort_cols=["value"])
+    back = spark.read.option("header", True).option("inferSchema", True).csv(out)
+    assert back.count() == 5 and back.columns == ["event_id", "value"]
+    ev.createOrReplaceTempView("events_v")
+    prev = fetch_preview(spark, "SELECT event_id, event_type FROM events_v ORDER BY event_id;", n=50)
+    rows = prev.collect()
+    assert len(rows) == 50 and rows[0].row.startswith('{"event_id":0')
+
+
+def test_evaluate_predictions(spark):
+    from qcorpus.operators.evaluate import evaluate_predictions
+    df = spark.createDataFrame([(1, "```SR\ndf1 = Distinct(X)\n```", "df1 = `distinctx`"),
+                                (2, "plain answer", "other words")], "id int, raw_output string, gold string")
+    r = {x.id: x for x in evaluate_predictions(df).collect()}
+    assert r[1].pred == "df1 = Distinct(X)" and r[1].em == 1.0   # both normalise to "df1 = distinctx"
+    # tokens "df1 distinct x" vs "df1 distinctx": lcs 1, P 1/3, R 1/2, F1 0.4
+    assert abs(r[1].rougeL_p - 1 / 3) < 1e-9 and abs(r[1].rougeL_r - 0.5) < 1e-9 and abs(r[1].rougeL_f1 - 0.4) < 1e-9
+    assert r[2].em == 0.0 and r[2].rougeL_f1 == 0.0
+
+
+def test_link_schema_whole_word(spark):
+    from qcorpus.operators.linking import link_schema
+    cols = spark.createDataFrame([("d", "a", "id"), ("d", "orders", "o_id")], "db_id string, table_name string, column_name string")
+    texts = spark.createDataFrame([(1, "d", "SELECT o_id FROM orders"), (2, "d", "SELECT id FROM data")],
+                                  "question_id int, db_id string, sql string")
+    loose = {(r.question_id, r.table, r.column) for r in link_schema(texts, cols).collect()}
+    strict = {(r.question_id, r.table, r.column) for r in link_schema(texts, cols, whole_word=True).collect()}
+    assert (2, "a", "id") in loose                     # quirk Q14: table "a" occurs in "data"
+    assert (2, "a", "id") not in strict and (1, "orders", "o_id") in strict
