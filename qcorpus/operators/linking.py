@@ -19,7 +19,7 @@ def _contains(text: Column, name: Column, whole_word: bool) -> Column:
         return F.instr(text, name) > 0
     # whole word: the name bounded by non-identifier characters
     pat = F.concat(F.lit(r"(^|[^A-Za-z0-9_])\Q"), name, F.lit(r"\E([^A-Za-z0-9_]|$)"))
-    return text.rlike(pat)
+    return F.regexp_like(text, pat)
 
 
 def link_schema(texts: DataFrame, columns: DataFrame, id_col: str = "question_id", text_col: str = "sql",
