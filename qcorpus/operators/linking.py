@@ -71,3 +71,32 @@ def column_meaning_block(links: DataFrame, meanings: DataFrame, order: DataFrame
     return j.groupBy(id_col).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_idx", line.alias("l")))),
                                  lambda x: x["l"]), "").alias("meaning_block"))
+
+
+def highlighted_schema(links: DataFrame, named_columns: DataFrame, fk_map: DataFrame,
+                       id_col: str = "question_id") -> DataFrame:
+    """Quirk Q17 filled in: per id, the schema text restricted to its linked
+    columns (``### Table: T`` blocks with the Python-style list of
+    ``table.column``, catalog order) and the foreign-key slot as a Python
+    dict text ``{'t.c': 't.c', ...}`` of keys whose source column is linked
+    (``{}`` when none).  ``links`` carries db_id; groups are per id and
+    bounded by the width of its database."""
+    j = links.join(named_columns.select("db_id", F.col("table_name").alias("table"),
+                                        F.col("column_name").alias("column"), "col_idx", "table_idx"),
+                   ["db_id", "table", "column"], "inner")
+    entry = F.concat(quote_ident(F.col("table")), F.lit("."), quote_ident(F.col("column")))
+    per_table = j.groupBy(id_col, "table_idx", "table").agg(
+        F.sort_array(F.collect_list(F.struct("col_idx", entry.alias("e")))).alias("cs"))
+    block = F.concat(F.lit("### Table: "), F.col("table"), F.lit("\n['"),
+                     F.array_join(F.transform("cs", lambda x: x["e"]), "', '"), F.lit("']"))
+    text = per_table.groupBy(id_col).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("table_idx", block.alias("b")))),
+                                 lambda x: x["b"]), "\n\n").alias("highlighted_schema"))
+    fks = links.select(id_col, "db_id", F.concat_ws(".", "table", "column").alias("src")) \
+               .join(fk_map, ["db_id", "src"], "inner") \
+               .groupBy(id_col).agg(F.sort_array(F.collect_list(
+                   F.concat(F.lit("'"), F.col("src"), F.lit("': '"), F.col("tgt"), F.lit("'")))).alias("__e"))
+    ids = links.select(id_col).distinct()
+    return ids.join(text, id_col, "left").join(fks, id_col, "left").select(
+        id_col, F.coalesce("highlighted_schema", F.lit("")).alias("highlighted_schema"),
+        F.concat(F.lit("{"), F.coalesce(F.array_join("__e", ", "), F.lit("")), F.lit("}")).alias("foreign_keys"))

@@ -239,6 +239,37 @@ def column_meanings(spark, sf_dir):
     return L.column_meaning_block(links, meanings, order)
 
 
+HIGHLIGHT_SQL = f"""
+with {CAT}, {FK}, {LINK},
+j as (select l.question_id, l."table", l."column", n.col_idx, n.table_idx from links l
+      join named n on l.db_id = n.db_id and l."table" = n.table_name and l."column" = n.column_name),
+pt as (select question_id, table_idx, "table",
+  string_agg(concat({QI.format('"table"')}, '.', {QI.format('"column"')}), chr(39) || ', ' || chr(39)
+             order by col_idx) as cs
+  from j group by 1, 2, 3),
+txt as (select question_id, string_agg(concat('### Table: ', "table", chr(10), '[', chr(39), cs, chr(39), ']'),
+                                       chr(10) || chr(10) order by table_idx) as highlighted_schema from pt group by 1),
+fkm as (select db_id, concat(src_table, '.', src_column) as src,
+               arg_max(concat(tgt_table, '.', tgt_column), fk_pos) as tgt from fk group by 1, 2),
+fke as (select l.question_id, concat(chr(39), f.src, chr(39), ': ', chr(39), f.tgt, chr(39)) as e
+        from links l join fkm f on l.db_id = f.db_id and concat(l."table", '.', l."column") = f.src),
+fks as (select question_id, string_agg(e, ', ' order by e) as e from fke group by 1),
+ids as (select distinct question_id from links)
+select ids.question_id, coalesce(highlighted_schema, '') as highlighted_schema,
+  concat('{{', coalesce(fks.e, ''), '}}') as foreign_keys
+from ids left join txt on ids.question_id = txt.question_id left join fks on ids.question_id = fks.question_id"""
+
+
+@register("highlighted_schema", "Q17 C4 D13 D14", sql=HIGHLIGHT_SQL)
+def highlighted_schema(spark, sf_dir):
+    cat = catalog(spark, sf_dir)
+    corpus = fixtures.load(spark, sf_dir, "sql_corpus")
+    named = K.named_columns(cat)
+    links = L.link_schema(corpus, named).join(corpus.select("question_id", "db_id"), "question_id")
+    _, fk_map = K.key_maps(cat)
+    return L.highlighted_schema(links, named, fk_map)
+
+
 # --- walks ------------------------------------------------------------------
 
 def _walk_step(k, prev):
