@@ -65,19 +65,25 @@ def graph_counts(cat: Catalog) -> DataFrame:
     return nodes.sparkSession.range(1).select(n_nodes.alias("nodes"), n_edges.alias("edges"))
 
 
-def describe_columns(cat: Catalog, descriptions: DataFrame) -> DataFrame:
+def describe_columns(cat: Catalog, descriptions: DataFrame, by_database: bool = False) -> DataFrame:
     """Every column with its description looked up by
     ``lower(table.column)`` (default ``""``).  ``descriptions`` has
-    ``table, column, description``; equal keys keep the last by
-    ``file_path`` when present (quirk Q8: the key has no database)."""
-    d = descriptions.select(F.lower(F.concat_ws(".", "table", "column")).alias("key"), "description",
-                            *(["file_path"] if "file_path" in descriptions.columns else []))
+    ``table, column, description`` (and ``file_path``/``db_folder`` from
+    :func:`read_column_descriptions`).  Equal keys keep the last by
+    ``file_path``: the key has no database, so equal names in two databases
+    overwrite each other (quirk Q8).  ``by_database=True`` keys by
+    ``db_folder`` = ``db_id`` as well."""
+    keys = [F.lower(F.concat_ws(".", "table", "column")).alias("key")]
+    if by_database:
+        keys.append(F.col("db_folder").alias("db_id"))
+    d = descriptions.select(*keys, "description", *(["file_path"] if "file_path" in descriptions.columns else []))
+    gk = ["key", "db_id"] if by_database else ["key"]
     if "file_path" in d.columns:
-        d = d.groupBy("key").agg(F.max_by("description", "file_path").alias("description"))
+        d = d.groupBy(*gk).agg(F.max_by("description", "file_path").alias("description"))
     else:
-        d = d.groupBy("key").agg(F.max("description").alias("description"))
+        d = d.groupBy(*gk).agg(F.max("description").alias("description"))
     cols = named_columns(cat).withColumn("key", F.lower(F.concat_ws(".", "table_name", "column_name")))
-    return cols.join(d, "key", "left").withColumn("description", F.coalesce("description", F.lit(""))).drop("key")
+    return cols.join(d, gk, "left").withColumn("description", F.coalesce("description", F.lit(""))).drop("key")
 
 
 def schema_text(cat: Catalog) -> DataFrame:

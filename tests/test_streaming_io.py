@@ -106,6 +106,9 @@ def test_catalog_and_descriptions(spark, tmpdir_path):
     assert got == {("a", "id"): "identifier é", ("b c", "v"): "value"}
     described = {(r.table_name, r.column_name): r.description for r in K.describe_columns(c, descs).collect()}
     assert described[("a", "id")] == "identifier é" and described[("b c", "a_id")] == ""
+    by_db = {(r.table_name, r.column_name): r.description
+             for r in K.describe_columns(c, descs, by_database=True).collect()}
+    assert by_db[("a", "id")] == "identifier é"  # folder "x" is database "x"
 
 
 def test_write_vectors_and_summary(spark, tmpdir_path):
