@@ -13,12 +13,13 @@ from qcorpus.functions.text import exact_match, extract_fenced
 _TOKEN_SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def rouge_tokens(text: str, stem: bool = False) -> list[str]:
+def rouge_tokens(text: str, stem: bool = True) -> list[str]:
     """Tokens as the ROUGE scorer makes them: lower case, non-alphanumerics
-    as separators.  Stemming is not built (``stem=True`` raises)."""
-    if stem:
-        raise NotImplementedError("Porter stemming is not built; use stem=False")
-    return [t for t in _TOKEN_SPLIT.split((text or "").lower()) if t]
+    as separators, and (``stem``, the reference's setting) Porter stems for
+    tokens longer than 3 characters."""
+    from qcorpus.functions.stemming import porter_stem
+    toks = [t for t in _TOKEN_SPLIT.split((text or "").lower()) if t]
+    return [porter_stem(t) if stem and len(t) > 3 else t for t in toks] if stem else toks
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -34,16 +35,17 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return prev[-1]
 
 
-def rouge_l(pred: Column | str, gold: Column | str) -> Column:
+def rouge_l(pred: Column | str, gold: Column | str, stem: bool = True) -> Column:
     """STRUCT(p, r, f1) of ROUGE-L between prediction and reference:
-    P = lcs/len(pred), R = lcs/len(gold), F1 = 2PR/(P+R).  Arrow-batched
+    P = lcs/len(pred), R = lcs/len(gold), F1 = 2PR/(P+R), on stemmed tokens
+    by default (the reference scores with stemming on).  Arrow-batched
     pandas UDF (the LCS dynamic programme is a small per-row helper over
     whole texts; no length cap)."""
     @F.pandas_udf("struct<p:double,r:double,f1:double>")
     def score(p: pd.Series, g: pd.Series) -> pd.DataFrame:
         ps, rs, fs = [], [], []
         for a, b in zip(p.tolist(), g.tolist()):
-            ta, tb = rouge_tokens(a), rouge_tokens(b)
+            ta, tb = rouge_tokens(a, stem), rouge_tokens(b, stem)
             lcs = lcs_length(ta, tb)
             pp = lcs / len(ta) if ta else 0.0
             rr = lcs / len(tb) if tb else 0.0
@@ -155,11 +157,11 @@ def throughput(df: DataFrame, ts_col: str, target: int | None = None,
 
 
 def evaluate_predictions(df: DataFrame, raw_col: str = "raw_output", gold_col: str = "gold",
-                         id_col: str = "id", dialect: str = "eval") -> DataFrame:
+                         id_col: str = "id", dialect: str = "eval", stem: bool = True) -> DataFrame:
     """I8: per row extraction (B11), exact match (B16) and ROUGE-L."""
     pred = extract_fenced(raw_col, dialect)
     out = df.select(id_col, pred.alias("pred"), F.col(gold_col).alias("gold"))
-    r = rouge_l(F.col("pred"), F.col("gold"))
+    r = rouge_l(F.col("pred"), F.col("gold"), stem)
     return out.withColumn("em", exact_match("pred", "gold")).withColumn("__r", r).select(
         id_col, "pred", "gold", "em", F.col("__r.p").alias("rougeL_p"), F.col("__r.r").alias("rougeL_r"),
         F.col("__r.f1").alias("rougeL_f1"))

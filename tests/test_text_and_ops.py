@@ -189,3 +189,24 @@ def test_latency_summary_empty(spark):
     df = spark.createDataFrame([], "latency double")
     r = EV.latency_summary(df).first()
     assert (r.n, r.total_latency, r.avg_latency, r.min_latency, r.max_latency) == (0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_porter_stems():
+    from qcorpus.functions.stemming import porter_stem
+    cases = {"caresses": "caress", "ponies": "poni", "ties": "tie", "cats": "cat", "feed": "feed",
+             "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing",
+             "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop",
+             "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat",
+             "generalization": "gener", "students": "student", "running": "run", "dying": "die",
+             "oscillators": "oscil", "hopeful": "hope", "goodness": "good", "formality": "formal",
+             "adjustment": "adjust", "controlling": "control", "rolling": "roll", "cried": "cri",
+             "died": "die", "is": "is", "as": "as"}
+    got = {w: porter_stem(w) for w in cases}
+    assert got == cases
+
+
+def test_rouge_stemming_matches(spark):
+    df = spark.createDataFrame([("counting students", "count the student")], "p string, g string")
+    r = df.select(EV.rouge_l("p", "g").alias("r"), EV.rouge_l("p", "g", stem=False).alias("n")).first()
+    assert abs(r.r.p - 1.0) < 1e-9 and abs(r.r.r - 2 / 3) < 1e-9   # count student | count the student
+    assert r.n.f1 == 0.0
