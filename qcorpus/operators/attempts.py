@@ -77,18 +77,24 @@ def attempt_stats(outcomes: DataFrame) -> DataFrame:
 
 
 def generate_until_class(items: DataFrame, generate, score, max_rounds: int = MAX_ATTEMPTS,
-                         item="item_id", target="target") -> DataFrame:
+                         item="item_id", target="target", sql_col="sql") -> DataFrame:
     """I4: retry loop in batch.  Each round runs ``generate(pending, round)``
-    (a DataFrame -> DataFrame step returning ``item, sql``, e.g. a
+    (a DataFrame -> DataFrame step returning ``item, target, sql``, e.g. a
     ``batch_generate`` call) only on unresolved items, scores with
-    ``score(df) -> df`` (adds ``difficulty``), and keeps accepted rows.
+    ``score(df) -> df`` (adds ``difficulty`` and ``buckets_present``), and
+    keeps the accepted rows.  From round 2 on, ``pending`` carries the
+    feedback of the item's previous attempt: ``last_sql``,
+    ``missing_buckets`` (B9) and ``forbidden_found`` (B10), for the
+    refinement prompt.
 
     Rounds are cut from their lineage with a reliable checkpoint into the
     cluster's checkpoint folder, so a lost executor does not replay the
     model calls of earlier rounds.
     """
+    from qcorpus.functions.scoring import forbidden_words, missing_buckets
     from qcorpus.session import cut_lineage
 
+    base = items
     pending = items
     accepted = None
     for rnd in range(1, max_rounds + 1):
@@ -97,7 +103,12 @@ def generate_until_class(items: DataFrame, generate, score, max_rounds: int = MA
         out = score(generate(pending, rnd)).withColumn("attempt", F.lit(rnd))
         out = cut_lineage(out)
         ok = out.filter(F.col("difficulty") == F.col(target))
-        accepted = ok if accepted is None else accepted.unionByName(ok)
+        accepted = ok if accepted is None else accepted.unionByName(ok, allowMissingColumns=True)
+        present = F.coalesce(F.col("buckets_present"), F.array().cast("array<string>"))
+        feedback = out.join(ok.select(item), item, "left_anti").select(
+            item, F.col(sql_col).alias("last_sql"),
+            missing_buckets(present, F.col(target)).alias("missing_buckets"),
+            forbidden_words(F.col(sql_col), F.col(target)).alias("forbidden_found"))
         # the next round's input is cut from this round's lineage too
-        pending = cut_lineage(pending.join(ok.select(item), item, "left_anti"))
+        pending = cut_lineage(base.join(feedback, item, "inner"))
     return accepted

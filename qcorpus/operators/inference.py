@@ -21,22 +21,33 @@ from qcorpus.functions.text import extract_fenced, parse_json_object, split_reas
 
 
 def batch_generate(df: DataFrame, prompt_col: str, factory: Callable, out_col: str = "output",
-                   batch_size: int = 16) -> DataFrame:
-    """``df`` plus ``out_col`` (text) and token counts per row."""
+                   batch_size: int = 16, timeout_sec: float | None = None) -> DataFrame:
+    """``df`` plus ``out_col`` (text) and token counts per row.  A call
+    that raises, or runs longer than ``timeout_sec``, gives null outputs for
+    its rows (the task goes on with the next chunk)."""
     fields = [f for f in df.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     schema += f", `{out_col}` string, prompt_tokens bigint, completion_tokens bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from concurrent.futures import ThreadPoolExecutor
+        from concurrent.futures import TimeoutError as CallTimeout
         predict = factory()
+        pool = ThreadPoolExecutor(max_workers=1) if timeout_sec else None
+
+        def call(chunk):
+            if pool is None:
+                return predict(chunk)
+            return pool.submit(predict, chunk).result(timeout=timeout_sec)
+
         for pdf in batches:
             texts, pt, ct = [], [], []
             prompts = pdf[prompt_col].fillna("").tolist()
             for i in range(0, len(prompts), batch_size):
                 chunk = prompts[i:i + batch_size]
                 try:
-                    res = predict(chunk)
-                except Exception:
+                    res = call(chunk)
+                except (CallTimeout, Exception):
                     res = [None] * len(chunk)
                 for r in res:
                     r = r or {}

@@ -167,10 +167,19 @@ def test_generate_until_class_retries_only_unresolved(spark):
         sql = F.lit("SELECT a FROM t") if rnd == 1 else sql_by_target
         return pending_df.withColumn("sql", sql)
 
-    out = generate_until_class(items, generate, lambda d: S.score_columns(d), max_rounds=4)
+    feedback = []
+
+    def generate_logged(pending_df, rnd):
+        if rnd > 1:
+            feedback.extend((r.item_id, r.missing_buckets, r.forbidden_found) for r in pending_df.collect())
+        return generate(pending_df, rnd)
+
+    out = generate_until_class(items, generate_logged, lambda d: S.score_columns(d), max_rounds=4)
     got = {r.item_id: r.attempt for r in out.collect()}
     assert got == {0: 1, 1: 2, 2: 2, 3: 2}
     assert seen == [(1, [0, 1, 2, 3]), (2, [1, 2, 3])]  # stops once every item is resolved
+    fb = {i: (m, f) for i, m, f in feedback}
+    assert fb[1] == (["B4"], []) and fb[2] == (["B3", "B4"], []) and fb[3] == (["B3"], [])
 
 
 def test_correction_chain_with_stub(spark):
@@ -252,3 +261,17 @@ def test_link_schema_whole_word(spark):
     strict = {(r.question_id, r.table, r.column) for r in link_schema(texts, cols, whole_word=True).collect()}
     assert (2, "a", "id") in loose                     # quirk Q14: table "a" occurs in "data"
     assert (2, "a", "id") not in strict and (1, "orders", "o_id") in strict
+
+
+def test_batch_generate_timeout_gives_null(spark):
+    def factory():
+        import time as _t
+
+        def predict(prompts):
+            if any("slow" in p for p in prompts):
+                _t.sleep(5)
+            return [{"text": "ok"} for _ in prompts]
+        return predict
+    df = spark.createDataFrame([(1, "fast"), (2, "slow")], "id int, p string").repartition(2, "id")
+    out = {r.id: r.output for r in INF.batch_generate(df, "p", factory, batch_size=1, timeout_sec=1.0).collect()}
+    assert out == {1: "ok", 2: None}
