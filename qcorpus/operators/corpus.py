@@ -28,7 +28,11 @@ def distribution(df: DataFrame, class_col: str = "difficulty", total: int | None
                  value_col: str | None = None, classes=None) -> DataFrame:
     """Count per class (every configured class, zero included), percent of
     ``total`` (default: all rows), a text bar of ``floor(pct/2)`` blocks and,
-    optionally, the mean of ``value_col``."""
+    optionally, the mean of ``value_col``.
+
+    One pass over ``df``: the grouped counts (a handful of rows) also give
+    the total, by a window over that small table, so the input is not
+    scanned a second time."""
     aggs = [F.count(F.lit(1)).alias("count")]
     if value_col:
         aggs.append(F.avg(value_col).alias("mean_value"))
@@ -36,9 +40,16 @@ def distribution(df: DataFrame, class_col: str = "difficulty", total: int | None
     # nullable key would let the optimizer push an inferred ``isnotnull``
     # filter below the scoring projection and evaluate it twice
     counts = df.groupBy(F.coalesce(F.col(class_col), F.lit("")).alias("class")).agg(*aggs)
-    # the total is a scalar subquery (one global count), not a join
-    tot = F.lit(total) if total is not None else df.select(F.count(F.lit(1))).scalar()
+    if total is None:
+        counts = counts.withColumn("__total", F.sum("count").over(Window.partitionBy()))
+        tot = F.max("__total").over(Window.partitionBy())
+    else:
+        tot = F.lit(total)
     out = _classes_df(df.sparkSession, classes).join(F.broadcast(counts), "class", "left")
+    if total is None:
+        # classes with no rows get the total from the other rows of this tiny table
+        out = out.withColumn("__total", tot)
+        tot = F.coalesce(F.col("__total"), F.lit(0))
     cnt = F.coalesce(F.col("count"), F.lit(0)).cast("bigint")
     pct = F.when(tot > 0, cnt.cast("double") / tot.cast("double") * 100.0).otherwise(F.lit(0.0))
     cols = [F.col("class"), F.col("class_pos").cast("bigint").alias("class_pos"), cnt.alias("count"),
@@ -131,32 +142,41 @@ def select_indexable(df: DataFrame, wanted_status: str = "valid_quality", id_col
     )
 
 
-def filter_funnel(df: DataFrame, wanted_status: str = "valid_quality") -> DataFrame:
-    """One row of mutually exclusive counts: missing status, failed status,
-    missing question/sql, indexed (= passed)."""
+def _funnel_aggs(wanted_status: str, extra_db_count: bool = False):
     st = F.col("status")
     blank = (F.coalesce(strip_ws(F.col("question")), F.lit("")) == "") | \
             (F.coalesce(strip_ws(F.col("sql")), F.lit("")) == "")
-    return df.agg(
+    aggs = [
         F.count(F.lit(1)).alias("total_entries"),
         F.count_if(st.isNull()).alias("missing_quality_field"),
         F.count_if(st.isNotNull() & (st != wanted_status)).alias("failed_quality_check"),
         F.count_if((st == wanted_status) & blank).alias("missing_question_sql"),
         F.count_if((st == wanted_status) & ~blank).alias("passed_quality_check"),
-    ).withColumn("final_indexed", F.col("passed_quality_check"))
+    ]
+    if extra_db_count:
+        # G3 in the same pass: distinct databases among the kept rows
+        kept = (st == wanted_status) & ~blank
+        aggs.append(F.count_distinct(F.when(kept, F.coalesce(F.col("db_id"), F.lit("unknown"))))
+                    .alias("unique_databases_indexed"))
+    return aggs
+
+
+def filter_funnel(df: DataFrame, wanted_status: str = "valid_quality") -> DataFrame:
+    """One row of mutually exclusive counts: missing status, failed status,
+    missing question/sql, indexed (= passed); one aggregation pass."""
+    return df.agg(*_funnel_aggs(wanted_status)).withColumn("final_indexed", F.col("passed_quality_check"))
 
 
 def build_summary(df: DataFrame, vectors: DataFrame | None = None,
                   wanted_status: str = "valid_quality") -> DataFrame:
-    """Funnel plus distinct databases among kept rows (G3), vectors per
-    entry and the embedding dimension (when a vector table is given)."""
-    funnel = filter_funnel(df, wanted_status)
-    kept = df.filter((F.col("status") == wanted_status)
-                     & (F.coalesce(strip_ws(F.col("question")), F.lit("")) != "")
-                     & (F.coalesce(strip_ws(F.col("sql")), F.lit("")) != ""))
-    n_dbs = kept.select(F.count_distinct(F.coalesce(F.col("db_id"), F.lit("unknown")))).scalar()
-    out = funnel.withColumn("unique_databases_indexed", n_dbs) \
-                .withColumn("vectors_per_entry", F.lit(1).cast("bigint"))
+    """Funnel plus distinct databases among kept rows (G3), in the same
+    pass over the corpus; vectors per entry and the embedding dimension and
+    count (scalar subqueries over the vector table, when given)."""
+    out = df.agg(*_funnel_aggs(wanted_status, extra_db_count=True)) \
+            .withColumn("final_indexed", F.col("passed_quality_check")) \
+            .withColumn("vectors_per_entry", F.lit(1).cast("bigint"))
+    out = out.select("total_entries", "missing_quality_field", "failed_quality_check", "missing_question_sql",
+                     "passed_quality_check", "final_indexed", "unique_databases_indexed", "vectors_per_entry")
     if vectors is not None:
         out = out.withColumn("embedding_dimension",
                              vectors.select(F.max(F.size("embedding")).cast("bigint")).scalar()) \
