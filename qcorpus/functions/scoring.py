@@ -156,14 +156,13 @@ def forbidden_words(sql: Column | str, target: Column | str,
     s = F.regexp_replace(s, r'"[^"]*"', "")
 
     def found(words):
-        # one alternation pass per list; whole-word matches of different
-        # words never overlap, so the match list holds every word present
-        single = [w for w in words if " " not in w]
-        hits = F.regexp_extract_all(s, F.lit(r"\b(" + "|".join(re.escape(w) for w in single) + r")\b"), 1)
-        present = [F.when(F.array_contains(hits, F.lit(w)), F.lit(w)) if " " not in w else
-                   F.when(s.rlike(r"\b" + re.escape(w).replace("\\ ", r"\s+") + r"\b"), F.lit(w))
-                   for w in words]
-        return F.filter(F.array(*present), lambda x: x.isNotNull())
+        # ONE regex pass per list: its match list (two-word words matched
+        # with any whitespace, then normalised to one space) is intersected
+        # with the word list, which keeps the fixed word order
+        alt = "|".join(re.escape(w).replace("\\ ", r"\s+") for w in words)
+        hits = F.transform(F.regexp_extract_all(s, F.lit(r"\b(" + alt + r")\b"), 1),
+                           lambda h: F.regexp_replace(h, r"\s+", " "))
+        return F.array_intersect(F.array(*[F.lit(w) for w in words]), hits)
 
     agg_words = [w for w in AGGREGATE_WORDS if not (strict_compat and " " in w)]
     tgt = _col(target)

@@ -76,12 +76,13 @@ def class_feedback(spark, sf_dir):
     k = F.col("question_id") % 4
     target = (F.when(k == 0, "simple").when(k == 1, "conditional").when(k == 2, "aggregation")
               .otherwise("complex"))
-    df = df.withColumn("target", target)
+    df = df.withColumn("target", target).withColumn("__forbidden", S.forbidden_words("sql", "target"))
     return df.select(
         "question_id", "target",
         F.array_join(S.missing_buckets(F.col("buckets_present"), F.col("target")), ",").alias("missing_buckets"),
-        F.array_join(S.forbidden_words("sql", "target"), ",").alias("forbidden"),
-        F.array_join(S.forbidden_words("sql", "target", strict_compat=True), ",").alias("forbidden_compat"),
+        F.array_join("__forbidden", ",").alias("forbidden"),
+        # the compat list is the same list without GROUP BY (quirk Q3)
+        F.array_join(F.array_remove("__forbidden", "GROUP BY"), ",").alias("forbidden_compat"),
     )
 
 
@@ -147,9 +148,11 @@ select class, class_pos, collected, quota, round(collected * 1.0 / quota, 6) as
 where collected < quota order by collected * 1.0 / quota, class_pos limit 1""")
 def neediest_class(spark, sf_dir):
     # null classes grouped under "" (no inferred isnotnull filter is pushed
-    # into the scoring projection by the join below)
-    collected = scored_corpus(spark, sf_dir).groupBy(F.coalesce("difficulty", F.lit("")).alias("class")) \
-        .agg(F.count(F.lit(1)).alias("count"))
+    # into the scoring projection by the join below); the few class counts
+    # are materialised once, as both the quota total and the ratios read them
+    from qcorpus.session import cut_lineage
+    collected = cut_lineage(scored_corpus(spark, sf_dir).groupBy(F.coalesce("difficulty", F.lit("")).alias("class"))
+                            .agg(F.count(F.lit(1)).alias("count")))
     # the total is the sum of the (few) class counts, not a second corpus scan
     quotas = C.quota_targets(spark, collected.agg(F.sum("count")))
     return C.neediest_class(collected, quotas)
@@ -160,7 +163,12 @@ with {sqlgen.scored_corpus_ctes()}
 select question_id, cast(row_number() over (order by question_id) as bigint) as seq_id
 from scored where difficulty is not null""")
 def assign_ids(spark, sf_dir):
-    accepted = scored_corpus(spark, sf_dir).filter(F.col("difficulty").isNotNull()).select("question_id")
+    # numbering reads the accepted ids twice (bucket counts, local numbers):
+    # the narrow (id, class) table is materialised once, so the filter on the
+    # class is not pushed into (and re-run inside) the scan of each branch
+    from qcorpus.session import cut_lineage
+    classes = cut_lineage(scored_corpus(spark, sf_dir).select("question_id", "difficulty"))
+    accepted = classes.filter(F.col("difficulty").isNotNull()).select("question_id")
     return C.assign_ids(accepted, "question_id", "seq_id")
 
 
@@ -219,7 +227,11 @@ def validation_stats(spark, sf_dir):
 with {VALIDATION_SQL}
 select validation_error, count(*) as count from checked where validation_error is not null group by 1""")
 def validation_errors(spark, sf_dir):
-    _, hist = C.validation_stats(validation_results(spark, sf_dir))
+    # the validation verdicts are a stage output (write_split writes them);
+    # materialised, the histogram's null filter stays on the narrow table
+    from qcorpus.session import cut_lineage
+    verdicts = cut_lineage(validation_results(spark, sf_dir).select("question_id", "status", "validation_error"))
+    _, hist = C.validation_stats(verdicts)
     return hist
 
 
