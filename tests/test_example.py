@@ -9,6 +9,8 @@ from tests.conftest import SF_SMALL
 def test_offline_build_example(spark, tmpdir_path):
     sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "examples"))
     import offline_build
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(offline_build)  # workers do not have examples/ on their path
     n = offline_build.main(SF_SMALL, tmpdir_path)
     assert n == 20  # the stub judge rejects the 20 aggregate statements of 40
     assert os.path.isdir(os.path.join(tmpdir_path, "vectors"))
