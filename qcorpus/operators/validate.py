@@ -79,3 +79,86 @@ def fetch_preview(spark: SparkSession, sql: str, n: int = 50) -> DataFrame:
     (``limit`` is pushed into the plan: CollectLimit / TakeOrdered)."""
     df = spark.sql(sql.strip().rstrip(";")).limit(n)
     return df.select(F.to_json(F.struct(*df.columns)).alias("row"))
+
+
+SQLITE_VERDICT_FIELDS = ("status string, execution_time double, validation_error string, "
+                         "error_detail struct<type: string, sqlite_errorcode: int, sqlite_errorname: string, "
+                         "message: string>")
+
+
+def validate_on_sqlite(df: DataFrame, db_dir: str, sql_col: str = "sql", db_col: str = "db_id",
+                       time_limit: float = SQL_TIME_LIMIT) -> DataFrame:
+    """I6 against per-database SQLite files (``<db_dir>/<db_id>/<db_id>.sqlite``),
+    run inside the executors: every task opens the files its rows need
+    (read-only, in-process, cached per task) and executes each statement once,
+    fetching one row under a deadline enforced by SQLite's progress handler.
+
+    Verdicts follow the reference: ``validated`` with ``execution_time``; else
+    ``rejected`` with ``validation_error`` = MISSING_FIELD, DB_ERROR (file not
+    found), TIMEOUT, or the engine's error class, and ``error_detail`` with
+    the SQLite error code and name.  Rows are independent, so any
+    partitioning works and a database holding a third of the statements is
+    still spread over all tasks.  ``db_dir`` must be readable by every
+    executor (shared storage)."""
+    from collections.abc import Iterator
+    import pandas as pd
+    # the verdict replaces these fields, as the reference overwrites them
+    df = df.drop(*[c for c in ("status", "execution_time", "validation_error", "error_detail") if c in df.columns])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    schema = f"{fields}, {SQLITE_VERDICT_FIELDS}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+        import sqlite3
+        import time as _time
+        conns = {}
+
+        def conn_for(path):
+            if path not in conns:
+                conns[path] = sqlite3.connect(f"file:{path}?mode=ro", uri=True, check_same_thread=False)
+            return conns[path]
+
+        def verdict(sql, db):
+            if not sql or not db:
+                return ("rejected", None, "MISSING_FIELD", ("MISSING_FIELD", None, None, "sql or db_id is empty"))
+            path = os.path.join(db_dir, db, f"{db}.sqlite")
+            if not os.path.exists(path):
+                return ("rejected", None, "DB_ERROR", ("DB_ERROR", None, None, "database file not found"))
+            conn = conn_for(path)
+            deadline = _time.monotonic() + time_limit
+            conn.set_progress_handler(lambda: 1 if _time.monotonic() > deadline else 0, 1000)
+            t0 = _time.monotonic()
+            try:
+                cur = conn.cursor()
+                cur.execute(sql.strip().rstrip(";"))
+                cur.fetchone()
+                cur.close()
+                return ("validated", _time.monotonic() - t0, None, None)
+            except sqlite3.Error as e:
+                if _time.monotonic() > deadline:
+                    return ("rejected", None, "TIMEOUT", ("TIMEOUT", None, None, "execution exceeded time limit"))
+                name = type(e).__name__
+                return ("rejected", None, name, (name, getattr(e, "sqlite_errorcode", None),
+                                                 getattr(e, "sqlite_errorname", None), str(e)))
+            except Exception as e:  # anything else the engine raises
+                return ("rejected", None, type(e).__name__, (type(e).__name__, None, None, str(e)))
+            finally:
+                conn.set_progress_handler(None, 0)
+
+        try:
+            for pdf in batches:
+                res = [verdict(s if isinstance(s, str) else None, d if isinstance(d, str) else None)
+                       for s, d in zip(pdf[sql_col], pdf[db_col])]
+                out = pdf.copy()
+                out["status"] = [r[0] for r in res]
+                out["execution_time"] = [r[1] for r in res]
+                out["validation_error"] = [r[2] for r in res]
+                out["error_detail"] = [None if r[3] is None else
+                                       {"type": r[3][0], "sqlite_errorcode": r[3][1], "sqlite_errorname": r[3][2],
+                                        "message": r[3][3]} for r in res]
+                yield out
+        finally:
+            for c in conns.values():
+                c.close()
+
+    return df.mapInPandas(run, schema)

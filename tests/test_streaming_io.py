@@ -275,3 +275,50 @@ def test_batch_generate_timeout_gives_null(spark):
     df = spark.createDataFrame([(1, "fast"), (2, "slow")], "id int, p string").repartition(2, "id")
     out = {r.id: r.output for r in INF.batch_generate(df, "p", factory, batch_size=1, timeout_sec=1.0).collect()}
     assert out == {1: "ok", 2: None}
+
+
+def test_validate_on_sqlite(spark, tmpdir_path):
+    import sqlite3
+    from qcorpus.operators.validate import validate_on_sqlite
+    # one small SQLite database built from given tables, copied per db_id
+    base = os.path.join(tmpdir_path, "base.sqlite")
+    con = sqlite3.connect(base)
+    for t in ("customer", "nation", "orders"):
+        spark.read.parquet(f"{SF_SMALL}/{t}.parquet").toPandas().to_sql(t, con, index=False)
+    con.commit()
+    con.close()
+    corpus = fixtures.load(spark, SF_SMALL, "sql_corpus")
+    dbs = [r.db_id for r in corpus.select("db_id").distinct().collect()]
+    import shutil
+    for d in dbs[:-1]:  # the last database has no file: DB_ERROR
+        os.makedirs(os.path.join(tmpdir_path, "dbs", d))
+        shutil.copy(base, os.path.join(tmpdir_path, "dbs", d, f"{d}.sqlite"))
+    out = validate_on_sqlite(corpus, os.path.join(tmpdir_path, "dbs"))
+    rows = out.select("question_id", "db_id", "status", "validation_error", "error_detail").collect()
+    missing_db = dbs[-1]
+    for r in rows:
+        k = r.question_id % 8
+        if r.db_id == missing_db and k != 6:
+            assert r.validation_error == "DB_ERROR"
+        elif k == 6:
+            assert r.validation_error == "MISSING_FIELD"
+        elif k in (5, 7):
+            assert r.status == "rejected" and r.validation_error == "OperationalError"
+            assert r.error_detail.sqlite_errorname == "SQLITE_ERROR"
+        else:
+            assert r.status == "validated", r
+
+
+def test_validate_on_sqlite_timeout(spark, tmpdir_path):
+    import sqlite3
+    from qcorpus.operators.validate import validate_on_sqlite
+    os.makedirs(os.path.join(tmpdir_path, "d1"))
+    con = sqlite3.connect(os.path.join(tmpdir_path, "d1", "d1.sqlite"))
+    con.execute("create table t(x int)")
+    con.commit()
+    con.close()
+    slow = ("WITH RECURSIVE c(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM c WHERE n < 1000000000) "
+            "SELECT count(*) FROM c")
+    df = spark.createDataFrame([(1, "d1", slow), (2, "d1", "SELECT x FROM t;")], "id int, db_id string, sql string")
+    got = {r.id: (r.status, r.validation_error) for r in validate_on_sqlite(df, tmpdir_path, time_limit=0.5).collect()}
+    assert got == {1: ("rejected", "TIMEOUT"), 2: ("validated", None)}
