@@ -45,6 +45,9 @@ def distribution(df: DataFrame, class_col: str = "difficulty", total: int | None
         tot = F.max("__total").over(Window.partitionBy())
     else:
         tot = F.lit(total)
+    # only the configured classes are kept before the broadcast: its size is
+    # bounded by the class list, whatever the column holds
+    counts = counts.filter(F.col("class").isin(list(classes or CLASSES)))
     out = _classes_df(df.sparkSession, classes).join(F.broadcast(counts), "class", "left")
     if total is None:
         # classes with no rows get the total from the other rows of this tiny table
@@ -104,6 +107,7 @@ def quota_sample(df: DataFrame, quotas: DataFrame, class_col: str = "difficulty"
     keyed = df.withColumn(class_col, F.coalesce(F.col(class_col), F.lit("")))
     ranked = bucketed_row_number(keyed, [class_col], order_col, "class_rank")
     q = quotas.select(F.col("class").alias(class_col), "quota")
+    # quotas: one row per configured class (bounded by the class list)
     return ranked.join(F.broadcast(q), class_col, "inner").filter(F.col("class_rank") <= F.col("quota")) \
                  .drop("quota")
 

@@ -71,9 +71,10 @@ def assign_round_robin(items: DataFrame, order_col: str, dbs: DataFrame, out_col
     ranked = global_row_number(items, order_col, "__seq")
     d = dbs.select("db_id").distinct()
     n = d.select(F.count(F.lit(1))).scalar()
+    from qcorpus.session import broadcast_if_small
     dpos = d.withColumn("__pos", F.row_number().over(Window.orderBy("db_id")) - 1)  # one row per database
     return ranked.withColumn("__pos", F.pmod(F.col("__seq") - 1, n)) \
-                 .join(F.broadcast(dpos.withColumnRenamed("db_id", out_col)), "__pos", "inner") \
+                 .join(broadcast_if_small(dpos.withColumnRenamed("db_id", out_col)), "__pos", "inner") \
                  .drop("__pos", "__seq")
 
 

@@ -74,3 +74,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the given parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``broadcast(df)`` after checking its row count (one small action on a
+    dimension-sized table); above ``max_rows`` the table is returned as is
+    and the join shuffles (AQE may still choose a broadcast at run time)."""
+    from pyspark.sql import functions as F
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
