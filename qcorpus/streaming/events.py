@@ -41,7 +41,9 @@ def stream_progress(events: DataFrame, interval: str = "5 seconds", watermark: s
                     ts_col: str = "timestamp", event_col: str = "event") -> DataFrame:
     """H2: events per type and tumbling event-time window.  With a
     watermark, a streaming query in append mode emits a window once the
-    watermark passes its end; later rows for it are dropped."""
+    watermark passes its end; a row is dropped as late when its window's end
+    is at or before the previous micro-batch's watermark (Spark's rule for
+    late rows), so state stays bounded by the watermark delay."""
     df = events.withWatermark(ts_col, watermark) if watermark else events
     return df.groupBy(F.window(F.col(ts_col), interval).alias("window"), F.col(event_col).alias("event")) \
              .agg(F.count(F.lit(1)).alias("count"))

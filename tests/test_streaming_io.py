@@ -322,3 +322,27 @@ def test_validate_on_sqlite_timeout(spark, tmpdir_path):
     df = spark.createDataFrame([(1, "d1", slow), (2, "d1", "SELECT x FROM t;")], "id int, db_id string, sql string")
     got = {r.id: (r.status, r.validation_error) for r in validate_on_sqlite(df, tmpdir_path, time_limit=0.5).collect()}
     assert got == {1: ("rejected", "TIMEOUT"), 2: ("validated", None)}
+
+
+def test_progress_append_mode_drops_late_rows(spark, tmpdir_path):
+    log = os.path.join(tmpdir_path, "late_log")
+    schema = "event STRING, timestamp TIMESTAMP"
+
+    def write(rows):
+        spark.createDataFrame(rows, "event string, ts string") \
+            .select("event", F.to_timestamp("ts").alias("timestamp")).coalesce(1).write.mode("append").json(log)
+        time.sleep(1.1)
+    write([("a", "2024-01-01 00:10:00"), ("a", "2024-01-01 00:20:00"), ("a", "2024-01-01 01:10:00")])
+    write([("a", "2024-01-01 03:00:00")])                 # watermark moves to 02:30
+    write([("a", "2024-01-01 04:00:00")])                 # [00:00, 01:00) and [01:00, 02:00) are emitted
+    # late: Spark filters late rows with the previous batch's watermark
+    # against the window end, so this row arrives after its window closed
+    write([("a", "2024-01-01 00:30:00")])
+    stream = ST.stream_events(spark, log, schema, max_files_per_trigger=1)
+    agg = ST.stream_progress(stream, "1 hour", watermark="30 minutes")
+    q = agg.writeStream.outputMode("append").format("memory").queryName("late_t") \
+        .option("checkpointLocation", os.path.join(tmpdir_path, "ck_late")).trigger(availableNow=True).start()
+    _drain(q)
+    got = {(r.window.start.strftime("%H:%M"), r["count"]) for r in spark.table("late_t").collect()}
+    # windows closed by the watermark (03:00 - 30 min) are emitted once; the late row is not counted
+    assert got == {("00:00", 2), ("01:00", 1)}
