@@ -56,12 +56,17 @@ def _topk_scan(vectors: DataFrame, qids, qmat, k: int, id_col: str, vec_col: str
                exclude_self: bool) -> DataFrame:
     import numpy as np
     spark = vectors.sparkSession
-    bq = spark.sparkContext.broadcast((np.asarray(qids), np.asarray(qmat, dtype=np.float64)))
+    payload = (np.asarray(qids), np.asarray(qmat, dtype=np.float64))
+    try:  # once per executor
+        bq = spark.sparkContext.broadcast(payload)
+        get = lambda: bq.value
+    except Exception:  # sessions without a SparkContext: ship the (size-checked) batch with the task
+        get = lambda: payload
 
     def scan(batches):
         import numpy as np
         import pandas as pd
-        ids_q, m = bq.value
+        ids_q, m = get()
         for pdf in batches:
             if pdf.empty:
                 continue

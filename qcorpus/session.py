@@ -65,8 +65,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     has fewer partitions than the cluster's parallelism it is repartitioned
     round-robin; large inputs (many splits already) pass through untouched,
     so at scale this adds no shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # sessions without RDD access (Spark Connect): leave the plan as is
         return df
     return df.repartition(target)
 
