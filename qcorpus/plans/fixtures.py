@@ -110,7 +110,8 @@ from events
 
 
 # ---------------------------------------------------------------------------
-# model_outputs: one raw model answer per document, five shapes by doc_id % 5
+# model_outputs: one raw model answer per document, five shapes by doc_id % 5,
+# each carrying the document's whole text
 # ---------------------------------------------------------------------------
 
 def model_outputs(documents: DataFrame) -> DataFrame:
@@ -120,11 +121,11 @@ def model_outputs(documents: DataFrame) -> DataFrame:
         F.when(k == 0, F.concat(F.lit("<think>"), text, F.lit("</think>" + NL + FENCE + "SR" + NL +
                                 "df1 = df.where(element = documents.n_chars, filter = "), _s(n),
                                 F.lit(")" + NL + FENCE)))
-        .when(k == 1, F.concat(F.lit("df1 = t.yr + t.id "), _s(d), F.lit(NL + FENCE)))
+        .when(k == 1, F.concat(text, F.lit(NL + "df1 = t.yr + t.id "), _s(d), F.lit(NL + FENCE)))
         .when(k == 2, F.concat(text, F.lit(NL + FENCE + "sql" + NL +
                                            "SELECT n_chars FROM documents WHERE doc_id = "), _s(d),
                                F.lit(";" + NL + FENCE + NL + "Explanation: the count")))
-        .when(k == 3, F.concat(F.lit("Answer: {\"question\": \"How long is document "), _s(d),
+        .when(k == 3, F.concat(F.lit("Answer: "), text, F.lit(" {\"question\": \"How long is document "), _s(d),
                                F.lit("?\", \"sql\": \"SELECT n_chars FROM documents WHERE source = '"), src,
                                F.lit("'\", \"evidence\": \"n_chars is the length\", \"is_correct\": "),
                                F.when(d % 2 == 0, F.lit("true")).otherwise(F.lit("false")),
@@ -139,10 +140,10 @@ select doc_id,
   case doc_id % 5
     when 0 then concat('<think>', text, '</think>', chr(10), '```SR', chr(10),
                        'df1 = df.where(element = documents.n_chars, filter = ', cast(n_chars as varchar), ')', chr(10), '```')
-    when 1 then concat('df1 = t.yr + t.id ', cast(doc_id as varchar), chr(10), '```')
+    when 1 then concat(text, chr(10), 'df1 = t.yr + t.id ', cast(doc_id as varchar), chr(10), '```')
     when 2 then concat(text, chr(10), '```sql', chr(10), 'SELECT n_chars FROM documents WHERE doc_id = ',
                        cast(doc_id as varchar), ';', chr(10), '```', chr(10), 'Explanation: the count')
-    when 3 then concat('Answer: {"question": "How long is document ', cast(doc_id as varchar),
+    when 3 then concat('Answer: ', text, ' {"question": "How long is document ', cast(doc_id as varchar),
                        '?", "sql": "SELECT n_chars FROM documents WHERE source = ''', source,
                        '''", "evidence": "n_chars is the length", "is_correct": ',
                        case when doc_id % 2 = 0 then 'true' else 'false' end,
