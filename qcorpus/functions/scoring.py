@@ -254,17 +254,50 @@ def score_columns(df: DataFrame, sql_col: str = "sql", keep_counts: bool = False
 
 def reward_struct(sql: Column | str) -> Column:
     """B1-B6 as one STRUCT (reward, bucket_hits, bucket_freq, bucket_score,
-    total_hits, difficulty, buckets_present), the record form of the score."""
-    c = clean_sql(sql)
-    f = {b: bucket_freq(c, b) for b in BUCKETS}
-    total = f["B1"] + f["B3"] + f["B4"]
-    names = list(BUCKETS)
-    return F.struct(
-        reward(f["B1"], f["B3"], f["B4"]).alias("reward"),
-        F.create_map(*[x for b in names for x in (F.lit(b), keyword_hits(c, b))]).alias("bucket_hits"),
-        F.create_map(*[x for b in names for x in (F.lit(b), f[b])]).alias("bucket_freq"),
-        F.create_map(*[x for b in names for x in (F.lit(b), bucket_share(f[b], total))]).alias("bucket_score"),
-        total.alias("total_hits"),
-        difficulty(f["B1"], f["B3"], f["B4"]).alias("difficulty"),
-        buckets_present(f["B1"], f["B3"], f["B4"]).alias("buckets_present"),
-    )
+    total_hits, difficulty, buckets_present), the record form of the score.
+
+    One regex pass: the match list of the keyword alternation (see
+    :func:`keyword_columns`) is folded into an array of 31 counts, and the
+    fold's finishing step builds the whole struct from that array."""
+    kws = [(b, kw) for b, ks in BUCKETS.items() for kw in ks]
+    ordered = [k for _, k in kws if " " in k] + [k for _, k in kws if " " not in k]
+    alt = "|".join(re.escape(k).replace("\\ ", " ") for k in ordered)
+    hits = F.regexp_extract_all(clean_sql(sql), F.lit(r"\b(" + alt + r")\b"), 1)
+    names = F.array(*[F.lit(k) for _, k in kws])
+    zero = F.array(*[F.lit(0).cast("bigint") for _ in kws])
+    join_pos = [i for i, (_, k) in enumerate(kws) if k == "JOIN"][0]
+    two_word_joins = [i for i, (_, k) in enumerate(kws) if " " in k and k.endswith(" JOIN")]
+
+    def add(acc, x):
+        return F.transform(acc, lambda c, i: c + F.when(F.element_at(names, i + 1) == x, 1).otherwise(0))
+
+    def finish(acc):
+        def cnt(i):
+            c = F.element_at(acc, i + 1)
+            if i == join_pos:  # quirk Q4: a two-word JOIN also counts as JOIN
+                for j in two_word_joins:
+                    c = c + F.element_at(acc, j + 1)
+            return c
+        per = {b: [(kw, cnt(i)) for i, (bb, kw) in enumerate(kws) if bb == b] for b in BUCKETS}
+        f = {}
+        for b, items in per.items():
+            tot = items[0][1]
+            for _, c in items[1:]:
+                tot = tot + c
+            f[b] = tot
+        total = f["B1"] + f["B3"] + f["B4"]
+        hits_map = {b: F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k, _ in items]),
+                                                      F.array(*[c for _, c in items])), lambda k, v: v > 0)
+                    for b, items in per.items()}
+        names_b = list(BUCKETS)
+        return F.struct(
+            reward(f["B1"], f["B3"], f["B4"]).alias("reward"),
+            F.create_map(*[x for b in names_b for x in (F.lit(b), hits_map[b])]).alias("bucket_hits"),
+            F.create_map(*[x for b in names_b for x in (F.lit(b), f[b])]).alias("bucket_freq"),
+            F.create_map(*[x for b in names_b for x in (F.lit(b), bucket_share(f[b], total))]).alias("bucket_score"),
+            total.alias("total_hits"),
+            difficulty(f["B1"], f["B3"], f["B4"]).alias("difficulty"),
+            buckets_present(f["B1"], f["B3"], f["B4"]).alias("buckets_present"),
+        )
+
+    return F.aggregate(hits, zero, add, finish)

@@ -185,7 +185,8 @@ def hashing_encoder(num_features: int = 1024):
     from pyspark.ml.functions import vector_to_array
 
     def encode(df: DataFrame, text_col: str, out_col: str = "embedding") -> DataFrame:
-        tok = RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"\W+", toLowercase=True)
+        # Unicode-aware word split: accented letters stay inside their words
+        tok = RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"(?U)\W+", toLowercase=True)
         tf = HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=num_features)
         norm = Normalizer(inputCol="__tf", outputCol="__n", p=2.0)
         out = norm.transform(tf.transform(tok.transform(df)))

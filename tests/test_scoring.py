@@ -85,3 +85,20 @@ def test_forbidden_and_missing(spark):
                   S.missing_buckets(F.col("buckets_present"), F.col("target")).alias("m")).collect()
     assert r[0].f == ["COUNT", "GROUP BY"] and r[0].fc == ["COUNT"]
     assert r[1].m == ["B3", "B4"]
+
+
+def test_reward_struct_equals_columns(spark):
+    from qcorpus.plans import fixtures
+    from tests.conftest import SF_SMALL
+    c = fixtures.load(spark, SF_SMALL, "sql_corpus")
+    a = S.score_columns(c).select("question_id", "b1", "b3", "b4", "total_hits", "difficulty",
+                                  F.round("reward", 9).alias("reward"))
+    r = c.select("question_id", S.reward_struct("sql").alias("r"))
+    b = r.select("question_id", F.col("r.bucket_freq")["B1"].alias("b1"), F.col("r.bucket_freq")["B3"].alias("b3"),
+                 F.col("r.bucket_freq")["B4"].alias("b4"), F.col("r.total_hits").alias("total_hits"),
+                 F.col("r.difficulty").alias("difficulty"), F.round("r.reward", 9).alias("reward"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    one = spark.createDataFrame([("SELECT a FROM t INNER JOIN u ON a = b",)], "s string") \
+        .select(S.reward_struct("s").alias("r")).first().r
+    # the one JOIN word counts for JOIN and for INNER JOIN (quirk Q4)
+    assert dict(one.bucket_hits["B1"]) == {"SELECT": 1, "FROM": 1, "JOIN": 1, "ON": 1, "INNER JOIN": 1}
