@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: separator between a predicted SQL and its database id in the
+# file the external execution-accuracy scorer reads.
+PREDICTION_TAG = "\t----- bird -----\t"
+
 
 def _col(c):
     return F.col(c) if isinstance(c, str) else c
@@ -58,4 +62,4 @@ def accuracy_band(accuracy_pct: Column | str) -> Column:
 
 def tag_prediction(sql: Column | str, db_id: Column | str) -> Column:
     """``sql<TAB>----- bird -----<TAB>db_id`` for the external scorer."""
-    return F.concat(_col(sql), F.lit("\t----- bird -----\t"), _col(db_id))
+    return F.concat(_col(sql), F.lit(PREDICTION_TAG), _col(db_id))
