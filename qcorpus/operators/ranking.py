@@ -5,7 +5,8 @@ single task; with a handful of classes and one class holding a third of all
 rows that task is the whole job.  :func:`bucketed_row_number` gives the same
 numbers but never puts more than ``bucket_width`` rows in one window group:
 
-1. split the order key into ranges ``bucket = floor(k / bucket_width)``;
+1. split the order key into ranges ``bucket = floor((k - origin) / width)``,
+   the width sized from the key's min/max/count unless given;
 2. number rows inside ``(g, bucket)`` (bounded window groups);
 3. count rows per ``(g, bucket)`` -- a small table, one row per bucket --
    and turn it into offsets with a running sum over the buckets of ``g``;
@@ -21,16 +22,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_WIDTH = 1 << 20
+TARGET_ROWS_PER_BUCKET = 1 << 20
+
+
+def _adaptive_width(df: DataFrame, order_col: str, target_rows: int) -> tuple[int, int]:
+    """(origin, width) of key ranges holding about ``target_rows`` rows each
+    on average, from one aggregate (min, max, count) of the key: sparse keys
+    (e.g. hashed ids) get wide ranges, so the offsets table stays small."""
+    r = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if r["n"] == 0 or r["lo"] is None:
+        return 0, 1
+    lo, hi, n = int(r["lo"]), int(r["hi"]), int(r["n"])
+    buckets = max(1, -(-n // target_rows))
+    return lo, max(1, -(-(hi - lo + 1) // buckets))
 
 
 def bucketed_row_number(df: DataFrame, partition_cols: list[str], order_col: str,
-                        out_col: str = "row_number",
-                        bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                        out_col: str = "row_number", bucket_width: int | None = None,
+                        target_rows: int = TARGET_ROWS_PER_BUCKET) -> DataFrame:
     """``df`` plus ``out_col`` = 1-based position of the row inside its
-    partition group in ascending ``order_col``."""
+    partition group in ascending ``order_col``.  Without ``bucket_width`` the
+    key ranges are sized from the key's min/max/count (about ``target_rows``
+    rows per range on average)."""
     b = "__bucket"
-    keyed = df.withColumn(b, F.floor(F.col(order_col) / F.lit(bucket_width)).cast("bigint"))
+    origin = 0
+    if bucket_width is None:
+        origin, bucket_width = _adaptive_width(df, order_col, target_rows)
+    keyed = df.withColumn(b, F.floor((F.col(order_col) - F.lit(origin)) / F.lit(bucket_width)).cast("bigint"))
     local = Window.partitionBy(*partition_cols, b).orderBy(order_col)
     counts = keyed.groupBy(*partition_cols, b).agg(F.count(F.lit(1)).alias("__n"))
     keyed = keyed.withColumn("__local_rn", F.row_number().over(local))
@@ -42,7 +60,7 @@ def bucketed_row_number(df: DataFrame, partition_cols: list[str], order_col: str
 
 
 def global_row_number(df: DataFrame, order_col: str, out_col: str = "row_number",
-                      bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                      bucket_width: int | None = None) -> DataFrame:
     """Sequential 1-based id over the whole DataFrame in ``order_col`` order,
     without a single-partition window."""
     return bucketed_row_number(df.withColumn("__all", F.lit(0)), ["__all"], order_col,

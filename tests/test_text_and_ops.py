@@ -210,3 +210,12 @@ def test_rouge_stemming_matches(spark):
     r = df.select(EV.rouge_l("p", "g").alias("r"), EV.rouge_l("p", "g", stem=False).alias("n")).first()
     assert abs(r.r.p - 1.0) < 1e-9 and abs(r.r.r - 2 / 3) < 1e-9   # count student | count the student
     assert r.n.f1 == 0.0
+
+
+def test_bucketed_row_number_sparse_keys(spark):
+    df = spark.range(0, 1000).select((F.col("id") * (1 << 40) + 7).alias("k"), (F.col("id") % 2).alias("g"))
+    origin, width = R._adaptive_width(df, "k", 100)
+    assert origin == 7 and -(-((999 << 40) + 1) // width) <= 10   # about 10 ranges, not one per key
+    mine = R.bucketed_row_number(df, ["g"], "k", "rn", target_rows=100)
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")).cast("bigint"))
+    assert mine.select("g", "k", "rn").exceptAll(ref).count() == 0
