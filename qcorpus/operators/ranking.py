@@ -37,18 +37,42 @@ def _adaptive_width(df: DataFrame, order_col: str, target_rows: int) -> tuple[in
     return lo, max(1, -(-(hi - lo + 1) // buckets))
 
 
+def _quantile_buckets(df: DataFrame, order_col: str, target_rows: int, out: str) -> DataFrame:
+    """Bucket = rank of the key among approximate quantiles of the key (one
+    ``percentile_approx`` pass; the boundaries, one per ``target_rows`` rows,
+    are metadata-sized), assigned by binary search (``Bucketizer``).  The
+    assignment is monotone in the key, which is all exact numbering needs."""
+    from pyspark.ml.feature import Bucketizer
+    n = df.select(F.count(F.lit(1))).first()[0]
+    nb = max(1, -(-n // target_rows))
+    kd = F.col(order_col).cast("double")
+    if nb == 1:
+        return df.withColumn(out, F.lit(0).cast("bigint"))
+    probs = [i / nb for i in range(1, nb)]
+    qs = df.select(F.percentile_approx(kd, probs, max(10_000, 4 * nb)).alias("q")).first()["q"] or []
+    splits = [float("-inf")] + sorted(set(float(x) for x in qs)) + [float("inf")]
+    keyed = df.withColumn("__kd", kd)
+    return Bucketizer(splits=splits, inputCol="__kd", outputCol="__bd").transform(keyed) \
+        .withColumn(out, F.col("__bd").cast("bigint")).drop("__kd", "__bd")
+
+
 def bucketed_row_number(df: DataFrame, partition_cols: list[str], order_col: str,
                         out_col: str = "row_number", bucket_width: int | None = None,
-                        target_rows: int = TARGET_ROWS_PER_BUCKET) -> DataFrame:
+                        target_rows: int = TARGET_ROWS_PER_BUCKET, method: str = "width") -> DataFrame:
     """``df`` plus ``out_col`` = 1-based position of the row inside its
-    partition group in ascending ``order_col``.  Without ``bucket_width`` the
-    key ranges are sized from the key's min/max/count (about ``target_rows``
-    rows per range on average)."""
+    partition group in ascending ``order_col``.  Key ranges: ``bucket_width``
+    when given; else ``method="width"`` sizes equal-width ranges from the
+    key's min/max/count, ``method="quantiles"`` uses approximate quantiles
+    (balanced ranges for any key distribution, one more pass); about
+    ``target_rows`` rows per range."""
     b = "__bucket"
-    origin = 0
-    if bucket_width is None:
-        origin, bucket_width = _adaptive_width(df, order_col, target_rows)
-    keyed = df.withColumn(b, F.floor((F.col(order_col) - F.lit(origin)) / F.lit(bucket_width)).cast("bigint"))
+    if bucket_width is None and method == "quantiles":
+        keyed = _quantile_buckets(df, order_col, target_rows, b)
+    else:
+        origin = 0
+        if bucket_width is None:
+            origin, bucket_width = _adaptive_width(df, order_col, target_rows)
+        keyed = df.withColumn(b, F.floor((F.col(order_col) - F.lit(origin)) / F.lit(bucket_width)).cast("bigint"))
     local = Window.partitionBy(*partition_cols, b).orderBy(order_col)
     counts = keyed.groupBy(*partition_cols, b).agg(F.count(F.lit(1)).alias("__n"))
     keyed = keyed.withColumn("__local_rn", F.row_number().over(local))

@@ -219,3 +219,13 @@ def test_bucketed_row_number_sparse_keys(spark):
     mine = R.bucketed_row_number(df, ["g"], "k", "rn", target_rows=100)
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")).cast("bigint"))
     assert mine.select("g", "k", "rn").exceptAll(ref.select("g", "k", "rn")).count() == 0
+
+
+def test_bucketed_row_number_quantiles_on_packed_keys(spark):
+    # 90 % of the keys packed into a narrow range, the rest spread far out
+    df = spark.range(0, 2000).select(
+        F.when(F.col("id") < 1800, F.col("id")).otherwise(F.col("id") * (1 << 30)).alias("k"),
+        (F.col("id") % 3).alias("g"))
+    mine = R.bucketed_row_number(df, ["g"], "k", "rn", target_rows=100, method="quantiles")
+    ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")).cast("bigint"))
+    assert mine.select("g", "k", "rn").exceptAll(ref.select("g", "k", "rn")).count() == 0
