@@ -102,3 +102,12 @@ def test_reward_struct_equals_columns(spark):
         .select(S.reward_struct("s").alias("r")).first().r
     # the one JOIN word counts for JOIN and for INNER JOIN (quirk Q4)
     assert dict(one.bucket_hits["B1"]) == {"SELECT": 1, "FROM": 1, "JOIN": 1, "ON": 1, "INNER JOIN": 1}
+
+
+def test_bucket_shares_sum_to_one(spark):
+    from qcorpus.plans import fixtures
+    from tests.conftest import SF_SMALL
+    r = fixtures.load(spark, SF_SMALL, "sql_corpus").select(S.reward_struct("sql").alias("r"))
+    rows = r.select(F.col("r.total_hits").alias("t"),
+                    F.aggregate(F.map_values("r.bucket_score"), F.lit(0.0), lambda a, x: a + x).alias("s")).collect()
+    assert all(abs(x.s - 1.0) < 1e-12 if x.t > 0 else x.s == 0.0 for x in rows)
