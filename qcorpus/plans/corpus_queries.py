@@ -294,3 +294,12 @@ select *, passed_quality_check as final_indexed,
 from f""")
 def build_summary(spark, sf_dir):
     return C.build_summary(fixtures.load(spark, sf_dir, "sql_corpus"), fixtures.load(spark, sf_dir, "vectors"))
+
+
+@register("first_records", "F3", sql=f"""
+with sql_corpus as ({fixtures.SQL_CORPUS_SQL})
+select question_id, db_id, sql from sql_corpus order by question_id limit 20""")
+def first_records(spark, sf_dir):
+    """the first 20 corpus records for a smoke run (the limit is the feature)."""
+    c = fixtures.load(spark, sf_dir, "sql_corpus").select("question_id", "db_id", "sql")
+    return C.first_records(c, 20, "question_id")
