@@ -40,14 +40,18 @@ def random_walks(starts: DataFrame, tables: DataFrame, edges: DataFrame, walk_co
     move k picks ``nbrs[(walk*7919 + k*104729 + 42) mod len]``; no neighbour
     stops the walk; a revisited table moves the walker but is not appended.
     Walks shorter than ``min_length`` are dropped."""
+    from qcorpus.session import cut_lineage
     w = F.col(walk_col)
-    tl = table_lists(tables)
+    # the per-database table lists and per-table neighbour lists are
+    # dimension-sized and read by every step: materialised once, so the walk
+    # plan holds only the corpus-sized joins (broadcast when small)
+    tl = cut_lineage(table_lists(tables))
+    nb = cut_lineage(neighbour_lists(edges))
     walks = starts.select(walk_col, "db_id").join(tl, "db_id", "inner")
     first = F.element_at("tables", (F.pmod(w * START_MUL, F.size("tables")) + 1).cast("int"))
     walks = walks.select(walk_col, "db_id", first.alias("curr"), F.array(first).alias("path"),
                          (F.lit(DEPTHS[0]) + F.pmod(w, F.lit(len(DEPTHS)))).alias("depth"),
                          F.lit(False).alias("stopped"))
-    nb = neighbour_lists(edges)
     for k in range(1, max(DEPTHS)):
         j = walks.join(nb, ["db_id", "curr"], "left")
         active = (F.lit(k) <= F.col("depth") - 1) & ~F.col("stopped")
