@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qcorpus.functions import scoring as S
 from qcorpus.operators import evaluate as EV
 from qcorpus.operators import trials as TR
 from qcorpus.operators import vectors as V
