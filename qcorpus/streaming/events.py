@@ -127,3 +127,20 @@ def assemble_tokens_stateful(tokens: DataFrame, timeout: str | None = None,
 def score_stream(records: DataFrame, sql_col: str = "sql") -> DataFrame:
     """H4: B1-B6 on arriving SQL records (a stateless projection)."""
     return S.score_columns(records, sql_col).drop("sql_clean")
+
+
+def run_progress(spark: SparkSession, log_dir: str, out_dir: str, checkpoint_location: str,
+                 interval: str = "5 seconds", watermark: str = "10 minutes", trigger: str | None = "5 seconds",
+                 schema: str = EVENT_SCHEMA):
+    """H1 + H2 as a running job: tail ``log_dir``, count events per type and
+    tumbling window with a watermark, and append each closed window to a
+    JSON sink.  ``trigger`` is a processing-time interval; ``None`` runs
+    ``availableNow`` (process what is there, then stop).  The checkpoint
+    location must be on shared storage.  Returns the StreamingQuery."""
+    counts = stream_progress(stream_events(spark, log_dir, schema), interval, watermark)
+    out = counts.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                        "event", "count")
+    w = out.writeStream.outputMode("append").format("json").option("path", out_dir) \
+        .option("checkpointLocation", checkpoint_location)
+    w = w.trigger(processingTime=trigger) if trigger else w.trigger(availableNow=True)
+    return w.start()

@@ -346,3 +346,17 @@ def test_progress_append_mode_drops_late_rows(spark, tmpdir_path):
     got = {(r.window.start.strftime("%H:%M"), r["count"]) for r in spark.table("late_t").collect()}
     # windows closed by the watermark (03:00 - 30 min) are emitted once; the late row is not counted
     assert got == {("00:00", 2), ("01:00", 1)}
+
+
+def test_run_progress_file_sink(spark, tmpdir_path):
+    log = os.path.join(tmpdir_path, "plog")
+    for rows in ([("a", "2024-01-01 00:10:00"), ("b", "2024-01-01 00:20:00")], [("a", "2024-01-01 02:00:00")]):
+        spark.createDataFrame(rows, "event string, ts string") \
+            .select("event", F.to_timestamp("ts").alias("timestamp")).coalesce(1).write.mode("append").json(log)
+        time.sleep(1.1)
+    q = ST.run_progress(spark, log, os.path.join(tmpdir_path, "pout"), os.path.join(tmpdir_path, "pck"),
+                        interval="1 hour", watermark="30 minutes", trigger=None,
+                        schema="event STRING, timestamp TIMESTAMP")
+    q.awaitTermination(120)
+    got = {(r.event, r["count"]) for r in spark.read.json(os.path.join(tmpdir_path, "pout")).collect()}
+    assert got == {("a", 1), ("b", 1)}  # the 00:00 window closed; 02:00 still open
