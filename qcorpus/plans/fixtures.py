@@ -49,7 +49,7 @@ def sql_corpus(orders: DataFrame) -> DataFrame:
               .otherwise("valid_quality"))
     return orders.select(
         key.alias("question_id"),
-        F.concat(F.lit("db_"), _s(cust % 25)).alias("db_id"),
+        F.concat(F.lit("db_"), _s(F.floor(cust / 10))).alias("db_id"),
         F.concat(F.lit("What is recorded for order "), _s(key), F.lit("?")).alias("question"),
         sql.alias("sql"),
         status.alias("status"),
@@ -59,7 +59,7 @@ def sql_corpus(orders: DataFrame) -> DataFrame:
 
 SQL_CORPUS_SQL = """
 select o_orderkey as question_id,
-  concat('db_', cast(o_custkey % 25 as varchar)) as db_id,
+  concat('db_', cast(o_custkey // 10 as varchar)) as db_id,
   concat('What is recorded for order ', cast(o_orderkey as varchar), '?') as question,
   case o_orderkey % 8
     when 0 then concat('SELECT o_totalprice FROM orders WHERE o_orderkey = ', cast(o_orderkey as varchar))
@@ -184,7 +184,8 @@ from orders
 
 
 # ---------------------------------------------------------------------------
-# catalog: one database per corpus db_id, each holding the given tables
+# catalog: one database per corpus db_id (one per ten customers, so the
+# catalog grows with the data), each holding the given tables
 # ---------------------------------------------------------------------------
 
 # The tables of a database, their columns in order, primary keys
@@ -251,7 +252,7 @@ def catalog(orders: DataFrame) -> DataFrame:
     (``db_id, table_names_original, column_names_original, primary_keys,
     foreign_keys``) -- the form ``sources.catalog.read_catalog`` reads."""
     t = catalog_template()
-    dbs = orders.select(F.concat(F.lit("db_"), _s(F.col("o_custkey") % 25)).alias("db_id")).distinct()
+    dbs = orders.select(F.concat(F.lit("db_"), _s(F.floor(F.col("o_custkey") / 10))).alias("db_id")).distinct()
     return dbs.select(
         "db_id",
         F.array(*[F.lit(x) for x in t["table_names_original"]]).alias("table_names_original"),
@@ -273,7 +274,7 @@ def catalog_sql_ctes() -> str:
         idxs = [int(x) for x in pk.strip("[]").split(",")]
         pk_rows += [f"({i}, {j}, {x})" for j, x in enumerate(idxs)]
     return f"""
-cat_db as (select distinct concat('db_', cast(o_custkey % 25 as varchar)) as db_id from orders),
+cat_db as (select distinct concat('db_', cast(o_custkey // 10 as varchar)) as db_id from orders),
 cat_t(table_idx, table_name) as (values {tables}),
 cat_c(col_idx, table_idx, column_name) as (values {cols}),
 cat_f(fk_pos, src_col_idx, tgt_col_idx) as (values {fks}),

@@ -41,8 +41,9 @@ select doc_id, md5(masked) as masked_md5, cast(len(parts) - 1 as bigint) as n_ma
         then concat(p, coalesce(fl[i], '[MASK]')) else p end), '')) as filled_md5
 from f, fills""")
 def mask_and_fill(spark, sf_dir):
+    # documents are spread over the first 15 databases (present at every scale)
     mo = fixtures.load(spark, sf_dir, "model_outputs").withColumn(
-        "db_id", F.concat(F.lit("db_"), (F.col("doc_id") % 25).cast("string")))
+        "db_id", F.concat(F.lit("db_"), (F.col("doc_id") % 15).cast("string")))
     from qcorpus.plans.catalog_queries import catalog
     named = K.named_columns(catalog(spark, sf_dir))
     names = named.groupBy("db_id").agg(F.collect_list(F.concat_ws(".", "table_name", "column_name")).alias("names"))
