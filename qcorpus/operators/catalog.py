@@ -107,7 +107,9 @@ def schema_text(cat: Catalog) -> DataFrame:
 def attach_schema(items: DataFrame, schemas: DataFrame, db_col: str = "db_id") -> DataFrame:
     """Each item with its database's schema text (``""`` and
     ``has_schema = false`` for unknown databases)."""
-    j = items.join(schemas.withColumnRenamed("db_id", db_col).withColumn("__known", F.lit(True)), db_col, "left")
+    from qcorpus.session import broadcast_if_small
+    side = schemas.withColumnRenamed("db_id", db_col).withColumn("__known", F.lit(True))
+    j = items.join(broadcast_if_small(side), db_col, "left")
     return j.withColumn("has_schema", F.coalesce("__known", F.lit(False))) \
             .withColumn("schema_text", F.coalesce("schema_text", F.lit(""))).drop("__known")
 

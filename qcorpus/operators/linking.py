@@ -29,13 +29,17 @@ def link_schema(texts: DataFrame, columns: DataFrame, id_col: str = "question_id
     test (quirk Q14; ``whole_word=True`` for word boundaries).  With
     ``star``, a ``(table, "*")`` row is added for every table named in a
     text that contains ``*``.  ``columns`` has db_id, table_name, column_name."""
+    from qcorpus.session import broadcast_if_small
     t = texts.select(id_col, "db_id", F.col(text_col).alias("__text"))
     text = F.col("__text")
     # step 1: tables named in the text (expansion = tables per database);
-    # step 2: only the columns of those tables (expansion = their columns)
-    tables = columns.select("db_id", "table_name").distinct()
+    # step 2: only the columns of those tables (expansion = their columns).
+    # The catalog sides are broadcast after a size check, so the statements
+    # stream through both joins without a shuffle (a small corpus would
+    # otherwise be broadcast itself and the column join sort-merged)
+    tables = broadcast_if_small(columns.select("db_id", "table_name").distinct())
     named_tables = t.join(tables, "db_id", "inner").filter(_contains(text, F.col("table_name"), whole_word))
-    cols = columns.select("db_id", "table_name", "column_name")
+    cols = broadcast_if_small(columns.select("db_id", "table_name", "column_name"))
     linked = named_tables.join(cols, ["db_id", "table_name"], "inner") \
         .filter(_contains(text, F.col("column_name"), whole_word)) \
         .select(id_col, F.col("table_name").alias("table"), F.col("column_name").alias("column")).distinct()
@@ -63,9 +67,11 @@ def column_meaning_block(links: DataFrame, meanings: DataFrame, order: DataFrame
     order, each line ending in a newline.  ``meanings`` has db_id, table,
     column, meaning; ``order`` has db_id, table, column, col_idx; ``links``
     carries db_id."""
+    from qcorpus.session import broadcast_if_small
     m = meanings.withColumn("meaning", F.regexp_replace("meaning", "^#", "")) \
                 .filter(F.coalesce(F.col("meaning"), F.lit("")) != "")
-    j = links.join(m, ["db_id", "table", "column"], "inner").join(order, ["db_id", "table", "column"], "inner")
+    dim = m.join(order, ["db_id", "table", "column"], "inner")  # catalog-sized
+    j = links.join(broadcast_if_small(dim), ["db_id", "table", "column"], "inner")
     line = F.concat(F.lit("# "), quote_ident(F.col("table")), F.lit("."), quote_ident(F.col("column")),
                     F.lit(": "), F.col("meaning"), F.lit("\n"))
     return j.groupBy(id_col).agg(
@@ -81,8 +87,10 @@ def highlighted_schema(links: DataFrame, named_columns: DataFrame, fk_map: DataF
     dict text ``{'t.c': 't.c', ...}`` of keys whose source column is linked
     (``{}`` when none).  ``links`` carries db_id; groups are per id and
     bounded by the width of its database."""
-    j = links.join(named_columns.select("db_id", F.col("table_name").alias("table"),
-                                        F.col("column_name").alias("column"), "col_idx", "table_idx"),
+    from qcorpus.session import broadcast_if_small
+    j = links.join(broadcast_if_small(named_columns.select("db_id", F.col("table_name").alias("table"),
+                                                           F.col("column_name").alias("column"), "col_idx",
+                                                           "table_idx")),
                    ["db_id", "table", "column"], "inner")
     entry = F.concat(quote_ident(F.col("table")), F.lit("."), quote_ident(F.col("column")))
     per_table = j.groupBy(id_col, "table_idx", "table").agg(
@@ -93,7 +101,7 @@ def highlighted_schema(links: DataFrame, named_columns: DataFrame, fk_map: DataF
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("table_idx", block.alias("b")))),
                                  lambda x: x["b"]), "\n\n").alias("highlighted_schema"))
     fks = links.select(id_col, "db_id", F.concat_ws(".", "table", "column").alias("src")) \
-               .join(fk_map, ["db_id", "src"], "inner") \
+               .join(broadcast_if_small(fk_map), ["db_id", "src"], "inner") \
                .groupBy(id_col).agg(F.sort_array(F.collect_list(
                    F.concat(F.lit("'"), F.col("src"), F.lit("': '"), F.col("tgt"), F.lit("'")))).alias("__e"))
     ids = links.select(id_col).distinct()

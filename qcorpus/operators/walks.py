@@ -40,13 +40,13 @@ def random_walks(starts: DataFrame, tables: DataFrame, edges: DataFrame, walk_co
     move k picks ``nbrs[(walk*7919 + k*104729 + 42) mod len]``; no neighbour
     stops the walk; a revisited table moves the walker but is not appended.
     Walks shorter than ``min_length`` are dropped."""
-    from qcorpus.session import cut_lineage
+    from qcorpus.session import broadcast_if_small, cut_lineage
     w = F.col(walk_col)
     # the per-database table lists and per-table neighbour lists are
-    # dimension-sized and read by every step: materialised once, so the walk
-    # plan holds only the corpus-sized joins (broadcast when small)
-    tl = cut_lineage(table_lists(tables))
-    nb = cut_lineage(neighbour_lists(edges))
+    # dimension-sized and read by every step: materialised once and
+    # broadcast after a size check, so the walks stream through every step
+    tl = broadcast_if_small(cut_lineage(table_lists(tables)))
+    nb = broadcast_if_small(cut_lineage(neighbour_lists(edges)))
     walks = starts.select(walk_col, "db_id").join(tl, "db_id", "inner")
     first = F.element_at("tables", (F.pmod(w * START_MUL, F.size("tables")) + 1).cast("int"))
     walks = walks.select(walk_col, "db_id", first.alias("curr"), F.array(first).alias("path"),
@@ -108,9 +108,10 @@ def pack_budget(walks: DataFrame, table_desc: DataFrame, walk_col: str = "walk_i
     Each database's table texts become one map (a dimension-sized row per
     database, joined onto the walks by ``db_id``); the budget is then a fold
     over the walk's own path, so the walks are never exploded or shuffled."""
+    from qcorpus.session import broadcast_if_small
     maps = table_desc.groupBy("db_id").agg(
         F.map_from_entries(F.collect_list(F.struct("table_name", "schema_str"))).alias("__descs"))
-    j = walks.join(maps, "db_id", "left")
+    j = walks.join(broadcast_if_small(maps), "db_id", "left")
     texts = F.filter(F.transform("path", lambda t: F.element_at(F.col("__descs"), t)), lambda x: x.isNotNull())
     init = F.struct(F.lit(0).alias("chars"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("stop"))
 
