@@ -1,8 +1,8 @@
 """Random walks over foreign-key edges and prompt budgets.
 
-A walk is a row; each step is one equi-join of the walks table with the
-per-table neighbour lists (dimension-sized), so ``depth - 1`` joins make
-every walk, with no iteration on the driver over rows.  The random choice
+A walk is a row; it meets its database's row (table list and neighbour
+map, dimension-sized) in one join, and each move is an expression over that
+map, with no iteration on the driver over rows.  The random choice
 is an arithmetic function of the walk id and step, so results do not depend
 on partitioning and can be repeated by any engine.
 """
@@ -32,6 +32,14 @@ def table_lists(tables: DataFrame) -> DataFrame:
                     lambda x: x["table_name"]).alias("tables"))
 
 
+def database_walk_info(tables: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per database: its tables in catalog order and a map from
+    each table to its sorted neighbour list (dimension-sized)."""
+    nb = neighbour_lists(edges).groupBy("db_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("curr", "nbrs"))).alias("nbr_map"))
+    return table_lists(tables).join(nb, "db_id", "left")
+
+
 def random_walks(starts: DataFrame, tables: DataFrame, edges: DataFrame, walk_col: str = "walk_id",
                  min_length: int = 2) -> DataFrame:
     """C11: one walk per row of ``starts`` (walk id, db_id).
@@ -39,33 +47,36 @@ def random_walks(starts: DataFrame, tables: DataFrame, edges: DataFrame, walk_co
     Start table ``tables[walk*31 mod n]``; target depth ``2 + walk mod 3``;
     move k picks ``nbrs[(walk*7919 + k*104729 + 42) mod len]``; no neighbour
     stops the walk; a revisited table moves the walker but is not appended.
-    Walks shorter than ``min_length`` are dropped."""
+    Walks shorter than ``min_length`` are dropped.
+
+    Each walk meets its database's row once (table list + neighbour map,
+    materialised and broadcast after a size check); the moves are then plain
+    expressions over that map, so the walks table is joined once and never
+    shuffled."""
     from qcorpus.session import broadcast_if_small, cut_lineage
     w = F.col(walk_col)
-    # the per-database table lists and per-table neighbour lists are
-    # dimension-sized and read by every step: materialised once and
-    # broadcast after a size check, so the walks stream through every step
-    tl = broadcast_if_small(cut_lineage(table_lists(tables)))
-    nb = broadcast_if_small(cut_lineage(neighbour_lists(edges)))
-    walks = starts.select(walk_col, "db_id").join(tl, "db_id", "inner")
+    info = broadcast_if_small(cut_lineage(database_walk_info(tables, edges)))
+    walks = starts.select(walk_col, "db_id").join(info, "db_id", "inner")
     first = F.element_at("tables", (F.pmod(w * START_MUL, F.size("tables")) + 1).cast("int"))
-    walks = walks.select(walk_col, "db_id", first.alias("curr"), F.array(first).alias("path"),
-                         (F.lit(DEPTHS[0]) + F.pmod(w, F.lit(len(DEPTHS)))).alias("depth"),
-                         F.lit(False).alias("stopped"))
-    for k in range(1, max(DEPTHS)):
-        j = walks.join(nb, ["db_id", "curr"], "left")
-        active = (F.lit(k) <= F.col("depth") - 1) & ~F.col("stopped")
-        has = F.coalesce(F.size("nbrs"), F.lit(0)) > 0
-        pick = F.element_at("nbrs", (F.pmod(w * MOVE_MUL + F.lit(k * STEP_MUL + SEED), F.size("nbrs")) + 1).cast("int"))
-        walks = j.select(
-            walk_col, "db_id",
-            F.when(active & has, pick).otherwise(F.col("curr")).alias("curr"),
-            F.when(active & has & ~F.array_contains("path", pick), F.array_append("path", pick))
-             .otherwise(F.col("path")).alias("path"),
-            "depth",
-            (F.col("stopped") | (active & ~has)).alias("stopped"),
-        )
-    return walks.filter(F.size("path") >= min_length).select(walk_col, "db_id", "path", "depth")
+    depth = F.lit(DEPTHS[0]) + F.pmod(w, F.lit(len(DEPTHS)))
+    init = F.struct(first.alias("curr"), F.array(first).alias("path"), F.lit(False).alias("stopped"))
+
+    def move(acc, k):
+        # the walker state is a lambda variable: each move reads it once,
+        # so chaining moves does not grow the expression
+        nbrs = F.element_at(F.col("nbr_map"), acc["curr"])
+        active = (k <= depth - 1) & ~acc["stopped"]
+        has = F.coalesce(F.size(nbrs), F.lit(0)) > 0
+        pick = F.element_at(nbrs, (F.pmod(w * MOVE_MUL + k * STEP_MUL + SEED, F.size(nbrs)) + 1).cast("int"))
+        return F.struct(
+            F.when(active & has, pick).otherwise(acc["curr"]).alias("curr"),
+            F.when(active & has & ~F.array_contains(acc["path"], pick), F.array_append(acc["path"], pick))
+             .otherwise(acc["path"]).alias("path"),
+            (acc["stopped"] | (active & ~has)).alias("stopped"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(DEPTHS) - 1))
+    walked = walks.select(walk_col, "db_id", depth.alias("depth"), F.aggregate(steps, init, move)["path"].alias("path"))
+    return walked.filter(F.size("path") >= min_length).select(walk_col, "db_id", "path", "depth")
 
 
 def assign_round_robin(items: DataFrame, order_col: str, dbs: DataFrame, out_col: str = "assigned_db") -> DataFrame:
