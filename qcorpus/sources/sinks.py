@@ -82,3 +82,18 @@ def write_vectors(vectors: DataFrame, path: str, id_col: str = "id") -> int:
 def write_summary(summary: DataFrame, path: str) -> None:
     """A one-row summary as a single JSON document."""
     summary.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_split_single_pass(df: DataFrame, path: str, status_col: str = "status",
+                            valid_status: str = "validated") -> dict[str, int]:
+    """A7 in one pass over the input: a single JSONL write partitioned by
+    ``split=valid|rejected`` (so the input is computed once, not once per
+    sink), with both counts observed during that write."""
+    from pyspark.sql import Observation
+    ok = F.coalesce(F.col(status_col) == valid_status, F.lit(False))
+    obs = Observation("split")
+    out = df.withColumn("split", F.when(ok, "valid").otherwise("rejected")) \
+            .observe(obs, F.count_if(ok).alias("valid"), F.count_if(~ok).alias("rejected"))
+    out.write.mode("overwrite").partitionBy("split").json(path)
+    m = obs.get
+    return {"valid": m["valid"], "rejected": m["rejected"]}

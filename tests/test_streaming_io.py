@@ -360,3 +360,11 @@ def test_run_progress_file_sink(spark, tmpdir_path):
     q.awaitTermination(120)
     got = {(r.event, r["count"]) for r in spark.read.json(os.path.join(tmpdir_path, "pout")).collect()}
     assert got == {("a", 1), ("b", 1)}  # the 00:00 window closed; 02:00 still open
+
+
+def test_write_split_single_pass(spark, tmpdir_path):
+    df = spark.createDataFrame([(1, "validated"), (2, "rejected"), (3, None)], "id int, status string")
+    counts = SK.write_split_single_pass(df, os.path.join(tmpdir_path, "split"))
+    assert counts == {"valid": 1, "rejected": 2}
+    back = spark.read.json(os.path.join(tmpdir_path, "split"))
+    assert {(r.id, r.split) for r in back.collect()} == {(1, "valid"), (2, "rejected"), (3, "rejected")}
