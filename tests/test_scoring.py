@@ -111,3 +111,17 @@ def test_bucket_shares_sum_to_one(spark):
     rows = r.select(F.col("r.total_hits").alias("t"),
                     F.aggregate(F.map_values("r.bucket_score"), F.lit(0.0), lambda a, x: a + x).alias("s")).collect()
     assert all(abs(x.s - 1.0) < 1e-12 if x.t > 0 else x.s == 0.0 for x in rows)
+
+
+def test_fixture_table_per_template(spark):
+    """FIXTURES.md: expected (B1, B3, B4, reward, class) per question_id % 8."""
+    from qcorpus.plans import fixtures
+    from tests.conftest import SF_SMALL
+    expected = {0: (3, 0, 0, 3.0, "simple"), 1: (3, 1, 0, 2.5, "conditional"), 2: (3, 0, 1, 2.5, "aggregation"),
+                3: (8, 2, 2, 6.0, "complex"), 4: (4, 0, 1, 3.4, "aggregation"), 5: (3, 0, 0, 3.0, "simple"),
+                6: (0, 0, 0, 0.0, None), 7: (0, 0, 0, 0.0, None)}
+    df = S.score_columns(fixtures.load(spark, SF_SMALL, "sql_corpus"))
+    got = df.select((F.col("question_id") % 8).alias("k"), "b1", "b3", "b4", F.round("reward", 9).alias("r"),
+                    "difficulty").distinct().collect()
+    assert {r.k: (r.b1, r.b3, r.b4, r.r, r.difficulty) for r in got} == expected
+    assert len(got) == 8  # one outcome per template
