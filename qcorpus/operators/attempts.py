@@ -9,7 +9,7 @@ well-spread shuffle; no window runs over a large group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_ATTEMPTS = 4  # fixed value: attempts per item
@@ -38,9 +38,11 @@ def first_accepted(attempts: DataFrame, item="item_id", attempt="attempt",
 def attempt_outcomes(attempts: DataFrame, item="item_id", attempt="attempt",
                      cls="cls", target="target") -> DataFrame:
     """E6 on the attempts actually made: those up to and including the first
-    accepted one (the reference stops retrying on acceptance)."""
-    acc = first_accepted(attempts, item, attempt, cls, target).select(item, "accepted_attempt")
-    made = attempts.join(acc, item, "inner").filter(
+    accepted one (the reference stops retrying on acceptance).  The first
+    accepted attempt is a window minimum over the item (at most
+    ``MAX_ATTEMPTS`` rows): one shuffle, no aggregate-and-join-back."""
+    first_ok = F.min(F.when(F.col(cls) == F.col(target), F.col(attempt))).over(Window.partitionBy(item))
+    made = attempts.withColumn("accepted_attempt", first_ok).filter(
         F.col("accepted_attempt").isNull() | (F.col(attempt) <= F.col("accepted_attempt")))
     return made.withColumn("outcome", attempt_outcome(F.col(cls), F.col(target))) \
                .withColumn("refined", F.col(attempt) > 1).drop("accepted_attempt")

@@ -123,13 +123,20 @@ def same_result(gold: DataFrame, pred: DataFrame, pairs: DataFrame, pair_col: st
                 as_set: bool = False) -> DataFrame:
     """Per pair, whether the two result sets are equal (multiset by
     default, ``as_set`` ignores duplicates).  Rows are compared on all
-    non-key columns; both differences are computed with ``exceptAll``/
-    ``subtract``, i.e. one shuffle on (pair, row), so no pair's rows are
-    ever collected together."""
+    columns.  Both directions in one aggregation: every (pair, row) gets a
+    signed count (+1 gold, -1 prediction) -- multisets are equal when all
+    counts are 0; sets when every row is on both sides.  One shuffle on
+    (pair, row) with map-side partial sums, so a pair's rows are never
+    collected together."""
+    cols = gold.columns
+    m = gold.select(*cols, F.lit(1).alias("__w")).unionByName(pred.select(*cols, F.lit(-1).alias("__w")))
     if as_set:
-        gold, pred = gold.distinct(), pred.distinct()
-    diff = gold.exceptAll(pred).unionByName(pred.exceptAll(gold)) \
-               .select(pair_col).distinct().withColumn("__diff", F.lit(True))
+        g = m.groupBy(*cols).agg(F.max("__w").alias("__hi"), F.min("__w").alias("__lo"))
+        bad = g.filter(~((F.col("__hi") == 1) & (F.col("__lo") == -1)))
+    else:
+        g = m.groupBy(*cols).agg(F.sum("__w").alias("__s"))
+        bad = g.filter(F.col("__s") != 0)
+    diff = bad.select(pair_col).distinct().withColumn("__diff", F.lit(True))
     return pairs.select(pair_col).distinct().join(diff, pair_col, "left") \
                 .select(pair_col, F.col("__diff").isNull().alias("match"))
 
