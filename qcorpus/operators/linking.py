@@ -1,9 +1,10 @@
 """Schema linking (C4-C7): which catalog columns a SQL text mentions.
 
-The texts are joined with their database's columns on ``db_id`` (an
-equi-join onto a dimension-sized table, broadcast when small), then the
-substring tests run as a filter.  Each text meets only the columns of its
-own database, so the expansion factor is the catalog width, not the data.
+Two equi-joins onto dimension-sized catalog tables (broadcast after a size
+check): each text first meets the table names of its own database and keeps
+those it mentions, then only the columns of the kept tables; the substring
+tests run as join conditions.  The expansion per text is bounded by the
+width of its own database, never by the data.
 """
 
 from __future__ import annotations
