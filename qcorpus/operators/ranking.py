@@ -25,18 +25,27 @@ from pyspark.sql import functions as F
 TARGET_ROWS_PER_BUCKET = 1 << 20
 
 
-def _adaptive_width(df: DataFrame, order_col: str, target_rows: int) -> tuple[int, int]:
-    """(origin, width) of key ranges holding about ``target_rows`` rows each
-    on average, from one aggregate (min, max, count) of the key: sparse keys
-    (e.g. hashed ids) get wide ranges, so the offsets table stays small."""
+def _key_stats(df: DataFrame, order_col: str) -> tuple[int, int, int]:
     r = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if r["n"] == 0 or r["lo"] is None:
+        return 0, 0, 0
+    return int(r["lo"]), int(r["hi"]), int(r["n"])
+
+
+def _width_from_stats(lo: int, hi: int, n: int, target_rows: int) -> tuple[int, int]:
+    if n == 0:
         return 0, 1
-    lo, hi, n = int(r["lo"]), int(r["hi"]), int(r["n"])
     buckets = max(1, -(-n // target_rows))
     return lo, max(1, -(-(hi - lo + 1) // buckets))
 
 
+def _adaptive_width(df: DataFrame, order_col: str, target_rows: int) -> tuple[int, int]:
+    """(origin, width) of key ranges holding about ``target_rows`` rows each
+    on average, from one aggregate (min, max, count) of the key: sparse keys
+    (e.g. hashed ids) get wide ranges, so the offsets table stays small."""
+    return _width_from_stats(*_key_stats(df, order_col), target_rows)
+
+
 def _quantile_buckets(df: DataFrame, order_col: str, target_rows: int, out: str) -> DataFrame:
     """Bucket = rank of the key among approximate quantiles of the key (one
     ``percentile_approx`` pass; the boundaries, one per ``target_rows`` rows,
@@ -58,20 +67,28 @@ def _quantile_buckets(df: DataFrame, order_col: str, target_rows: int, out: str)
 
 def bucketed_row_number(df: DataFrame, partition_cols: list[str], order_col: str,
                         out_col: str = "row_number", bucket_width: int | None = None,
-                        target_rows: int = TARGET_ROWS_PER_BUCKET, method: str = "width") -> DataFrame:
+                        target_rows: int = TARGET_ROWS_PER_BUCKET, method: str = "auto") -> DataFrame:
     """``df`` plus ``out_col`` = 1-based position of the row inside its
     partition group in ascending ``order_col``.  Key ranges: ``bucket_width``
     when given; else ``method="width"`` sizes equal-width ranges from the
     key's min/max/count, ``method="quantiles"`` uses approximate quantiles
-    (balanced ranges for any key distribution, one more pass); about
-    ``target_rows`` rows per range."""
+    (balanced ranges for any key distribution, one more pass), and
+    ``method="auto"`` picks equal widths for dense keys (span at most four
+    times the row count) and quantiles otherwise; about ``target_rows`` rows
+    per range."""
     b = "__bucket"
+    stats = None
+    if bucket_width is None and method == "auto":
+        stats = _key_stats(df, order_col)
+        lo, hi, n = stats
+        method = "width" if n == 0 or (hi - lo + 1) <= 4 * n else "quantiles"
     if bucket_width is None and method == "quantiles":
         keyed = _quantile_buckets(df, order_col, target_rows, b)
     else:
         origin = 0
         if bucket_width is None:
-            origin, bucket_width = _adaptive_width(df, order_col, target_rows)
+            origin, bucket_width = (_width_from_stats(*stats, target_rows) if stats
+                                    else _adaptive_width(df, order_col, target_rows))
         keyed = df.withColumn(b, F.floor((F.col(order_col) - F.lit(origin)) / F.lit(bucket_width)).cast("bigint"))
     local = Window.partitionBy(*partition_cols, b).orderBy(order_col)
     counts = keyed.groupBy(*partition_cols, b).agg(F.count(F.lit(1)).alias("__n"))
