@@ -16,7 +16,10 @@ from qcorpus.sources.catalog import Catalog
 
 
 def named_columns(cat: Catalog) -> DataFrame:
-    """Columns with their table name: db_id, col_idx, table_idx, table_name, column_name."""
+    """Columns with their table name: db_id, col_idx, table_idx, table_name, column_name
+    (the name is resolved while flattening; older flat tables are joined)."""
+    if "table_name" in cat.columns.columns:
+        return cat.columns.select("db_id", "table_idx", "col_idx", "column_name", "table_name")
     return cat.columns.join(cat.tables, ["db_id", "table_idx"], "inner")
 
 

@@ -20,7 +20,7 @@ CATALOG_SCHEMA = ("db_id STRING, table_names_original ARRAY<STRING>, "
 @dataclass
 class Catalog:
     tables: DataFrame        # db_id, table_idx, table_name
-    columns: DataFrame       # db_id, col_idx, table_idx, column_name
+    columns: DataFrame       # db_id, col_idx, table_idx, column_name, table_name
     primary_keys: DataFrame  # db_id, pk_pos, key_pos, col_idx
     foreign_keys: DataFrame  # db_id, fk_pos, src_col_idx, tgt_col_idx
 
@@ -37,9 +37,14 @@ def flatten_catalog(nested: DataFrame) -> Catalog:
     (``[-1, "*"]``) is skipped, composite primary keys are exploded with
     their position."""
     tables = nested.select("db_id", F.posexplode("table_names_original").alias("table_idx", "table_name"))
-    cols = nested.select("db_id", F.posexplode("column_names_original").alias("col_idx", "c"))
-    cols = cols.select("db_id", "col_idx", F.col("c")[0].cast("int").alias("table_idx"),
-                       F.col("c")[1].alias("column_name")).filter(F.col("table_idx") != -1)
+    cols = nested.select("db_id", "table_names_original",
+                         F.posexplode("column_names_original").alias("col_idx", "c"))
+    tidx = F.col("c")[0].cast("int")
+    # the table name is looked up in the same nested row (no join); an
+    # index outside the table list has no name and the column is dropped
+    cols = cols.select("db_id", "col_idx", tidx.alias("table_idx"), F.col("c")[1].alias("column_name"),
+                       F.try_element_at("table_names_original", tidx + 1).alias("table_name")) \
+               .filter((F.col("table_idx") != -1) & F.col("table_name").isNotNull())
     pks = nested.select("db_id", F.posexplode("primary_keys").alias("pk_pos", "pk"))
     as_list = F.when(F.trim("pk").startswith("["), F.from_json("pk", "array<int>")) \
                .otherwise(F.array(F.col("pk").cast("int")))
