@@ -229,3 +229,18 @@ def test_bucketed_row_number_quantiles_on_packed_keys(spark):
     mine = R.bucketed_row_number(df, ["g"], "k", "rn", target_rows=100, method="quantiles")
     ref = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")).cast("bigint"))
     assert mine.select("g", "k", "rn").exceptAll(ref.select("g", "k", "rn")).count() == 0
+
+
+def test_plan_helpers(spark):
+    from qcorpus.session import broadcast_if_small, spread
+    small = spark.range(10)
+    big = spark.range(1000)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    j_small = spark.range(100).join(broadcast_if_small(small, max_rows=100), "id")
+    j_big = spark.range(100).join(broadcast_if_small(big, max_rows=100), "id")
+    assert "broadcast" in plan(j_small).lower()
+    assert "strategy=broadcast" not in plan(j_big).lower()
+    many = spark.range(0, 1000, numPartitions=32)
+    assert spread(many).rdd.getNumPartitions() == 32            # already split: untouched
+    one = spark.range(0, 1000, numPartitions=1)
+    assert spread(one, 8).rdd.getNumPartitions() == 8
