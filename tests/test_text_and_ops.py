@@ -244,3 +244,21 @@ def test_plan_helpers(spark):
     assert spread(many).rdd.getNumPartitions() == 32            # already split: untouched
     one = spark.range(0, 1000, numPartitions=1)
     assert spread(one, 8).rdd.getNumPartitions() == 8
+
+
+def test_porter_paper_examples():
+    from qcorpus.functions.stemming import porter_stem
+    cases = {"relate": "relat", "probate": "probat", "conflate": "conflat", "pirate": "pirat", "prelate": "prelat",
+             "derivate": "deriv", "activate": "activ", "demonstrate": "demonstr", "necessitate": "necessit",
+             "renovate": "renov", "conditional": "condit", "rational": "ration", "valenci": "valenc",
+             "hesitanci": "hesit", "digitizer": "digit", "radicalli": "radic", "differentli": "differ",
+             "vileli": "vile", "analogousli": "analog", "vietnamization": "vietnam", "predication": "predic",
+             "operator": "oper", "feudalism": "feudal", "decisiveness": "decis", "hopefulness": "hope",
+             "callousness": "callous", "sensitiviti": "sensit", "sensibiliti": "sensibl", "triplicate": "triplic",
+             "formative": "form", "formalize": "formal", "electriciti": "electr", "electrical": "electr",
+             "revival": "reviv", "allowance": "allow", "inference": "infer", "airliner": "airlin",
+             "gyroscopic": "gyroscop", "adjustable": "adjust", "defensible": "defens", "irritant": "irrit",
+             "replacement": "replac", "dependent": "depend", "adoption": "adopt", "homologous": "homolog",
+             "communism": "commun", "angulariti": "angular", "effective": "effect", "bowdlerize": "bowdler",
+             "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll"}
+    assert {w: porter_stem(w) for w in cases} == cases
