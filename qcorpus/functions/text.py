@@ -138,7 +138,8 @@ def auto_evidence(sql: Column | str, max_len: int = 3) -> Column:
     ``"; "``; else a fixed sentence (quirk Q16: ``dept``/``prof`` never apply
     with the default ``max_len``)."""
     abbr = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v))])
-    cols = F.regexp_extract_all(F.coalesce(_col(sql), F.lit("")), F.lit(r"(\w+)\.(\w+)"), 2)
+    # (?U): word characters are Unicode letters/digits, as in Python's \w
+    cols = F.regexp_extract_all(F.coalesce(_col(sql), F.lit("")), F.lit(r"(?U)(\w+)\.(\w+)"), 2)
     keep = F.filter(cols, lambda c: (F.length(c) <= max_len) & (c == F.lower(c)) & (c != F.upper(c))
                     & F.element_at(abbr, F.lower(c)).isNotNull() & (F.element_at(abbr, F.lower(c)) != c))
     parts = F.transform(keep, lambda c: F.concat(c, F.lit("="), F.element_at(abbr, F.lower(c))))
