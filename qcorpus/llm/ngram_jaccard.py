@@ -241,32 +241,59 @@ def _linked(batches, num: int, den: int):
                                               "b": pa.array([b[i] for i in keep], pa.int64())})
 
 
-def _tile_pairs(key, pdf, t: Fraction):
-    """Pairs of one tile (left rows x right rows, or one set of rows with
-    itself) that lie in different components and may reach the threshold."""
-    import pandas as pd
-    words = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(-1, SKETCH_WORDS)
-    n = pdf["n_shingles"].to_numpy()
-    node, comp, side = pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf["tile"].to_numpy()
-    i_tile, j_tile = int(key[1]), int(key[2])
-    left = np.flatnonzero(side == i_tile)
-    right = np.flatnonzero(side == j_tile)
+def _tile_pairs(batches, t: Fraction):
+    """From rows sorted by (key, i, j): the pairs of each tile (left rows x
+    right rows, or one set of rows with itself) that lie in different components
+    and may reach the threshold.  Holds one tile at a time."""
     num, den = (1 - t).numerator * (1 + t).denominator, (1 - t).denominator * (1 + t).numerator
+    names = ("key", "i", "j", "tile", "node", "component", "n_shingles")
+    rest: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+        now["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+        if rest is not None:
+            now = {c: np.concatenate([rest[c], now[c]]) for c in now}
+        n = len(now["key"])
+        if not n:
+            continue
+        new = np.zeros(n, bool)
+        for c in ("key", "i", "j"):
+            new[1:] |= now[c][1:] != now[c][:-1]
+        cuts = np.concatenate(([0], np.flatnonzero(new)))
+        yield from _pairs_of(now, cuts[:-1], cuts[1:], t, num, den)
+        rest = {c: v[cuts[-1]:] for c, v in now.items()}
+    if rest is not None:
+        yield from _pairs_of(rest, [0], [len(rest["key"])], t, num, den)
+
+
+def _pairs_of(rows, starts, ends, t, num, den):
     found_a, found_b = [], []
-    for i in left:
-        others = right if i_tile != j_tile else right[right > i]
-        others = others[comp[others] != comp[i]]
-        if not len(others):
+    node, comp, size, sketches = rows["node"], rows["component"], rows["n_shingles"], rows["sketch"]
+    for lo, hi in zip(starts, ends):
+        same = rows["i"][lo] == rows["j"][lo]
+        left = np.arange(lo, hi) if same else lo + np.flatnonzero(rows["tile"][lo:hi] == rows["i"][lo])
+        right = left if same else lo + np.flatnonzero(rows["tile"][lo:hi] != rows["i"][lo])
+        if not len(left) or not len(right):
             continue
-        distance = np.bitwise_count(words[others] ^ words[i]).sum(axis=1).astype(np.int64)
-        others = others[distance * den <= num * (n[others] + n[i])]
-        small, big = np.minimum(n[others], n[i]), np.maximum(n[others], n[i])
-        others = others[small * t.denominator >= big * t.numerator]
-        found_a.append(np.minimum(node[others], node[i]))
-        found_b.append(np.maximum(node[others], node[i]))
-    if not found_a:
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+        step = max(1, 200_000 // len(right))
+        for k in range(0, len(left), step):
+            x = left[k:k + step, None]
+            ok = comp[x] != comp[right]
+            if same:
+                ok &= x < right
+            small, big = np.minimum(size[x], size[right]), np.maximum(size[x], size[right])
+            ok &= small * t.denominator >= big * t.numerator
+            p, q = np.nonzero(ok)
+            p, q = left[k + p], right[q]
+            distance = np.bitwise_count(sketches[p] ^ sketches[q]).sum(axis=1).astype(np.int64)
+            ok = distance * den <= num * (size[p] + size[q])
+            p, q = p[ok], q[ok]
+            found_a.append(np.minimum(node[p], node[q]))
+            found_b.append(np.maximum(node[p], node[q]))
+    if found_a:
+        pairs = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1)
+        if pairs.shape[1]:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
 
 def ngram_jaccard_components(docs: DataFrame, threshold: float = 0.85, size: int = 4, tile: int = TILE) -> DataFrame:
@@ -346,15 +373,18 @@ def _links(src: DataFrame, nodes: DataFrame, t: Fraction, size: int, tile: int)
     members = (shared.select("key", "node").join(parts, "node", "left")
                .select("key", "node", F.coalesce("component", "node").alias("component")))
     members = stored(members, "members")
-    open_keys = (members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"),
-                                            F.count(F.lit(1)).alias("n"))
-                 .where("x <> y").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
+    # keys of one and the same set of nodes ask for the same pairs: one of them stays
+    open_keys = (members.groupBy("key")
+                 .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"),
+                      F.sum(F.xxhash64("node") % (1 << 40)).alias("h1"), F.expr("bit_xor(xxhash64(node, 1))").alias("h2"))
+                 .where("x <> y").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
+                 .select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
     rows = (members.join(open_keys, "key").join(sized, "node")
             .withColumn("tile", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
             .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
             .select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
                     "tile", "node", "component", "n_shingles", "sketch"))
-    more = (rows.groupBy("key", "i", "j").applyInPandas(lambda k, pdf: _tile_pairs(k, pdf, t), "a long, b long")
-            .distinct())
+    more = (rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            .mapInArrow(lambda it: _tile_pairs(it, t), "a long, b long").distinct())
     second = stored(verified(more), "links")
     return first.union(second)

@@ -6,10 +6,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from qcorpus.session import table
 
+from .license_scan import scan_licenses
 from .ngram_jaccard import ngram_jaccard_components
+from .quality_rules import quality_rules
+from .sentence_spans import remove_repeated_spans
+from .sentencepiece_codec import encode_texts
+from .source_mixing import mix_sources
+from .toxicity import held_out, score, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,3 +52,67 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
 FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.doc_id""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@registered("op6_sentence_spans")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated_spans(docs)
+
+
+@registered("op4_quality_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = quality_rules(docs, ["doc_id"])
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept", "class_distance", "word_distance")
+
+
+@registered("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+@registered("op10_source_mixing", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS k FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT source, n, [5, 2, 1][i % 3 + 1] AS w, 2 * n / [5, 2, 1][i % 3 + 1] AS cap FROM s),
+f AS (
+  SELECT *, coalesce(sum(2 * n) OVER before, 0) AS spent, sum(w) OVER rest AS left_w,
+    (SELECT 1.5::DOUBLE * sum(n) FROM s) AS whole FROM w
+  WINDOW before AS (ORDER BY cap, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    rest AS (ORDER BY cap, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+u AS (
+  SELECT max((whole - spent)::DOUBLE / left_w) FILTER ((whole - spent)::DOUBLE / left_w <= cap) AS unit FROM f),
+t AS (
+  SELECT source, n, CASE WHEN cap >= unit THEN unit * w ELSE (2 * n)::DOUBLE END AS target FROM w, u),
+p AS (
+  SELECT d.doc_id, d.size, t.n AS source_size, t.target, floor(t.target)::BIGINT AS goal,
+    (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS a
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(a + size, goal) - a) + greatest(0, least(a + source_size + size, goal) - a - source_size) AS BIGINT)
+    AS taken
+FROM p""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@registered("op5_sentencepiece")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(docs, TOKENIZER).select("doc_id", "n_tokens", "token_ids", "roundtrip", "parity")
+
+
+@registered("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    out = score(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_sentences", "offending")
