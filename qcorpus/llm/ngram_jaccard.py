@@ -40,8 +40,9 @@ from . import kernel
 from .components import connected_components
 from .scratch import stored
 
-SKETCH_WORDS = 8  # 64-bit words of a parity sketch
+SKETCH_BITS = 512  # fewest bits of a parity sketch
 TILE = 2048  # sets on one side of a tile of a crowded key
+MAX_BROADCAST_ROWS = 1_000_000  # (node, doc_id) rows, 16 bytes each
 
 
 def percent(threshold: float) -> Fraction:
@@ -105,10 +106,26 @@ def _set_rows(batches, size: int):
 
 
 def sketch(values: np.ndarray) -> bytes:
-    """Parity sketch: every shingle flips one of the bits."""
-    bit = (kernel.mix(values + np.uint64(77)) >> np.uint64(20)).astype(np.int64) % (64 * SKETCH_WORDS)
-    odd = (np.bincount(bit, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
-    return np.packbits(odd).tobytes()
+    """Parity sketch: every shingle flips one of the bits, of which there are
+    at least as many as shingles (a power of two)."""
+    bits = max(SKETCH_BITS, 1 << (max(len(values), 1) - 1).bit_length())
+    bit = ((kernel.mix(values + np.uint64(77)) >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def sketch_rows(data: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to the shortest one's width (a
+    fold is the sketch that fewer bits would have given)."""
+    width = min(map(len, data)) // 8
+    rows = np.empty((len(data), width), np.uint64)
+    for k, d in enumerate(data):
+        x = np.frombuffer(d, np.uint64)
+        while len(x) > width:
+            half = len(x) // 2
+            x = x[:half] ^ x[half:]
+        rows[k] = x
+    return rows
 
 
 def segment_keys(values: np.ndarray, scheme: int, segments: int, twos: int) -> np.ndarray:
@@ -241,6 +258,19 @@ def _linked(batches, num: int, den: int):
                                               "b": pa.array([b[i] for i in keep], pa.int64())})
 
 
+def _possible(batches, t: Fraction):
+    """The pairs whose sketches and sizes allow the threshold."""
+    for batch in batches:
+        left, right = batch.column("left_sketch").to_pylist(), batch.column("right_sketch").to_pylist()
+        both = zip(left, right, batch.column("n_left").to_pylist(), batch.column("n_right").to_pylist())
+        keep = []
+        for x, y, m, n in both:
+            rows = sketch_rows([x, y])
+            keep.append(min(m, n) >= t * max(m, n)
+                        and int(np.bitwise_count(rows[0] ^ rows[1]).sum()) <= difference_bound(m + n, t))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _tile_pairs(batches, t: Fraction):
     """From rows sorted by (key, i, j): the pairs of each tile (left rows x
     right rows, or one set of rows with itself) that lie in different components
@@ -250,7 +280,7 @@ def _tile_pairs(batches, t: Fraction):
     rest: dict[str, np.ndarray] | None = None
     for batch in batches:
         now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-        now["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
+        now["sketch"] = np.array(batch.column("sketch").to_pylist(), dtype=object)
         if rest is not None:
             now = {c: np.concatenate([rest[c], now[c]]) for c in now}
         n = len(now["key"])
@@ -268,8 +298,9 @@ def _tile_pairs(batches, t: Fraction):
 
 def _pairs_of(rows, starts, ends, t, num, den):
     found_a, found_b = [], []
-    node, comp, size, sketches = rows["node"], rows["component"], rows["n_shingles"], rows["sketch"]
+    node, comp, size = rows["node"], rows["component"], rows["n_shingles"]
     for lo, hi in zip(starts, ends):
+        sketches = sketch_rows(list(rows["sketch"][lo:hi]))
         same = rows["i"][lo] == rows["j"][lo]
         left = np.arange(lo, hi) if same else lo + np.flatnonzero(rows["tile"][lo:hi] == rows["i"][lo])
         right = left if same else lo + np.flatnonzero(rows["tile"][lo:hi] != rows["i"][lo])
@@ -285,7 +316,7 @@ def _pairs_of(rows, starts, ends, t, num, den):
             ok &= small * t.denominator >= big * t.numerator
             p, q = np.nonzero(ok)
             p, q = left[k + p], right[q]
-            distance = np.bitwise_count(sketches[p] ^ sketches[q]).sum(axis=1).astype(np.int64)
+            distance = np.bitwise_count(sketches[p - lo] ^ sketches[q - lo]).sum(axis=1).astype(np.int64)
             ok = distance * den <= num * (size[p] + size[q])
             p, q = p[ok], q[ok]
             found_a.append(np.minimum(node[p], node[q]))
@@ -354,21 +385,29 @@ def _links(src: DataFrame, nodes: DataFrame, t: Fraction, size: int, tile: int)
                                                        "key long, node long")
     shared = stored(index.repartition("key").sortWithinPartitions("key", "node")
                     .mapInArrow(_shared_rows, "key long, node long, leader long"), "shared")
-    wanted = shared.select("node").distinct().join(nodes, "node").select("node", F.col("rep").alias("doc_id"))
-    sets = stored(src.join(wanted, "doc_id").select("node", "text")
-                  .mapInArrow(lambda it: _own_sets(it, size), "node long, vals binary")
-                  .dropDuplicates(["node"]), "values")
+    sized = nodes.select("node", "n_shingles", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        wanted = (pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                  .join(nodes, "node").select("node", F.col("rep").alias("doc_id")))
+        wanted = stored(wanted, "wanted")
+        if wanted.count() <= MAX_BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        sets = stored(src.join(wanted, "doc_id").select("node", "text")
+                      .mapInArrow(lambda it: _own_sets(it, size), "node long, vals binary")
+                      .dropDuplicates(["node"]), "values")
         both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("vals").alias("left")), "a")
                 .join(sets.select(F.col("node").alias("b"), F.col("vals").alias("right")), "b"))
-        return both.select("a", "b", "left", "right").mapInArrow(
-            lambda it: _linked(it, t.numerator, t.denominator), "a long, b long")
+        return stored(both.select("a", "b", "left", "right").mapInArrow(
+            lambda it: _linked(it, t.numerator, t.denominator), "a long, b long"), "links")
 
-    sized = nodes.select("node", "n_shingles", "sketch")
     star = (shared.where("node <> leader").groupBy("node").agg(F.min("leader").alias("a"))
             .select("a", F.col("node").alias("b")))
-    first = stored(verified(star), "links")
+    star = (star.join(sized.toDF("a", "n_left", "left_sketch"), "a").join(sized.toDF("b", "n_right", "right_sketch"), "b")
+            .select("a", "b", "n_left", "n_right", "left_sketch", "right_sketch")
+            .mapInArrow(lambda it: _possible(it, t), "a long, b long"))
+    first = verified(star)
     parts = connected_components(first)
     members = (shared.select("key", "node").join(parts, "node", "left")
                .select("key", "node", F.coalesce("component", "node").alias("component")))
@@ -386,5 +425,4 @@ def _links(src: DataFrame, nodes: DataFrame, t: Fraction, size: int, tile: int)
                     "tile", "node", "component", "n_shingles", "sketch"))
     more = (rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
             .mapInArrow(lambda it: _tile_pairs(it, t), "a long, b long").distinct())
-    second = stored(verified(more), "links")
-    return first.union(second)
+    return first.union(verified(more))
