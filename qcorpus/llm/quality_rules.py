@@ -3,7 +3,8 @@
 Each text gives two histograms: character classes, and the most common words
 of a few languages (with one bin for all other words).  The same histograms,
 summed over all documents of a language that pass the base rules, are the
-language's reference.  A document whose Jensen-Shannon distance to its nearest
+language's reference; it is formed anew, twice, without the documents that are
+far from the one before, so that junk does not shape it.  A document whose Jensen-Shannon distance to its nearest
 reference exceeds a threshold is rejected, if it is long enough for its
 histogram to mean anything.  DataFrame functions only.
 """
@@ -27,6 +28,7 @@ COMMON_WORDS = {
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 MIN_CLASS_CHARS, MAX_CLASS_DISTANCE = 200, 0.30
 MIN_HISTOGRAM_WORDS, MAX_WORD_DISTANCE = 100, 0.55
+TRIM = (0.30, 0.18)  # class distances up to which a document shapes the next references
 
 _WHITE = r"\x20\x09-\x0D"
 CLASSES = ("lower", "white", "other_script", "upper", "digit", "symbol", "punctuation", "rest")
@@ -129,23 +131,26 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
     f = f.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                      | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     n_bins = len(vocabulary())
-    sums = (f.where(~F.col("base_failed") & F.col("row.group").isin(*COMMON_WORDS))
-            .groupBy(F.col("row.group").alias("lang"))
-            .agg(F.sum("n_words").alias("n"),
-                 F.array(*[F.sum(F.col("classes")[i]) for i in range(len(CLASSES))]).alias("classes"),
-                 F.array(*[F.sum(F.col("common")[i]) for i in range(n_bins)]).alias("common"))
-            .orderBy("lang").collect())  # one row per language with a word list
     f = f.withColumn("common", F.concat("common", F.array(
         F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x))))
 
-    def nearest(column: str, references: list[list[float]]) -> Column:
-        if not references:
-            return F.lit(0.0)
-        each = [_distance(F.col(column), r) for r in references]
-        return each[0] if len(each) == 1 else F.least(*each)
-    share = lambda values: [v / sum(values) for v in values]
-    f = f.withColumn("class_distance", nearest("classes", [share(r["classes"]) for r in sums]))
-    f = f.withColumn("word_distance", nearest("common", [share([*r["common"], r["n"] - sum(r["common"])]) for r in sums]))
+    def measured(sums) -> DataFrame:
+        def nearest(column: str) -> Column:
+            each = [_distance(F.col(column), [v / sum(r[column]) for v in r[column]]) for r in sums]
+            return F.lit(0.0) if not each else each[0] if len(each) == 1 else F.least(*each)
+        return f.withColumn("class_distance", nearest("classes")).withColumn("word_distance", nearest("common"))
+
+    def references(rows: DataFrame):
+        return (rows.where(~F.col("base_failed") & F.col("row.group").isin(*COMMON_WORDS))
+                .groupBy(F.col("row.group").alias("lang"))
+                .agg(F.array(*[F.sum(F.col("classes")[i]) for i in range(len(CLASSES))]).alias("classes"),
+                     F.array(*[F.sum(F.col("common")[i]) for i in range(n_bins + 1)]).alias("common"))
+                .orderBy("lang").collect())  # one row per language with a word list
+    # documents far from a first reference do not shape the next ones
+    sums = references(f)
+    for limit in TRIM:
+        sums = references(measured(sums).where(F.col("class_distance") <= limit)) or sums
+    f = measured(sums)
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     odd = (((chars >= MIN_CLASS_CHARS) & (F.col("class_distance") > max_class_distance))
            | ((F.col("n_words") >= MIN_HISTOGRAM_WORDS) & (F.col("word_distance") > max_word_distance)))
