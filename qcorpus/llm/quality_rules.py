@@ -20,14 +20,15 @@ from .scratch import stored
 
 # The most common words of each language.
 COMMON_WORDS = {
-    "de": "der die das und in den von zu mit sich des ist im nicht auf",
-    "en": "the of and to in is that for was on are with by it this",
-    "es": "de la que el en y los del se las por un para con su",
-    "fr": "de la le et les des en un une du que est pour qui dans",
+    "de": "der die das und in den von zu mit des",
+    "en": "the of and to in is that for was on",
+    "es": "de la que el en y los del se las",
+    "fr": "de la le et les des en un une du",
 }
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
-MIN_CLASS_CHARS, MAX_CLASS_DISTANCE = 200, 0.30
-MIN_HISTOGRAM_WORDS, MAX_WORD_DISTANCE = 100, 0.55
+# (characters from which it holds, largest class distance): short texts vary more
+CLASS_LIMITS = ((200, 0.40), (600, 0.19))
+MIN_HISTOGRAM_WORDS, MAX_WORD_DISTANCE = 100, 0.33
 TRIM = (0.30, 0.18)  # class distances up to which a document shapes the next references
 
 _WHITE = r"\x20\x09-\x0D"
@@ -47,16 +48,25 @@ def _features(docs: DataFrame, passed: Sequence[str]) -> DataFrame:
     lists = [w.capitalize() for w in vocabulary()] + vocabulary() + [w.upper() for w in vocabulary() if len(w) == 1]
     df = docs.select(F.struct(*[docs[c] for c in passed]).alias("row"),
                      F.coalesce(docs["text"].cast("string"), F.lit("")).alias("t"))
-    df = df.select(*keep, "t", F.expr(rf"regexp_extract_all(t, '[^{_WHITE}]+', 0)".replace("\\", "\\\\")).alias("w"),
+    spaced = F.col("t")
+    for white in "\t\n\v\f\r":
+        spaced = F.replace(spaced, F.lit(white), F.lit(" "))
+    df = df.select(*keep, "t", F.array_remove(F.split(spaced, " "), "").alias("w"),
                    F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{_WHITE}]")).alias("lines"))
     df = df.select(*keep, "t", F.size("w").cast("long").alias("n_words"),
+                   F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
                    (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-                   F.transform("w", lambda x: F.xxhash64(x)).alias("wh"),
+                   F.transform("w", lambda x: F.xxhash64(x)).alias("h1"),
                    F.concat(F.lit("|"), F.lower(F.array_join(F.filter("w", lambda x: x.isin(lists)), "||")),
                             F.lit("|")).alias("hits"))
-    df = df.withColumn("win", F.when(F.size("wh") >= WINDOW, F.transform(
-        F.sequence(F.lit(1), F.size("wh") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("wh", i, WINDOW))))
-        .otherwise(F.array().cast("array<bigint>"))).drop("wh")
+    # hashes of runs of 2, 4 and 8 words, each from two of half the length
+    size = 1
+    while size < WINDOW:
+        df = df.withColumn(f"h{2 * size}", F.when(F.size(f"h{size}") > size, F.zip_with(
+            F.slice(f"h{size}", 1, F.size(f"h{size}") - size), F.slice(f"h{size}", size + 1, F.size(f"h{size}")),
+            lambda x, y: F.xxhash64(x, y))).otherwise(F.array().cast("array<bigint>"))).drop(f"h{size}")
+        size *= 2
+    df = df.withColumnRenamed(f"h{WINDOW}", "win")
     # windows found twice or more: neighbours after sorting by hash
     df = df.withColumn("pairs", F.when(F.size(F.array_distinct("win")) < F.size("win"), F.array_sort(
         F.transform("win", lambda x, i: F.struct(x.alias("h"), i.alias("p")))))).drop("win")
@@ -67,23 +77,20 @@ def _features(docs: DataFrame, passed: Sequence[str]) -> DataFrame:
     df = df.withColumn("n_repeat_words", F.coalesce(F.aggregate(
         F.transform("at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("at", i + 1) - p, F.lit(WINDOW)))),
         F.lit(0).cast("long"), lambda total, x: total + x), F.lit(0).cast("long"))).drop("at")
-    # character classes: each class is taken out of what the earlier ones left
-    patterns = ("[a-z]+", f"[{_WHITE}]+", r"[^\x00-\x7F]+", "[A-Z]+", "[0-9]+", "[#*$%&|<>]+", "[.,;:!?'\"()-]+")
-    left = "t"
-    counts = []
-    for name, pattern in zip(CLASSES, patterns):
-        step = f"no_{name}"
-        df = df.withColumn(step, F.regexp_replace(left, pattern, ""))
-        df = df.withColumn(f"c_{name}", (F.length(left) - F.length(step)).cast("long"))
-        if left == "t":
-            df = df.withColumn("n_chars_all", F.length("t").cast("long"))
-        df = df.drop(left)
-        counts.append(F.col(f"c_{name}"))
-        left = step
-    counts.append(F.length(left).cast("long"))
+    # character classes: letters and white space go first, the rest is short
+    df = df.withColumn("left", F.regexp_replace("t", f"[a-z{_WHITE}]+", ""))
+    white = F.length("t").cast("long") - F.col("word_chars")
+    df = df.select(*[c for c in df.columns if c != "t"], white.alias("c_white"),
+                   (F.col("word_chars") - F.length("left")).alias("c_lower"))
+    patterns = (r"[^\x00-\x7F]+", "[A-Z]+", "[0-9]+", "[#*$%&|<>]+", "[.,;:!?'\"()-]+")
+    for name, pattern in zip(CLASSES[2:], patterns):
+        df = df.withColumn("next", F.regexp_replace("left", pattern, ""))
+        df = (df.withColumn(f"c_{name}", (F.length("left") - F.length("next")).cast("long"))
+              .drop("left").withColumnRenamed("next", "left"))
+    counts = [*[F.col(f"c_{name}") for name in CLASSES[:-1]], F.length("left").cast("long")]
     bins = [((F.length("hits") - F.length(F.replace("hits", F.lit(f"|{w}|"), F.lit("")))) / (len(w) + 2)).cast("long")
             for w in vocabulary()]
-    return df.select(*keep, "n_words", (F.col("n_chars_all") - F.col("c_white")).alias("word_chars"),
+    return df.select(*keep, "n_words", "word_chars",
                      F.col("c_symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
                      F.array(*counts).alias("classes"), F.array(*bins).alias("common"))
 
@@ -103,7 +110,7 @@ def _distance(counts: Column, reference: Sequence[float]) -> Column:
 
 
 def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
-                  max_class_distance: float = MAX_CLASS_DISTANCE,
+                  class_limits: Sequence[tuple[int, float]] = CLASS_LIMITS,
                   max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
     """The ``columns`` of ``docs`` (all by default) with n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance,
@@ -113,9 +120,9 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
     ``base_failed``: fewer than 20 words, or more than 30 % of the words in
     8-word windows that the text holds twice or more (windows are compared by
     64-bit hashes).  ``kept`` is false where ``base_failed``; else false where
-    the class histogram of a text of at least 200 characters, or the common
-    word histogram of one of at least 100 words, is too far from the
-    references of all languages.  Shorter texts pass by the length guard.
+    the class histogram of a text of at least 200 (600) characters is farther
+    than 0.40 (0.19), or the common word histogram of one of at least 100 words
+    farther than 0.33, from the references of all languages.  Shorter texts pass by the length guard.
 
     Null and empty texts have counts 0 and fail the base rules.  The column
     ``lang`` only groups the references; rows whose lang is null or has no word
@@ -152,7 +159,8 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
         sums = references(measured(sums).where(F.col("class_distance") <= limit)) or sums
     f = measured(sums)
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    odd = (((chars >= MIN_CLASS_CHARS) & (F.col("class_distance") > max_class_distance))
-           | ((F.col("n_words") >= MIN_HISTOGRAM_WORDS) & (F.col("word_distance") > max_word_distance)))
+    odd = (F.col("n_words") >= MIN_HISTOGRAM_WORDS) & (F.col("word_distance") > max_word_distance)
+    for least, limit in class_limits:
+        odd = odd | ((chars >= least) & (F.col("class_distance") > limit))
     return f.select(*[F.col("row")[f"in_{c}"].alias(c) for c in names], *FEATURES, "class_distance", "word_distance",
                     "base_failed", (~F.col("base_failed") & ~odd).alias("kept"))
