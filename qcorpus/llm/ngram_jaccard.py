@@ -33,7 +33,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -99,7 +99,7 @@ def _set_rows(batches, size: int):
                 node_all.append(kernel.set_id(values))
                 sketch_all.append(sketch(values))
         yield pa.RecordBatch.from_pydict({
-            "doc_id": batch.column("doc_id"),
+            "doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"),
             "n_shingles": pa.array(n_all, pa.int64()),
             "node": pa.array(node_all, pa.int64()),
             "sketch": pa.array(sketch_all, pa.binary())})
@@ -328,7 +328,8 @@ def _pairs_of(rows, starts, ends, t, num, den):
 
 
 def ngram_jaccard_components(docs: DataFrame, threshold: float = 0.85, size: int = 4, tile: int = TILE) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+    """One row per document: doc_id, n_shingles, component_id (and text_key,
+    see ``text_key``).
 
     Texts are lowered (A-Z), cut into words at ASCII white space and compared
     as sets of distinct ``size``-word shingles; two documents link at a Jaccard
@@ -344,8 +345,8 @@ def ngram_jaccard_components(docs: DataFrame, threshold: float = 0.85, size: int
     """
     t = percent(threshold)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = stored(src.mapInArrow(lambda it: _set_rows(it, size),
-                                 "doc_id long, n_shingles long, node long, sketch binary"), "sets")
+    sets = stored(src.withColumn("text_key", text_key()).mapInArrow(
+        lambda it: _set_rows(it, size), "doc_id long, text_key long, n_shingles long, node long, sketch binary"), "sets")
     nodes = (sets.where("n_shingles > 0 and doc_id is not null").groupBy("node")
              .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"),
                   F.first("sketch").alias("sketch")))
@@ -360,7 +361,27 @@ def ngram_jaccard_components(docs: DataFrame, threshold: float = 0.85, size: int
                 .select("node", F.coalesce("component_id", "rep").alias("component_id")))
     linked = F.when(F.col("n_shingles") > 0, F.col("node"))
     return (sets.withColumn("node", F.when(F.col("doc_id").isNotNull(), linked)).join(comp, "node", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_key"))
+
+
+def text_key():
+    """A hash that tells apart rows of one doc_id by their text."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def drop_linked(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row per component: the one whose doc_id is the
+    component's (of rows equal in doc_id and text, one).  Rows that link with
+    nothing stay, those without a doc_id or without words among them."""
+    found = ngram_jaccard_components(docs, **options)
+    gone = (found.where("component_id < doc_id").select("doc_id", "text_key").distinct()
+            .select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+                         F.col("doc_id").cast("long").alias("id"), text_key().alias("key"),
+                         (F.length(F.trim(F.coalesce(F.col("text").cast("string"), F.lit("")))) > 0).alias("filled"))
+    kept = packed.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    number = F.row_number().over(Window.partitionBy("id", "key").orderBy("id"))
+    return (kept.withColumn("number", number).where("number = 1 or id is null or not filled").select("row.*"))
 
 
 def _links(src: DataFrame, nodes: DataFrame, t: Fraction, size: int, tile: int) -> DataFrame | None:

@@ -27,8 +27,8 @@ COMMON_WORDS = {
 }
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 # (characters from which it holds, largest class distance): short texts vary more
-CLASS_LIMITS = ((200, 0.40), (600, 0.19))
-MIN_HISTOGRAM_WORDS, MAX_WORD_DISTANCE = 100, 0.33
+CLASS_LIMITS = ((200, 0.40), (600, 0.23), (1200, 0.15))
+MIN_HISTOGRAM_WORDS, MAX_WORD_DISTANCE = 100, 0.29
 TRIM = (0.30, 0.18)  # class distances up to which a document shapes the next references
 
 _WHITE = r"\x20\x09-\x0D"
@@ -120,9 +120,9 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
     ``base_failed``: fewer than 20 words, or more than 30 % of the words in
     8-word windows that the text holds twice or more (windows are compared by
     64-bit hashes).  ``kept`` is false where ``base_failed``; else false where
-    the class histogram of a text of at least 200 (600) characters is farther
-    than 0.40 (0.19), or the common word histogram of one of at least 100 words
-    farther than 0.33, from the references of all languages.  Shorter texts pass by the length guard.
+    the class histogram of a text of at least 200 (600, 1200) characters is
+    farther than 0.40 (0.23, 0.15), or the common word histogram of one of at
+    least 100 words farther than 0.29, from the references of all languages.  Shorter texts pass by the length guard.
 
     Null and empty texts have counts 0 and fail the base rules.  The column
     ``lang`` only groups the references; rows whose lang is null or has no word
@@ -134,18 +134,23 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
     names = [c for c in (columns or docs.columns) if c not in added]
     lang = [docs["lang"].cast("string").alias("group")] if "lang" in docs.columns else [F.lit(None).cast("string").alias("group")]
     wide = docs.select(*[docs[c].alias(f"in_{c}") for c in names], *lang, docs["text"].alias("text"))
-    f = stored(_features(wide, [f"in_{c}" for c in names] + ["group"]), "features")
-    f = f.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
-                     | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+
+    def features(passed: Sequence[str]) -> DataFrame:
+        out = _features(wide, passed)
+        return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
+                              | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).withColumn(
+            "common", F.concat("common", F.array(
+                F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x))))
+    # the histograms are written without the texts; where texts are asked for, they are read once more
+    slim = "text" not in names
+    f = stored(features([f"in_{c}" for c in names if slim] + ["group"]), "features")
     n_bins = len(vocabulary())
-    f = f.withColumn("common", F.concat("common", F.array(
-        F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x))))
 
-    def measured(sums) -> DataFrame:
+    def measured(sums, rows: DataFrame) -> DataFrame:
         def nearest(column: str) -> Column:
             each = [_distance(F.col(column), [v / sum(r[column]) for v in r[column]]) for r in sums]
             return F.lit(0.0) if not each else each[0] if len(each) == 1 else F.least(*each)
-        return f.withColumn("class_distance", nearest("classes")).withColumn("word_distance", nearest("common"))
+        return rows.withColumn("class_distance", nearest("classes")).withColumn("word_distance", nearest("common"))
 
     def references(rows: DataFrame):
         return (rows.where(~F.col("base_failed") & F.col("row.group").isin(*COMMON_WORDS))
@@ -156,8 +161,8 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
     # documents far from a first reference do not shape the next ones
     sums = references(f)
     for limit in TRIM:
-        sums = references(measured(sums).where(F.col("class_distance") <= limit)) or sums
-    f = measured(sums)
+        sums = references(measured(sums, f).where(F.col("class_distance") <= limit)) or sums
+    f = measured(sums, f if slim else features([f"in_{c}" for c in names]))
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     odd = (F.col("n_words") >= MIN_HISTOGRAM_WORDS) & (F.col("word_distance") > max_word_distance)
     for least, limit in class_limits:

@@ -54,7 +54,8 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM documents
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
 FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.doc_id""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_components(table(spark, sf_dir, "documents"))
+    out = ngram_jaccard_components(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 @registered("op6_sentence_spans")

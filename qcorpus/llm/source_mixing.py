@@ -117,54 +117,63 @@ def mix_sources(docs: DataFrame, columns: Sequence[str] | None = None, weights:
     over the source (pass, first word, words), passes counted from 0.
 
     Null is a source of its own, the last one.  Documents without words take
-    part with 0.  Null or repeated doc_ids do not matter: a row is known by its
-    place in its source's stream.  Rows equal in id and text are
-    interchangeable.  An empty table gives an empty result.  Raises if there
-    are more than 100,000 sources, as the targets are computed on the driver.
+    part with 0.  Null or repeated doc_ids do not matter: rows equal in id, source
+    and text are interchangeable and follow one another in the stream.  An
+    empty table gives an empty result.  Raises if there are more than 100,000
+    sources, as the targets are computed on the driver.
     """
     spark = docs.sparkSession
     added = ["size", "source_size", "target", "taken", "parts"]
     names = [c for c in (columns or docs.columns) if c not in added]
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     key = F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
-    rows = docs.select(F.struct(*[docs[c].alias(f"in_{c}") for c in names]).alias("row"),
-                       docs["source"].cast("string").alias("source"),
-                       F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
-                       key.alias("key"))
-    rows = stored(rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")), "mix")
-    found = (rows.groupBy("source").agg(F.sum("size").alias("n")).orderBy(F.asc_nulls_last("source"))
-             .limit(MAX_SOURCES + 1).collect())
+    source = docs["source"].cast("string")
+    # rows of equal key and source are one entry of the stream, ``copies`` times as long
+    entries = stored(docs.select(source.alias("source"), key.alias("key"),
+                                 F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"))
+                     .groupBy("source", "key", "size").agg(F.count(F.lit(1)).alias("copies")), "entries")
+    found = (entries.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n"))
+             .orderBy(F.asc_nulls_last("source")).limit(MAX_SOURCES + 1).collect())
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     goals = targets([r["n"] for r in found], weights, budget, max_repeats)
     info = spark.createDataFrame([(r["source"], i, r["n"], g, math.floor(g)) for i, (r, g) in enumerate(zip(found, goals))],
-                                 "source string, source_no int, source_size long, target double, goal long")
-    rows = rows.join(F.broadcast(info.withColumnRenamed("source", "name")),  # at most MAX_SOURCES rows
-                     F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
-    offsets = (rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
+                                 "name string, source_no int, source_size long, target double, goal long")
+    info = F.broadcast(info)  # at most MAX_SOURCES rows
+    rows = (entries.join(info, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
+            .withColumn("length", F.col("size") * F.col("copies"))
+            .withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int")))
+    offsets = (rows.groupBy("source_no", "bucket").agg(F.sum("length").alias("n"))
                .withColumn("base", F.coalesce(F.sum("n").over(
                    Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
                .select("source_no", "bucket", "base"))
-    inside = (Window.partitionBy("source_no", "bucket").orderBy("key", "size")
+    inside = (Window.partitionBy("source_no", "bucket").orderBy("key")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stream = (rows.withColumn("upto", F.sum("size").over(inside)).join(offsets, ["source_no", "bucket"])
-              .withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
-              .drop("bucket", "key", "base", "upto"))
+    stream = (rows.withColumn("upto", F.sum("length").over(inside)).join(offsets, ["source_no", "bucket"])
+              .withColumn("start", F.col("base") + F.col("upto") - F.col("length"))
+              .select("source_no", "key", "size", "length", "start", "source_size", "target", "goal"))
     stream = stored(stream, "stream")
-    pieces = (stream.where("size > 0").select("source_no", "start", "size", "source_size", "goal",
+    pieces = (stream.where("size > 0").select("source_no", "key", "start", "length", "source_size", "goal",
                                               F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("pass"))
               .withColumn("lo", F.col("start") + F.col("pass") * F.col("source_size")).where("lo < goal")
-              .withColumn("hi", F.least(F.col("lo") + F.col("size"), "goal"))
+              .withColumn("hi", F.least(F.col("lo") + F.col("length"), "goal"))
               .withColumn("rank", F.explode(F.expr(f"sequence(lo div {block}, (hi - 1) div {block})"))))
     slots = schedule(spark, [math.floor(g) for g in goals], block).select("source_no", "rank")
     took = (pieces.join(slots, ["source_no", "rank"])
             .withColumn("n", F.least("hi", (F.col("rank") + 1) * block) - F.greatest("lo", F.col("rank") * block))
-            .withColumn("first", F.greatest("lo", F.col("rank") * block) - F.col("lo"))
-            .groupBy("source_no", "start", "pass").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
-            .groupBy("source_no", "start").agg(F.sum("n").alias("taken"), F.array_sort(F.collect_list(
-                F.struct(F.col("pass"), F.col("first"), F.col("n").alias("words")))).alias("parts")))
-    known = F.when(F.col("size") > 0, F.col("start"))
-    none = F.array().cast("array<struct<pass:int,first:bigint,words:bigint>>")
-    return (stream.withColumn("start", known).join(took, ["source_no", "start"], "left")
-            .select(*[F.col("row")[f"in_{c}"].alias(c) for c in names], "size", "source_size", "target",
-                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("parts", none).alias("parts")))
+            .groupBy("source_no", "key", "pass").agg(F.sum("n").alias("n"))  # slots of a source leave no gap
+            .groupBy("source_no", "key").agg(F.array_sort(F.collect_list(F.struct("pass", "n"))).alias("passes")))
+    about = stream.select("source_no", "key", "size", "source_size", "target").join(took, ["source_no", "key"], "left")
+    about = about.join(info.select("source_no", "name"), "source_no")
+    full = docs.select(F.struct(*[docs[c].alias(f"in_{c}") for c in names]).alias("row"), source.alias("source"),
+                       key.alias("key"))
+    joined = (full.join(about.withColumnRenamed("key", "key2"),
+                        (F.col("key") == F.col("key2")) & F.col("source").eqNullSafe(F.col("name")))
+              .withColumn("copy", F.row_number().over(Window.partitionBy("key", "source").orderBy("size")) - 1))
+    begin = F.col("copy") * F.col("size")
+    parts = F.filter(F.transform("passes", lambda p: F.struct(
+        p["pass"].alias("pass"), F.lit(0).cast("long").alias("first"),
+        F.least("size", F.greatest(F.lit(0), p["n"] - begin)).cast("long").alias("words"))), lambda p: p["words"] > 0)
+    out = joined.withColumn("parts", F.coalesce(parts, F.array().cast("array<struct<pass:int,first:bigint,words:bigint>>")))
+    return out.select(*[F.col("row")[f"in_{c}"].alias(c) for c in names], "size", "source_size", "target",
+                      F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["words"]).alias("taken"), "parts")
