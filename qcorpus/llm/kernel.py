@@ -72,13 +72,15 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True):
+def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, prefixes: tuple[int, ...] = ()):
     """Words of the texts as (start, end, text number, hash); A-Z are
-    lowered before hashing when ``lower``."""
+    lowered before hashing when ``lower``.  With ``prefixes`` (lengths in bytes)
+    the hash is a row of a matrix whose other rows are the hashes of the
+    words' beginnings, 0 for words that are not longer."""
     n = len(raw)
     if n == 0:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty, np.zeros((1 + len(prefixes), 0) if prefixes else 0, np.uint64)
     inside = ~SPACE[raw]
     before = np.empty(n, bool)
     before[0] = False
@@ -101,6 +103,14 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True):
     h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _FACTORS[4])
     counts = np.searchsorted(starts, offsets)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(counts))
+    if prefixes:
+        rows = [h]
+        for k in prefixes:
+            cut = np.minimum(starts + k, ends)
+            part = mix((total[cut] - total[starts]) * down[starts] + _FACTORS[3:4] * np.uint64(k))
+            part[cut == ends] = 0
+            rows.append(part)
+        h = np.stack(rows)
     return starts, ends, text, h
 
 

@@ -5,6 +5,10 @@ gets p_i = sigmoid(bias + sum of the weights of its words), the document
 1 - prod(1 - p_i) (noisy-or), and the weights are trained on the documents'
 log-likelihood.  Afterwards the sentence scores locate the offending sentences.
 
+A word's features are the word and its beginnings of 4 to 8 bytes, which carry
+over to inflected forms.  Only features whose presence depends on the label in
+the sample (likelihood ratio statistic) get a weight.
+
 The model is fitted on a bounded sample: at most ``sample`` documents per
 class, those with the smallest hash of their id, of at most ``max_bytes`` bytes
 each.  All documents are scored, by whole texts.  Inputs of a score are
@@ -22,9 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
+from .scratch import stored
 
-BITS = 18  # log2 of the number of hashed word weights
+PREFIXES = (4, 5, 6, 7, 8)
 SAMPLE = 3000
+MIN_STATISTIC = 15.0  # likelihood ratio of a feature that gets a weight
+MAX_FEATURES = 20_000  # those of the largest statistic
 MAX_TRAIN_BYTES = 200_000
 LOCATE = 0.5  # score from which a sentence is reported
 THRESHOLD = 0.7
@@ -41,12 +48,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sentences(raw: np.ndarray, offsets: np.ndarray):
-    """(bucket, sentence) per word and (text, first byte, end byte) per
+    """(features, sentence) per word and (text, first byte, end byte) per
     sentence with a word, of one slice of texts."""
-    starts, ends, text, h = kernel.words(_PLAIN[raw], offsets)
+    starts, ends, text, features = kernel.words(_PLAIN[raw], offsets, prefixes=PREFIXES)
     if not len(starts):
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z
+        return features, z, z, z, z
     breaks = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(_BREAK[raw], out=breaks[1:])
     new = np.ones(len(starts), bool)
@@ -54,44 +61,55 @@ def _sentences(raw: np.ndarray, offsets: np.ndarray):
     first = np.flatnonzero(new)
     sentence = np.cumsum(new) - 1
     last = np.append(first[1:], len(starts)) - 1
-    return (h >> np.uint64(64 - BITS)).astype(np.int64), sentence, text[first], starts[first], ends[last]
+    return features, sentence, text[first], starts[first], ends[last]
 
 
 @dataclass
 class NoisyOr:
-    """Weights of a fitted model."""
+    """A fitted model: sorted feature hashes, their weights, the bias."""
+    features: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def sentence_scores(self, bucket: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
-        z = np.bincount(sentence, weights=self.weights[bucket], minlength=n) + self.bias
+    def __post_init__(self):
+        self.slots = np.zeros(1 << 16, bool)
+        self.slots[self.features >> np.uint64(48)] = True
+
+    def known(self, features: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(feature number, sentence) of the words' features that the model has."""
+        numbers, owners = [], []
+        if len(self.features):
+            for row in features:
+                at = np.flatnonzero(self.slots[row >> np.uint64(48)])
+                k = np.minimum(np.searchsorted(self.features, row[at]), len(self.features) - 1)
+                same = self.features[k] == row[at]
+                numbers.append(k[same])
+                owners.append(sentence[at[same]])
+        if not numbers:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(numbers), np.concatenate(owners)
+
+    def sentence_scores(self, features: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
+        number, owner = self.known(features, sentence)
+        z = np.bincount(owner, weights=self.weights[number], minlength=n) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 250, rate: float = 0.15,
-        decay: float = 2e-4, min_bags: int = 3, rate_positive: float = 0.1) -> NoisyOr:
-    """Fit word weights to document labels; a bag is (bucket, sentence) per
-    word.  Words in fewer than ``min_bags`` bags keep the weight 0.  Classes
-    weigh as if ``rate_positive`` of the documents were positive."""
-    size = 1 << BITS
-    seen = np.zeros(size, np.int64)
-    for bucket, _ in bags:
-        seen[np.unique(bucket)] += 1
-    used = seen >= min_bags
-    compact = np.cumsum(used) - 1
-    word, owner, bag_of, n = [], [], [], 0
-    for k, (bucket, sentence) in enumerate(bags):
-        m = int(sentence[-1]) + 1 if len(sentence) else 0
-        keep = used[bucket]
-        word.append(compact[bucket[keep]])
-        owner.append(sentence[keep] + n)
-        bag_of.append(np.full(m, k))
-        n += m
-    word, owner, bag_of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (word, owner, bag_of))
-    k, y = int(used.sum()), labels.astype(float)
+def fit(features: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, rounds: int = 250,
+        rate: float = 0.15, decay: float = 1e-4, rate_positive: float = 0.3) -> NoisyOr:
+    """Fit the weights of ``features`` to document labels; a bag is (feature
+    numbers, their sentences, number of sentences).  Classes weigh as if
+    ``rate_positive`` of the documents were positive."""
+    y = labels.astype(float)
     share = y.mean() if len(y) else 0.0
     if not 0 < share < 1:
-        return NoisyOr(np.zeros(size), -12.0 if share == 0 else 12.0)
+        return NoisyOr(np.zeros(0, np.uint64), np.zeros(0), -12.0 if share == 0 else 12.0)
+    sizes = np.array([b[2] for b in bags])
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    word = np.concatenate([b[0] for b in bags])
+    owner = np.concatenate([b[1] + at for b, at in zip(bags, begin)])
+    bag_of = np.repeat(np.arange(len(bags)), sizes)
+    k, n = len(features), int(begin[-1])
     weight = np.where(y == 1, rate_positive / share, (1 - rate_positive) / (1 - share))
     w, b = np.zeros(k), -5.0
     moment, speed = np.zeros(k + 1), np.zeros(k + 1)
@@ -109,9 +127,37 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
         move = rate * (moment / (1 - 0.9 ** step)) / (np.sqrt(speed / (1 - 0.999 ** step)) + 1e-8)
         w -= move[:-1]
         b -= move[-1]
-    full = np.zeros(size)
-    full[used] = w
-    return NoisyOr(full, float(b))
+    return NoisyOr(features, w, float(b))
+
+
+def likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """The statistic of independence of presence and label (G)."""
+    total = np.zeros(len(pos))
+    for have, n in ((pos, n_pos), (neg, n_neg)):
+        for seen, both in ((have, pos + neg), (n - have, n_pos + n_neg - pos - neg)):
+            expected = both * (n / (n_pos + n_neg))
+            total += np.where(seen > 0, 2 * seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-12)), 0)
+    return total
+
+
+def _presence(batches):
+    """(feature, pos, neg): documents of a task that have the feature."""
+    parts = {0: [], 1: []}
+    for batch in batches:
+        labels = batch.column("toxic").to_numpy(zero_copy_only=False)
+        for lo, hi, raw, offsets in kernel.slices(batch.column("text")):
+            features, sentence, text, _, _ = _sentences(raw, offsets)
+            at = np.searchsorted(text[sentence] if len(sentence) else text, np.arange(hi - lo + 1))
+            for k in range(hi - lo):
+                parts[int(labels[lo + k])].append(kernel.unique(features[:, at[k]:at[k + 1]].ravel()))
+    keys, counts = {}, {}
+    for label, found in parts.items():
+        keys[label], counts[label] = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+    for label in (0, 1):
+        n = np.zeros(len(keys[label]), np.int64)
+        yield pa.RecordBatch.from_pydict({"feature": pa.array(kernel.signed(keys[label])),
+                                          "pos": pa.array(counts[label] if label else n),
+                                          "neg": pa.array(n if label else counts[label])})
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_bytes: int = MAX_TRAIN_BYTES) -> NoisyOr:
@@ -126,25 +172,43 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_bytes: i
     texts = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
              .where("octet_length(text) between 1 and " + str(max_bytes))
              .join(F.broadcast(chosen), "doc_id").select("h", "toxic", "text"))  # at most 2 * sample rows
+    texts = stored(texts.repartition(texts.sparkSession.sparkContext.defaultParallelism, "h"), "sample")
+    n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    seen = (texts.mapInArrow(_presence, "feature long, pos long, neg long")
+            .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+            .where("pos + neg >= 3 and feature <> 0"))
+
+    def rated(batches):
+        for batch in batches:
+            pos, neg = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "neg"))
+            g = likelihood_ratio(pos, neg, n.get(1, 0), n.get(0, 0))
+            yield pa.RecordBatch.from_pydict({"feature": batch.column("feature"), "g": pa.array(g)}).filter(
+                pa.array(g >= MIN_STATISTIC))
+    chosen = seen.mapInArrow(rated, "feature long, g double").orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).collect()
+    features = np.sort(np.array([r["feature"] for r in chosen], np.int64).view(np.uint64))
+    blank = NoisyOr(features, np.zeros(len(features)), 0.0)
 
     def bags(batches):
         for batch in batches:
-            bucket_all, sentence_all = [], []
+            numbers, owners, sizes = [], [], []
             for lo, hi, raw, offsets in kernel.slices(batch.column("text")):
-                bucket, sentence, text, _, _ = _sentences(raw, offsets)
-                owner = text[sentence] if len(sentence) else text
-                at = np.searchsorted(owner, np.arange(hi - lo + 1))
-                for a, z in zip(at[:-1], at[1:]):
-                    bucket_all.append(bucket[a:z].astype(np.int32).tobytes())
-                    s = sentence[a:z]
-                    sentence_all.append((s - s[0] if z > a else s).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "toxic": batch.column("toxic"),
-                                              "bucket": pa.array(bucket_all, pa.binary()),
-                                              "sentence": pa.array(sentence_all, pa.binary())})
-    rows = texts.mapInArrow(bags, "h long, toxic int, bucket binary, sentence binary").collect()  # bounded sample
-    rows = sorted((r["h"], r["toxic"], bytes(r["bucket"]), bytes(r["sentence"])) for r in rows)
-    return fit([(np.frombuffer(b, np.int32).astype(np.int64), np.frombuffer(s, np.int32).astype(np.int64))
-                for _, _, b, s in rows], np.array([r[1] for r in rows]))
+                found, sentence, text, _, _ = _sentences(raw, offsets)
+                number, owner = blank.known(found, sentence)
+                order = np.argsort(owner, kind="stable")
+                number, owner = number[order], owner[order]
+                at = np.searchsorted(text, np.arange(hi - lo + 1))
+                cut = np.searchsorted(owner, at)
+                for k in range(hi - lo):
+                    numbers.append(number[cut[k]:cut[k + 1]].astype(np.int32).tobytes())
+                    owners.append((owner[cut[k]:cut[k + 1]] - at[k]).astype(np.int32).tobytes())
+                    sizes.append(int(at[k + 1] - at[k]))
+            yield pa.RecordBatch.from_pydict({
+                "h": batch.column("h"), "toxic": batch.column("toxic"), "number": pa.array(numbers, pa.binary()),
+                "owner": pa.array(owners, pa.binary()), "size": pa.array(sizes, pa.int32())})
+    rows = texts.mapInArrow(bags, "h long, toxic int, number binary, owner binary, size int").collect()  # the sample
+    rows = sorted((r["h"], r["toxic"], bytes(r["number"]), bytes(r["owner"]), r["size"]) for r in rows)
+    return fit(features, [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(o, np.int32).astype(np.int64), k)
+                          for _, _, a, o, k in rows], np.array([r[1] for r in rows]))
 
 
 def score(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOLD, locate: float = LOCATE) -> DataFrame:
@@ -155,7 +219,7 @@ def score(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOLD, locate:
     Null, empty and wordless texts have no sentence and score 0.  Repeated rows
     score alike.  An empty table gives an empty result.
     """
-    weights, bias = model.weights.astype(np.float32), model.bias
+    known, weights, bias = model.features, model.weights, model.bias
     spot = T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()),
                          T.StructField("score", T.DoubleType())])
     added = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
@@ -165,14 +229,14 @@ def score(docs: DataFrame, model: NoisyOr, threshold: float = THRESHOLD, locate:
                          docs["text"].cast("string").alias("text"))
 
     def scored(batches):
-        own = NoisyOr(weights, bias)
+        own = NoisyOr(known, weights, bias)
         from pyspark.sql.pandas.types import to_arrow_type
         kind = to_arrow_type(added["offending"].dataType)
         for batch in batches:
             scores, counts, places = [], [], []
             for lo, hi, raw, offsets in kernel.slices(batch.column("text")):
-                bucket, sentence, text, begin, end = _sentences(raw, offsets)
-                p = own.sentence_scores(bucket, sentence, len(text))
+                features, sentence, text, begin, end = _sentences(raw, offsets)
+                p = own.sentence_scores(features, sentence, len(text))
                 none = np.bincount(text, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=hi - lo)
                 scores.append(-np.expm1(none))
                 counts.append(np.bincount(text, minlength=hi - lo))

@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from qcorpus.llm import kernel
 from qcorpus.llm import toxicity as X
 from tests.llm.fixtures import docs, no_docs
 
@@ -33,7 +35,7 @@ def data(spark, rows):
 def test_held_out_accuracy_and_places(spark):
     rows = made(900)
     docs, labels = data(spark, rows)
-    out = X.score(docs, X.train(docs, labels)).withColumn("held_out", X.held_out(docs["doc_id"])).collect()
+    out = X.score(docs, X.train(docs, labels)).withColumn("held_out", X.held_out(F.col("doc_id"))).collect()
     held = [r for r in out if r["held_out"]]
     assert 200 < len(held) < 400
     truth = {r[0]: r for r in rows}
@@ -60,7 +62,8 @@ def test_held_out_labels_do_not_matter(spark):
 
 
 def test_noisy_or_by_hand(spark):
-    model = X.NoisyOr(np.full(1 << X.BITS, 0.25), -1.0)
+    _, _, _, words = kernel.words(np.frombuffer(b"one two three four five", np.uint8), np.array([0, 23]))
+    model = X.NoisyOr(np.sort(words), np.full(5, 0.25), -1.0)
     df = spark.createDataFrame([(1, "One two three. Four!\nfive"), (2, ""), (3, None), (4, " .!? ")], "doc_id long, text string")
     out = {r["doc_id"]: r for r in X.score(df, model).collect()}
     p = [1 / (1 + np.exp(-(0.25 * n - 1))) for n in (3, 1, 1)]
