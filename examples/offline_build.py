@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from qcorpus.functions import scoring as S  # noqa: E402
-from qcorpus.functions.prompts import CLASS_HINTS, class_rules, render_template  # noqa: E402
+from qcorpus.functions.prompts import class_rules, render_template  # noqa: E402
 from qcorpus.functions.text import parse_json_object  # noqa: E402
 from qcorpus.operators import catalog as K  # noqa: E402
 from qcorpus.operators import corpus as C  # noqa: E402
@@ -34,6 +34,8 @@ from qcorpus.session import local_session, table  # noqa: E402
 from qcorpus.sources import sinks  # noqa: E402
 from qcorpus.sources.catalog import flatten_catalog  # noqa: E402
 
+RULES = {"simple": "one table", "conditional": "a filter by cases", "aggregation": "a grouped total",
+         "complex": "a grouped total over a filter by cases"}
 STUB_SQL = {
     "simple": "SELECT c_name FROM customer WHERE c_acctbal > 100",
     "conditional": "SELECT c_name FROM customer WHERE c_mktsegment IN ('BUILDING')",
@@ -86,21 +88,21 @@ def main(sf_dir="/root/testdata/sf0.001", out_dir=None):
     def generate(pending, rnd):
         missing = F.array_join("missing_buckets", ",") if "missing_buckets" in pending.columns else F.lit("")
         p = pending.withColumn("prompt", render_template(template, context="context", target="target",
-                                                         rules=class_rules("target", CLASS_HINTS),
+                                                         rules=class_rules("target", RULES),
                                                          attempt=F.lit(str(rnd)), missing=missing))
         g = batch_generate(p.select("item_id", "db_id", "target", "context", "prompt"), "prompt", stub_generator)
         parsed = parse_json_object(F.col("output"), "struct<question:string, sql:string>")
         return g.select("item_id", "db_id", "target", "context", parsed["question"].alias("question"),
                         parsed["sql"].alias("sql"))
 
-    accepted = generate_until_class(items, generate, lambda d: S.score_columns(d))
+    accepted = generate_until_class(items, generate, lambda d: S.score_columns(d)).where("outcome = 'accepted'")
     corpus = accepted.select(F.col("item_id").alias("question_id"), "db_id", "question", "sql", "difficulty",
                              F.col("attempt").alias("gen_attempts"), (F.col("attempt") > 1).alias("was_refined"))
     # execution validation against the given tables as views
     for t in ("customer", "nation", "orders"):
         table(spark, sf_dir, t).createOrReplaceTempView(t)
     validated = validate_queries(spark, corpus)
-    counts = sinks.write_split(validated, os.path.join(out_dir, "valid"), os.path.join(out_dir, "rejected"))
+    counts = sinks.write_split(validated, os.path.join(out_dir, "split"))
     judged = judge_results(validated.withColumn("executed_ok", F.col("status") == "validated"),
                            lambda d: F.concat(F.lit("Question: "), F.col("question"), F.lit("\nSQL: "), F.col("sql")),
                            stub_judge, executed_col="executed_ok")

@@ -84,7 +84,10 @@ def generate_until_class(items: DataFrame, generate, score, max_rounds: int = MA
     (a DataFrame -> DataFrame step returning ``item, target, sql``, e.g. a
     ``batch_generate`` call) only on unresolved items, scores with
     ``score(df) -> df`` (adds ``difficulty`` and ``buckets_present``), and
-    keeps the accepted rows.  From round 2 on, ``pending`` carries the
+    keeps the accepted rows (``outcome`` = ``accepted``).  Items without an
+    accepted row after the last round come back with their last row, or with
+    their own columns where the generator gave none, and the outcome
+    ``max_retry_exhausted``.  From round 2 on, ``pending`` carries the
     feedback of the item's previous attempt: ``last_sql``,
     ``missing_buckets`` (B9) and ``forbidden_found`` (B10), for the
     refinement prompt.
@@ -96,21 +99,31 @@ def generate_until_class(items: DataFrame, generate, score, max_rounds: int = MA
     from qcorpus.functions.scoring import forbidden_words, missing_buckets
     from qcorpus.session import cut_lineage
 
-    base = items
+    rounds = []
     pending = items
-    accepted = None
     for rnd in range(1, max_rounds + 1):
         if pending.limit(1).count() == 0:  # every item resolved: no more model calls
             break
         out = score(generate(pending, rnd)).withColumn("attempt", F.lit(rnd))
         out = cut_lineage(out)
         ok = out.filter(F.col("difficulty") == F.col(target))
-        accepted = ok if accepted is None else accepted.unionByName(ok, allowMissingColumns=True)
+        rounds.append((out, ok))
         present = F.coalesce(F.col("buckets_present"), F.array().cast("array<string>"))
         feedback = out.join(ok.select(item), item, "left_anti").select(
             item, F.col(sql_col).alias("last_sql"),
             missing_buckets(present, F.col(target)).alias("missing_buckets"),
-            forbidden_words(F.col(sql_col), F.col(target)).alias("forbidden_found"))
-        # the next round's input is cut from this round's lineage too
-        pending = cut_lineage(base.join(feedback, item, "inner"))
-    return accepted
+            forbidden_words(F.col(sql_col), F.col(target)).alias("forbidden_found")).dropDuplicates([item])
+        # the next round's input is cut from this round's lineage too; items
+        # that the generator returned no row for stay pending without feedback
+        todo = pending.select(item).join(ok.select(item), item, "left_anti")
+        pending = cut_lineage(items.join(todo, item, "left_semi").join(feedback, item, "left"))
+    if not rounds:  # no items: the empty result has the columns of a round
+        return score(generate(items, 1)).withColumn("attempt", F.lit(1)).withColumn("outcome", F.lit("accepted")).limit(0)
+    result = None
+    for _, ok in rounds:
+        part = ok.withColumn("outcome", F.lit("accepted"))
+        result = part if result is None else result.unionByName(part, allowMissingColumns=True)
+    last = rounds[-1][0].join(pending.select(item), item, "left_semi").dropDuplicates([item])
+    lost = pending.join(last.select(item), item, "left_anti").select(*[c for c in items.columns])
+    failed = last.unionByName(lost, allowMissingColumns=True).withColumn("outcome", F.lit("max_retry_exhausted"))
+    return result.unionByName(failed, allowMissingColumns=True)

@@ -119,8 +119,8 @@ def neediest_class(collected: DataFrame, quotas: DataFrame) -> DataFrame:
               .withColumn("collected", F.coalesce(F.col("count"), F.lit(0)).cast("bigint"))
     j = j.filter(F.col("collected") < F.col("quota"))
     ratio = F.col("collected").cast("double") / F.col("quota").cast("double")
-    return j.select("class", "class_pos", "collected", "quota", F.round(ratio, 6).alias("ratio")) \
-            .orderBy("ratio", "class_pos").limit(1)
+    first = j.select("class", "class_pos", "collected", "quota", ratio.alias("ratio")).orderBy("ratio", "class_pos").limit(1)
+    return first.withColumn("ratio", F.round("ratio", 6))
 
 
 def assign_ids(df: DataFrame, order_col: str, out_col: str = "seq_id") -> DataFrame:
@@ -131,11 +131,12 @@ def assign_ids(df: DataFrame, order_col: str, out_col: str = "seq_id") -> DataFr
 def select_indexable(df: DataFrame, wanted_status: str = "valid_quality", id_col: str = "question_id",
                      idx_col: str | None = None) -> DataFrame:
     """Rows of the wanted status with non-blank question and SQL, with the
-    index fields (id default ``auto_<idx>``, db_id default ``unknown``)."""
+    index fields (id default ``auto_<idx>``, idx being ``idx_col`` or a hash of
+    question and SQL; db_id default ``unknown``)."""
     q, s = strip_ws(F.col("question")), strip_ws(F.col("sql"))
     kept = df.filter((F.col("status") == wanted_status) & (F.coalesce(q, F.lit("")) != "")
                      & (F.coalesce(s, F.lit("")) != ""))
-    idx = F.col(idx_col) if idx_col else F.lit(None)
+    idx = F.col(idx_col) if idx_col else F.hex(F.xxhash64(q, s))  # the same on every run
     source_id = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("auto_"), idx.cast("string")))
     return kept.select(
         source_id.alias("id"),

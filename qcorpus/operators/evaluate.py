@@ -22,17 +22,18 @@ def rouge_tokens(text: str, stem: bool = True) -> list[str]:
     return [porter_stem(t) if stem and len(t) > 3 else t for t in toks] if stem else toks
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """Longest common subsequence length, O(len(a) * len(b)) time, O(len(b)) memory."""
-    if not a or not b:
-        return 0
-    prev = [0] * (len(b) + 1)
-    for x in a:
-        cur = [0] * (len(b) + 1)
-        for j, y in enumerate(b, 1):
-            cur[j] = prev[j - 1] + 1 if x == y else (prev[j] if prev[j] > cur[j - 1] else cur[j - 1])
-        prev = cur
-    return prev[-1]
+def lcs_length(a: list, b: list) -> int:
+    """Length of the longest common subsequence, bit-parallel: one integer holds
+    a bit per token of ``a`` and is updated once per token of ``b``."""
+    places: dict = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | (1 << i)
+    mask = (1 << len(a)) - 1
+    row = mask
+    for y in b:
+        hit = row & places.get(y, 0)
+        row = ((row + hit) | (row - hit)) & mask
+    return len(a) - row.bit_count()
 
 
 def rouge_l(pred: Column | str, gold: Column | str, stem: bool = True) -> Column:
@@ -68,18 +69,18 @@ def greedy_match_score(tokens: DataFrame, pair_col: str = "pair_id", side_col: s
     One shuffle by pair: each pair's token vectors (a sentence-sized,
     bounded group) are gathered into two arrays and the similarity matrix
     is evaluated in place with higher-order functions, so no token-pair
-    table is materialised or joined twice.  Pairs missing either side are
-    skipped."""
+    table is materialised or joined twice.  A pair with one side empty scores
+    0."""
     from qcorpus.operators.vectors import dot, l2_normalize
     t = tokens.select(pair_col, side_col, pos_col, l2_normalize(vec_col).alias("u"))
     g = t.groupBy(pair_col).agg(
         F.collect_list(F.when(F.col(side_col) == 0, F.col("u"))).alias("__p"),
         F.collect_list(F.when(F.col(side_col) == 1, F.col("u"))).alias("__g"))
-    g = g.filter((F.size("__p") > 0) & (F.size("__g") > 0))
 
     def mean_best(a, b):
         best = F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: dot(x, y))))
-        return F.aggregate(best, F.lit(0.0).cast("double"), lambda acc, v: acc + v) / F.size(a)
+        total = F.aggregate(best, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
+        return F.when((F.size(a) > 0) & (F.size(b) > 0), total / F.size(a)).otherwise(F.lit(0.0))
 
     out = g.select(pair_col, mean_best(F.col("__p"), F.col("__g")).alias("p"),
                    mean_best(F.col("__g"), F.col("__p")).alias("r"))

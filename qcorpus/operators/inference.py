@@ -22,42 +22,60 @@ from qcorpus.functions.text import extract_fenced, parse_json_object, split_reas
 
 def batch_generate(df: DataFrame, prompt_col: str, factory: Callable, out_col: str = "output",
                    batch_size: int = 16, timeout_sec: float | None = None) -> DataFrame:
-    """``df`` plus ``out_col`` (text) and token counts per row.  A call
-    that raises, or runs longer than ``timeout_sec``, gives null outputs for
-    its rows (the task goes on with the next chunk)."""
+    """``df`` plus ``out_col`` (text), token counts and
+    ``generation_error`` per row.
+
+    A call that raises is repeated prompt by prompt, so one bad prompt costs
+    only its own row.  A call that runs longer than ``timeout_sec`` is given up
+    (its rows get the error ``timeout``) and a new predictor on a new thread
+    takes the next calls, which do not queue behind the hung one."""
     fields = [f for f in df.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    schema += f", `{out_col}` string, prompt_tokens bigint, completion_tokens bigint"
+    schema += f", `{out_col}` string, prompt_tokens bigint, completion_tokens bigint, generation_error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from concurrent.futures import ThreadPoolExecutor
-        from concurrent.futures import TimeoutError as CallTimeout
+        import threading
         predict = factory()
-        pool = ThreadPoolExecutor(max_workers=1) if timeout_sec else None
 
-        def call(chunk):
-            if pool is None:
+        def once(chunk):
+            nonlocal predict
+            if not timeout_sec:
                 return predict(chunk)
-            return pool.submit(predict, chunk).result(timeout=timeout_sec)
+            got, own = {}, predict
+
+            def work():
+                try:
+                    got["result"] = own(chunk)
+                except Exception as e:  # reported below, on the task's thread
+                    got["error"] = e
+            worker = threading.Thread(target=work, daemon=True)
+            worker.start()
+            worker.join(timeout_sec)
+            if worker.is_alive():
+                predict = factory()
+                raise TimeoutError("timeout")
+            if "error" in got:
+                raise got["error"]
+            return got["result"]
+
+        def call(chunk):
+            try:
+                return [dict(r or {}) for r in once(chunk)]
+            except TimeoutError:
+                return [{"error": "timeout"}] * len(chunk)
+            except Exception as e:
+                if len(chunk) == 1:
+                    return [{"error": f"{type(e).__name__}: {e}"}]
+                return [r for prompt in chunk for r in call([prompt])]
 
         for pdf in batches:
-            texts, pt, ct = [], [], []
             prompts = pdf[prompt_col].fillna("").tolist()
-            for i in range(0, len(prompts), batch_size):
-                chunk = prompts[i:i + batch_size]
-                try:
-                    res = call(chunk)
-                except (CallTimeout, Exception):
-                    res = [None] * len(chunk)
-                for r in res:
-                    r = r or {}
-                    texts.append(r.get("text"))
-                    pt.append(r.get("prompt_tokens"))
-                    ct.append(r.get("completion_tokens"))
+            res = [r for i in range(0, len(prompts), batch_size) for r in call(prompts[i:i + batch_size])]
             out = pdf.copy()
-            out[out_col] = texts
-            out["prompt_tokens"] = pd.array(pt, dtype="Int64")
-            out["completion_tokens"] = pd.array(ct, dtype="Int64")
+            out[out_col] = [r.get("text") for r in res]
+            out["prompt_tokens"] = pd.array([r.get("prompt_tokens") for r in res], dtype="Int64")
+            out["completion_tokens"] = pd.array([r.get("completion_tokens") for r in res], dtype="Int64")
+            out["generation_error"] = [r.get("error") for r in res]
             yield out
 
     return df.mapInPandas(run, schema)
@@ -70,7 +88,7 @@ def correction_chain(df: DataFrame, stages: list[dict]) -> DataFrame:
     extract the block into ``out``; later stages may read earlier outputs."""
     for st in stages:
         df = df.withColumn("__prompt", st["prompt"](df))
-        df = batch_generate(df, "__prompt", st["factory"], "__raw").drop("__prompt", "prompt_tokens", "completion_tokens")
+        df = batch_generate(df, "__prompt", st["factory"], "__raw").drop("__prompt", "prompt_tokens", "completion_tokens", "generation_error")
         df = df.withColumn(st["out"], extract_fenced("__raw", st.get("dialect", "stage"))).drop("__raw")
     return df
 

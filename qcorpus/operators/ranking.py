@@ -90,6 +90,8 @@ def bucketed_row_number(df: DataFrame, partition_cols: list[str], order_col: str
             origin, bucket_width = (_width_from_stats(*stats, target_rows) if stats
                                     else _adaptive_width(df, order_col, target_rows))
         keyed = df.withColumn(b, F.floor((F.col(order_col) - F.lit(origin)) / F.lit(bucket_width)).cast("bigint"))
+    # rows without an order key come first, in a range of their own
+    keyed = keyed.withColumn(b, F.coalesce(F.col(b), F.lit(-(1 << 62))))
     local = Window.partitionBy(*partition_cols, b).orderBy(order_col)
     counts = keyed.groupBy(*partition_cols, b).agg(F.count(F.lit(1)).alias("__n"))
     keyed = keyed.withColumn("__local_rn", F.row_number().over(local))

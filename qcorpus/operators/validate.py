@@ -43,7 +43,7 @@ def _run_one(spark: SparkSession, sql: str, limit: float):
         except Exception as e:  # engine error: condition + SQLSTATE when available
             cond = getattr(e, "getCondition", lambda: None)() or type(e).__name__
             state = getattr(e, "getSqlState", lambda: None)()
-            result["err"] = (cond, state, str(e).splitlines()[0][:500])
+            result["err"] = (cond, state, str(e))
 
     th = threading.Thread(target=target, daemon=True)
     th.start()

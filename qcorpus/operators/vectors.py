@@ -2,9 +2,9 @@
 
 Exact nearest neighbours scan the stored vectors once.  The query batch is
 small and its size is checked before it is shipped to the executors as a
-broadcast variable; each task multiplies its Arrow batches by the query
-matrix with numpy and keeps only its own top-k per query, so at most
-``k x tasks`` candidates per query reach the shuffle.  A final
+broadcast variable; each task multiplies tiles of its vectors by tiles of the
+query matrix with numpy and keeps a running top-k per query (ties by id), so at
+most ``k x tasks`` candidates per query reach the shuffle.  A final
 ``row_number() <= k`` per query (window-group-limit) picks the global top-k.
 No pair table is ever materialised.  Query batches above the bound are
 processed in bounded chunks, each a separate scan, with the same result.
@@ -22,6 +22,7 @@ from qcorpus.operators.ranking import batch_id as _batch_id
 from qcorpus.operators.ranking import global_row_number
 
 MAX_BROADCAST_BYTES = 64 << 20  # bound on the query matrix shipped to every executor
+TILE_ROWS, TILE_QUERIES = 4096, 1024  # one similarity tile is at most 32 MB
 
 
 def _col(c):
@@ -67,26 +68,33 @@ def _topk_scan(vectors: DataFrame, qids, qmat, k: int, id_col: str, vec_col: str
         import numpy as np
         import pandas as pd
         ids_q, m = get()
+        best = None  # this task's top k per query so far
+
+        def keep_best(frame):
+            # similarity descending, then id: the order of the final result
+            frame = frame.sort_values(["q", "s", "id"], ascending=[True, False, True], kind="stable")
+            return frame.groupby("q", sort=False).head(k)
+
         for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(x, axis=1, keepdims=True)
-            x = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
-            sims = x @ m.T                                    # rows: vectors, cols: queries
-            ids = pdf[id_col].to_numpy()
-            if exclude_self:
-                sims = np.where(ids[:, None] == ids_q[None, :], -np.inf, sims)
-            kk = min(k, len(ids))
-            # per query the kk best of this batch (ties broken by id later)
-            part = np.argpartition(-sims, kk - 1, axis=0)[:kk] if kk < len(ids) else \
-                np.tile(np.arange(len(ids))[:, None], (1, len(ids_q)))
-            rows_v = part.ravel()
-            cols_q = np.tile(np.arange(len(ids_q)), part.shape[0])
-            s = sims[rows_v, cols_q]
-            keep = np.isfinite(s)
-            yield pd.DataFrame({"query_id": ids_q[cols_q][keep], id_col: ids[rows_v][keep],
-                                "similarity": s[keep]})
+            for lo in range(0, len(pdf), TILE_ROWS):
+                part = pdf.iloc[lo:lo + TILE_ROWS]
+                x = np.stack(part[vec_col].to_numpy()).astype(np.float64)
+                norms = np.linalg.norm(x, axis=1, keepdims=True)
+                x = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+                ids = part[id_col].to_numpy()
+                found = []
+                for q0 in range(0, len(ids_q), TILE_QUERIES):
+                    sims = x @ m[q0:q0 + TILE_QUERIES].T              # rows: vectors, cols: queries
+                    if exclude_self:
+                        sims = np.where(ids[:, None] == ids_q[None, q0:q0 + TILE_QUERIES], -np.inf, sims)
+                    # all rows that reach the k-th best of the tile, ties included
+                    kth = np.partition(sims, max(len(ids) - k, 0), axis=0)[max(len(ids) - k, 0)]
+                    row, col = np.nonzero((sims >= kth) & np.isfinite(sims))
+                    found.append(pd.DataFrame({"q": q0 + col, "s": sims[row, col], "id": ids[row]}))
+                best = keep_best(pd.concat(found if best is None else [best, *found], ignore_index=True))
+        if best is not None and len(best):
+            yield pd.DataFrame({"query_id": ids_q[best["q"].to_numpy()], id_col: best["id"].to_numpy(),
+                                "similarity": best["s"].to_numpy()})
 
     schema = f"query_id {_id_type(qids)}, {id_col} {dict(vectors.dtypes)[id_col]}, similarity double"
     cand = vectors.select(id_col, vec_col).mapInPandas(scan, schema)
@@ -133,23 +141,45 @@ def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int = 3, query_id:
     return out
 
 
-def approx_similar(queries: DataFrame, vectors: DataFrame, max_distance: float, query_id: str = "query_id",
+def approx_similar(queries: DataFrame, vectors: DataFrame, k: int = 3, query_id: str = "query_id",
                    query_vec: str = "embedding", id_col: str = "id", vec_col: str = "embedding",
-                   bucket_length: float = 0.5, num_tables: int = 4, seed: int = 7) -> DataFrame:
-    """Approximate neighbours within ``max_distance`` (cosine distance)
-    by random-projection LSH on unit vectors: the equi-join on hash buckets
-    replaces the all-pairs scan; Euclidean distance on unit vectors gives
-    ``cos = 1 - d^2 / 2``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    qa = queries.select(F.col(query_id).alias("query_id"), array_to_vector(l2_normalize(query_vec)).alias("v"))
-    va = vectors.select(F.col(id_col).alias(id_col), array_to_vector(l2_normalize(vec_col)).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(va)
-    euclid = (2.0 * max_distance) ** 0.5
-    j = lsh.approxSimilarityJoin(qa, va, euclid, distCol="euclid")
-    return j.select(F.col("datasetA.query_id").alias("query_id"), F.col(f"datasetB.{id_col}").alias(id_col),
-                    (F.lit(1.0) - F.col("euclid") * F.col("euclid") / 2).alias("similarity"))
+                   bits: int = 6, num_tables: int = 24, seed: int = 7, exclude_self: bool = False) -> DataFrame:
+    """Approximate top ``k`` by cosine similarity, by sign random projection.
+    A table's bucket is the signs of ``bits`` random projections; two vectors at
+    angle a share one with probability ``(1 - a / pi) ** bits`` whatever the
+    dimension, so ``num_tables`` sets the recall.  Candidates are distinct pairs
+    of a query and a vector that share a bucket; their similarity is computed
+    exactly and the best ``k`` per query stay (ties by id).  Choose ``bits`` near
+    ``log2(vectors / 1000)``, so that a bucket holds about a thousand vectors."""
+    import numpy as np
+    row = vectors.select(F.size(vec_col).alias("d")).where("d > 0").first()
+    dim = row["d"] if row else 0
+    planes = np.random.default_rng(seed).standard_normal((dim, bits * num_tables))
+
+    def signs(batches):
+        import numpy as np
+        import pandas as pd
+        for pdf in batches:
+            x = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, dim))
+            on = (x @ planes > 0).reshape(len(pdf), num_tables, bits)
+            code = (on << np.arange(bits)).sum(axis=2) + (np.arange(num_tables) << bits)
+            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "buckets": list(code)})
+
+    def hashed(df, i, v, name):
+        kind = dict(df.select(i).dtypes)[i]
+        unit = df.select(F.col(i).alias("id"), l2_normalize(v).alias("v")).where(F.size("v") == dim)
+        return unit, unit.mapInPandas(signs, f"id {kind}, buckets array<bigint>") \
+            .select(F.col("id").alias(name), F.explode("buckets").alias("bucket"))
+    qv, qb = hashed(queries, query_id, query_vec, "query_id")
+    vv, vb = hashed(vectors, id_col, vec_col, "vid")
+    pairs = qb.join(vb, "bucket").select("query_id", "vid").distinct()
+    if exclude_self:
+        pairs = pairs.where(F.col("query_id") != F.col("vid"))
+    scored = pairs.join(qv.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id") \
+        .join(vv.select(F.col("id").alias("vid"), F.col("v").alias("b")), "vid") \
+        .select("query_id", F.col("vid").alias(id_col), dot("a", "b").alias("similarity"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.col(id_col))
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def retrieve_examples(hits: DataFrame, metadata: DataFrame, queries: DataFrame, id_col: str = "id",

@@ -87,16 +87,28 @@ def assign_round_robin(items: DataFrame, order_col: str, dbs: DataFrame, out_col
     d = dbs.select("db_id").distinct()
     n = d.select(F.count(F.lit(1))).scalar()
     from qcorpus.session import broadcast_if_small
-    dpos = d.withColumn("__pos", F.row_number().over(Window.orderBy("db_id")) - 1)  # one row per database
+    # numbered over hashed ranges of the name's first bytes, never in one task
+    key = F.conv(F.substring(F.rpad(F.hex(F.col("db_id").cast("binary")), 12, "0"), 1, 12), 16, 10).cast("bigint")
+    starts = Window.orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = d.withColumn("__key", F.floor(key / (1 << 24)))
+    offsets = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")) \
+        .withColumn("__before", F.coalesce(F.sum("__n").over(starts), F.lit(0))).drop("__n")  # a row per 3-byte prefix
+    inside = Window.partitionBy("__key").orderBy("db_id")
+    dpos = keyed.join(offsets, "__key").withColumn("__pos", F.col("__before") + F.row_number().over(inside) - 1) \
+        .select("db_id", "__pos")
     return ranked.withColumn("__pos", F.pmod(F.col("__seq") - 1, n)) \
                  .join(broadcast_if_small(dpos.withColumnRenamed("db_id", out_col)), "__pos", "inner") \
                  .drop("__pos", "__seq")
 
 
-def table_descriptions(described_columns: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+def table_descriptions(described_columns: DataFrame, tables: DataFrame | None = None,
+                       samples: DataFrame | None = None) -> DataFrame:
     """Per (db_id, table): ``Table 'T' columns: [c1 (desc), c2, ...]`` in
     column order (a description is appended in parentheses when non-empty).
-    With ``tables`` (db_id, table_name), tables without columns get ``[]``."""
+    With ``tables`` (db_id, table_name), tables without columns get ``[]``.
+    With ``samples`` (table_name, columns, sample: one row per table, see
+    ``sample_rows``) a line ``Sample: columns -> row`` follows, and counts in
+    every length test."""
     col_str = F.when(F.col("description") != "", F.concat("column_name", F.lit(" ("), "description", F.lit(")"))) \
                .otherwise(F.col("column_name"))
     g = described_columns.groupBy("db_id", "table_name").agg(
@@ -104,9 +116,12 @@ def table_descriptions(described_columns: DataFrame, tables: DataFrame | None =
     if tables is not None:
         g = tables.select("db_id", "table_name").join(g, ["db_id", "table_name"], "left")
     cs = F.coalesce(F.transform("cs", lambda x: x["c"]), F.array().cast("array<string>"))
-    return g.select("db_id", "table_name",
-                    F.concat(F.lit("Table '"), "table_name", F.lit("' columns: ["),
-                             F.array_join(cs, ", "), F.lit("]")).alias("schema_str"))
+    text = F.concat(F.lit("Table '"), F.col("table_name"), F.lit("' columns: ["), F.array_join(cs, ", "), F.lit("]"))
+    if samples is not None:
+        g = g.join(samples.select("table_name", "columns", "sample"), "table_name", "left")
+        text = F.concat(text, F.coalesce(F.concat(F.lit("\n  Sample: "), F.col("columns"), F.lit(" -> "), F.col("sample")),
+                                         F.lit("")))
+    return g.select("db_id", "table_name", text.alias("schema_str"))
 
 
 def pack_budget(walks: DataFrame, table_desc: DataFrame, walk_col: str = "walk_id",
@@ -114,7 +129,8 @@ def pack_budget(walks: DataFrame, table_desc: DataFrame, walk_col: str = "walk_i
     """Per walk, keep the path's tables in order while
     ``chars + len + reserve <= limit`` (chars grows by len + 2 per kept
     table, stop at the first overflow); the context is the kept texts joined
-    by a blank line, cut at ``limit``.
+    by a blank line, cut at ``limit``.  A walk whose first table does not fit
+    keeps an empty context.
 
     Each database's table texts become one map (a dimension-sized row per
     database, joined onto the walks by ``db_id``); the budget is then a fold
@@ -134,5 +150,4 @@ def pack_budget(walks: DataFrame, table_desc: DataFrame, walk_col: str = "walk_i
 
     kept = F.aggregate(F.coalesce(texts, F.array().cast("array<string>")), init, step)["kept"]
     return j.select(walk_col, F.size(kept).cast("bigint").alias("kept_tables"),
-                    F.substring(F.array_join(kept, "\n\n"), 1, limit).alias("context")) \
-            .filter(F.col("kept_tables") > 0)
+                    F.substring(F.array_join(kept, "\n\n"), 1, limit).alias("context"))

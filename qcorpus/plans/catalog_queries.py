@@ -270,6 +270,37 @@ def highlighted_schema(spark, sf_dir):
     return L.highlighted_schema(links, named, fk_map)
 
 
+# --- sample rows --------------------------------------------------------------
+
+# Given tables by their key; whole-number, text and date columns, as both engines print these alike.
+SAMPLED = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_mktsegment", "supplier": "s_suppkey s_name s_nationkey",
+    "part": "p_partkey p_name p_brand p_size", "orders": "o_orderkey o_custkey o_orderstatus o_orderpriority",
+    "lineitem": "l_orderkey l_linenumber l_partkey l_returnflag", "events": "event_id user_id event_type",
+    "documents": "doc_id lang source n_chars", "embeddings": "vec_id label", "pages": "page_id url",
+    "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role",
+}
+ORDER = {"lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"], "conversations": ["conv_id", "turn"]}
+BUDGET, RESERVE = 700, 60  # small enough that walks of this catalog overflow it
+
+
+def _sample_sql(name):
+    cols = SAMPLED[name].split()
+    order = ", ".join(ORDER.get(name, cols[:1]))
+    obj = ", ".join(f"{c} := {c}" for c in cols)
+    return (f"(select '{name}' as table_name, '{','.join(cols)}' as columns, "
+            f"cast(to_json(struct_pack({obj})) as varchar) as sample from {name} order by {order} limit 1)")
+
+
+SAMPLES_SQL = " union all ".join(f"select * from {_sample_sql(n)}" for n in SAMPLED)
+
+
+def _samples(spark, sf_dir):
+    from qcorpus.sources.catalog import sample_rows as sr
+    return sr({n: table(spark, sf_dir, n).select(*c.split()) for n, c in SAMPLED.items()}, ORDER)
+
+
 # --- walks ------------------------------------------------------------------
 
 def _walk_step(k, prev):
@@ -313,25 +344,29 @@ def random_walks(spark, sf_dir):
 
 @register("pack_budget", "E4 C2", sql=f"""
 with {CAT}, {FK}, {WALKS}, {DESC_SQL},
+smp as (select table_name, chr(10) || '  Sample: ' || columns || ' -> ' || sample as line from ({SAMPLES_SQL})),
 described as (select n.db_id, n.col_idx, n.table_name, n.column_name, coalesce(d.description, '') as description
   from named n left join (select lower(concat("table", '.', "column")) as key, max(description) as description
                           from descs group by 1) d on lower(concat(n.table_name, '.', n.column_name)) = d.key),
 tdesc as (select db_id, table_name, concat('Table ''', table_name, ''' columns: [',
   string_agg(case when description <> '' then concat(column_name, ' (', description, ')') else column_name end,
-             ', ' order by col_idx), ']') as schema_str from described group by 1, 2),
+             ', ' order by col_idx), ']', coalesce(any_value(smp.line), '')) as schema_str
+  from described left join smp using (table_name) group by 1, 2),
 steps as (select walk_id, db_id, unnest(path) as table_name, generate_subscripts(path, 1) as pos from walks),
 j as (select s.walk_id, s.pos, t.schema_str,
   coalesce(sum(length(t.schema_str) + 2) over (partition by s.walk_id order by s.pos
            rows between unbounded preceding and 1 preceding), 0) as before
   from steps s join tdesc t on s.db_id = t.db_id and s.table_name = t.table_name),
-kept as (select * from j where before + length(schema_str) + 500 <= 8000)
-select walk_id, count(*) as kept_tables,
-  md5(substr(string_agg(schema_str, chr(10) || chr(10) order by pos), 1, 8000)) as context_md5
-from kept group by 1""")
+stops as (select walk_id, min(pos) as pos from j where before + length(schema_str) + {RESERVE} > {BUDGET} group by 1),
+kept as (select j.* from j left join stops using (walk_id) where stops.pos is null or j.pos < stops.pos),
+texts as (select walk_id, count(*) as n, substr(string_agg(schema_str, chr(10) || chr(10) order by pos), 1, {BUDGET}) as x
+  from kept group by 1)
+select walks.walk_id, coalesce(n, 0) as kept_tables, md5(coalesce(x, '')) as context_md5
+from walks left join texts using (walk_id)""")
 def pack_budget(spark, sf_dir):
     cat, w = _walks(spark, sf_dir)
-    desc = W.table_descriptions(K.describe_columns(cat, derived_descriptions(cat)), cat.tables)
-    out = W.pack_budget(w, desc)
+    desc = W.table_descriptions(K.describe_columns(cat, derived_descriptions(cat)), cat.tables, _samples(spark, sf_dir))
+    out = W.pack_budget(w, desc, limit=BUDGET, reserve=RESERVE)
     return out.select("walk_id", "kept_tables", F.md5("context").alias("context_md5"))
 
 
@@ -346,15 +381,6 @@ def assign_round_robin(spark, sf_dir):
     return W.assign_round_robin(items, "question_id", cat.tables.select("db_id"))
 
 
-@register("sample_rows", "A5", sql="""
-select 'nation' as table_name, 'n_nationkey,n_name,n_regionkey' as columns,
-  (select concat('{"n_nationkey":', n_nationkey, ',"n_name":"', n_name, '","n_regionkey":', n_regionkey, '}')
-   from nation order by n_nationkey limit 1) as sample
-union all
-select 'orders', 'o_orderkey,o_custkey,o_orderstatus',
-  (select concat('{"o_orderkey":', o_orderkey, ',"o_custkey":', o_custkey, ',"o_orderstatus":"', o_orderstatus, '"}')
-   from orders order by o_orderkey limit 1)""")
+@register("sample_rows", "A5", sql=SAMPLES_SQL)
 def sample_rows(spark, sf_dir):
-    from qcorpus.sources.catalog import sample_rows as sr
-    return sr({"nation": table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"),
-               "orders": table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")})
+    return _samples(spark, sf_dir)

@@ -73,10 +73,20 @@ def retrieve_examples(spark, sf_dir):
     return V.retrieve_examples(hits, vector_metadata(vec), _centroid_queries(spark, sf_dir))
 
 
-@register("approx_similar", "C9")
+APPROX = {"bits": 4, "num_tables": 40}
+
+
+@register("approx_similar", "C9", sql=f"""
+with {CENT_SQL},
+sims as (select cast(cent.label as bigint) as query_id, e.vec_id as id,
+                list_cosine_similarity(c, cast(e.embedding as double[])) as similarity from cent, embeddings e),
+ranked as (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from sims)
+select query_id, id, cast(rank as bigint) as rank, round(similarity, 6) as similarity from ranked where rank <= 3""")
 def approx_similar(spark, sf_dir):
     vec = fixtures.load(spark, sf_dir, "vectors")
-    return V.approx_similar(_centroid_queries(spark, sf_dir), vec, max_distance=0.9)
+    r = V.approx_similar(_centroid_queries(spark, sf_dir), vec, k=3, **APPROX)
+    return r.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"),
+                    F.round("similarity", 6).alias("similarity"))
 
 
 @register("batch_ids", "E9", sql="""
@@ -104,7 +114,9 @@ pr as (select pair_id, avg(m) as p from (select pair_id, pp, max(sim) as m from
 rc as (select pair_id, avg(m) as r from (select pair_id, gp, max(sim) as m from s group by 1, 2) group by 1)
 select pair_id, round(p, 6) as bert_precision, round(r, 6) as bert_recall,
   round(case when p + r <> 0 then 2 * p * r / (p + r) else 0 end, 6) as bert_f1
-from pr join rc using (pair_id)""")
+from pr join rc using (pair_id)
+union all
+select pair_id, 0.0, 0.0, 0.0 from t group by pair_id having count(distinct side) < 2""")
 def greedy_match(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
     tokens = emb.select((F.floor(F.col("vec_id") / 8)).cast("bigint").alias("pair_id"),
@@ -298,17 +310,17 @@ def stream_progress(spark, sf_dir):
 
 
 @register("assemble_tokens", "H3", sql="""
-with t as (select event_id // 8 as request_id, event_id as seq, event_type as token,
+with t as (select event_id // 8 as request_id, event_id as seq, case when event_id % 8 = 0 then '' else ' ' end || event_type as token,
                   event_id % 8 = 7 as done, event_type = 'error' as err from events),
 c as (select request_id, min(case when done or err then seq end) as close_seq from t group by 1)
-select t.request_id, string_agg(token, ' ' order by seq) as message, count(*) as n_tokens,
+select t.request_id, string_agg(token, '' order by seq) as message, count(*) as n_tokens,
   coalesce(bool_or(seq = close_seq and done), false) as done,
   coalesce(bool_or(seq = close_seq and err and not done), false) as has_error
 from t join c on t.request_id = c.request_id where close_seq is null or seq <= close_seq group by 1""")
 def assemble_tokens(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     toks = ev.select(F.floor(F.col("event_id") / 8).cast("bigint").alias("request_id"), F.col("event_id").alias("seq"),
-                     F.col("event_type").alias("token"), (F.col("event_id") % 8 == 7).alias("done"),
+                     F.concat(F.when(F.col("event_id") % 8 == 0, "").otherwise(" "), "event_type").alias("token"), (F.col("event_id") % 8 == 7).alias("done"),
                      F.when(F.col("event_type") == "error", F.lit("error")).alias("error"))
     return ST.assemble_tokens(toks).select("request_id", "message", "n_tokens", "done", "has_error")
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qcorpus.functions import text as T
-from qcorpus.functions.prompts import CLASS_HINTS, class_rules, render_template
+from qcorpus.functions.prompts import class_rules, render_template
 from qcorpus.functions.status import tag_prediction
 from qcorpus.operators import catalog as K
 from qcorpus.plans import fixtures
@@ -56,6 +56,9 @@ def mask_and_fill(spark, sf_dir):
                       F.md5(filled).alias("filled_md5"))
 
 
+# Rules of the example prompts: a parameter of ``class_rules``.
+RULES = {"simple": "one table", "conditional": "a filter by cases", "aggregation": "a grouped total",
+         "complex": "a grouped total over a filter by cases"}
 GEN_TEMPLATE = ("Database: {db_id}\nTarget class: {target}\nRules: {rules}\n"
                 "Question: {question}\nReturn JSON with question, sql and evidence.")
 
@@ -74,7 +77,7 @@ with {CORPUS},
 t as (select *, case question_id % 4 when 0 then 'simple' when 1 then 'conditional'
                 when 2 then 'aggregation' else 'complex' end as target from sql_corpus),
 p as (select question_id, concat('Database: ', db_id, chr(10), 'Target class: ', target, chr(10), 'Rules: ',
-  case target {" ".join(f"when '{k}' then {_sql_lit(v)}" for k, v in CLASS_HINTS.items())} else '' end,
+  case target {" ".join(f"when '{k}' then {_sql_lit(v)}" for k, v in RULES.items())} else '' end,
   chr(10), 'Question: ', question, chr(10), 'Return JSON with question, sql and evidence.') as prompt from t)
 select question_id, md5(prompt) as prompt_md5, cast(length(prompt) as bigint) as prompt_chars,
   2 as n_messages from p""")
@@ -82,7 +85,7 @@ def render_prompts(spark, sf_dir):
     from qcorpus.functions.prompts import messages
     c = fixtures.load(spark, sf_dir, "sql_corpus").withColumn("target", _target())
     prompt = render_template(GEN_TEMPLATE, db_id="db_id", target="target",
-                             rules=class_rules("target", CLASS_HINTS), question="question")
+                             rules=class_rules("target", RULES), question="question")
     out = c.select("question_id", prompt.alias("prompt"))
     return out.select("question_id", F.md5("prompt").alias("prompt_md5"),
                       F.length("prompt").cast("bigint").alias("prompt_chars"),

@@ -57,21 +57,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def plan_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of ``df``; no job runs."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # sessions without a JVM plan (Spark Connect)
+        return None
+
+
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread a small input over the cluster before CPU-heavy per-row work.
 
     A small table stored as one parquet row group scans as a single task, so
-    regex scoring or text extraction would run on one core.  When the scan
-    has fewer partitions than the cluster's parallelism it is repartitioned
-    round-robin; large inputs (many splits already) pass through untouched,
-    so at scale this adds no shuffle."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # sessions without RDD access (Spark Connect): leave the plan as is
+    regex scoring or text extraction would run on one core.  An input whose
+    estimated size is below 1 GiB and whose scan has fewer partitions than the
+    cluster's parallelism is repartitioned round-robin; a larger one keeps its
+    own splits, whatever their number, so its rows are not shuffled."""
+    size = plan_bytes(df)
+    if size is None or size > SPREAD_BYTES:
         return df
-    return df.repartition(target)
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= target else df.repartition(target)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,10 +88,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """``broadcast(df)`` after checking its row count (one small action on a
-    dimension-sized table); above ``max_rows`` the table is returned as is
-    and the join shuffles (AQE may still choose a broadcast at run time)."""
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` where the optimizer's estimate of its size is at most
+    ``max_bytes``; else ``df`` as it is, joined by shuffle (or broadcast by AQE
+    once its measured size allows).  No job runs."""
     from pyspark.sql import functions as F
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = plan_bytes(df)
+    return F.broadcast(df) if size is not None and size <= max_bytes else df

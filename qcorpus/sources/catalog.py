@@ -71,17 +71,28 @@ def read_column_descriptions(spark: SparkSession, root: str) -> DataFrame:
     is read as CSV and the groups are combined with
     ``unionByName(allowMissingColumns=True)``.  Missing cells are null, not
     the text ``nan`` (quirk Q9); rows with an empty column name are dropped.
+    Quoted cells may hold line breaks and doubled quotes; a row with fewer or
+    more cells than its header stays, with nulls or without the surplus.
     """
+    @F.pandas_udf("string")
+    def header(contents):
+        import csv
+        import io
+        import json
+
+        def first(data):
+            return json.dumps(next(csv.reader(io.StringIO(bytes(data).decode("latin-1"), newline="")), []))
+        return contents.map(first)
+
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "*.csv").load(root)
-             .select("path", F.substring_index(F.decode(F.col("content"), "ISO-8859-1"), "\n", 1).alias("header")))
+             .option("pathGlobFilter", "*.csv").load(root).select("path", header("content").alias("header")))
     groups: dict[str, list[str]] = {}
-    for r in files.collect():
-        groups.setdefault(r["header"].strip(), []).append(r["path"])
+    for r in files.collect():  # one header row per file
+        groups.setdefault(r["header"], []).append(r["path"])
     parts = []
     for paths in groups.values():
         parts.append(spark.read.option("header", True).option("encoding", "ISO-8859-1")
-                     .option("mode", "DROPMALFORMED").csv(paths)
+                     .option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(paths)
                      .withColumn("__path", F.col("_metadata.file_path"))
                      .withColumn("__name", F.col("_metadata.file_name")))
     if not parts:
@@ -107,7 +118,7 @@ def read_column_descriptions(spark: SparkSession, root: str) -> DataFrame:
     return out.filter(F.coalesce(F.col("column"), F.lit("")) != "")
 
 
-def sample_rows(tables: dict[str, DataFrame], key: dict[str, str] | None = None) -> DataFrame:
+def sample_rows(tables: dict[str, DataFrame], key: dict[str, str | list[str]] | None = None) -> DataFrame:
     """A5: one sample row per table as JSON with its column names.  The row
     is the smallest by the table's key (the reference takes whichever row
     comes first; ordering is our choice for reproducibility).  ``orderBy +
@@ -116,7 +127,7 @@ def sample_rows(tables: dict[str, DataFrame], key: dict[str, str] | None = None)
     outs = []
     for name, df in tables.items():
         k = key.get(name, df.columns[0])
-        row = df.orderBy(k).limit(1)
+        row = df.orderBy(*([k] if isinstance(k, str) else k)).limit(1)
         outs.append(row.select(F.lit(name).alias("table_name"),
                                F.lit(",".join(df.columns)).alias("columns"),
                                F.to_json(F.struct(*df.columns)).alias("sample")))

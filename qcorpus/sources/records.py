@@ -4,7 +4,6 @@ registries and resume."""
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,21 +35,25 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def load_manifest(spark: SparkSession, manifest_path: str, readers: dict | None = None) -> dict[str, DataFrame | str]:
-    """A JSON manifest whose values are paths relative to it; each
-    entry becomes a lazy DataFrame (``readers[name](spark, path)``, JSON by
+    """A JSON manifest, in any store that Spark reads, whose values are paths
+    relative to it; each entry becomes a lazy DataFrame (``readers[name](spark, path)``, JSON by
     default) or, for directories, the resolved path."""
-    with open(manifest_path, encoding="utf-8") as f:
-        spec = json.load(f)
-    base = os.path.dirname(os.path.abspath(manifest_path))
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    place = hadoop(manifest_path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    spec = json.loads(spark.read.text(manifest_path, wholetext=True).first()["value"])
+    base = fs.makeQualified(place).getParent()
     out = {}
     for name, rel in spec.items():
-        path = os.path.normpath(os.path.join(base, rel))
+        target = hadoop(base, rel)
+        path = target.toString()
         if readers and name in readers:
             out[name] = readers[name](spark, path)
-        elif os.path.isdir(path):
-            out[name] = path
         elif path.endswith(".jsonl"):
             out[name] = read_jsonl(spark, path)
+        elif fs.getFileStatus(target).isDirectory():
+            out[name] = path
         else:
             out[name] = spark.read.option("multiLine", True).json(path)
     return out

@@ -11,22 +11,36 @@ from pyspark.sql import functions as F
 SQL_PREVIEW, QUESTION_PREVIEW, REASONING_PREVIEW = 200, 120, 200
 
 
-def write_split(df: DataFrame, valid_path: str, rejected_path: str, status_col: str = "status",
+def write_split(df: DataFrame, path: str, status_col: str = "status",
                 valid_status: str = "validated") -> dict[str, int]:
-    """Valid and rejected records to separate JSONL sinks; the rejected
-    sink is written only when there are rejected rows (real JSONL, quirk
-    Q10).  Counts come from the write itself (``observe``), no second pass."""
+    """Valid and rejected records as JSONL below ``split=valid`` and
+    ``split=rejected`` of ``path`` (a folder without rows is not made, quirk
+    Q10).  One write, so the input is computed once; both counts are observed
+    during it."""
     from pyspark.sql import Observation
-    ok = F.col(status_col) == valid_status
-    obs_v, obs_r = Observation("valid"), Observation("rejected")
-    df.filter(ok).observe(obs_v, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(valid_path)
-    rej = df.filter(~ok | F.col(status_col).isNull())
-    if rej.limit(1).count() > 0:
-        rej.observe(obs_r, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(rejected_path)
-        n_rej = obs_r.get["n"]
-    else:
-        n_rej = 0
-    return {"valid": obs_v.get["n"], "rejected": n_rej}
+    ok = F.coalesce(F.col(status_col) == valid_status, F.lit(False))
+    obs = Observation("split")
+    out = df.withColumn("split", F.when(ok, "valid").otherwise("rejected")) \
+            .observe(obs, F.count_if(ok).alias("valid"), F.count_if(~ok).alias("rejected"))
+    out.write.mode("overwrite").partitionBy("split").json(path)
+    m = obs.get
+    return {"valid": m["valid"], "rejected": m["rejected"]}
+
+
+def replace_folder(spark, new: str, path: str) -> None:
+    """Put the written folder ``new`` in the place of ``path``: the old folder
+    is moved aside first and deleted last, so at any moment one of the two is
+    whole."""
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = hadoop(new + ".old")
+    if fs.exists(hadoop(path)):
+        fs.rename(hadoop(path), old)
+    if not fs.rename(hadoop(new), hadoop(path)):
+        fs.rename(old, hadoop(path))
+        raise OSError(f"could not move {new} to {path}")
+    fs.delete(old, True)
 
 
 def to_events(df: DataFrame, event, ts_col: str | None = None) -> DataFrame:
@@ -64,36 +78,35 @@ def write_csv(df: DataFrame, path: str, sort_cols: list[str] | None = None) -> N
 
 
 def write_vectors(vectors: DataFrame, path: str, id_col: str = "id") -> int:
-    """A12 + D8: replace a vector collection; ids must be unique; the stored
-    count is verified against the input count."""
-    dup = vectors.groupBy(id_col).count().filter(F.col("count") > 1).limit(1).count()
-    if dup:
-        raise ValueError("duplicate vector ids")
+    """A12 + D8: replace a vector collection; ids must be unique.  The new
+    collection is written beside the old one and takes its place only after its
+    ids and its stored count are verified."""
+    import uuid
+
     from pyspark.sql import Observation
+    spark = vectors.sparkSession
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
     obs = Observation("vectors")
-    vectors.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    vectors.observe(obs, F.count(F.lit(1)).alias("n")).write.parquet(new)
     expected = obs.get["n"]
-    stored = vectors.sparkSession.read.parquet(path).count()
+    written = spark.read.parquet(new)
+    stored = written.count()
     if stored != expected:
         raise ValueError(f"vector count mismatch: stored {stored}, expected {expected}")
+    if written.groupBy(id_col).count().filter(F.col("count") > 1).limit(1).count():
+        raise ValueError("duplicate vector ids")
+    replace_folder(spark, new, path)
     return stored
 
 
+def write_registry(entries: DataFrame, path: str) -> None:
+    """A10: replace the registry stored at ``path`` (JSONL), old until whole."""
+    import uuid
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    entries.write.json(new)
+    replace_folder(entries.sparkSession, new, path)
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     """A one-row summary as a single JSON document."""
     summary.coalesce(1).write.mode("overwrite").json(path)
-
-
-def write_split_single_pass(df: DataFrame, path: str, status_col: str = "status",
-                            valid_status: str = "validated") -> dict[str, int]:
-    """A7 in one pass over the input: a single JSONL write partitioned by
-    ``split=valid|rejected`` (so the input is computed once, not once per
-    sink), with both counts observed during that write."""
-    from pyspark.sql import Observation
-    ok = F.coalesce(F.col(status_col) == valid_status, F.lit(False))
-    obs = Observation("split")
-    out = df.withColumn("split", F.when(ok, "valid").otherwise("rejected")) \
-            .observe(obs, F.count_if(ok).alias("valid"), F.count_if(~ok).alias("rejected"))
-    out.write.mode("overwrite").partitionBy("split").json(path)
-    m = obs.get
-    return {"valid": m["valid"], "rejected": m["rejected"]}

@@ -51,8 +51,8 @@ def stream_progress(events: DataFrame, interval: str = "5 seconds", watermark: s
 
 def assemble_tokens(tokens: DataFrame) -> DataFrame:
     """H3 (batch or complete-mode stream): one message per request from token
-    events (request_id, seq, token, done, error).  The message is the tokens
-    in sequence order up to and including the first closing event (``done``,
+    events (request_id, seq, token, done, error).  The message is the tokens,
+    which carry their own spaces, in sequence order up to and including the first closing event (``done``,
     or an ``error``, which ends the reference's token stream); ``done`` /
     ``has_error`` tell how it closed.  Requests without a closing event are
     reported open (both flags false).  A request is a bounded group (one
@@ -65,7 +65,7 @@ def assemble_tokens(tokens: DataFrame) -> DataFrame:
     kept = F.when(first > 0, F.slice("__t", 1, first.cast("int"))).otherwise(F.col("__t"))
     closing = F.when(first > 0, F.element_at("__t", first.cast("int"))["kind"])
     return g.select("request_id",
-                    F.array_join(F.transform(kept, lambda x: x["token"]), " ").alias("message"),
+                    F.array_join(F.transform(kept, lambda x: x["token"]), "").alias("message"),
                     F.size(kept).cast("bigint").alias("n_tokens"),
                     F.coalesce(closing == "done", F.lit(False)).alias("done"),
                     F.coalesce(closing == "error", F.lit(False)).alias("has_error"))
@@ -96,7 +96,7 @@ def assemble_tokens_stateful(tokens: DataFrame, timeout: str | None = None,
         timeout_ms = int(float(n) * unit_ms[unit.rstrip("s")])
 
     def out(key, toks, done, err):
-        return pd.DataFrame({"request_id": [key[0]], "message": [" ".join(t for t in toks if t is not None)],
+        return pd.DataFrame({"request_id": [key[0]], "message": ["".join(t for t in toks if t is not None)],
                              "n_tokens": [len(toks)], "done": [done], "has_error": [err]})
 
     def step(key, pdfs, state):

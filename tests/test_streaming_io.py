@@ -3,6 +3,8 @@ execution validation (I6) and pluggable inference (I1, I5)."""
 
 import json
 import os
+
+import pytest
 import time
 
 from pyspark.sql import functions as F
@@ -61,9 +63,9 @@ def test_records_and_split_round_trip(spark, tmpdir_path):
         json.dump(recs, f)
     df = RC.read_records(spark, p)
     assert df.count() == 2 and df.filter(F.col("evidence").isNull()).count() == 2
-    counts = SK.write_split(df, os.path.join(tmpdir_path, "valid"), os.path.join(tmpdir_path, "rej"))
+    counts = SK.write_split(df, os.path.join(tmpdir_path, "split"))
     assert counts == {"valid": 1, "rejected": 1}
-    assert RC.read_jsonl(spark, os.path.join(tmpdir_path, "rej")).count() == 1
+    assert RC.read_jsonl(spark, os.path.join(tmpdir_path, "split/split=rejected")).count() == 1
 
 
 def test_manifest_pending_registry(spark, tmpdir_path):
@@ -176,7 +178,7 @@ def test_generate_until_class_retries_only_unresolved(spark):
 
     out = generate_until_class(items, generate_logged, lambda d: S.score_columns(d), max_rounds=4)
     got = {r.item_id: r.attempt for r in out.collect()}
-    assert got == {0: 1, 1: 2, 2: 2, 3: 2}
+    assert got == {0: 1, 1: 2, 2: 2, 3: 2} and {r.outcome for r in out.collect()} == {"accepted"}
     assert seen == [(1, [0, 1, 2, 3]), (2, [1, 2, 3])]  # stops once every item is resolved
     fb = {i: (m, f) for i, m, f in feedback}
     assert fb[1] == (["B4"], []) and fb[2] == (["B3", "B4"], []) and fb[3] == (["B3"], [])
@@ -364,7 +366,64 @@ def test_run_progress_file_sink(spark, tmpdir_path):
 
 def test_write_split_single_pass(spark, tmpdir_path):
     df = spark.createDataFrame([(1, "validated"), (2, "rejected"), (3, None)], "id int, status string")
-    counts = SK.write_split_single_pass(df, os.path.join(tmpdir_path, "split"))
+    counts = SK.write_split(df, os.path.join(tmpdir_path, "split"))
     assert counts == {"valid": 1, "rejected": 2}
     back = spark.read.json(os.path.join(tmpdir_path, "split"))
     assert {(r.id, r.split) for r in back.collect()} == {(1, "valid"), (2, "rejected"), (3, "rejected")}
+
+
+def test_generate_until_class_returns_every_item(spark):
+    from qcorpus.operators.attempts import generate_until_class
+    items = spark.createDataFrame([(0, "simple"), (1, "aggregation"), (2, "simple")], "item_id long, target string")
+    calls = []
+
+    def generate(pending_df, rnd):
+        calls.append(sorted(r.item_id for r in pending_df.collect()))
+        # item 1 is always wrong, item 2 gets no row in the first two rounds
+        return pending_df.where(f"item_id <> 2 or {rnd} > 2").withColumn("sql", F.lit("SELECT a FROM t"))
+    out = generate_until_class(items, generate, lambda d: S.score_columns(d), max_rounds=2).collect()
+    assert {(r.item_id, r.outcome) for r in out} == {(0, "accepted"), (1, "max_retry_exhausted"), (2, "max_retry_exhausted")}
+    assert calls == [[0, 1, 2], [1, 2]]
+    none = generate_until_class(items.limit(0), lambda d, r: d.withColumn("sql", F.lit("x")), lambda d: S.score_columns(d))
+    assert none.collect() == [] and "outcome" in none.columns
+
+
+def test_one_hung_or_failing_prompt_costs_only_its_rows(spark):
+    def factory():
+        def predict(prompts):
+            import time
+            if "hang" in prompts:
+                time.sleep(4)
+            if "fail" in prompts:
+                raise ValueError("no")
+            return [{"text": p.upper()} for p in prompts]
+        return predict
+    rows = ["a", "hang", "b", "c", "fail", "d", "e", "f"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, prompt string").coalesce(1)
+    got = {r.id: (r.output, r.generation_error) for r in
+           INF.batch_generate(df, "prompt", factory, batch_size=2, timeout_sec=1.0).collect()}
+    assert got[0] == got[1] == (None, "timeout")
+    assert got[4] == (None, "ValueError: no") and got[5] == ("D", None)
+    assert [got[k][0] for k in (2, 3, 6, 7)] == ["B", "C", "E", "F"]
+
+
+def test_descriptions_with_quotes_and_line_breaks(spark, tmpdir_path):
+    from qcorpus.sources.catalog import read_column_descriptions
+    folder = os.path.join(tmpdir_path, "db1", "database_description")
+    os.makedirs(folder)
+    cells = [("a", 'says "hi, you" ok'), ("b", "line one\nline two"), ("c", "caf\xe9, plain"), ("d", "")]
+    import csv
+    with open(os.path.join(folder, "t.csv"), "w", encoding="latin-1", newline="") as f:
+        w = csv.writer(f)
+        w.writerow(["original_column_name", "column, extra", "column_description"])
+        w.writerows((c, "x", d) for c, d in cells)
+    got = {(r.column, r.description) for r in read_column_descriptions(spark, tmpdir_path).collect()}
+    assert got == set(cells)
+
+
+def test_failed_replacement_keeps_the_old_collection(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "vectors")
+    assert SK.write_vectors(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), path) == 2
+    with pytest.raises(ValueError):
+        SK.write_vectors(spark.createDataFrame([(1, "a"), (1, "b")], "id int, v string"), path)
+    assert spark.read.parquet(path).count() == 2
