@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .scratch import stored
@@ -20,9 +20,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     a written table.  Loops (a = b) and null ends are ignored.  An empty
     table gives an empty result.  Raises if ``rounds`` are not enough.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                   .distinct(), "links")
-    state = _state(edges)
+    edges, state = _written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+                            .distinct())
     for _ in range(rounds):
         if state[0] == 0:
             break
@@ -37,8 +36,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
                  .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                            F.struct("u", F.col("m").alias("v")))).alias("e"))
                  .select("e.u", "e.v").where("u <> v").distinct())
-        edges = stored(small, "links")
-        before, state = state, _state(edges)
+        before = state
+        edges, state = _written(small)
         if state == before:
             break
     else:
@@ -47,7 +46,10 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0)).alias("x")).first()
-    return row["n"], row["x"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """``edges`` as a written table, and its row count and content hash, which
+    are observed while writing."""
+    seen = Observation()
+    table = stored(edges.observe(seen, F.count(F.lit(1)).alias("n"),
+                                 F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0)).alias("x")), "links")
+    return table, (seen.get["n"], seen.get["x"])

@@ -17,13 +17,13 @@ exact number of sets in its bands: more of them make longer segments, which
 costs index rows (one per shingle of such a segment) and saves accidental
 matches (segments that are empty or tiny in both sets); see ``plan_scheme``.
 
-*Verification.*  Every pair that shares an index key is decided, exactly:
-first one representative pair per set (its smallest partner), whose components
-settle most groups of copies without expanding them; then all pairs sharing a
-key whose ends are still in different components, after a parity sketch (the
-popcount of two sketches' XOR never exceeds the symmetric difference, so no
-pair within H is lost).  Keys with many sets are compared in square tiles of
-bounded size.
+*Verification.*  Every pair that shares an index key is decided, exactly, but
+for pairs already connected, which cannot change a component: first one pair per
+set, with the hub of its keys; then the nearest pair of each component left;
+then all pairs sharing a key whose ends are still in different components.  A
+parity sketch comes before each verification (the popcount of two sketches' XOR
+never exceeds the symmetric difference, so no pair within H is lost).  Keys with
+many sets are compared in square tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -107,8 +107,8 @@ def _set_rows(batches, size: int):
 
 def sketch(values: np.ndarray) -> bytes:
     """Parity sketch: every shingle flips one of the bits, of which there are
-    at least as many as shingles (a power of two)."""
-    bits = max(SKETCH_BITS, 1 << (max(len(values), 1) - 1).bit_length())
+    at least twice as many as shingles (a power of two)."""
+    bits = max(SKETCH_BITS, 2 << (max(len(values), 1) - 1).bit_length())
     bit = ((kernel.mix(values + np.uint64(77)) >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
     odd = (np.bincount(bit, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
@@ -183,10 +183,9 @@ def _pairs_batch(keys, nodes):
 
 
 def _shared_rows(batches):
-    """From rows sorted by (key, node): (key, node, leader) of all keys that
-    two nodes or more share, leader being the key's smallest node.  Keeps one
-    key's leader and last node between batches, never a whole group."""
-    last = None  # key, leader, node, leader already returned
+    """From rows sorted by (key, node): the distinct (key, node) of all keys that
+    two nodes or more share.  Keeps one row between batches, never a group."""
+    last = None  # key, its first node, last node, whether its first row was returned
     for batch in batches:
         key = batch.column("key").to_numpy(zero_copy_only=False)
         node = batch.column("node").to_numpy(zero_copy_only=False)
@@ -204,21 +203,18 @@ def _shared_rows(batches):
         start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
         leader = np.where(start >= 0, node[np.maximum(start, 0)], last[1] if carried else 0)
         follower = change & ~new
-        keys, nodes, leaders = [key[follower]], [node[follower]], [leader[follower]]
         group = start[follower]
         first = np.ones(len(group), bool)
         first[1:] = group[1:] != group[:-1]
         told = carried and last[3]
         if len(group) and group[0] == -1 and told:
             first[0] = False
-        keys.append(key[follower][first])
-        nodes.append(leader[follower][first])
-        leaders.append(leader[follower][first])
+        keys = np.concatenate([key[follower], key[follower][first]])
+        nodes = np.concatenate([node[follower], leader[follower][first]])
         ends_started = bool((follower & (start == start[-1])).any())
         last = (key[-1], leader[-1], node[-1], ends_started or (told and start[-1] == -1))
-        out = [np.concatenate(x) for x in (keys, nodes, leaders)]
-        if len(out[0]):
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(("key", "node", "leader"), out)})
+        if len(keys):
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "node": pa.array(nodes)})
 
 
 def _own_sets(batches, size: int):
@@ -271,10 +267,11 @@ def _possible(batches, t: Fraction):
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tile_pairs(batches, t: Fraction):
+def _tile_pairs(batches, t: Fraction, nearest: bool):
     """From rows sorted by (key, i, j): the pairs of each tile (left rows x
     right rows, or one set of rows with itself) that lie in different components
-    and may reach the threshold.  Holds one tile at a time."""
+    and may reach the threshold; with ``nearest`` only the pair of smallest
+    sketch distance of each component.  Holds one tile at a time."""
     num, den = (1 - t).numerator * (1 + t).denominator, (1 - t).denominator * (1 + t).numerator
     names = ("key", "i", "j", "tile", "node", "component", "n_shingles")
     rest: dict[str, np.ndarray] | None = None
@@ -290,13 +287,13 @@ def _tile_pairs(batches, t: Fraction):
         for c in ("key", "i", "j"):
             new[1:] |= now[c][1:] != now[c][:-1]
         cuts = np.concatenate(([0], np.flatnonzero(new)))
-        yield from _pairs_of(now, cuts[:-1], cuts[1:], t, num, den)
+        yield from _pairs_of(now, cuts[:-1], cuts[1:], t, num, den, nearest)
         rest = {c: v[cuts[-1]:] for c, v in now.items()}
     if rest is not None:
-        yield from _pairs_of(rest, [0], [len(rest["key"])], t, num, den)
+        yield from _pairs_of(rest, [0], [len(rest["key"])], t, num, den, nearest)
 
 
-def _pairs_of(rows, starts, ends, t, num, den):
+def _pairs_of(rows, starts, ends, t, num, den, nearest):
     found_a, found_b = [], []
     node, comp, size = rows["node"], rows["component"], rows["n_shingles"]
     for lo, hi in zip(starts, ends):
@@ -307,6 +304,7 @@ def _pairs_of(rows, starts, ends, t, num, den):
         if not len(left) or not len(right):
             continue
         step = max(1, 200_000 // len(right))
+        best: list[tuple] = []
         for k in range(0, len(left), step):
             x = left[k:k + step, None]
             ok = comp[x] != comp[right]
@@ -318,7 +316,15 @@ def _pairs_of(rows, starts, ends, t, num, den):
             p, q = left[k + p], right[q]
             distance = np.bitwise_count(sketches[p - lo] ^ sketches[q - lo]).sum(axis=1).astype(np.int64)
             ok = distance * den <= num * (size[p] + size[q])
-            p, q = p[ok], q[ok]
+            p, q, distance = p[ok], q[ok], distance[ok]
+            if nearest:
+                best.append((p, q, distance))
+                p, q = _nearest(best, comp)
+                best = [(p, q, np.bitwise_count(sketches[p - lo] ^ sketches[q - lo]).sum(axis=1).astype(np.int64))]
+                continue
+            found_a.append(np.minimum(node[p], node[q]))
+            found_b.append(np.maximum(node[p], node[q]))
+        for p, q, _ in best:
             found_a.append(np.minimum(node[p], node[q]))
             found_b.append(np.maximum(node[p], node[q]))
     if found_a:
@@ -327,6 +333,19 @@ def _pairs_of(rows, starts, ends, t, num, den):
             yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
 
+def _nearest(found, comp):
+    """The pairs of smallest distance of each component."""
+    p, q, d = (np.concatenate(x) for x in zip(*found))
+    owner = np.concatenate([comp[p], comp[q]])
+    pair = np.concatenate([np.arange(len(p))] * 2)
+    order = np.lexsort((pair, d[pair], owner))
+    owner, pair = owner[order], pair[order]
+    first = np.ones(len(owner), bool)
+    first[1:] = owner[1:] != owner[:-1]
+    keep = np.unique(pair[first])
+    return p[keep], q[keep]
+
+
 def ngram_jaccard_components(docs: DataFrame, threshold: float = 0.85, size: int = 4, tile: int = TILE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (and text_key,
     see ``text_key``).
@@ -405,7 +424,7 @@ def _links(src: DataFrame, nodes: DataFrame, t: Fraction, size: int, tile: int)
     index = src.where("doc_id is not null").mapInArrow(lambda it: _key_rows(it, size, ends, plans),
                                                        "key long, node long")
     shared = stored(index.repartition("key").sortWithinPartitions("key", "node")
-                    .mapInArrow(_shared_rows, "key long, node long, leader long"), "shared")
+                    .mapInArrow(_shared_rows, "key long, node long"), "shared")
     sized = nodes.select("node", "n_shingles", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -423,27 +442,38 @@ def _links(src: DataFrame, nodes: DataFrame, t: Fraction, size: int, tile: int)
         return stored(both.select("a", "b", "left", "right").mapInArrow(
             lambda it: _linked(it, t.numerator, t.denominator), "a long, b long"), "links")
 
-    star = (shared.where("node <> leader").groupBy("node").agg(F.min("leader").alias("a"))
-            .select("a", F.col("node").alias("b")))
+    # hubs: a set that agrees with many others, as the origin of a group of copies
+    # does, leads the keys it has; every set is compared with its keys' best leader
+    weight = shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rank = (shared.join(weight, "key").groupBy("node").agg(F.sum("n").alias("n"))
+            .select("node", F.struct("n", "node").alias("rank")))
+    ranked = stored(shared.join(rank, "node"), "ranked")
+    leads = ranked.groupBy("key").agg(F.max("rank").alias("lead"))
+    star = (ranked.join(leads, "key").where("lead.node <> node").groupBy("node").agg(F.max("lead").alias("lead"))
+            .select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct())
     star = (star.join(sized.toDF("a", "n_left", "left_sketch"), "a").join(sized.toDF("b", "n_right", "right_sketch"), "b")
             .select("a", "b", "n_left", "n_right", "left_sketch", "right_sketch")
             .mapInArrow(lambda it: _possible(it, t), "a long, b long"))
-    first = verified(star)
-    parts = connected_components(first)
-    members = (shared.select("key", "node").join(parts, "node", "left")
-               .select("key", "node", F.coalesce("component", "node").alias("component")))
-    members = stored(members, "members")
-    # keys of one and the same set of nodes ask for the same pairs: one of them stays
-    open_keys = (members.groupBy("key")
-                 .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"),
-                      F.sum(F.xxhash64("node") % (1 << 40)).alias("h1"), F.expr("bit_xor(xxhash64(node, 1))").alias("h2"))
-                 .where("x <> y").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
-                 .select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
-    rows = (members.join(open_keys, "key").join(sized, "node")
-            .withColumn("tile", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
-            .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-            .select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
-                    "tile", "node", "component", "n_shingles", "sketch"))
-    more = (rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(lambda it: _tile_pairs(it, t), "a long, b long").distinct())
-    return first.union(verified(more))
+    links = verified(star)
+
+    def across(links: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs that share a key and lie in different components of ``links``."""
+        parts = connected_components(links)
+        members = stored(shared.select("key", "node").join(parts, "node", "left")
+                         .select("key", "node", F.coalesce("component", "node").alias("component")), "members")
+        # keys of one and the same set of nodes ask for the same pairs: one of them stays
+        open_keys = (members.groupBy("key")
+                     .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"),
+                          F.sum(F.xxhash64("node") % (1 << 40)).alias("h1"),
+                          F.expr("bit_xor(xxhash64(node, 1))").alias("h2"))
+                     .where("x <> y").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
+                     .select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
+        rows = (members.join(open_keys, "key").join(sized, "node")
+                .withColumn("tile", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
+                .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+                .select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
+                        "tile", "node", "component", "n_shingles", "sketch"))
+        return (rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                .mapInArrow(lambda it: _tile_pairs(it, t, nearest), "a long, b long").distinct())
+    links = links.union(verified(across(links, nearest=True)))
+    return links.union(verified(across(links, nearest=False)))
