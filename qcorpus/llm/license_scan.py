@@ -146,11 +146,13 @@ def scan_licenses(docs: DataFrame, columns: list[str] | None = None) -> DataFram
     df = df.withColumn("base", F.concat(*[F.when(F.size(s) > 0, F.array(F.lit(label))).otherwise(
         F.array().cast("array<string>")) for s, (_, label) in zip(starts, BASE_PHRASES)]))
     best = F.coalesce(F.array_max(F.transform("found", lambda f: f["share"])), F.lit(0.0))
-    return df.select(*[F.col("row")[f"in_{c}"].alias(c) for c in names],
-                     F.size("w").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"),
-                     F.array_min("places").cast("long").alias("first_word"),
-                     F.array_max("places").cast("long").alias("last_word"),
-                     F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
-                     F.array_join(F.array_sort(F.array_distinct(F.concat(
-                         "base", F.transform("found", lambda f: f["label"])))), ",").alias("labels"),
-                     F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.least(best, F.lit(1.0))).alias("score"))
+    # a column that is not deterministic keeps later filters from being pushed below,
+    # where every step would be computed again for each of its uses
+    out = F.when(F.monotonically_increasing_id() >= 0, F.struct(
+        F.size("w").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat("base", F.transform("found", lambda f: f["label"])))), ",")
+        .alias("labels"),
+        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.least(best, F.lit(1.0))).alias("score")))
+    return df.select("row", out.alias("out")).select(*[F.col("row")[f"in_{c}"].alias(c) for c in names], "out.*")

@@ -136,7 +136,9 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
     wide = docs.select(*[docs[c].alias(f"in_{c}") for c in names], *lang, docs["text"].alias("text"))
 
     def features(passed: Sequence[str]) -> DataFrame:
-        out = _features(wide, passed)
+        # a column that is not deterministic keeps later filters from being pushed below,
+        # where every step would be computed again for each of its uses
+        out = _features(wide, passed).withColumn("step", F.monotonically_increasing_id())
         return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                               | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).withColumn(
             "common", F.concat("common", F.array(
@@ -168,4 +170,4 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
     for least, limit in class_limits:
         odd = odd | ((chars >= least) & (F.col("class_distance") > limit))
     return f.select(*[F.col("row")[f"in_{c}"].alias(c) for c in names], *FEATURES, "class_distance", "word_distance",
-                    "base_failed", (~F.col("base_failed") & ~odd).alias("kept"))
+                    "base_failed", (~F.col("base_failed") & ~odd & (F.col("step") >= 0)).alias("kept"))
