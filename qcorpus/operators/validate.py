@@ -20,16 +20,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SQL_TIME_LIMIT = 3.0  # fixed value: seconds per statement
-_ALLOWED = re.compile(r"^\s*(SELECT|WITH)\b", re.IGNORECASE)
+_NODE = re.compile(r"^[\s:+\-|]*'?(\w+)", re.MULTILINE)
+_WRITES = ("Insert", "Create", "Replace", "Drop", "Delete", "Update", "Merge", "Alter", "Truncate", "Load", "Set", "Add",
+           "Cache", "Refresh", "Repair", "Analyze", "Rename", "Use")
 
 VERDICT_SCHEMA = ("sql STRING, status STRING, execution_time DOUBLE, validation_error STRING, "
                   "error_detail STRUCT<type: STRING, sqlstate: STRING, message: STRING>")
 
 
+def _reads_only(spark: SparkSession, stmt: str) -> bool:
+    """Is every node of the parsed (not executed) statement a query node?"""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(stmt)
+    return not any(n.startswith(_WRITES) or n.endswith("Command") for n in _NODE.findall(plan.treeString()))
+
+
 def _run_one(spark: SparkSession, sql: str, limit: float):
     stmt = sql.strip().rstrip(";").strip()
-    if not _ALLOWED.match(stmt) or ";" in stmt:
-        return (sql, "rejected", None, "NOT_ALLOWED", ("NOT_ALLOWED", None, "only a single SELECT is allowed"))
+    try:
+        allowed = _reads_only(spark, stmt)
+    except Exception as e:
+        return (sql, "rejected", None, "DB_ERROR", ("PARSE_SYNTAX_ERROR", None, str(e)))
+    if not allowed:
+        return (sql, "rejected", None, "NOT_ALLOWED", ("NOT_ALLOWED", None, "only a query is allowed"))
     sc = spark.sparkContext
     group = f"qcorpus-validate-{uuid.uuid4().hex}"
     result = {}

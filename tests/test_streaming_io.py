@@ -75,7 +75,7 @@ def test_manifest_pending_registry(spark, tmpdir_path):
     with open(os.path.join(tmpdir_path, "m", "manifest.json"), "w") as f:
         json.dump({"dev_data": "items.jsonl", "dev_db_dir": "."}, f)
     m = RC.load_manifest(spark, os.path.join(tmpdir_path, "m", "manifest.json"))
-    assert m["dev_data"].count() == 3 and os.path.isdir(m["dev_db_dir"])
+    assert m["dev_data"].count() == 3 and os.path.isdir(m["dev_db_dir"].removeprefix("file:"))
     done = spark.createDataFrame([(1, False), (2, True)], "id long, failed boolean")
     assert sorted(r.id for r in RC.pending(m["dev_data"], done, "id").collect()) == [3]
     assert sorted(r.id for r in RC.pending(m["dev_data"], done, "id", retry_failed=True).collect()) == [2, 3]
