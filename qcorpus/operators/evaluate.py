@@ -165,11 +165,25 @@ def throughput(df: DataFrame, ts_col: str, target: int | None = None,
 
 
 def evaluate_predictions(df: DataFrame, raw_col: str = "raw_output", gold_col: str = "gold",
-                         id_col: str = "id", dialect: str = "eval", stem: bool = True) -> DataFrame:
-    """I8: per row extraction (B11), exact match (B16) and ROUGE-L."""
+                         id_col: str = "id", dialect: str = "eval", stem: bool = True,
+                         tokens: DataFrame | None = None) -> DataFrame:
+    """I8: per row extraction (B11), exact match (B16), ROUGE-L (I7) and, with
+    ``tokens`` (``id_col``, side, pos, embedding of each row's two texts), the
+    greedy embedding score (C12; 0 where a side has no token).  The mean row is
+    ``metric_summary`` of the result (see ``evaluation_means``)."""
     pred = extract_fenced(raw_col, dialect)
     out = df.select(id_col, pred.alias("pred"), F.col(gold_col).alias("gold"))
     r = rouge_l(F.col("pred"), F.col("gold"), stem)
-    return out.withColumn("em", exact_match("pred", "gold")).withColumn("__r", r).select(
+    out = out.withColumn("em", exact_match("pred", "gold")).withColumn("__r", r).select(
         id_col, "pred", "gold", "em", F.col("__r.p").alias("rougeL_p"), F.col("__r.r").alias("rougeL_r"),
         F.col("__r.f1").alias("rougeL_f1"))
+    if tokens is None:
+        return out
+    match = greedy_match_score(tokens, pair_col=id_col)
+    return out.join(match, id_col, "left").fillna(0.0, [c for c in match.columns if c != id_col])
+
+
+def evaluation_means(rows: DataFrame) -> DataFrame:
+    """The mean row of an evaluation: row count and mean of each score."""
+    scores = [c for c, kind in rows.dtypes if kind == "double"]
+    return metric_summary(rows.withColumn("__all", F.lit(0)), ["__all"], scores).drop("__all")

@@ -427,3 +427,15 @@ def test_failed_replacement_keeps_the_old_collection(spark, tmpdir_path):
     with pytest.raises(ValueError):
         SK.write_vectors(spark.createDataFrame([(1, "a"), (1, "b")], "id int, v string"), path)
     assert spark.read.parquet(path).count() == 2
+
+
+def test_evaluation_with_embedding_score_and_means(spark):
+    from qcorpus.operators import evaluate as EV
+    df = spark.createDataFrame([(1, "```SR\na b\n```", "a b"), (2, "", "c d")], "id long, raw_output string, gold string")
+    tokens = spark.createDataFrame([(1, 0, 0, [1.0, 0.0]), (1, 1, 0, [1.0, 0.0]), (2, 1, 0, [0.0, 1.0])],
+                                   "id long, side int, pos int, embedding array<double>")
+    out = EV.evaluate_predictions(df, tokens=tokens)
+    got = {r.id: (r.em, r.rougeL_f1, r.bert_f1) for r in out.collect()}
+    assert got == {1: (1.0, 1.0, 1.0), 2: (0.0, 0.0, 0.0)}
+    mean = EV.evaluation_means(out).first()
+    assert mean["n"] == 2 and mean["mean_em"] == 0.5 and mean["mean_bert_f1"] == 0.5
