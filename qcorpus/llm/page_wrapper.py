@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import stored
 
 # Fixed values of the markup language.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -445,7 +446,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rules = [json.dumps(rule_of(json.loads(w))) for w in batch.column("wrapper").to_pylist()]
             yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "rule": pa.array(rules, pa.string())})
-    rules = infer_wrappers(pages).mapInArrow(ruled, "host string, rule string")
+    # written, so that the join knows the rules' size before the pages are read
+    rules = stored(infer_wrappers(pages).mapInArrow(ruled, "host string, rule string"), "rules")
     added = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     names = [c for c in pages.columns if c not in added.names]
     packed = pages.select(F.struct(*[pages[c] for c in names if c != "html"]).alias("row"),
