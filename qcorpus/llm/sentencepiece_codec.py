@@ -31,7 +31,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)  # piece types of the format
 UNIGRAM, BPE = 1, 2  # model types of the format
 MAX_MODEL_BYTES = 64 << 20
-MEMORY_WORDS = 600_000  # words that a worker remembers
+MEMORY_WORDS = 350_000  # words that a worker remembers
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
