@@ -15,7 +15,7 @@ from .license_scan import scan_licenses
 from .ngram_jaccard import ngram_jaccard_components
 from .page_wrapper import extract_pages
 from .quality_rules import quality_rules
-from .sentence_spans import remove_repeated_spans
+from .sentence_spans import remove_repeated_passages
 from .sentencepiece_codec import encode_texts
 from .source_mixing import mix_sources
 from .toxicity import held_out, score, train
@@ -61,7 +61,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("op6_sentence_spans")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeated_spans(docs)
+    return remove_repeated_passages(docs)
 
 
 @registered("op4_quality_rules")

@@ -8,6 +8,12 @@ least ``min_sentences`` sentences and ``min_words`` words.  Every run of every
 text is hashed (by its words, so white space does not matter).  Of the
 documents that hold a run, the one with the smallest doc_id keeps it, at its
 first place; sentences that any other occurrence covers are removed.
+
+Cut by ``content``, a text is cut where its words say so, so that a passage is
+cut alike wherever it stands: of any ``max_words`` consecutive words without the
+end of a sentence or line, the cut follows the one that, with the word before
+it, hashes lowest.  Shared words at least ``max_words`` from the edges of what
+two texts share are cut alike in both.
 """
 
 from __future__ import annotations
@@ -23,6 +29,9 @@ from . import kernel
 MIN_SENTENCES, MIN_WORDS, MAX_WORDS = 3, 20, 16
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
+#: Stops of other scripts: Arabic, Urdu, Armenian, Devanagari, Ethiopic, Burmese, Khmer, CJK, full width.
+_MORE_STOPS = [c.encode() for c in "؟۔։।॥።။។…。｡！？．"]
+PASSAGE_WORDS, PASSAGE_WINDOW = 20, 8
 _STEP = 0xD1342543DE82EF95
 _steps = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -37,7 +46,41 @@ def _step_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _steps["up"], _steps["down"]
 
 
-def sentence_runs(raw, offsets, min_sentences: int, min_words: int, max_words: int):
+def _ends_sentence(raw, starts, ends) -> np.ndarray:
+    """Does the word end with a stop of another script?"""
+    found = np.zeros(len(ends), bool)
+    wide = np.flatnonzero((raw[ends - 1] >= 0x80) & (ends - starts >= 2))
+    for stop in _MORE_STOPS:
+        at = wide[ends[wide] - starts[wide] >= len(stop)]
+        for k, byte in enumerate(reversed(stop)):
+            at = at[raw[ends[at] - 1 - k] == byte]
+        found[at] = True
+    return found
+
+
+def _sliding(values, width: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) over each ``width`` consecutive values."""
+    have = 1
+    while have * 2 <= width:
+        values, have = pick(values[:-have], values[have:]), have * 2
+    return pick(values[:len(values) - (width - have)], values[width - have:]) if have < width else values
+
+
+def _content_cuts(h, stop, width: int) -> np.ndarray:
+    """The words after which the text is cut: every stop, and the words that
+    are lowest in some window of ``width`` words."""
+    if len(h) < width:
+        return stop
+    before = np.zeros(len(h), np.uint64)
+    before[1:] = np.where(stop[:-1], np.uint64(0), h[:-1])
+    key = kernel.mix(h + before * np.uint64(_STEP)) | np.uint64(1)
+    key[stop] = 0
+    low = _sliding(key, width, np.minimum)
+    edge = np.zeros(width - 1, np.uint64)
+    return stop | (_sliding(np.concatenate([edge, low, edge]), width, np.maximum) == key)
+
+
+def sentence_runs(raw, offsets, min_sentences: int, min_words: int, max_words: int, content: bool = False):
     """Sentences and runs of the texts of one slice.
 
     Returns (first byte of each sentence, text number of each sentence, first
@@ -56,10 +99,13 @@ def sentence_runs(raw, offsets, min_sentences: int, min_words: int, max_words: i
     stop[:-1] |= text[1:] != text[:-1]
     stop[-1] = True
     begins = np.ones(n, bool)
-    begins[1:] = stop[:-1]
-    place = np.arange(n)
-    place = place - np.maximum.accumulate(np.where(begins, place, 0))
-    begins |= place % max_words == 0
+    if content:
+        begins[1:] = _content_cuts(h, stop | _ends_sentence(raw, starts, ends), max_words)[:-1]
+    else:
+        begins[1:] = stop[:-1]
+        place = np.arange(n)
+        place = place - np.maximum.accumulate(np.where(begins, place, 0))
+        begins |= place % max_words == 0
     first = np.flatnonzero(begins)
     bounds = np.append(first, n)
     owner = text[first]
@@ -150,7 +196,7 @@ def _cleaned(batches, sizes, schema: pa.Schema):
 
 
 def remove_repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
-                          max_words: int = MAX_WORDS) -> DataFrame:
+                          max_words: int = MAX_WORDS, content: bool = False) -> DataFrame:
     """Every row of ``docs`` with its text cleaned: the columns of ``docs``
     (text replaced) and after them n_sentences, n_words, n_removed,
     n_removed_words (of the text before) and spans, the removed stretches as
@@ -163,7 +209,7 @@ def remove_repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, m
     sentence becomes the empty string.  Columns of ``docs`` named like one of
     the five added columns are replaced by it.
     """
-    sizes = (min_sentences, min_words, max_words)
+    sizes = (min_sentences, min_words, max_words, content)
     doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     runs = (docs.where("doc_id is not null").select(doc_id, text)
             .mapInArrow(lambda it: _run_rows(it, sizes), "run long, doc_id long"))
@@ -171,7 +217,7 @@ def remove_repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, m
               .where("keeper < other").select("run", "keeper"))
     gone = (runs.join(shared, "run").where("doc_id > keeper")
             .groupBy("doc_id").agg(F.collect_set("run").alias("gone")))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc_id, text)
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), doc_id, text)
     extra = [T.StructField("text", T.StringType()), *[T.StructField(c, T.LongType()) for c in
              ("n_sentences", "n_words", "n_removed", "n_removed_words")],
              T.StructField("spans", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()),
@@ -183,3 +229,14 @@ def remove_repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, m
     added = [f.name for f in extra]
     return cleaned.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c)
                             for c in docs.columns if c == "text" or c not in added], *added[1:])
+
+
+def remove_repeated_passages(docs: DataFrame, min_words: int = PASSAGE_WORDS,
+                             window: int = PASSAGE_WINDOW) -> DataFrame:
+    """``remove_repeated_spans`` with cuts by content and runs of any number of
+    pieces: of a stretch that documents share, all but less than 2 * ``window``
+    words at either edge goes, wherever it stands in them, if it has
+    ``min_words`` + 4 * ``window`` words or more (often fewer do).  n_sentences
+    and n_removed count pieces.
+    """
+    return remove_repeated_spans(docs, 1, min_words, window, True)

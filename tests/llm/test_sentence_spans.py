@@ -1,6 +1,7 @@
+import random
 from collections import defaultdict
 
-from qcorpus.llm.sentence_spans import remove_repeated_spans
+from qcorpus.llm.sentence_spans import remove_repeated_passages, remove_repeated_spans
 from tests.llm.fixtures import docs, no_docs
 
 
@@ -95,3 +96,27 @@ def test_columns_and_unchanged_texts(spark):
 
 def test_empty_table(spark):
     assert remove_repeated_spans(no_docs(spark)).collect() == []
+
+
+def test_passage_is_found_at_every_offset(spark):
+    """A passage of 52 words in the middle of other words, with and without stops."""
+    rng = random.Random(5)
+    other = lambda n: [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+    for size in (0, 5, 25):
+        passage = other(52)
+        if size:
+            passage = [w + "." * (k % size == size - 1) for k, w in enumerate(passage)]
+        rows = [(1, " ".join(other(7) + passage + other(9)))]
+        rows += [(2 + k, " ".join(other(k) + passage + other(20))) for k in range(40)]
+        out = {r["doc_id"]: r for r in remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert out[1]["text"] == rows[0][1]
+        for d, text in rows[1:]:
+            left = set(out[d]["text"].split())
+            assert not left & set(passage[16:-16]), (size, d)
+            assert set(text.split()) - set(passage) <= left
+
+
+def test_stops_of_other_scripts(spark):
+    text = "एक दो तीन। चार पाँच؟ छह सात。 आठ"
+    out = remove_repeated_passages(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (out["n_sentences"], out["n_words"], out["text"]) == (4, 8, text)
