@@ -1,12 +1,13 @@
 """License scan by a positional index of rare words.
 
 A small set of licence notices is indexed by word position.  The words of the
-notices get an inverse document frequency over all documents.  For each file
-the highest-IDF licence words that occur in it are looked up; every occurrence
-at file position f of a word that stands at position p of a notice votes for
-the alignment (notice, f - p).  Alignments with two different words (all words,
-if the file has fewer) are candidates, which the notice's mandatory key phrases
-must confirm word for word.  DataFrame functions only.
+notices get an inverse document frequency over all documents.  Each notice is
+looked up by the highest-IDF words of its mandatory key phrases; every occurrence
+at file position f of such a word, at position p of the notice, votes for the
+alignment (notice, f - p).  Alignments with two votes are candidates, which the
+key phrases must confirm word for word.  A confirmed alignment has the votes of
+all its looked-up words, so none is missed whatever else the file holds.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ NOTICES = (
      ("redistribution and use in source and binary forms",)),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2",)),
 )
-RARE_WORDS = 6  # highest-IDF licence words looked up per file
+RARE_WORDS = 3  # highest-IDF key phrase words looked up per notice
 MIN_COVERAGE = 0.6  # IDF share of a notice's words that stand in place
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,6 +69,11 @@ def _phrase_at(first: Column, phrase: str) -> Column:
     return test
 
 
+def _start(parts: list[str], phrase: str) -> int:
+    """The position of ``phrase`` among the words of a notice."""
+    return [parts[k:k + len(phrase.split())] for k in range(len(parts))].index(phrase.split())
+
+
 def _places(phrase: str) -> Column:
     """The hits at which ``phrase`` begins."""
     return F.filter("hits", lambda h: (h["w"] == phrase.split()[0]) & _phrase_at(h["i"], phrase))
@@ -95,28 +101,26 @@ def scan_licenses(docs: DataFrame, columns: list[str] | None = None) -> DataFram
     seen = {r["w"]: r["count"] for r in counted.collect()}  # one row per notice word
     total = docs.count()
     idf = {w: math.log((total + 1) / (seen.get(w, 0) + 1)) + 1e-6 for w in words}
-    ranked = sorted(words, key=lambda w: (-idf[w], w))
-
-    df = _words(docs, [F.struct(*[docs[c].alias(f"in_{c}") for c in names]).alias("row")])
-    order = F.array(*[F.lit(w) for w in ranked])
-    df = df.withColumn("rare", F.slice(F.array_sort(F.transform(
-        F.array_distinct(F.transform("hits", lambda h: h["w"])), lambda w: F.array_position(order, w))), 1, RARE_WORDS))
-    df = df.withColumn("rare", F.transform("rare", lambda r: F.element_at(order, r.cast("int"))))
 
-    # votes: (notice, alignment, word) of every occurrence of a rare word
+    # looked-up words: (notice, position) of each notice's rarest key phrase words
     postings: dict[str, list[tuple[int, int]]] = {}
-    for n, (_, notice, _) in enumerate(NOTICES):
-        for p, w in enumerate(notice.split()):
-            postings.setdefault(w, []).append((n, p))
-    by_rank = F.array(*[F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("p")) for n, p in postings.get(w, [])])
-                        if w in postings else F.array().cast("array<struct<n:int,p:int>>") for w in ranked])
+    for n, (_, notice, phrases) in enumerate(NOTICES):
+        parts = notice.split()
+        places = sorted({_start(parts, phrase) + k for phrase in phrases for k in range(len(phrase.split()))})
+        for w in sorted({parts[p] for p in places}, key=lambda w: (-idf[w], w))[:RARE_WORDS]:
+            postings.setdefault(w, []).extend((n, p) for p in places if parts[p] == w)
+    rare = sorted(postings)
+
+    df = _words(docs, [F.struct(*[docs[c].alias(f"in_{c}") for c in names]).alias("row")])
+    order = F.array(*[F.lit(w) for w in rare])
+    by_rank = F.array(*[F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("p")) for n, p in postings[w]])
+                        for w in rare])
     df = df.withColumn("votes", F.array_sort(F.flatten(F.transform(
-        F.filter("hits", lambda h: F.array_contains("rare", h["w"])),
+        F.filter("hits", lambda h: h["w"].isin(rare)),
         lambda h: F.transform(F.element_at(by_rank, F.array_position(order, h["w"]).cast("int")),
                               lambda q: F.struct(q["n"].alias("n"), (h["i"] - q["p"]).alias("at"), h["w"].alias("w")))))))
-    enough = F.size("rare") < 2
     df = df.withColumn("aligned", F.array_distinct(F.transform(
-        F.filter("votes", lambda v, i: enough | F.coalesce(
+        F.filter("votes", lambda v, i: F.coalesce(
             F.when(i > 0, (F.get("votes", i - 1)["n"] == v["n"]) & (F.get("votes", i - 1)["at"] == v["at"])), F.lit(False))),
         lambda v: F.struct(v["n"].alias("n"), v["at"].alias("at")))))
 
@@ -127,8 +131,7 @@ def scan_licenses(docs: DataFrame, columns: list[str] | None = None) -> DataFram
             parts = notice.split()
             test = F.lit(True)
             for phrase in phrases:
-                p = [parts[k:k + len(phrase.split())] for k in range(len(parts))].index(phrase.split())
-                test = test & _phrase_at(a["at"] + p, phrase)
+                test = test & _phrase_at(a["at"] + _start(parts, phrase), phrase)
             whole = sum(idf[w] for w in parts)
             held = F.lit(0.0)
             for p, w in enumerate(parts):

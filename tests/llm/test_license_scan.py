@@ -61,3 +61,14 @@ def test_columns(spark):
 
 def test_empty_table(spark):
     assert L.scan_licenses(no_docs(spark)).collect() == []
+
+
+def test_two_notices_in_one_text(spark):
+    """Each pair of notices, alone and among ordinary words of the list."""
+    some = "the files of any source are subject to the terms and conditions of use "
+    pairs = [(a, b, more) for a in L.NOTICES for b in L.NOTICES for more in ("", some)]
+    texts = [f"{more}{a[1]}. {more}{b[1]} {more}" for a, b, more in pairs]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1 - k, f"word {k}") for k in range(200)], "doc_id long, text string")
+    for r in L.scan_licenses(df).where("doc_id >= 0").collect():
+        a, b, _ = pairs[r["doc_id"]]
+        assert r["labels"] == ",".join(sorted({a[0], b[0]})), texts[r["doc_id"]]
