@@ -2,18 +2,23 @@
 
 Every unit vector o is rotated by a random orthogonal matrix; its code is the
 sign of each coordinate, which stands for the corner o_bar (coordinates
-+-1/sqrt(d)) of a cube.  Stored with it is the correction factor
-f = <o_bar, o>.  For another rotated vector q, <o_bar, q> / f estimates <o, q>
-without bias, and the error stays within ``sigmas`` * sqrt((1 - f^2) / f^2) /
-sqrt(d - 1) * sqrt(1 - <o, q>^2) but with a small chance.  Only pairs whose
-upper bound reaches the threshold are recomputed exactly, in double precision.
-
-Candidates are rows of one label, dimension and *band*: the signs along a few
-further random directions.  With several independent tables of bands a pair at
-the threshold shares at least one with probability ``recall`` (closer pairs
-with more).  The width of a band follows the size of the largest label, so
-bands hold about ``TILE`` vectors; bands of any size are compared whole, in
-square tiles, and a pair is counted in the first table that it shares.
++-1/sqrt(d)) of a cube.  With the correction factor f = <o_bar, o>, two vectors
+at an angle of at most t have <o_bar, q> >= cos(t + acos(f)) for the other one's
+rotated vector q, as angles obey the triangle inequality.  Pairs below that are
+ruled out with certainty, the others recomputed in double precision.
+
+Every pair of a label and dimension is compared, in square tiles of about
+``TILE`` vectors a side, so a result does not depend on the size of the table.
+
+By choice (``recall``), candidates are only the rows that share a *band*: the
+signs along a few further random directions.  With several independent tables of
+bands a pair at the threshold shares at least one with probability ``recall``
+(closer pairs with more).  The width of a band follows the size of the largest
+label, so bands hold about ``TILE`` vectors; bands of any size are compared
+whole, and a pair is counted in the first table that it shares.  Also by choice
+(``sigmas``), <o_bar, q> / f serves as an estimate of <o, q>, whose error stays
+within ``sigmas`` * sqrt((1 - f^2) / f^2) / sqrt(d - 1) * sqrt(1 - <o, q>^2) but
+with a small chance.
 
 Equal vectors are one node with a multiplicity, so copies cost nothing, and a
 tile gives one row per node (links counted, one link of a spanning forest)
@@ -34,8 +39,7 @@ from .components import connected_components
 from .scratch import stored
 
 THRESHOLD = 0.93
-RECALL = 0.99
-SIGMAS = 4.0
+SIGMAS = 4.0  # a value for ``sigmas``
 TILE = 1024
 SEED = 20
 
@@ -118,7 +122,13 @@ def estimate(turned: np.ndarray, others: np.ndarray, sigmas: float) -> tuple[np.
     return value, sigmas * spread
 
 
-def _tile_links(key, pdf, threshold: float, sigmas: float):
+def _certain_floor(factor: np.ndarray, threshold: float) -> np.ndarray:
+    """The least estimate that a pair at the threshold can have."""
+    angle = np.arccos(np.minimum(factor, 1)) + math.acos(max(-1.0, min(1.0, threshold)))
+    return np.cos(np.minimum(angle, math.pi)) / factor - 1e-4
+
+
+def _tile_links(key, pdf, threshold: float, sigmas: float | None):
     """Per node of a tile: (node, n_links in this tile, a node of its
     component in this tile)."""
     import pandas as pd
@@ -134,20 +144,26 @@ def _tile_links(key, pdf, threshold: float, sigmas: float):
     firsts, seconds = [], []
     if len(left) and len(right):
         factor = np.abs(turned).sum(axis=1) / math.sqrt(dim)
-        spread = sigmas * np.sqrt(np.maximum(1 - factor ** 2, 0)) / factor / math.sqrt(max(dim - 1, 1))
-        # true value v within e * spread * sqrt(1 - v^2): at v = threshold the estimate is at least
-        floor = threshold - spread * math.sqrt(1 - threshold ** 2) - 1e-4
+        if sigmas is None:
+            floor = _certain_floor(factor, threshold)
+        else:
+            spread = sigmas * np.sqrt(np.maximum(1 - factor ** 2, 0)) / factor / math.sqrt(max(dim - 1, 1))
+            # true value v within e * spread * sqrt(1 - v^2): at v = threshold the estimate is at least
+            floor = threshold - spread * math.sqrt(1 - threshold ** 2) - 1e-4
         for k in range(0, len(left), 512):
             part = left[k:k + 512]
-            value, _ = estimate(turned[part], turned[right], sigmas)
-            p, q = np.nonzero(value >= floor[part][:, None].astype(np.float32))
-            p, q = part[p], right[q]
+            value, _ = estimate(turned[part], turned[right], sigmas or 0.0)
+            u, v = np.nonzero(value >= floor[part][:, None].astype(np.float32))
+            if 16 * len(u) > value.size:
+                ok = (x[part] @ x[right].T)[u, v] >= threshold - 1e-12
+                u, v = u[ok], v[ok]
+            p, q = part[u], right[v]
             if i == j:
                 p, q = p[p < q], q[p < q]
             if not len(p):
                 continue
-            exact = np.einsum("ij,ij->i", x[p], x[q])
-            ok = exact >= threshold
+            ok = np.concatenate([np.einsum("ij,ij->i", x[p[c:c + 65536]], x[q[c:c + 65536]]) >= threshold
+                                 for c in range(0, len(p), 65536)])
             p, q = p[ok], q[ok]
             if table:
                 fresh = ~(bands[p, :table] == bands[q, :table]).any(axis=1)
@@ -171,8 +187,8 @@ def _tile_links(key, pdf, threshold: float, sigmas: float):
     return pd.DataFrame({"node": node[used], "n": count[used], "root": node[root[used]]})
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, sigmas: float = SIGMAS,
-                    tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float | None = None,
+                    sigmas: float | None = None, tile: int = TILE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors of equal, non-null label and equal dimension link at a cosine
@@ -183,6 +199,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     nothing.  A null vec_id takes part under no id: its row has n_links 0, a
     null component_id and kept false.  Repeated vec_ids are separate vectors with
     that id.  Other columns are ignored; an empty table gives an empty result.
+    All links are found unless ``recall`` or ``sigmas`` is given (see above),
+    which are for tables too large to compare every pair of a label.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
                           F.col("embedding").cast("array<double>").alias("embedding"),
@@ -191,8 +209,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     nodes = stored(rows.where("node is not null and vec_id is not null").groupBy("node")
                    .agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.count(F.lit(1)).alias("weight"),
                         F.min("vec_id").alias("rep"), F.first("vector").alias("vector")), "nodes")
-    largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    bits, tables = plan_bands(largest, threshold, recall, tile)
+    bits, tables = 0, 1
+    if recall is not None:
+        largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+        bits, tables = plan_bands(largest, threshold, recall, tile)
     banded = nodes.select("label", "dim", "node", "weight", "vector").mapInArrow(
         lambda it: _banded_rows(it, bits, tables),
         "label long, dim int, t int, band int, node long, weight long, vector binary, bands binary")

@@ -102,3 +102,34 @@ def test_rotation_is_orthogonal_and_fixed():
 
 def test_empty_table(spark):
     assert D.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_links_do_not_depend_on_the_size(spark):
+    """Pairs just above the threshold, in a label of many tiles and in one tile."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(600):
+        x, y = rng.standard_normal((2, 32))
+        y -= x * (x @ y) / (x @ x)
+        a = math.acos(0.9301)
+        z = x / np.linalg.norm(x) * math.cos(a) + y / np.linalg.norm(y) * math.sin(a)
+        rows += [(2 * k, x.tolist(), 0), (2 * k + 1, z.tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for tile in (100, 4096):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in D.near_duplicates(df, tile=tile).collect()}
+        assert got == {k: (1, k - k % 2) for k in range(len(rows))}
+
+
+def test_certain_floor_never_passes_the_estimate():
+    rng = np.random.default_rng(8)
+    for dim in (2, 3, 8, 64):
+        x = rng.standard_normal((300, dim))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        y = x + 0.3 * rng.standard_normal((300, dim)) / math.sqrt(dim)
+        y /= np.linalg.norm(y, axis=1)[:, None]
+        r = D.rotation(dim)
+        turned = x @ r.T
+        value, _ = D.estimate(turned, y @ r.T, D.SIGMAS)
+        factor = np.abs(turned).sum(axis=1) / math.sqrt(dim)
+        near = (x * y).sum(axis=1) >= D.THRESHOLD
+        assert near.any() and (np.diag(value) >= D._certain_floor(factor, D.THRESHOLD))[near].all()
