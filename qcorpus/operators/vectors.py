@@ -1,13 +1,10 @@
-"""Vector collection operators.
-
-Exact nearest neighbours scan the stored vectors once.  The query batch is
-small and its size is checked before it is shipped to the executors as a
-broadcast variable; each task multiplies tiles of its vectors by tiles of the
-query matrix with numpy and keeps a running top-k per query (ties by id), so at
-most ``k x tasks`` candidates per query reach the shuffle.  A final
-``row_number() <= k`` per query (window-group-limit) picks the global top-k.
-No pair table is ever materialised.  Query batches above the bound are
-processed in bounded chunks, each a separate scan, with the same result.
+"""Vector collection operators.
+
+Exact nearest neighbours compare blocks of queries with blocks of vectors
+(``blocks.py``): blocks meet in tasks by an equi-join on a grid, each task keeps the
+best k per query, and one window merges them.  No pair table is materialised
+and no query passes through the driver.  ``vector_index.py`` holds the
+approximate search (C9).
 """
 
 from __future__ import annotations
@@ -18,11 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qcorpus.operators.blocks import packed, top_pairs
 from qcorpus.operators.ranking import batch_id as _batch_id
 from qcorpus.operators.ranking import global_row_number
 
-MAX_BROADCAST_BYTES = 64 << 20  # bound on the query matrix shipped to every executor
-TILE_ROWS, TILE_QUERIES = 4096, 1024  # one similarity tile is at most 32 MB
+QUERY_BLOCK_BYTES = 16 << 20
 
 
 def _col(c):
@@ -53,133 +50,34 @@ def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding") ->
             .select(group_col, vector_to_array("__m").alias("centroid"))
 
 
-def _topk_scan(vectors: DataFrame, qids, qmat, k: int, id_col: str, vec_col: str,
-               exclude_self: bool) -> DataFrame:
-    import numpy as np
-    spark = vectors.sparkSession
-    payload = (np.asarray(qids), np.asarray(qmat, dtype=np.float64))
-    try:  # once per executor
-        bq = spark.sparkContext.broadcast(payload)
-        get = lambda: bq.value
-    except Exception:  # sessions without a SparkContext: ship the (size-checked) batch with the task
-        get = lambda: payload
-
-    def scan(batches):
-        import numpy as np
-        import pandas as pd
-        ids_q, m = get()
-        best = None  # this task's top k per query so far
-
-        def keep_best(frame):
-            # similarity descending, then id: the order of the final result
-            frame = frame.sort_values(["q", "s", "id"], ascending=[True, False, True], kind="stable")
-            return frame.groupby("q", sort=False).head(k)
-
-        for pdf in batches:
-            for lo in range(0, len(pdf), TILE_ROWS):
-                part = pdf.iloc[lo:lo + TILE_ROWS]
-                x = np.stack(part[vec_col].to_numpy()).astype(np.float64)
-                norms = np.linalg.norm(x, axis=1, keepdims=True)
-                x = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
-                ids = part[id_col].to_numpy()
-                found = []
-                for q0 in range(0, len(ids_q), TILE_QUERIES):
-                    sims = x @ m[q0:q0 + TILE_QUERIES].T              # rows: vectors, cols: queries
-                    if exclude_self:
-                        sims = np.where(ids[:, None] == ids_q[None, q0:q0 + TILE_QUERIES], -np.inf, sims)
-                    # all rows that reach the k-th best of the tile, ties included
-                    kth = np.partition(sims, max(len(ids) - k, 0), axis=0)[max(len(ids) - k, 0)]
-                    row, col = np.nonzero((sims >= kth) & np.isfinite(sims))
-                    found.append(pd.DataFrame({"q": q0 + col, "s": sims[row, col], "id": ids[row]}))
-                best = keep_best(pd.concat(found if best is None else [best, *found], ignore_index=True))
-        if best is not None and len(best):
-            yield pd.DataFrame({"query_id": ids_q[best["q"].to_numpy()], id_col: best["id"].to_numpy(),
-                                "similarity": best["s"].to_numpy()})
-
-    schema = f"query_id {_id_type(qids)}, {id_col} {dict(vectors.dtypes)[id_col]}, similarity double"
-    cand = vectors.select(id_col, vec_col).mapInPandas(scan, schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.col(id_col))
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
-               .withColumn("distance", F.lit(1.0) - F.col("similarity"))
-
-
-def _id_type(ids) -> str:
-    import numpy as np
-    return "bigint" if np.issubdtype(np.asarray(ids).dtype, np.integer) else "string"
-
-
 def top_k_similar(queries: DataFrame, vectors: DataFrame, k: int = 3, query_id: str = "query_id",
                   query_vec: str = "embedding", id_col: str = "id", vec_col: str = "embedding",
-                  exclude_self: bool = False, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """C8 + E8: exact top-k stored vectors per query by cosine similarity,
-    ties by id; ``similarity = 1 - distance``.  Returns ``query_id, <id>,
-    similarity, rank, distance``.
-
-    The query side must be a bounded batch: its row count and width are
-    checked, and batches larger than ``max_broadcast_bytes`` are split into
-    chunks that each fit the bound (one scan per chunk)."""
-    import numpy as np
-    q = queries.select(F.col(query_id).alias("qid"), l2_normalize(query_vec).alias("qv"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
-    n, d = int(stats["n"]), int(stats["d"] or 0)
-    if n == 0:
-        return vectors.sparkSession.createDataFrame(
-            [], f"query_id bigint, {id_col} {dict(vectors.dtypes)[id_col]}, similarity double, rank int, distance double")
-    per_chunk = max(1, max_broadcast_bytes // max(1, d * 8))
-    chunks = max(1, -(-n // per_chunk))
-    out = None
-    for c in range(chunks):
-        # each chunk is bounded by construction before it reaches the driver
-        part = q.filter(F.pmod(F.xxhash64("qid"), F.lit(chunks)) == c) if chunks > 1 else q
-        rows = part.collect()
-        if not rows:
-            continue
-        qids = np.array([r["qid"] for r in rows])
-        qmat = np.array([r["qv"] for r in rows], dtype=np.float64)
-        res = _topk_scan(vectors, qids, qmat, k, id_col, vec_col, exclude_self)
-        out = res if out is None else out.unionByName(res)
-    return out
-
-
-def approx_similar(queries: DataFrame, vectors: DataFrame, k: int = 3, query_id: str = "query_id",
-                   query_vec: str = "embedding", id_col: str = "id", vec_col: str = "embedding",
-                   bits: int = 6, num_tables: int = 24, seed: int = 7, exclude_self: bool = False) -> DataFrame:
-    """Approximate top ``k`` by cosine similarity, by sign random projection.
-    A table's bucket is the signs of ``bits`` random projections; two vectors at
-    angle a share one with probability ``(1 - a / pi) ** bits`` whatever the
-    dimension, so ``num_tables`` sets the recall.  Candidates are distinct pairs
-    of a query and a vector that share a bucket; their similarity is computed
-    exactly and the best ``k`` per query stay (ties by id).  Choose ``bits`` near
-    ``log2(vectors / 1000)``, so that a bucket holds about a thousand vectors."""
-    import numpy as np
-    row = vectors.select(F.size(vec_col).alias("d")).where("d > 0").first()
-    dim = row["d"] if row else 0
-    planes = np.random.default_rng(seed).standard_normal((dim, bits * num_tables))
-
-    def signs(batches):
-        import numpy as np
-        import pandas as pd
-        for pdf in batches:
-            x = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, dim))
-            on = (x @ planes > 0).reshape(len(pdf), num_tables, bits)
-            code = (on << np.arange(bits)).sum(axis=2) + (np.arange(num_tables) << bits)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "buckets": list(code)})
-
-    def hashed(df, i, v, name):
-        kind = dict(df.select(i).dtypes)[i]
-        unit = df.select(F.col(i).alias("id"), l2_normalize(v).alias("v")).where(F.size("v") == dim)
-        return unit, unit.mapInPandas(signs, f"id {kind}, buckets array<bigint>") \
-            .select(F.col("id").alias(name), F.explode("buckets").alias("bucket"))
-    qv, qb = hashed(queries, query_id, query_vec, "query_id")
-    vv, vb = hashed(vectors, id_col, vec_col, "vid")
-    pairs = qb.join(vb, "bucket").select("query_id", "vid").distinct()
-    if exclude_self:
-        pairs = pairs.where(F.col("query_id") != F.col("vid"))
-    scored = pairs.join(qv.select(F.col("id").alias("query_id"), F.col("v").alias("a")), "query_id") \
-        .join(vv.select(F.col("id").alias("vid"), F.col("v").alias("b")), "vid") \
-        .select("query_id", F.col("vid").alias(id_col), dot("a", "b").alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.col(id_col))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                  exclude_self: bool = False, query_block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
+    """C8 + E8: exact top-k stored vectors per query by cosine similarity, ties by id;
+    ``similarity = 1 - distance``.  Returns ``query_id, <id>, similarity, rank,
+    distance``.
+
+    Queries form blocks of about ``query_block_bytes``.  A grid of block numbers
+    and vector groups deals the work: a vector block goes to every query block
+    once, a query block to every group, so there are about three tasks per core however
+    many queries or vectors there are.  Queries and vectors that are null, not
+    finite, without an id or of another size than the most frequent one meet nothing."""
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("embedding"))
+    stats = q.agg(F.count("*").alias("n"), F.mode(F.when(F.size("embedding") > 0, F.size("embedding"))).alias("dim")).first()
+    dim = stats["dim"] or 1
+    n_blocks = max(1, -(-stats["n"] * dim * 8 // query_block_bytes))
+    rows = max(1, query_block_bytes // (8 * dim))
+    groups = max(1, -(-3 * queries.sparkSession.sparkContext.defaultParallelism // n_blocks))
+    dealt = q.withColumn("c", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
+    dealt = dealt.repartition("c") if n_blocks > 1 else dealt
+    qb = packed(dealt, ["c"], "query_id", "embedding", dim, rows)
+    qb = qb.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    vb = packed(vectors.withColumn("__all", F.lit(0)), ["__all"], id_col, vec_col, dim)
+    vb = vb.withColumn("r", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")) \
+        .withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    hits = top_pairs(qb, vb, ["r", "c"], dim, k, exclude_self)
+    return hits.select("query_id", F.col("id").alias(id_col), "similarity", "rank",
+                       (F.lit(1.0) - F.col("similarity")).alias("distance"))
 
 
 def retrieve_examples(hits: DataFrame, metadata: DataFrame, queries: DataFrame, id_col: str = "id",

@@ -4,38 +4,37 @@ H2, H3, I2, I7, B29, J1-J4)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from qcorpus.operators import evaluate as EV
 from qcorpus.operators import trials as TR
 from qcorpus.operators import vectors as V
+from qcorpus.operators.vector_index import build_index, search_index
 from qcorpus.plans import fixtures
 from qcorpus.plans.registry import register
-from qcorpus.session import table
+from qcorpus.session import checkpoint_dir, table
 from qcorpus.streaming import events as ST
 
-CENT_SQL = """cent as (select label, list(m order by pos) as c from (
-    select label, pos, avg(v) as m from (
-      select label, unnest(cast(embedding as double[])) as v, generate_subscripts(embedding, 1) as pos from embeddings)
-    group by 1, 2) group by 1)"""
+# every stored vector whose id is divisible by 20 asks for its neighbours
+SIMS_SQL = """v as (select vec_id as id, cast(embedding as double[]) as e from embeddings),
+sims as (select q.id as query_id, v.id, list_cosine_similarity(q.e, v.e) as similarity
+         from v q, v where q.id % 20 = 0 and q.id <> v.id),
+ranked as (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from sims)"""
 
 
-def _centroid_queries(spark, sf_dir):
-    emb = table(spark, sf_dir, "embeddings")
-    return V.centroids(emb, "label").select(F.col("label").cast("bigint").alias("query_id"),
-                                             F.col("centroid").alias("embedding"))
+def _stored_queries(vec):
+    return vec.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
 
 
 def _topk(spark, sf_dir, k):
     vec = fixtures.load(spark, sf_dir, "vectors")
-    return V.top_k_similar(_centroid_queries(spark, sf_dir), vec, k=k)
+    return V.top_k_similar(_stored_queries(vec), vec, k=k, exclude_self=True)
 
 
 @register("top_k_similar", "C8 E8 B28", sql=f"""
-with {CENT_SQL},
-sims as (select cast(cent.label as bigint) as query_id, e.vec_id as id,
-                list_cosine_similarity(c, cast(e.embedding as double[])) as similarity from cent, embeddings e),
-ranked as (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from sims)
+with {SIMS_SQL}
 select query_id, id, cast(rank as bigint) as rank, round(similarity, 6) as similarity from ranked where rank <= 3""")
 def top_k_similar(spark, sf_dir):
     r = _topk(spark, sf_dir, 3)
@@ -54,10 +53,7 @@ def vector_metadata(vectors):
 
 
 @register("retrieve_examples", "C10 E8", sql=f"""
-with {CENT_SQL},
-sims as (select cast(cent.label as bigint) as query_id, e.vec_id as id,
-                list_cosine_similarity(c, cast(e.embedding as double[])) as similarity from cent, embeddings e),
-ranked as (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from sims),
+with {SIMS_SQL},
 hits as (select query_id, id, rank, id // 2 as source_id, concat('question ', cast(id // 2 as varchar)) as question,
                 case when id % 7 = 0 then '' else concat('SELECT ', cast(id as varchar)) end as sql
          from ranked where rank <= 5),
@@ -66,25 +62,49 @@ kept as (select * from firsts where f = 1 and question <> '' and sql <> ''),
 g as (select query_id, string_agg(concat('-- Example Question: ', question, chr(10), '-- Example SQL: ', sql),
                                   chr(10) || chr(10) order by rank) as examples, count(*) as n from kept group by 1)
 select q.query_id, coalesce(examples, '(No similar examples found)') as examples, coalesce(n, 0) as n_examples
-from (select distinct cast(label as bigint) as query_id from embeddings) q left join g on q.query_id = g.query_id""")
+from (select vec_id as query_id from embeddings where vec_id % 20 = 0) q left join g on q.query_id = g.query_id""")
 def retrieve_examples(spark, sf_dir):
     vec = fixtures.load(spark, sf_dir, "vectors")
     hits = _topk(spark, sf_dir, 5)
-    return V.retrieve_examples(hits, vector_metadata(vec), _centroid_queries(spark, sf_dir))
+    return V.retrieve_examples(hits, vector_metadata(vec), _stored_queries(vec))
+
+
+PROBES = 0.7  # the given vectors lie all around the sphere: neighbours are spread over many cells
 
 
-APPROX = {"bits": 4, "num_tables": 40}
+def _cells_sql(iterations=2):
+    """The index in SQL: seeds by MD5 of the id, k-means rounds, nearest cell."""
+    near = ("select id, e, c as cell from (select u.id, u.e, k.c, row_number() over (partition by u.id order by "
+            "list_inner_product(u.e, k.m) desc, k.c) as r from u, {0} k) where r = 1")
+    out = """u as (select id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as e from v),
+n as (select cast(round(sqrt(count(*))) as int) as cells from u),
+k0 as (select c, m from (select row_number() over (order by md5(cast(id as varchar)), id) - 1 as c, e as m from u), n where c < cells),
+"""
+    for i in range(iterations):
+        out += f"""a{i} as ({near.format(f"k{i}")}),
+s{i} as (select c, list(m order by pos) as m from (
+  select cell as c, pos, avg(x) as m from (select cell, unnest(e) as x, generate_subscripts(e, 1) as pos from a{i}) group by 1, 2) group by 1),
+k{i + 1} as (select k.c, case when s.c is null then k.m else list_transform(s.m, lambda x: x / sqrt(list_inner_product(s.m, s.m))) end as m
+  from k{i} k left join s{i} s on k.c = s.c),
+"""
+    return out + f"a as ({near.format(f'k{iterations}')}),\nk as (select * from k{iterations})"
 
 
 @register("approx_similar", "C9", sql=f"""
-with {CENT_SQL},
-sims as (select cast(cent.label as bigint) as query_id, e.vec_id as id,
-                list_cosine_similarity(c, cast(e.embedding as double[])) as similarity from cent, embeddings e),
+with v as (select vec_id as id, cast(embedding as double[]) as e from embeddings),
+{_cells_sql()},
+probed as (select id, c from (
+  select u.id, k.c, row_number() over (partition by u.id order by list_inner_product(u.e, k.m) desc, k.c) as r
+  from u, k where u.id % 20 = 0), n where r <= round({PROBES} * cells)),
+sims as (select q.id as query_id, x.id, list_inner_product(q.e, x.e) as similarity
+         from probed p join u q on q.id = p.id join a x on x.cell = p.c where x.id <> q.id),
 ranked as (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from sims)
 select query_id, id, cast(rank as bigint) as rank, round(similarity, 6) as similarity from ranked where rank <= 3""")
 def approx_similar(spark, sf_dir):
     vec = fixtures.load(spark, sf_dir, "vectors")
-    r = V.approx_similar(_centroid_queries(spark, sf_dir), vec, k=3, **APPROX)
+    index = f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    build_index(vec, index)
+    r = search_index(index, _stored_queries(vec), k=3, probes=PROBES, exclude_self=True)
     return r.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"),
                     F.round("similarity", 6).alias("similarity"))
 
