@@ -1,64 +1,118 @@
 """Schema linking (C4-C7): which catalog columns a SQL text mentions.
 
-Two equi-joins onto dimension-sized catalog tables (broadcast after a size
-check): each text first meets the table names of its own database and keeps
-those it mentions, then only the columns of the kept tables; the substring
-tests run as join conditions.  The expansion per text is bounded by the
-width of its own database, never by the data.
+The table and column names of a database form one Aho-Corasick automaton, built
+once per worker; a text meets the names of its own database by one equi-join onto
+a table with a row per database and is read once, whatever the number of names.  The
+links of a text come back as an array in its row, so nothing is expanded before
+it is known to be linked, and no duplicates have to be removed afterwards.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import re
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qcorpus.functions.text import quote_ident
 
+_WORD = re.compile("[A-Za-z0-9_]")
 
-def _contains(text: Column, name: Column, whole_word: bool) -> Column:
-    if not whole_word:
-        return F.instr(text, name) > 0
-    # whole word: the name bounded by non-identifier characters
-    pat = F.concat(F.lit(r"(^|[^A-Za-z0-9_])\Q"), name, F.lit(r"\E([^A-Za-z0-9_]|$)"))
-    return F.regexp_like(text, pat)
 
+class NameFinder:
+    """Finds the tables and columns of one database in a text."""
 
-def link_schema(texts: DataFrame, columns: DataFrame, id_col: str = "question_id", text_col: str = "sql",
-                star: bool = False, whole_word: bool = False) -> DataFrame:
-    """C4 (C5 with ``star=True``): distinct (id, table, column) whose column
-    name and table name both occur in the text, case-sensitive substring
-    test (quirk Q14; ``whole_word=True`` for word boundaries).  With
-    ``star``, a ``(table, "*")`` row is added for every table named in a
-    text that contains ``*``.  ``columns`` has db_id, table_name, column_name."""
+    def __init__(self, names: str):
+        self.columns: dict[str, list[str]] = {}
+        for pair in json.loads(names):
+            if pair.get("table_name") is not None and pair.get("column_name") is not None:
+                self.columns.setdefault(pair["table_name"], []).append(pair["column_name"])
+        words = {*self.columns, *(c for cs in self.columns.values() for c in cs)}
+        self.always = words & {""}  # an empty name is part of every text
+        self.words = words - {""}
+        self.automaton = _automaton(self.words)
+
+    def found(self, text: str, whole_word: bool) -> set[str]:
+        out = set(self.always)
+        if self.automaton is None:
+            hits = ((m.end() - 1, w) for w in self.words for m in re.finditer(f"(?={re.escape(w)}).{{{len(w)}}}", text, re.S))
+        else:
+            hits = self.automaton.iter(text) if self.words else ()
+        for end, word in hits:
+            if word in out:
+                continue
+            if whole_word:
+                before, after = text[max(end - len(word), 0):end - len(word) + 1], text[end + 1:end + 2]
+                if _WORD.match(before) or _WORD.match(after):
+                    continue
+            out.add(word)
+        return out
+
+    def links(self, text: str, star: bool, whole_word: bool) -> list[tuple[str, str]]:
+        found = self.found(text, whole_word)
+        tables = [t for t in self.columns if t in found]
+        out = [(t, c) for t in tables for c in self.columns[t] if c in found]
+        return out + [(t, "*") for t in tables] if star and "*" in text else out
+
+
+def _automaton(words: set[str]):
+    try:
+        import ahocorasick
+    except ImportError:  # names are then searched one by one
+        return None
+    out = ahocorasick.Automaton()
+    for word in words:
+        out.add_word(word, word)
+    if words:
+        out.make_automaton()
+    return out
+
+
+@lru_cache(maxsize=256)
+def _finder(names: str) -> NameFinder:
+    return NameFinder(names)
+
+
+def with_links(texts: DataFrame, columns: DataFrame, text_col: str = "sql", out: str = "links", star: bool = False,
+               whole_word: bool = False) -> DataFrame:
+    """``texts`` (with db_id) and ``out``, the array of distinct (table, column)
+    whose column name and table name both occur in the text, case-sensitive
+    substring test (quirk Q14; ``whole_word=True`` for word boundaries).  With
+    ``star``, ``(table, "*")`` is added for every table named in a text that
+    contains ``*``.  ``columns`` has db_id, table_name, column_name; the
+    names of one database must fit in a row.  A null text, or one of an unknown
+    database, has no links."""
     from qcorpus.session import broadcast_if_small
-    t = texts.select(id_col, "db_id", F.col(text_col).alias("__text"))
-    text = F.col("__text")
-    # step 1: tables named in the text (expansion = tables per database);
-    # step 2: only the columns of those tables (expansion = their columns).
-    # The catalog sides are broadcast after a size check, so the statements
-    # stream through both joins without a shuffle (a small corpus would
-    # otherwise be broadcast itself and the column join sort-merged)
-    tables = broadcast_if_small(columns.select("db_id", "table_name").distinct())
-    named_tables = t.join(tables, "db_id", "inner").filter(_contains(text, F.col("table_name"), whole_word))
-    cols = broadcast_if_small(columns.select("db_id", "table_name", "column_name"))
-    linked = named_tables.join(cols, ["db_id", "table_name"], "inner") \
-        .filter(_contains(text, F.col("column_name"), whole_word)) \
-        .select(id_col, F.col("table_name").alias("table"), F.col("column_name").alias("column")).distinct()
-    if not star:
-        return linked
-    stars = named_tables.filter(F.instr(text, "*") > 0) \
-        .select(id_col, F.col("table_name").alias("table"), F.lit("*").alias("column")).distinct()
-    return linked.unionByName(stars)
-
-
-def covers_schema(gold_links: DataFrame, pred_links: DataFrame, ids: DataFrame,
+    kind = pa.list_(pa.struct([("table", pa.string()), ("column", pa.string())]))
+
+    @F.arrow_udf("array<struct<table: string, column: string>>")
+    def find(names: pa.Array, bodies: pa.Array) -> pa.Array:
+        rows = [[] if n is None or t is None else _finder(n).links(t, star, whole_word)
+                for n, t in zip(names.to_pylist(), bodies.to_pylist())]
+        return pa.array([[{"table": t, "column": c} for t, c in r] for r in rows], kind)
+
+    names = columns.groupBy("db_id").agg(F.to_json(F.sort_array(F.collect_set(F.struct("table_name", "column_name")))).alias("__names"))
+    return (texts.join(broadcast_if_small(names), "db_id", "left").withColumn(out, find("__names", text_col))
+            .select(*texts.columns, out))
+
+
+def link_schema(texts: DataFrame, columns: DataFrame, id_col: str = "question_id", text_col: str = "sql",
+                star: bool = False, whole_word: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """C4 (C5 with ``star=True``): a row (id, ``carry``, table, column) per link of
+    ``with_links``.  Ids are expected to be unique."""
+    linked = with_links(texts, columns, text_col, "__links", star, whole_word)
+    return linked.select(id_col, *carry, F.explode("__links").alias("l")).select(id_col, *carry, "l.table", "l.column")
+
+
+def covers_schema(texts: DataFrame, columns: DataFrame, gold_col: str, candidate_col: str,
                   id_col: str = "question_id") -> DataFrame:
     """Per id, true when every (table, column) linked from the gold SQL
     is also linked from the candidate text (true when gold links nothing)."""
-    missing = gold_links.join(pred_links, [id_col, "table", "column"], "left_anti") \
-                        .groupBy(id_col).agg(F.count(F.lit(1)).alias("__missing"))
-    return ids.select(id_col).join(missing, id_col, "left") \
-              .select(id_col, F.col("__missing").isNull().alias("covers"))
+    both = with_links(with_links(texts, columns, gold_col, "__gold"), columns, candidate_col, "__candidate")
+    return both.select(id_col, (F.size(F.array_except("__gold", "__candidate")) == 0).alias("covers"))
 
 
 def column_meaning_block(links: DataFrame, meanings: DataFrame, order: DataFrame,

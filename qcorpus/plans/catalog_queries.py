@@ -205,10 +205,8 @@ def covers_schema(spark, sf_dir):
     cat = catalog(spark, sf_dir)
     corpus = fixtures.load(spark, sf_dir, "sql_corpus")
     cols = K.named_columns(cat)
-    gold = L.link_schema(corpus, cols)
-    cand = corpus.withColumn("sql", F.replace("sql", F.lit("o_totalprice"), F.lit("o_total")))
-    pred = L.link_schema(cand, cols)
-    return L.covers_schema(gold, pred, corpus)
+    cand = corpus.withColumn("candidate", F.replace("sql", F.lit("o_totalprice"), F.lit("o_total")))
+    return L.covers_schema(cand, cols, "sql", "candidate")
 
 
 MEANINGS_SQL = """meanings as (select db_id, table_name as "table", column_name as "column",
@@ -228,8 +226,7 @@ def column_meanings(spark, sf_dir):
     cat = catalog(spark, sf_dir)
     corpus = fixtures.load(spark, sf_dir, "sql_corpus")
     named = K.named_columns(cat)
-    links = L.link_schema(corpus.select("question_id", "db_id", "sql"), named) \
-             .join(corpus.select("question_id", "db_id"), "question_id")
+    links = L.link_schema(corpus.select("question_id", "db_id", "sql"), named, carry=("db_id",))
     m = F.col("col_idx") % 3
     meanings = named.select("db_id", F.col("table_name").alias("table"), F.col("column_name").alias("column"),
                             F.when(m == 0, F.concat(F.lit("#"), "column_name", F.lit(" of "), "table_name"))
@@ -265,7 +262,7 @@ def highlighted_schema(spark, sf_dir):
     cat = catalog(spark, sf_dir)
     corpus = fixtures.load(spark, sf_dir, "sql_corpus")
     named = K.named_columns(cat)
-    links = L.link_schema(corpus, named).join(corpus.select("question_id", "db_id"), "question_id")
+    links = L.link_schema(corpus, named, carry=("db_id",))
     _, fk_map = K.key_maps(cat)
     return L.highlighted_schema(links, named, fk_map)
 
