@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from qcorpus.plans import fixtures
 from qcorpus.plans.registry import register
 from qcorpus.session import checkpoint_dir, table
+from qcorpus.sources import json_array as JA
 from qcorpus.sources import records as RC
 from qcorpus.sources import sinks as SK
 from qcorpus.streaming import events as ST
@@ -33,6 +34,18 @@ def split_round_trip(spark, sf_dir):
     return RC.read_jsonl(spark, path, "question_id long, db_id string, sql string, split string")
 
 
+@register("json_array_round_trip", "A1", sql="""
+select doc_id, lang, n_chars, md5(text) as text_md5 from documents""")
+def json_array_round_trip(spark, sf_dir):
+    """Whole documents written as JSON arrays, read back by ranges of 1 MiB."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
+    path = _folder(spark, "arrays")
+    JA.write_json_array(docs.withColumn("part", F.floor(F.col("doc_id") / 500)), path, "part", "doc_id")
+    rows = JA.read_json_array(spark, path, "doc_id long, lang string, n_chars int, text string", range_bytes=1 << 20)
+    n_chars = F.col("n_chars").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return rows.select("doc_id", "lang", n_chars, F.md5("text").alias("text_md5"))
+
+
 @register("csv_round_trip", "A9", sql="""
 select o_orderkey, o_orderstatus, o_orderpriority from orders""")
 def csv_round_trip(spark, sf_dir):
