@@ -8,12 +8,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from qcorpus.plans import fixtures
+from qcorpus.plans import fixtures, sqlgen
 from qcorpus.plans.registry import register
 from qcorpus.session import checkpoint_dir, table
 from qcorpus.sources import json_array as JA
 from qcorpus.sources import records as RC
 from qcorpus.sources import sinks as SK
+from qcorpus.streaming import assembly as AS
 from qcorpus.streaming import events as ST
 
 CORPUS = f"sql_corpus as ({fixtures.SQL_CORPUS_SQL})"
@@ -101,3 +102,56 @@ def stream_windows(spark, sf_dir):
     q.awaitTermination()
     return spark.read.schema("window_start timestamp, event string, count long").json(out).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event", "count")
+
+
+@register("scored_stream", "H4 A8", sql=f"""
+with {sqlgen.scored_corpus_ctes()}
+select question_id, b1, b3, b4, round(reward, 6) as reward, difficulty from scored""")
+def scored_stream(spark, sf_dir):
+    """The corpus as a log in three parts; a third of the records come again in
+    the next part.  Scored once each, into a sink by micro-batch."""
+    corpus = fixtures.load(spark, sf_dir, "sql_corpus").select("question_id", "sql", F.col("created_at").cast("timestamp")
+                                                               .alias("created_at"))
+    log, out = _folder(spark, "log"), _folder(spark, "scored")
+    part = F.col("question_id") % 3
+    for n in range(3):
+        again = (part == n - 1) & (F.col("question_id") % 9 < 3)
+        SK.append_events(corpus.where((part == n) | again), log)
+    stream = spark.readStream.schema(corpus.schema).json(log)
+    once = ST.score_stream_once(stream, watermark="4000 days")
+    ST.append_batches(once.select("question_id", "b1", "b3", "b4", F.round("reward", 6).alias("reward"), "difficulty"), out,
+                      _folder(spark, "scoring"), trigger=None).awaitTermination()
+    return ST.read_batches(spark, out, "question_id long, b1 long, b3 long, b4 long, reward double, difficulty string")
+
+
+@register("stream_assembly", "H3", sql="""
+with t as (select event_id // 8 as request_id, event_id as seq, ts, case when event_id % 8 = 0 then '' else ' ' end || event_type as token,
+                  event_id % 8 = 7 as done, event_type = 'error' as err from events),
+c as (select request_id, min(case when done or err then seq end) as close_seq, max(ts) as last from t group by 1)
+select t.request_id, string_agg(token, '' order by seq) as message, count(*) as n_tokens,
+  coalesce(bool_or(seq = close_seq and done), false) as done,
+  coalesce(bool_or(seq = close_seq and err and not done), false) as has_error
+from t join c on t.request_id = c.request_id
+where (close_seq is null or seq <= close_seq) and last <= (select max(ts) from events) - interval 2 day group by 1""")
+def stream_assembly(spark, sf_dir):
+    """Pieces that arrive up to a day late, in five parts that cut through the
+    requests: those that the watermark has closed at the end of the log."""
+    ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    toks = ev.select(F.floor(F.col("event_id") / 8).cast("bigint").alias("request_id"), F.col("event_id").alias("seq"),
+                     F.concat(F.when(F.col("event_id") % 8 == 0, "").otherwise(" "), "event_type").alias("token"),
+                     (F.col("event_id") % 8 == 7).alias("done"), F.when(F.col("event_type") == "error", F.lit("error")).alias("error"),
+                     F.col("ts").alias("timestamp"))
+    log = _folder(spark, "pieces")
+    late = F.pmod(F.xxhash64("seq"), F.lit(86_000))  # seconds
+    ends = ev.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    first, last = ends[0] or 0, ends[1] or 0
+    part = F.least(F.lit(4), F.floor((F.unix_seconds("timestamp") + late - first) * 5 / (last - first + 1)))
+    for n in range(5):
+        SK.append_events(toks.where(part == n).coalesce(1), log)
+    stream = spark.readStream.schema(toks.schema).option("maxFilesPerTrigger", 1).json(log)
+    out = AS.assemble_tokens_ordered(stream, watermark="1 day", hold="1 day", keep="1 day")
+    path = _folder(spark, "messages")
+    with AS.rocksdb_state(spark):
+        out.writeStream.format("parquet").option("path", path).option("checkpointLocation", _folder(spark, "assembly")) \
+            .trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)

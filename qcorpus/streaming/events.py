@@ -129,6 +129,39 @@ def score_stream(records: DataFrame, sql_col: str = "sql") -> DataFrame:
     return S.score_columns(records, sql_col).drop("sql_clean")
 
 
+def score_stream_once(records: DataFrame, id_col: str = "question_id", ts_col: str = "created_at",
+                      watermark: str = "1 hour", sql_col: str = "sql") -> DataFrame:
+    """H4 with every record scored once: a record that comes again within the
+    watermark's delay of its first time is dropped, so state holds the ids of that
+    span only.  ``records`` is a stream."""
+    return score_stream(records.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([id_col]), sql_col)
+
+
+def append_batches(stream: DataFrame, out_dir: str, checkpoint_location: str, trigger: str | None = "5 seconds"):
+    """A8 as an idempotent sink: micro-batch n is the folder ``batch=n``, replaced
+    whole, so a batch that runs again (after a failure between its write and its
+    checkpoint) adds nothing.  ``trigger`` None runs ``availableNow``.  Both folders
+    must be on shared storage.  Returns the StreamingQuery."""
+    w = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint_location).foreachBatch(
+        lambda df, n: write_batch(df, n, out_dir))
+    return (w.trigger(processingTime=trigger) if trigger else w.trigger(availableNow=True)).start()
+
+
+def write_batch(df: DataFrame, batch_id: int, out_dir: str) -> None:
+    df.write.mode("overwrite").json(f"{out_dir.rstrip('/')}/batch={batch_id}")
+
+
+def read_batches(spark: SparkSession, out_dir: str, schema: str) -> DataFrame:
+    """The rows of all whole batches: folders without the marker that Spark puts
+    in last are still being written."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(out_dir)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "batch=*/_SUCCESS"))
+    whole = [f.getPath().getParent().toString() for f in found or []]
+    return spark.read.schema(schema).json(whole) if whole else spark.createDataFrame([], schema)
+
+
 def run_progress(spark: SparkSession, log_dir: str, out_dir: str, checkpoint_location: str,
                  interval: str = "5 seconds", watermark: str = "10 minutes", trigger: str | None = "5 seconds",
                  schema: str = EVENT_SCHEMA):
