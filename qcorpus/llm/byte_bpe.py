@@ -9,8 +9,8 @@ their own: they are pre-tokenised in parallel, a window over the chunks of a tex
 finds the first match end that both neighbours have in their overlap, and the
 stretches between these places are encoded, again in parallel, and put together.
 A text with an overlap that does not resynchronise (one match fills it) is
-scanned whole, in bounded batches of matches.  Decoding concatenates the bytes
-of the ids.
+scanned whole, in bounded batches of matches.  A text of one chunk has nothing to
+stitch and goes to the library.  Decoding concatenates the bytes of the ids.
 
 Matches ending in the last ``LOOKAHEAD`` code points of a chunk's window are not
 trusted, as the cut may change them; a pattern must not look behind, nor further
@@ -40,10 +40,12 @@ from pyspark.sql import functions as F
 
 from .scratch import stored
 
-CHUNK = 16_384
+CHUNK = 32_768
 OVERLAP = 256
 LOOKAHEAD = 16
 MATCHES = 1 << 16  # matches held at a time
+IDS = 1 << 16  # ids decoded at a time
+LIBRARY = 1 << 16  # code points that the library may split by itself; it overflows on runs of millions
 MEMORY_BYTES = 32 << 20
 LONGEST_KEPT = 64  # code points of a remembered match
 
@@ -57,7 +59,7 @@ class Codec:
         pairs = (line.split() for line in data.splitlines() if line.strip())
         ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.pattern = regex.compile(pattern)
-        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, list[int]] = {}
         self.room = MEMORY_BYTES
         size = max(ranks.values(), default=-1) + 1
@@ -71,16 +73,21 @@ class Codec:
     def ends(self, text: str) -> Iterator[int]:
         return (m.end() for m in self.pattern.finditer(text))
 
-    def matches(self, text: str, lo: int = 0, hi: int | None = None) -> Iterator[list[str]]:
+    def matches(self, text: str, lo: int, hi: int) -> Iterator[list[str]]:
         """The matches of ``text`` from ``lo`` that end at ``hi`` or before, in batches."""
-        if hi is None and lo == 0 and len(text) <= 4 * MATCHES and not self.pattern.groups:
-            yield self.pattern.findall(text)
-            return
-        found = (m.group() for m in self.pattern.finditer(text, lo) if hi is None or m.end() <= hi)
+        found = (m.group() for m in self.pattern.finditer(text, lo) if m.end() <= hi)
         while batch := list(islice(found, MATCHES)):
             yield batch
 
-    def encode(self, text: str, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a whole text."""
+        if len(text) <= LIBRARY:
+            return self.library.encode_to_numpy(text, disallowed_special=())
+        return self.encode_part(text, 0, len(text))
+
+    def encode_part(self, text: str, lo: int, hi: int) -> np.ndarray:
+        """The ids of the matches between two match ends.  What follows ``hi``
+        stays in sight of the pattern."""
         out = [np.zeros(0, np.int32)]
         for batch in self.matches(text, lo, hi):
             ids = list(map(self.known.get, batch))
@@ -92,7 +99,7 @@ class Codec:
     def _merged(self, match: str) -> list[int]:
         ids = self.known.get(match)
         if ids is None:
-            ids = self.merge(match.encode())
+            ids = self.library._encode_single_piece(match.encode())
             if len(match) <= LONGEST_KEPT:
                 if self.room < 0:
                     self.known.clear()
@@ -101,15 +108,17 @@ class Codec:
                 self.room -= 200 + 4 * len(match) + 8 * len(ids)
         return ids
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all ids and where each id's bytes end."""
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids and the number of bytes of each id."""
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
             raise ValueError("ids outside the vocabulary")
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        places = np.repeat(self.starts[ids] - (ends - lengths), lengths)
-        places += np.arange(len(places))
-        return self.blob[places], ends
+        lengths, out = self.lengths[ids], []
+        for lo in range(0, len(ids), IDS):
+            part, n = ids[lo:lo + IDS], lengths[lo:lo + IDS]
+            places = np.repeat(self.starts[part] - (np.cumsum(n) - n), n)
+            places += np.arange(len(places))
+            out.append(self.blob[places].tobytes())
+        return b"".join(out), lengths
 
 
 def _codec(data: bytes, pattern: str) -> Codec:
@@ -193,7 +202,7 @@ def _by_chunks(texts: DataFrame, data, pattern: str, chunk: int, overlap: int) -
     @F.arrow_udf("array<int>")
     def encode(bodies: pa.Array, los: pa.Array, his: pa.Array) -> pa.Array:
         codec = _codec(data.value, pattern)
-        return _lists([codec.encode(b.as_py(), lo, hi) for b, lo, hi in zip(bodies, los.to_pylist(), his.to_pylist())])
+        return _lists([codec.encode_part(b.as_py(), lo, len(b.as_py()) if hi is None else hi) for b, lo, hi in zip(bodies, los.to_pylist(), his.to_pylist())])
 
     chunks = texts.mapInArrow(cut, "row long, part int, last boolean, ends_text boolean, body string")
     tasks = texts.sparkSession.sparkContext.defaultParallelism
@@ -219,11 +228,10 @@ def decode_ids(df: DataFrame, ranks: str, pattern: str, ids: str = "token_ids",
 
     @F.arrow_udf("binary")
     def decode(lists: pa.Array) -> pa.Array:
-        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        raw, ends = _codec(data.value, pattern).decode(values)
-        counts = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
-        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)].astype(np.int32)
-        whole = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cut), pa.py_buffer(raw)])
+        raw, lengths = _codec(data.value, pattern).decode(lists.flatten().to_numpy(zero_copy_only=False))
+        counts = np.array([n or 0 for n in lists.value_lengths().to_pylist()], np.int64)
+        cut = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        whole = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(raw)])
         return whole if not lists.null_count else pa.array([None if n else b for b, n in
                                                             zip(whole.to_pylist(), lists.is_null().to_pylist())], pa.binary())
 

@@ -58,11 +58,14 @@ def test_most_chunks_meet(spark):
 
 def test_matches_that_overflow_the_library(spark):
     """Runs of white space on which the library itself fails."""
-    texts = [(1, " " * 300_000 + "x"), (2, "\n" * 300_000), (3, "a" * 200_000), (4, "word " * 200_000)]
+    texts = [(1, " " * 300_000 + "x"), (2, "\n" * 300_000), (3, "a" * 200_000), (4, "word " * 200_000), (5, " " * 33_000 + "x"),
+             (6, "\n" * 33_000)]
     out = encoded(spark.createDataFrame(texts, "doc_id long, text string"))
     lib = library()
     assert out[1][0] == lib._encode_single_piece(b" " * 299_999) + lib.encode_ordinary(" x")
     assert out[2][0] == lib._encode_single_piece(b"\n" * 300_000)
+    assert out[5][0] == lib._encode_single_piece(b" " * 32_999) + lib.encode_ordinary(" x")
+    assert out[6][0] == lib._encode_single_piece(b"\n" * 33_000)
     assert out[3][0] == lib.encode_ordinary("a" * 200_000) and out[4][0] == lib.encode_ordinary(texts[3][1])
 
 
@@ -73,9 +76,9 @@ def test_memory_of_matches_is_bounded(monkeypatch):
     lib = library()
     for k in range(50):
         text = " ".join(f"word{k}{j}" for j in range(9))
-        assert codec.encode(text).tolist() == lib.encode_ordinary(text)
+        assert codec.encode_part(text, 0, len(text)).tolist() == lib.encode_ordinary(text) == codec.encode(text).tolist()
         assert len(codec.known) < 20
-    codec.encode("q" * 100)
+    codec.encode_part("q" * 100, 0, 100)
     assert "q" * 100 not in codec.known
 
 
