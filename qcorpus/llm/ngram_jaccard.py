@@ -41,6 +41,7 @@ from .components import connected_components
 from .scratch import stored
 
 SKETCH_BITS = 512  # fewest bits of a parity sketch
+GATHER_BYTES = 4 << 20  # sketches compared at a time
 TILE = 2048  # sets on one side of a tile of a crowded key
 MAX_BROADCAST_ROWS = 1_000_000  # (node, doc_id) rows, 16 bytes each
 
@@ -314,13 +315,13 @@ def _pairs_of(rows, starts, ends, t, num, den, nearest):
             ok &= small * t.denominator >= big * t.numerator
             p, q = np.nonzero(ok)
             p, q = left[k + p], right[q]
-            distance = np.bitwise_count(sketches[p - lo] ^ sketches[q - lo]).sum(axis=1).astype(np.int64)
+            distance = _distances(sketches, p - lo, q - lo)
             ok = distance * den <= num * (size[p] + size[q])
             p, q, distance = p[ok], q[ok], distance[ok]
             if nearest:
                 best.append((p, q, distance))
                 p, q = _nearest(best, comp)
-                best = [(p, q, np.bitwise_count(sketches[p - lo] ^ sketches[q - lo]).sum(axis=1).astype(np.int64))]
+                best = [(p, q, _distances(sketches, p - lo, q - lo))]
                 continue
             found_a.append(np.minimum(node[p], node[q]))
             found_b.append(np.maximum(node[p], node[q]))
@@ -333,6 +334,15 @@ def _pairs_of(rows, starts, ends, t, num, den, nearest):
             yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
 
+def _distances(sketches, p, q) -> np.ndarray:
+    """Hamming distances of pairs of sketches, ``GATHER_BYTES`` of them at a time."""
+    out = np.zeros(len(p), np.int64)
+    step = max(1, GATHER_BYTES // max(1, sketches.shape[1] * sketches.itemsize))
+    for k in range(0, len(p), step):
+        out[k:k + step] = np.bitwise_count(sketches[p[k:k + step]] ^ sketches[q[k:k + step]]).sum(axis=1)
+    return out
+
+
 def _nearest(found, comp):
     """The pairs of smallest distance of each component."""
     p, q, d = (np.concatenate(x) for x in zip(*found))

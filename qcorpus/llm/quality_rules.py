@@ -143,9 +143,8 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
                               | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).withColumn(
             "common", F.concat("common", F.array(
                 F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x))))
-    # the histograms are written without the texts; where texts are asked for, they are read once more
-    slim = "text" not in names
-    f = stored(features([f"in_{c}" for c in names if slim] + ["group"]), "features")
+    # features are computed once and written with the columns asked for; the references read the histograms only
+    f = stored(features([*[f"in_{c}" for c in names], "group"]), "features")
     n_bins = len(vocabulary())
 
     def measured(sums, rows: DataFrame) -> DataFrame:
@@ -164,7 +163,7 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
     sums = references(f)
     for limit in TRIM:
         sums = references(measured(sums, f).where(F.col("class_distance") <= limit)) or sums
-    f = measured(sums, f if slim else features([f"in_{c}" for c in names]))
+    f = measured(sums, f)
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     odd = (F.col("n_words") >= MIN_HISTOGRAM_WORDS) & (F.col("word_distance") > max_word_distance)
     for least, limit in class_limits:

@@ -31,7 +31,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)  # piece types of the format
 UNIGRAM, BPE = 1, 2  # model types of the format
 MAX_MODEL_BYTES = 64 << 20
-MEMORY_WORDS = 350_000  # words that a worker remembers
+MEMORY_BYTES = 40 << 20  # of words that a worker remembers, with what they take in its tables
+LEARNED_AT_ONCE = 8192  # words in one batch of the tokenizer
+LONGEST_KEPT = 64  # characters of a remembered word
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -171,6 +173,7 @@ class Codec:
         self.by_word = (self.model.kind == BPE and not self.model.remove_extra_white and self.model.dummy_prefix
                         and not any(MARK in p[0].lstrip(MARK) for p in self.model.pieces if p[2] != CONTROL))
         self.known: dict[str, bytes] = {}
+        self.held = 0  # bytes of known
         self.odd: set[str] = set()  # words whose ids differ from the library's
 
     def normalised(self, text: str) -> str:
@@ -197,20 +200,17 @@ class Codec:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > MEMORY_WORDS:
-            self.known.clear()
-            self.odd.clear()
         fresh = [w for w in words if w not in self.known]
-        if not fresh:
-            return
-        marked = [MARK + w.replace(" ", MARK) for w in fresh]
-        encoded = [e.ids for e in self.bare.encode_batch_fast(marked, add_special_tokens=False)]
-        if self.library is not None:
-            for w, a, b in zip(fresh, encoded, self.library.encode(fresh, num_threads=self.threads)):
-                # the library gives nothing for an empty text; inside a text an empty last word is a bare marker
-                if w and a != b:
-                    self.odd.add(w)
-        self.known.update(zip(fresh, (np.array(e, np.int32).tobytes() for e in encoded)))
+        for lo in range(0, len(fresh), LEARNED_AT_ONCE):
+            part = fresh[lo:lo + LEARNED_AT_ONCE]
+            marked = [MARK + w.replace(" ", MARK) for w in part]
+            encoded = [e.ids for e in self.bare.encode_batch_fast(marked, add_special_tokens=False)]
+            if self.library is not None:
+                for w, a, b in zip(part, encoded, self.library.encode(part, num_threads=self.threads)):
+                    # the library gives nothing for an empty text; inside a text an empty last word is a bare marker
+                    if w and a != b:
+                        self.odd.add(w)
+            self.known.update(zip(part, (np.array(e, np.int32).tobytes() for e in encoded)))
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool | None]]:
         """Ids of each text, and whether they agree with the library (None
@@ -223,15 +223,25 @@ class Codec:
         shown = [self.normalised(t) for t in texts] if self.model.charsmap else texts
         split = [self._words(t) if t else [] for t in shown]
         fresh = set().union(*split) - self.known.keys() if split else set()
-        if fresh:
-            if len(self.known) + len(fresh) > MEMORY_WORDS:
-                fresh = set().union(*split)
-            self._learn(fresh)
+        self._learn(fresh)
         get = self.known.__getitem__
         ids = [np.frombuffer(b"".join(map(get, words)), np.int32) for words in split]
-        if self.library is None:
-            return ids, [None] * len(ids)
-        return ids, [not self.odd or self.odd.isdisjoint(words) for words in split]
+        same = [None if self.library is None else not self.odd or self.odd.isdisjoint(words) for words in split]
+        self._forget(fresh)
+        return ids, same
+
+    def _forget(self, fresh: set[str]) -> None:
+        """Long words are not remembered, and nothing is beyond ``MEMORY_BYTES``."""
+        for w in fresh:
+            if len(w) > LONGEST_KEPT:
+                del self.known[w]
+                self.odd.discard(w)
+            else:
+                self.held += 200 + len(w) + len(self.known[w])
+        if self.held > MEMORY_BYTES:
+            self.known.clear()
+            self.odd.clear()
+            self.held = 0
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")

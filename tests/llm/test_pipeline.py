@@ -33,7 +33,7 @@ def test_stages(spark):
     want = Counter(d for d, _, c in test_ngram_jaccard.brute(rows_of(near[0])) if d == c)
     assert Counter(d for d, _ in rows_of(near[1])) == want
     before = sorted(rows_of(spans[0]), key=str)
-    left = {d: " ".join(w) for (d, _), w in zip(before, test_sentence_spans.brute(before)) if w}
+    left = {d: " ".join(w) for (d, _), w in zip(before, test_sentence_spans.brute(before, test_sentence_spans.content_cut, 1)) if w}
     assert {d: " ".join(t.split()) for d, t in rows_of(spans[1])} == left
     texts = dict(rows_of(mix[0]))
     count = Counter(d for d, _ in rows_of(mix[1]))
@@ -54,3 +54,19 @@ def test_run(spark):
     *_, (_, after) = walk(spark, spark.read.parquet(f"{SF_SMALL}/documents.parquet"))
     key = lambda r: str((r["doc_id"], r["token_ids"]))
     assert sorted(map(key, corpus_pipeline.run(spark, SF_SMALL).collect())) == sorted(map(key, after.collect()))
+
+
+def test_passages_in_the_middle_of_sentences_go(spark):
+    """200 words that two documents share, set anywhere in a sentence."""
+    import random
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10 ** 9)}"
+    rows = []
+    for k in range(20):
+        passage = [word() for _ in range(200)]
+        for d in (2 * k, 2 * k + 1):
+            rows.append((d, " ".join([word() for _ in range(rng.randint(3, 40))] + passage + [word() for _ in range(30)])))
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: len(r["text"].split()) for r in corpus_pipeline.repeated_passages(spark, df, SF_SMALL).collect()}
+    before = {d: len(t.split()) for d, t in rows}
+    assert all(out[d] == before[d] for d in range(0, 40, 2)) and all(out[d] <= before[d] - 168 for d in range(1, 40, 2))

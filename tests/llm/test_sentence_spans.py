@@ -1,6 +1,11 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pytest
+
+from qcorpus.llm import kernel
+from qcorpus.llm import sentence_spans as S
 from qcorpus.llm.sentence_spans import remove_repeated_passages, remove_repeated_spans
 from tests.llm.fixtures import docs, no_docs
 
@@ -37,12 +42,43 @@ def runs(sentences, min_sentences=3, min_words=20):
     return sorted(found)
 
 
-def brute(rows):
+def content_cut(text, width=8):
+    """Pieces as lists of words: cut after stops, line ends and every word that is
+    lowest in some window of ``width`` words without one."""
+    words, stop = [], []
+    for line in text.replace("\v", " ").replace("\f", " ").replace("\r", " ").replace("\t", " ").split("\n"):
+        mine = [w for w in line.split(" ") if w]
+        words += mine
+        stop += [w[-1] in ".!?" or any(w.encode().endswith(c) for c in S._MORE_STOPS) for w in mine]
+        if stop:
+            stop[-1] = True
+    if not words:
+        return []
+    data = text.encode()
+    h = kernel.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), lower=False)[3]
+    with np.errstate(over="ignore"):
+        keys = [int(kernel.mix(h[i:i + 1] + (np.uint64(0) if i == 0 or stop[i - 1] else h[i - 1]) * np.uint64(S._STEP))[0]) | 1
+                for i in range(len(words))]
+    ends = set()
+    for lo in range(len(words) - width + 1):
+        if not any(stop[lo:lo + width]):
+            least = min(keys[lo:lo + width])
+            ends |= {i for i in range(lo, lo + width) if keys[i] == least}
+    out, now = [], []
+    for i, w in enumerate(words):
+        now.append(w)
+        if stop[i] or i in ends:
+            out.append(now)
+            now = []
+    return out + [now] if now else out
+
+
+def brute(rows, cut=cut, min_sentences=3):
     """Kept words per row."""
     places = defaultdict(list)
     cuts = [cut(t or "") for _, t in rows]
     for k, (d, _) in enumerate(rows):
-        for lo, hi in runs(cuts[k]):
+        for lo, hi in runs(cuts[k], min_sentences):
             places[tuple(w for s in cuts[k][lo:hi] for w in s)].append((d, k, lo, hi))
     gone = defaultdict(set)
     for where in places.values():
@@ -55,13 +91,14 @@ def brute(rows):
     return [[w for s, ws in enumerate(c) if s not in gone[k] for w in ws] for k, c in enumerate(cuts)]
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("rule,options", [(remove_repeated_spans, ()), (remove_repeated_passages, (content_cut, 1))])
+def test_equals_brute_force(spark, rule, options):
     df = docs(spark)
     rows = sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
     got = sorted(((r["doc_id"], r["text"], r["n_words"], r["n_removed_words"], r["spans"]) for r in
-                  remove_repeated_spans(df).collect()), key=lambda r: str((r[0],)))
+                  rule(df).collect()), key=lambda r: str((r[0],)))
     want = defaultdict(list)
-    for (d, _), words in zip(rows, brute(rows)):
+    for (d, _), words in zip(rows, brute(rows, *options)):
         want[d].append(" ".join(words))
     have = defaultdict(list)
     white = " \t\n\v\f\r"

@@ -40,12 +40,12 @@ def test_whole_text_tokenizer_agrees_with_words():
 
 
 def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(S, "MEMORY_WORDS", 5)
+    monkeypatch.setattr(S, "MEMORY_BYTES", 1200)
     codec, lib = S.Codec(model_bytes()), library()
     for k in range(10):
-        text = " ".join(f"word{k}{j}" for j in range(4))
+        text = " ".join(f"word{k}{j}" for j in range(4)) + " " + "long" * 40
         assert codec.encode([text])[0][0].tolist() == lib.encode(text)
-        assert len(codec.known) <= 5
+        assert len(codec.known) <= 8 and not any(len(w) > S.LONGEST_KEPT for w in codec.known)
 
 
 def _varint(n):
