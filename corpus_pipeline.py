@@ -14,7 +14,7 @@ from qcorpus.llm.ngram_jaccard import drop_linked
 from qcorpus.llm.quality_rules import quality_rules
 from qcorpus.llm.queries import TOKENIZER
 from qcorpus.llm.scratch import stored
-from qcorpus.llm.sentence_spans import remove_repeated_spans
+from qcorpus.llm.sentence_spans import remove_repeated_passages
 from qcorpus.llm.sentencepiece_codec import encode_texts
 from qcorpus.llm.source_mixing import mix_sources
 from qcorpus.session import table
@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages; documents with nothing left go."""
-    cleaned = remove_repeated_spans(docs).where("n_removed = 0 or n_removed < n_sentences")
+    cleaned = remove_repeated_passages(docs).where("n_removed = 0 or n_removed < n_sentences")
     return _measured(cleaned, docs)
 
 
