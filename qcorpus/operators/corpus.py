@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from qcorpus.functions.scoring import CLASSES
 from qcorpus.functions.status import accuracy_band, strip_ws
-from qcorpus.operators.ranking import bucketed_row_number, global_row_number
+from qcorpus.operators.ranking import first_rows, global_row_number
 
 # Share of the corpus per class (the last class takes the rest).
 QUOTA_PCT = {"simple": 0.25, "conditional": 0.25, "aggregation": 0.25, "complex": 0.25}
@@ -97,19 +97,14 @@ def quota_targets(spark, total: int | DataFrame, quota_pct: dict | None = None)
 
 def quota_sample(df: DataFrame, quotas: DataFrame, class_col: str = "difficulty",
                  order_col: str = "question_id") -> DataFrame:
-    """At most ``quota`` rows per class, the first ones in ``order_col``.
-
-    Numbering inside a class uses bucketed row numbers, so a class holding a
-    third of the corpus is still spread over many tasks."""
+    """At most ``quota`` rows per class, the first ones in ``order_col``, with
+    their class_rank.  Rows past the quota are dropped by key range before they are
+    sorted or shuffled, and a class of any size is spread over many tasks."""
     # unclassified rows are numbered under "" and dropped by the inner join;
     # a null filter here would be pushed below (and re-run) the projection
     # that computes the class
     keyed = df.withColumn(class_col, F.coalesce(F.col(class_col), F.lit("")))
-    ranked = bucketed_row_number(keyed, [class_col], order_col, "class_rank")
-    q = quotas.select(F.col("class").alias(class_col), "quota")
-    # quotas: one row per configured class (bounded by the class list)
-    return ranked.join(F.broadcast(q), class_col, "inner").filter(F.col("class_rank") <= F.col("quota")) \
-                 .drop("quota")
+    return first_rows(keyed, class_col, order_col, quotas.select("class", "quota"), "class_rank")
 
 
 def neediest_class(collected: DataFrame, quotas: DataFrame) -> DataFrame:

@@ -102,6 +102,34 @@ def bucketed_row_number(df: DataFrame, partition_cols: list[str], order_col: str
               .drop(b, "__local_rn", "__offset")
 
 
+def first_rows(df: DataFrame, group_col: str, order_col: str, limits: DataFrame, out_col: str = "row_number",
+               buckets: int = 512) -> DataFrame:
+    """The first ``limit`` rows of each group in ``order_col`` order (``limits``:
+    group, limit; a few rows) and their position.
+
+    Keys are dealt into ranges and the ranges of each group counted, which is
+    combined in the tasks.  Ranges that begin past the limit are dropped before
+    anything is shuffled or sorted; the others are numbered range by range.  So
+    the rows that move are those that stay, and at most one range a group more."""
+    b = "__bucket"
+    lo, hi, n = _key_stats(df, order_col)
+    if n == 0 or (hi - lo + 1) <= 4 * n:
+        width = max(1, -(-(hi - lo + 1) // max(buckets, -(-n // TARGET_ROWS_PER_BUCKET))))
+        keyed = df.withColumn(b, F.floor((F.col(order_col) - F.lit(lo)) / F.lit(width)).cast("bigint"))
+    else:
+        keyed = _quantile_buckets(df, order_col, max(1, min(TARGET_ROWS_PER_BUCKET, -(-n // buckets))), b)
+    keyed = keyed.withColumn(b, F.coalesce(F.col(b), F.lit(-(1 << 62))))  # rows without a key come first
+    counts = keyed.groupBy(group_col, b).agg(F.count(F.lit(1)).alias("__n"))
+    running = Window.partitionBy(group_col).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(running), F.lit(0))).drop("__n")
+    reached = offsets.join(F.broadcast(limits.toDF(group_col, "__limit")), group_col).where("__before < __limit")
+    # ``buckets`` rows a group at most while a range holds under TARGET_ROWS_PER_BUCKET rows
+    kept = keyed.join(F.broadcast(reached) if n < TARGET_ROWS_PER_BUCKET * buckets else reached, [group_col, b])
+    local = Window.partitionBy(group_col, b).orderBy(order_col)
+    return (kept.withColumn(out_col, (F.col("__before") + F.row_number().over(local)).cast("bigint"))
+            .where(F.col(out_col) <= F.col("__limit")).drop(b, "__before", "__limit"))
+
+
 def global_row_number(df: DataFrame, order_col: str, out_col: str = "row_number",
                       bucket_width: int | None = None) -> DataFrame:
     """Sequential 1-based id over the whole DataFrame in ``order_col`` order,
