@@ -86,16 +86,16 @@ def assign_round_robin(items: DataFrame, order_col: str, dbs: DataFrame, out_col
     ranked = global_row_number(items, order_col, "__seq")
     d = dbs.select("db_id").distinct()
     n = d.select(F.count(F.lit(1))).scalar()
-    from qcorpus.session import broadcast_if_small
-    # numbered over hashed ranges of the name's first bytes, never in one task
-    key = F.conv(F.substring(F.rpad(F.hex(F.col("db_id").cast("binary")), 12, "0"), 1, 12), 16, 10).cast("bigint")
-    starts = Window.orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
-    keyed = d.withColumn("__key", F.floor(key / (1 << 24)))
-    offsets = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")) \
-        .withColumn("__before", F.coalesce(F.sum("__n").over(starts), F.lit(0))).drop("__n")  # a row per 3-byte prefix
-    inside = Window.partitionBy("__key").orderBy("db_id")
-    dpos = keyed.join(offsets, "__key").withColumn("__pos", F.col("__before") + F.row_number().over(inside) - 1) \
-        .select("db_id", "__pos")
+    from qcorpus.session import broadcast_if_small, cut_lineage
+    # sorted by sampled ranges; a row's position is the rows of the ranges before it and its place in its own
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = cut_lineage(d.repartitionByRange(tasks, "db_id").sortWithinPartitions("db_id")
+                          .withColumn("__id", F.monotonically_increasing_id())).withColumn("__range", F.shiftright("__id", 33))
+    starts = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
+    offsets = ordered.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")) \
+        .withColumn("__before", F.coalesce(F.sum("__n").over(starts), F.lit(0))).drop("__n")
+    dpos = ordered.join(F.broadcast(offsets), "__range") \
+        .select("db_id", (F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).alias("__pos"))
     return ranked.withColumn("__pos", F.pmod(F.col("__seq") - 1, n)) \
                  .join(broadcast_if_small(dpos.withColumnRenamed("db_id", out_col)), "__pos", "inner") \
                  .drop("__pos", "__seq")
