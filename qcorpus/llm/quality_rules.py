@@ -126,7 +126,8 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
 
     Null and empty texts have counts 0 and fail the base rules.  The column
     ``lang`` only groups the references; rows whose lang is null or has no word
-    list belong to no reference, and are still measured against all.  With no
+    list belong to no reference.  They are still measured against all, but a row
+    whose lang is named and has no reference is kept whatever its distances.  With no
     reference at all (an empty table, or no such lang) distances are 0.
     Repeated rows are judged alike.
     """
@@ -168,5 +169,8 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
     odd = (F.col("n_words") >= MIN_HISTOGRAM_WORDS) & (F.col("word_distance") > max_word_distance)
     for least, limit in class_limits:
         odd = odd | ((chars >= least) & (F.col("class_distance") > limit))
+    # a text of a named language without a reference cannot be held against one
+    group = F.col("row.group")
+    odd = odd & (group.isNull() | group.isin(*[r["lang"] for r in sums]))
     return f.select(*[F.col("row")[f"in_{c}"].alias(c) for c in names], *FEATURES, "class_distance", "word_distance",
                     "base_failed", (~F.col("base_failed") & ~odd & (F.col("step") >= 0)).alias("kept"))

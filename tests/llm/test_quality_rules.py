@@ -111,5 +111,20 @@ def test_junk_goes_and_prose_stays(spark):
     assert share[1] > 0.99 and share[0] < 0.2
 
 
+def test_languages_without_a_reference_stay(spark):
+    """Clean Cyrillic and Greek texts beside the given ones; without a named
+    language they are held against the references there are."""
+    import random
+    rng = random.Random(4)
+    table = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    rows = []
+    for k, letters in enumerate(["абвгдежзиклмнопрст", "αβγδεζηθικλμνξοπρσ"] * 5):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(300)]
+        rows += [(-1 - k, " ".join(words).capitalize() + ".", ["ru", "el"][k % 2]), (-101 - k, " ".join(words), None)]
+    both = table.unionByName(spark.createDataFrame(rows, table.schema))
+    out = {r["doc_id"]: r["kept"] for r in Q.quality_rules(both, ["doc_id"]).where("doc_id < 0").collect()}
+    assert all(out[d] for d in out if d > -100) and not any(out[d] for d in out if d < -100)
+
+
 def test_empty_table(spark):
     assert Q.quality_rules(no_docs(spark)).collect() == []
