@@ -97,16 +97,30 @@ u AS (
 t AS (
   SELECT source, n, CASE WHEN cap >= unit THEN unit * w ELSE (2 * n)::DOUBLE END AS target FROM w, u),
 p AS (
-  SELECT d.doc_id, d.size, t.n AS source_size, t.target, floor(t.target)::BIGINT AS goal,
+  SELECT d.doc_id, d.source, d.size, t.n AS source_size, t.target, floor(t.target)::BIGINT AS goal,
     (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+need AS (
+  SELECT source, blocks, sum(blocks) OVER ()::BIGINT AS total, row_number() OVER (ORDER BY source DESC NULLS FIRST) = 1 AS final,
+    sum(blocks) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+  FROM (SELECT source, (floor(target)::BIGINT + 511) // 512 AS blocks FROM t)),
+cut AS (
+  SELECT source, blocks, (upto - blocks)::HUGEINT * 18446744073709551616 // greatest(total, 1) AS lo,
+    CASE WHEN final THEN 18446744073709551616::HUGEINT ELSE upto::HUGEINT * 18446744073709551616 // greatest(total, 1) END AS hi FROM need),
+point AS (
+  SELECT i AS slot, i::HUGEINT * 11400714819323198485::HUGEINT % 18446744073709551616::HUGEINT AS x
+  FROM (SELECT unnest(range((SELECT max(total) FROM need))) AS i)),
+g AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM point JOIN cut ON x >= lo AND x < hi QUALIFY rank < blocks)
 SELECT doc_id, size, source_size, target,
   CAST(greatest(0, least(a + size, goal) - a) + greatest(0, least(a + source_size + size, goal) - a - source_size) AS BIGINT)
-    AS taken
-FROM p""")
+    AS taken, CASE WHEN size > 0 AND a < goal THEN coalesce(g.slot, (SELECT max(total) FROM need)) END AS first_slot
+FROM p LEFT JOIN g ON p.source IS NOT DISTINCT FROM g.source AND g.rank = p.a // 512""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_sources(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 

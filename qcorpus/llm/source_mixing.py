@@ -109,12 +109,17 @@ def schedule(spark: SparkSession, goals: Sequence[int], block: int = BLOCK) -> D
 def mix_sources(docs: DataFrame, columns: Sequence[str] | None = None, weights: Sequence[int] = WEIGHTS,
                 budget: Fraction = BUDGET, max_repeats: int = MAX_REPEATS, block: int = BLOCK) -> DataFrame:
     """The ``columns`` of ``docs`` (all by default) with size, source_size,
-    target, taken and parts; columns of ``docs`` with these names are left out.
+    target, taken, first_slot and parts; columns of ``docs`` with these names are
+    left out.
 
     ``size`` counts words (runs of characters other than ASCII white space) of
     the text, 0 for null or blank ones; ``taken`` is the number of words that
     the mix takes of the document, repeats counted; ``parts`` lists per pass
-    over the source (pass, first word, words), passes counted from 0.
+    over the source (pass, first word, words, slot), passes counted from 0; slot is
+    the slot of the mix whose block the part begins in (for copies, the first
+    copy's), and ``first_slot`` the least of them, null where nothing is taken.
+    Read in the order of the slots, any stretch of the mix holds the sources near
+    their shares.
 
     Null is a source of its own, the last one.  Documents without words take
     part with 0.  Null or repeated doc_ids do not matter: rows equal in id, source
@@ -123,7 +128,7 @@ def mix_sources(docs: DataFrame, columns: Sequence[str] | None = None, weights:
     sources, as the targets are computed on the driver.
     """
     spark = docs.sparkSession
-    added = ["size", "source_size", "target", "taken", "parts"]
+    added = ["size", "source_size", "target", "taken", "first_slot", "parts"]
     names = [c for c in (columns or docs.columns) if c not in added]
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     key = F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
@@ -158,11 +163,12 @@ def mix_sources(docs: DataFrame, columns: Sequence[str] | None = None, weights:
               .withColumn("lo", F.col("start") + F.col("pass") * F.col("source_size")).where("lo < goal")
               .withColumn("hi", F.least(F.col("lo") + F.col("length"), "goal"))
               .withColumn("rank", F.explode(F.expr(f"sequence(lo div {block}, (hi - 1) div {block})"))))
-    slots = schedule(spark, [math.floor(g) for g in goals], block).select("source_no", "rank")
+    slots = schedule(spark, [math.floor(g) for g in goals], block).select("source_no", "rank", "slot")
     took = (pieces.join(slots, ["source_no", "rank"])
             .withColumn("n", F.least("hi", (F.col("rank") + 1) * block) - F.greatest("lo", F.col("rank") * block))
-            .groupBy("source_no", "key", "pass").agg(F.sum("n").alias("n"))  # slots of a source leave no gap
-            .groupBy("source_no", "key").agg(F.array_sort(F.collect_list(F.struct("pass", "n"))).alias("passes")))
+            # slots of a source leave no gap, and rise with their rank
+            .groupBy("source_no", "key", "pass").agg(F.sum("n").alias("n"), F.min("slot").alias("slot"))
+            .groupBy("source_no", "key").agg(F.array_sort(F.collect_list(F.struct("pass", "n", "slot"))).alias("passes")))
     about = stream.select("source_no", "key", "size", "source_size", "target").join(took, ["source_no", "key"], "left")
     about = about.join(info.select("source_no", "name"), "source_no")
     full = docs.select(F.struct(*[docs[c].alias(f"in_{c}") for c in names]).alias("row"), source.alias("source"),
@@ -173,7 +179,9 @@ def mix_sources(docs: DataFrame, columns: Sequence[str] | None = None, weights:
     begin = F.col("copy") * F.col("size")
     parts = F.filter(F.transform("passes", lambda p: F.struct(
         p["pass"].alias("pass"), F.lit(0).cast("long").alias("first"),
-        F.least("size", F.greatest(F.lit(0), p["n"] - begin)).cast("long").alias("words"))), lambda p: p["words"] > 0)
-    out = joined.withColumn("parts", F.coalesce(parts, F.array().cast("array<struct<pass:int,first:bigint,words:bigint>>")))
+        F.least("size", F.greatest(F.lit(0), p["n"] - begin)).cast("long").alias("words"),
+        p["slot"].alias("slot"))), lambda p: p["words"] > 0)
+    out = joined.withColumn("parts", F.coalesce(parts, F.array().cast("array<struct<pass:int,first:bigint,words:bigint,slot:bigint>>")))
     return out.select(*[F.col("row")[f"in_{c}"].alias(c) for c in names], "size", "source_size", "target",
-                      F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["words"]).alias("taken"), "parts")
+                      F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["words"]).alias("taken"),
+                      F.array_min(F.transform("parts", lambda p: p["slot"])).alias("first_slot"), "parts")

@@ -51,6 +51,23 @@ def test_takes_targets_evenly(spark):
         assert sum(r["taken"] for r in by[s]) == math.floor(goal)
 
 
+def test_any_prefix_of_the_mix_holds_the_shares(spark):
+    """Taken words in the order of the slots: at every point a source is near its share."""
+    rows = [(k, "ab"[k % 7 // 5] if k % 11 else None, " ".join(["w"] * (20 + k % 50))) for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = M.mix_sources(df, ["doc_id", "source"], block=32).collect()
+    took = sorted((p["slot"], r["source"] or "", p["words"]) for r in out for p in r["parts"])
+    assert all((r["first_slot"] is None) == (r["taken"] == 0) for r in out)
+    total, goal = sum(w for *_, w in took), defaultdict(int)
+    for _, s, w in took:
+        goal[s] += w
+    sofar, n = defaultdict(int), 0
+    for _, s, w in took:
+        sofar[s] += w
+        n += w
+        assert all(abs(sofar[x] - n * goal[x] / total) < 0.01 * total for x in goal)
+
+
 def test_reruns_and_layouts_agree(spark):
     key = lambda r: str(r)
     a = sorted(M.mix_sources(docs(spark), ["doc_id"], block=7).collect(), key=key)
