@@ -1,11 +1,17 @@
 """Embedding near-duplicates by randomised-rotation binary codes.
 
 Every unit vector o is rotated by a random orthogonal matrix; its code is the
-sign of each coordinate, which stands for the corner o_bar (coordinates
-+-1/sqrt(d)) of a cube.  With the correction factor f = <o_bar, o>, two vectors
-at an angle of at most t have <o_bar, q> >= cos(t + acos(f)) for the other one's
-rotated vector q, as angles obey the triangle inequality.  Pairs below that are
-ruled out with certainty, the others recomputed in double precision.
+sign of each coordinate (a bit), which stands for the corner o_bar (coordinates
++-1/sqrt(d)) of a cube.  Code and correction factor f = <o_bar, o> are made once
+per distinct vector and stored with it.  A tile reads the codes of one side,
+turns the corners back by the inverse rotation and multiplies them with the
+vectors of the other side: <o_bar, q> / f is an unbiased estimate of <o, q>.
+
+Its confidence bound at ``SIGMAS`` standard errors would lose a few pairs in a
+million, so by default the bound is the one that cannot fail: two vectors at an
+angle of at most t have <o_bar, q> >= cos(t + acos(f)), as angles obey the
+triangle inequality.  Pairs whose estimate is below the bound are ruled out, the
+others recomputed in double precision.
 
 Every pair of a label and dimension is compared, in square tiles of about
 ``TILE`` vectors a side, so a result does not depend on the size of the table.
@@ -89,7 +95,8 @@ def _vector_rows(batches):
 
 
 def _banded_rows(batches, bits: int, tables: int, tiles: int | None = None):
-    """Per node and table: (label, dim, band, node, weight, vector, bands)."""
+    """Per node and table: (label, dim, band, node, weight, vector, code, factor,
+    bands)."""
     for batch in batches:
         dims = batch.column("dim").to_numpy(zero_copy_only=False)
         for dim in np.unique(dims):
@@ -103,23 +110,35 @@ def _banded_rows(batches, bits: int, tables: int, tiles: int | None = None):
                 sign = (turned[:, :need] > 0).reshape(n, tables, bits)
                 bands = (sign << np.arange(bits)).sum(axis=2).astype(np.int32)
             packed = [row.tobytes() for row in bands]
+            code, factor = encode(x)
+            codes = pa.array([row.tobytes() for row in code], pa.binary())
             for t in range(tables):
                 yield pa.RecordBatch.from_arrays(
                     [part.column("label"), part.column("dim"), pa.array(np.full(n, t, np.int32)), pa.array(bands[:, t]),
-                     part.column("node"), part.column("weight"), part.column("vector"), pa.array(packed, pa.binary())],
-                    names=["label", "dim", "t", "band", "node", "weight", "vector", "bands"])
+                     part.column("node"), part.column("weight"), part.column("vector"), codes, pa.array(factor),
+                     pa.array(packed, pa.binary())],
+                    names=["label", "dim", "t", "band", "node", "weight", "vector", "code", "factor", "bands"])
+
+
+def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes as packed bits, correction factors) of unit vectors, a row each."""
+    turned = x @ rotation(x.shape[1]).T
+    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(x.shape[1])
+
+
+def estimate(code: np.ndarray, factor: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Unbiased estimates of the inner products of the coded vectors with the
+    unit vectors ``others`` (neither side rotated by the caller)."""
+    dim = others.shape[1]
+    corner = np.unpackbits(code, axis=1, count=dim).astype(np.float32) * 2 - 1
+    back = (corner @ rotation(dim)) / (math.sqrt(dim) * factor[:, None])
+    return back.astype(np.float32) @ others.T.astype(np.float32)
 
 
-def estimate(turned: np.ndarray, others: np.ndarray, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
-    """(estimate, error bound) of the inner products of the rows of ``turned``
-    (their codes are used) with the rows of ``others`` (used as they are); both
-    are rotated unit vectors."""
-    dim = turned.shape[1]
-    code = np.where(turned > 0, np.float32(1), np.float32(-1))
-    factor = np.abs(turned).sum(axis=1) / math.sqrt(dim)
-    value = (code @ others.T.astype(np.float32)) / np.float32(math.sqrt(dim)) / factor[:, None].astype(np.float32)
-    spread = np.sqrt(np.maximum(1 - factor ** 2, 0)) / factor / math.sqrt(max(dim - 1, 1))
-    return value, sigmas * spread
+def error_bound(factor: np.ndarray, dim: int, sigmas: float = SIGMAS) -> np.ndarray:
+    """The estimate's error stays within this times sqrt(1 - <o, q>^2) but with a
+    chance that ``sigmas`` sets."""
+    return sigmas * np.sqrt(np.maximum(1 - factor ** 2, 0)) / factor / math.sqrt(max(dim - 1, 1))
 
 
 def _certain_floor(factor: np.ndarray, threshold: float) -> np.ndarray:
@@ -137,22 +156,19 @@ def _tile_links(key, pdf, threshold: float, sigmas: float | None):
     side = pdf["tile"].to_numpy()
     x = np.frombuffer(b"".join(pdf["vector"]), np.float64).reshape(-1, dim)
     bands = np.frombuffer(b"".join(pdf["bands"]), np.int32).reshape(len(pdf), -1)
-    weight, node = pdf["weight"].to_numpy(), pdf["node"].to_numpy()
-    turned = x @ rotation(dim).T
+    weight, node, factor = pdf["weight"].to_numpy(), pdf["node"].to_numpy(), pdf["factor"].to_numpy()
+    code = np.frombuffer(b"".join(pdf["code"]), np.uint8).reshape(len(pdf), -1)
     left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
     count = np.zeros(len(pdf), np.int64)
     firsts, seconds = [], []
     if len(left) and len(right):
-        factor = np.abs(turned).sum(axis=1) / math.sqrt(dim)
         if sigmas is None:
             floor = _certain_floor(factor, threshold)
-        else:
-            spread = sigmas * np.sqrt(np.maximum(1 - factor ** 2, 0)) / factor / math.sqrt(max(dim - 1, 1))
-            # true value v within e * spread * sqrt(1 - v^2): at v = threshold the estimate is at least
-            floor = threshold - spread * math.sqrt(1 - threshold ** 2) - 1e-4
+        else:  # the least estimate of a pair at the threshold, within the bound
+            floor = threshold - error_bound(factor, dim, sigmas) * math.sqrt(1 - threshold ** 2) - 1e-4
         for k in range(0, len(left), 512):
             part = left[k:k + 512]
-            value, _ = estimate(turned[part], turned[right], sigmas or 0.0)
+            value = estimate(code[part], factor[part], x[right])
             u, v = np.nonzero(value >= floor[part][:, None].astype(np.float32))
             if 16 * len(u) > value.size:
                 ok = (x[part] @ x[right].T)[u, v] >= threshold - 1e-12
@@ -215,7 +231,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
         bits, tables = plan_bands(largest, threshold, recall, tile)
     banded = nodes.select("label", "dim", "node", "weight", "vector").mapInArrow(
         lambda it: _banded_rows(it, bits, tables),
-        "label long, dim int, t int, band int, node long, weight long, vector binary, bands binary")
+        "label long, dim int, t int, band int, node long, weight long, vector binary, code binary, factor double, bands binary")
     banded = stored(banded, "bands")
     where = ["label", "dim", "t", "band"]
     sizes = (banded.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -223,7 +239,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     tiled = (banded.join(sizes, where).withColumn("tile", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
              .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
              .withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")))
-    links = stored(tiled.select(*where, "i", "j", "tile", "node", "weight", "vector", "bands")
+    links = stored(tiled.select(*where, "i", "j", "tile", "node", "weight", "vector", "code", "factor", "bands")
                    .groupBy(*where, "i", "j")
                    .applyInPandas(lambda k, pdf: _tile_links(k, pdf, threshold, sigmas), "node long, n long, root long"),
                    "links")

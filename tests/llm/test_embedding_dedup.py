@@ -88,7 +88,8 @@ def test_estimate_is_unbiased_and_bounded():
     errors, outside = [], 0
     for number in range(20):
         r = D.rotation(dim, 100 + number)
-        value, bound = D.estimate(x @ r.T, y @ r.T, D.SIGMAS)
+        code, factor = D.encode(x @ r.T)
+        value, bound = D.estimate(code, factor, y @ r.T), D.error_bound(factor, dim)
         true = x @ y.T
         errors.append(value - true)
         outside += (np.abs(value - true) > bound[:, None] * np.sqrt(1 - true ** 2) + 1e-5).mean()
@@ -127,9 +128,8 @@ def test_certain_floor_never_passes_the_estimate():
         x /= np.linalg.norm(x, axis=1)[:, None]
         y = x + 0.3 * rng.standard_normal((300, dim)) / math.sqrt(dim)
         y /= np.linalg.norm(y, axis=1)[:, None]
-        r = D.rotation(dim)
-        turned = x @ r.T
-        value, _ = D.estimate(turned, y @ r.T, D.SIGMAS)
-        factor = np.abs(turned).sum(axis=1) / math.sqrt(dim)
+        code, factor = D.encode(x)
+        value = D.estimate(code, factor, y)
+        assert code.shape == (300, -(-dim // 8))
         near = (x * y).sum(axis=1) >= D.THRESHOLD
         assert near.any() and (np.diag(value) >= D._certain_floor(factor, D.THRESHOLD))[near].all()
