@@ -1,8 +1,10 @@
 """Vectorised word hashing over Arrow string columns.
 
-Used inside ``mapInArrow`` functions.  A batch is cut into slices of about a
-megabyte, so the working arrays stay small whatever the batch holds; a single
-text longer than that forms a slice of its own.  Words are the runs of bytes
+Used inside ``mapInArrow`` functions.  A batch is cut into slices of 256 KB, so
+the working arrays (about 50 bytes a byte) stay small whatever the batch holds.  A
+single text longer than that forms a slice of its own; its words are found chunk
+by chunk, cut at white space, which leaves 32 bytes a word.  Only a stretch without
+white space is never cut.  Words are the runs of bytes
 other than ASCII white space; since every UTF-8 continuation byte is above
 0x7F, byte runs and code point runs agree.
 """
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -41,7 +43,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, SLICE_BYTES)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
@@ -78,6 +80,12 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, prefixes: tu
     the hash is a row of a matrix whose other rows are the hashes of the
     words' beginnings, 0 for words that are not longer."""
     n = len(raw)
+    if n > 2 * SLICE_BYTES and len(offsets) == 2:
+        cuts = list(_chunks(raw))
+        if len(cuts) > 1:
+            parts = [(lo, words(raw[lo:hi], np.array([0, hi - lo]), lower, prefixes)) for lo, hi in cuts]
+            return (np.concatenate([lo + p[0] for lo, p in parts]), np.concatenate([lo + p[1] for lo, p in parts]),
+                    np.concatenate([p[2] for _, p in parts]), np.concatenate([p[3] for _, p in parts], axis=-1))
     if n == 0:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, np.zeros((1 + len(prefixes), 0) if prefixes else 0, np.uint64)
@@ -114,6 +122,23 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True, prefixes: tu
     return starts, ends, text, h
 
 
+def _chunks(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive stretches of a text of about ``SLICE_BYTES`` that end at
+    white space or at the text's end."""
+    lo, n = 0, len(raw)
+    while lo < n:
+        hi = lo + SLICE_BYTES
+        while hi < n:
+            found = np.flatnonzero(SPACE[raw[hi:hi + SLICE_BYTES]])
+            if len(found):
+                hi += int(found[0])
+                break
+            hi += SLICE_BYTES
+        hi = min(hi, n)
+        yield lo, hi
+        lo = hi
+
+
 def shingles(text: np.ndarray, h: np.ndarray, n_texts: int, size: int) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its runs of ``size`` words; a
     shorter non-empty text gives one hash of its whole word sequence."""
