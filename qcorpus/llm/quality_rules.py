@@ -174,3 +174,18 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
     odd = odd & (group.isNull() | group.isin(*[r["lang"] for r in sums]))
     return f.select(*[F.col("row")[f"in_{c}"].alias(c) for c in names], *FEATURES, "class_distance", "word_distance",
                     "base_failed", (~F.col("base_failed") & ~odd & (F.col("step") >= 0)).alias("kept"))
+
+
+def drop_rejected(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with their own columns.
+
+    A verdict depends on text and lang alone, so it is stored under a 128-bit
+    hash of them; texts are not written a second time.  Rows without a text go, as
+    the rules reject it.
+    """
+    judged = [docs[c].cast("string") for c in ("text", "lang") if c in docs.columns]
+    keys = [F.xxhash64(*judged).alias("key1"), F.xxhash64(F.lit(1), *judged).alias("key2")]
+    slim = docs.select(*[docs[c] for c in ("text", "lang") if c in docs.columns], *keys)
+    gone = quality_rules(slim, ["key1", "key2"], **options).where("not kept").select("key1", "key2").distinct()
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *keys)
+    return packed.join(gone, ["key1", "key2"], "left_anti").select("row.*")

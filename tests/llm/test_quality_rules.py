@@ -128,3 +128,17 @@ def test_languages_without_a_reference_stay(spark):
 
 def test_empty_table(spark):
     assert Q.quality_rules(no_docs(spark)).collect() == []
+
+
+def test_drop_rejected_keeps_what_the_rules_keep(spark):
+    """Rows, copies and clashing column names as given; null langs and texts too."""
+    clean = spark.read.parquet(f"{SF_SMALL}/documents.parquet").limit(60)
+    rows = [(r["doc_id"], r["text"], r["lang"], r["doc_id"]) for r in clean.collect()]
+    rows += rows[:3] + [(900, None, "en", 0), (901, "", None, 0), (902, "few words", "en", 0), (903, rows[0][1], None, 0),
+                        (None, rows[1][1], "xx", 0), (904, "spam word " * 60, "en", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, key1 long")
+    key = lambda r: str(tuple(r))
+    want = Q.quality_rules(df).where("kept").select(*df.columns).collect()
+    got = Q.drop_rejected(df)
+    assert got.columns == df.columns and sorted(map(key, got.collect())) == sorted(map(key, want)) and 0 < len(want) < len(rows)
+    assert Q.drop_rejected(df.limit(0)).collect() == []
