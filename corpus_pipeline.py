@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qcorpus.llm.ngram_jaccard import drop_linked
-from qcorpus.llm.quality_rules import quality_rules
+from qcorpus.llm.quality_rules import drop_rejected
 from qcorpus.llm.queries import TOKENIZER
 from qcorpus.llm.scratch import stored
 from qcorpus.llm.sentence_spans import remove_repeated_passages
@@ -22,7 +22,7 @@ from qcorpus.session import table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    return drop_rejected(docs).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
