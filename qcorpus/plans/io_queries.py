@@ -74,9 +74,12 @@ select vec_id as id, cast(len(embedding) as bigint) as dim, round(embedding[1],
 def vector_store(spark, sf_dir):
     v = fixtures.load(spark, sf_dir, "vectors").select("id", "embedding")
     path = _folder(spark, "vectors")
-    SK.write_vectors(v.where("id % 2 = 0"), path)
-    SK.write_vectors(v, path)  # replaces the first collection
-    return spark.read.parquet(path).select("id", F.size("embedding").cast("bigint").alias("dim"),
+    SK.write_vector_version(v.where("id % 2 = 0"), path)
+    first = SK.read_vector_version(spark, path).select("id")
+    SK.write_vector_version(v, path)  # readers of the first version keep it
+    whole = SK.read_vector_version(spark, path).where("id % 2 <> 0").unionByName(
+        SK.read_vector_version(spark, path).join(first, "id", "left_semi"))
+    return whole.select("id", F.size("embedding").cast("bigint").alias("dim"),
                                            F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 

@@ -82,10 +82,16 @@ def write_vectors(vectors: DataFrame, path: str, id_col: str = "id") -> int:
     collection is written beside the old one and takes its place only after its
     ids and its stored count are verified."""
     import uuid
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    stored = _write_verified(vectors, new, id_col)
+    replace_folder(vectors.sparkSession, new, path)
+    return stored
 
+
+def _write_verified(vectors: DataFrame, new: str, id_col: str) -> int:
+    """Write to the new folder ``new``; its count and unique ids are verified."""
     from pyspark.sql import Observation
     spark = vectors.sparkSession
-    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
     obs = Observation("vectors")
     vectors.observe(obs, F.count(F.lit(1)).alias("n")).write.parquet(new)
     expected = obs.get["n"]
@@ -95,10 +101,69 @@ def write_vectors(vectors: DataFrame, path: str, id_col: str = "id") -> int:
         raise ValueError(f"vector count mismatch: stored {stored}, expected {expected}")
     if written.groupBy(id_col).count().filter(F.col("count") > 1).limit(1).count():
         raise ValueError("duplicate vector ids")
-    replace_folder(spark, new, path)
     return stored
 
 
+def _filesystem(spark, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return hadoop, hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def vector_versions(spark, path: str) -> list[int]:
+    """The numbers of the collection's versions, in order."""
+    hadoop, fs = _filesystem(spark, path)
+    folder = hadoop(f"{path.rstrip('/')}/versions")
+    if not fs.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(folder) if f.getLen() > 0]
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+
+def write_vector_version(vectors: DataFrame, path: str, id_col: str = "id") -> int:
+    """A12 + D8: add a version to a collection and return its number.
+
+    Data go to a folder of their own that is never changed; once its ids and count
+    are verified, one small manifest is created that must not exist yet, so
+    nothing is renamed (a copy on object stores), a failed write leaves no
+    version and of two writers of one number the later takes the next.
+    """
+    import json
+    import uuid
+
+    from py4j.protocol import Py4JJavaError
+    spark, base = vectors.sparkSession, path.rstrip("/")
+    data = f"data-{uuid.uuid4().hex}"
+    count = _write_verified(vectors, f"{base}/{data}", id_col)
+    hadoop, fs = _filesystem(spark, path)
+    number = max(vector_versions(spark, path), default=0) + 1
+    while True:
+        place = hadoop(f"{base}/versions/{number:010d}.json")
+        try:
+            out = fs.create(place, False)
+        except Py4JJavaError:
+            if not fs.exists(place):
+                raise
+            number += 1
+            continue
+        out.write(bytearray(json.dumps({"data": data, "count": count}).encode()))
+        out.close()
+        return number
+
+
+def read_vector_version(spark, path: str, version: int | None = None) -> DataFrame:
+    """The collection as of ``version`` (the latest by default); later
+    writes do not change it."""
+    import json
+    base = path.rstrip("/")
+    if version is None:
+        found = vector_versions(spark, path)
+        if not found:
+            raise ValueError(f"no version in {path}")
+        version = found[-1]
+    spec = json.loads(spark.read.text(f"{base}/versions/{version:010d}.json", wholetext=True).first()["value"])
+    return spark.read.parquet(f"{base}/{spec['data']}")
+
+
 def write_registry(entries: DataFrame, path: str) -> None:
     """A10: replace the registry stored at ``path`` (JSONL), old until whole."""
     import uuid
