@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,35 +61,86 @@ def rouge_l(pred: Column | str, gold: Column | str, stem: bool = True) -> Column
     return score(F.coalesce(c(pred), F.lit("")), F.coalesce(c(gold), F.lit("")))
 
 
+TILE = 1024  # tokens of a side that meet in one product
+
+
+def _tile_scores(batches):
+    """Best cosine of every token within its tile.  A pair of one tile gives a
+    row per side with the sum and the number of tokens (``at`` -1); tiles of
+    larger pairs give a row per token."""
+    def matrix(cell):
+        tokens = cell.values
+        if tokens is None or len(tokens) == 0:
+            return np.zeros((0, 0))
+        return tokens.field("u").flatten().to_numpy(zero_copy_only=False).reshape(len(tokens), -1)
+
+    for batch in batches:
+        source, side, block, at, best, n = [], [], [], [], [], []
+        for k in range(batch.num_rows):
+            sides = matrix(batch.column("p")[k]), matrix(batch.column("g")[k])
+            both = len(sides[0]) and len(sides[1])
+            cosines = sides[0] @ sides[1].T if both else None
+            whole = batch.column("tiles")[k].as_py() == 1
+            for s, (tokens, own) in enumerate(zip(sides, ("i", "j"))):
+                found = cosines.max(axis=1 - s) if both else np.full(len(tokens), 0.0 if whole else -np.inf)
+                if whole:
+                    found, places, count = [float(found.sum())], [-1], len(tokens)
+                else:
+                    places, count = range(len(tokens)), 1
+                source += [k] * len(found)
+                side += [s] * len(found)
+                block += [batch.column(own)[k].as_py()] * len(found)
+                at += places
+                best += list(found)
+                n += [count] * len(found)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("pair").take(pa.array(source, pa.int64())), pa.array(side, pa.int32()), pa.array(block, pa.int32()),
+             pa.array(at, pa.int32()), pa.array(best, pa.float64()), pa.array(n, pa.int64())],
+            names=["pair", "side", "block", "at", "best", "n"])
+
+
 def greedy_match_score(tokens: DataFrame, pair_col: str = "pair_id", side_col: str = "side",
-                       pos_col: str = "pos", vec_col: str = "embedding") -> DataFrame:
+                       pos_col: str = "pos", vec_col: str = "embedding", tile: int = TILE) -> DataFrame:
     """Greedy matching of token embeddings within each pair (the score
     BERTScore computes on top of its encoder): P = mean over prediction
     tokens of the best cosine to a reference token, R likewise from the
     reference side, F1 = 2PR/(P+R).  ``side`` 0 = prediction, 1 = reference.
 
-    One shuffle by pair: each pair's token vectors (a sentence-sized,
-    bounded group) are gathered into two arrays and the similarity matrix
-    is evaluated in place with higher-order functions, so no token-pair
-    table is materialised or joined twice.  A pair with one side empty scores
-    0."""
-    from qcorpus.operators.vectors import dot, l2_normalize
-    t = tokens.select(pair_col, side_col, pos_col, l2_normalize(vec_col).alias("u"))
-    g = t.groupBy(pair_col).agg(
-        F.collect_list(F.when(F.col(side_col) == 0, F.col("u"))).alias("__p"),
-        F.collect_list(F.when(F.col(side_col) == 1, F.col("u"))).alias("__g"))
-
-    def mean_best(a, b):
-        best = F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: dot(x, y))))
-        total = F.aggregate(best, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
-        return F.when((F.size(a) > 0) & (F.size(b) > 0), total / F.size(a)).otherwise(F.lit(0.0))
-
-    out = g.select(pair_col, mean_best(F.col("__p"), F.col("__g")).alias("p"),
-                   mean_best(F.col("__g"), F.col("__p")).alias("r"))
-    f1 = F.when(F.col("p") + F.col("r") != 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))) \
-          .otherwise(F.lit(0.0))
-    return out.select(pair_col, F.col("p").alias("bert_precision"), F.col("r").alias("bert_recall"),
-                      f1.alias("bert_f1"))
+    A pair's token matrices are multiplied in Arrow batches.  A side of more
+    than ``tile`` tokens is dealt into blocks by a hash of the token, and every
+    block of one side meets every block of the other in a row of its own, so no
+    task holds more than two blocks of a pair; the best of a token over its
+    tiles is a maximum that merges before the shuffle.  Tokens with a null
+    vector are left out; the vectors of a pair have one length.  A pair with one
+    side empty scores 0."""
+    from qcorpus.operators.vectors import l2_normalize
+    t = tokens.select(F.col(pair_col).alias("pair"), F.col(side_col).cast("int").alias("side"),
+                      F.col(pos_col).alias("pos"), l2_normalize(vec_col).alias("u"))
+    blocks = [F.greatest(F.ceil(F.count_if(F.col("side") == s) / tile), F.lit(1)).cast("int").alias(b)
+              for s, b in enumerate(("b0", "b1"))]
+    large = t.groupBy(F.col("pair").alias("large")).agg(*blocks).where("b0 > 1 or b1 > 1")  # at most a row per tile
+    t = t.join(large, F.col("pair").eqNullSafe(F.col("large")), "left").fillna(1, ["b0", "b1"])
+    first = F.col("side") == 0
+    own = F.pmod(F.xxhash64("pos", "u"), F.when(first, F.col("b0")).otherwise(F.col("b1"))).cast("int")
+    met = F.sequence(F.lit(0), F.when(first, F.col("b1")).otherwise(F.col("b0")) - 1)
+    t = t.withColumn("own", own).withColumn("met", F.explode(met))
+    t = t.withColumn("i", F.when(first, F.col("own")).otherwise(F.col("met"))) \
+         .withColumn("j", F.when(first, F.col("met")).otherwise(F.col("own")))
+
+    def gathered(s):  # in order, so that a block looks alike in all its tiles
+        return F.array_sort(F.collect_list(F.when((F.col("side") == s) & F.col("u").isNotNull(), F.struct("pos", "u"))))
+    tiles = t.groupBy("pair", "i", "j", (F.col("b0") * F.col("b1")).alias("tiles")).agg(
+        gathered(0).alias("p"), gathered(1).alias("g"))
+    pair = tiles.schema["pair"].dataType.simpleString()
+    best = tiles.mapInArrow(_tile_scores, f"pair {pair}, side int, block int, at int, best double, n bigint")
+    best = best.groupBy("pair", "side", "block", "at").agg(F.max("best").alias("best"), F.max("n").alias("n"))
+    sums = [F.sum(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("best", "n")]
+    scored = best.groupBy("pair").agg(*sums)
+    both = (F.coalesce("n0", F.lit(0)) > 0) & (F.coalesce("n1", F.lit(0)) > 0)
+    p, r = [F.when(both, F.col(f"best{s}") / F.col(f"n{s}")).otherwise(F.lit(0.0)) for s in (0, 1)]
+    scored = scored.select(F.col("pair").alias(pair_col), p.alias("bert_precision"), r.alias("bert_recall"))
+    p, r = F.col("bert_precision"), F.col("bert_recall")
+    return scored.withColumn("bert_f1", F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)))
 
 
 def latency_summary(df: DataFrame, latency_col: str = "latency", group_cols: list[str] | None = None) -> DataFrame:
