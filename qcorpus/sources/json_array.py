@@ -61,11 +61,16 @@ def scan(data: bytes, state: int) -> tuple[np.ndarray, np.ndarray, int]:
     return at, change[at], end
 
 
-def _buffers(uri: str, start: int, stop: int | None) -> Iterator[bytes]:
+def open_store(uri: str):
+    """(file system, path) of a URI, a path, or Hadoop's form file:/path."""
     from pyarrow import fs
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
-    store, path = fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri)
+
+
+def _buffers(uri: str, start: int, stop: int | None) -> Iterator[bytes]:
+    store, path = open_store(uri)
     with store.open_input_file(path) as f:
         size = f.size()
         stop = size if stop is None else min(stop, size)
