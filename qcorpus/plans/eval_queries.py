@@ -126,7 +126,7 @@ def embed_documents(spark, sf_dir):
                                                lambda a, x: a + x * x)), 6).alias("norm"))
 
 
-@register("greedy_match", "C12", sql="""
+GREEDY_SQL = """
 with t as (select vec_id // 8 as pair_id, vec_id % 2 as side, vec_id as pos, cast(embedding as double[]) as u from embeddings),
 s as (select p.pair_id, p.pos as pp, g.pos as gp, list_cosine_similarity(p.u, g.u) as sim
       from t p join t g on p.pair_id = g.pair_id and p.side = 0 and g.side = 1),
@@ -136,16 +136,42 @@ select pair_id, round(p, 6) as bert_precision, round(r, 6) as bert_recall,
   round(case when p + r <> 0 then 2 * p * r / (p + r) else 0 end, 6) as bert_f1
 from pr join rc using (pair_id)
 union all
-select pair_id, 0.0, 0.0, 0.0 from t group by pair_id having count(distinct side) < 2""")
+select pair_id, 0.0, 0.0, 0.0 from t group by pair_id having count(distinct side) < 2"""
+
+
+def pair_tokens(spark, sf_dir):
+    """Token vectors of pairs: eight embeddings each, on two sides."""
+    return table(spark, sf_dir, "embeddings").select(
+        (F.floor(F.col("vec_id") / 8)).cast("bigint").alias("pair_id"),
+        (F.col("vec_id") % 2).alias("side"), F.col("vec_id").alias("pos"), "embedding")
+
+
+@register("greedy_match", "C12", sql=GREEDY_SQL)
 def greedy_match(spark, sf_dir):
-    emb = table(spark, sf_dir, "embeddings")
-    tokens = emb.select((F.floor(F.col("vec_id") / 8)).cast("bigint").alias("pair_id"),
-                        (F.col("vec_id") % 2).alias("side"), F.col("vec_id").alias("pos"), "embedding")
-    g = EV.greedy_match_score(tokens)
+    g = EV.greedy_match_score(pair_tokens(spark, sf_dir))
     return g.select("pair_id", *[F.round(c, 6).alias(c) for c in ("bert_precision", "bert_recall", "bert_f1")])
 
 
-@register("rouge_l", "I7 I8")
+def _tokens_sql(text):
+    return f"list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
+# the rows of the table of common subsequences, folded over the prediction's tokens
+# (the words of the given pairs are their own stems)
+ROUGE_SQL = f"""toks as (select pair_id, {_tokens_sql("pred")} as a, {_tokens_sql("gold")} as b from sql_pairs),
+lcs as (select pair_id, len(a) as n, len(b) as m, coalesce(list_reduce(
+    list_prepend(list_transform(b, lambda y: cast(0 as bigint)),
+                 list_transform(a, lambda x: list_transform(b, lambda y: cast(x = y as bigint)))),
+    lambda top, eq: list_transform(range(1, len(top) + 1), lambda j: list_max(list_transform(
+        range(1, j + 1), lambda i: greatest(top[i], coalesce(top[i - 1], 0) + eq[i])))))[-1], 0) as l from toks),
+pr as (select pair_id, case when n > 0 then l / n else 0.0 end as p, case when m > 0 then l / m else 0.0 end as r from lcs),
+rouge as (select pair_id, p as rougeL_p, r as rougeL_r, case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end as rougeL_f1 from pr)"""
+
+
+@register("rouge_l", "I7 I8", sql=f"""
+with sql_pairs as ({fixtures.SQL_PAIRS_SQL}),
+{ROUGE_SQL}
+select * from rouge""")
 def rouge_l(spark, sf_dir):
     p = fixtures.load(spark, sf_dir, "sql_pairs")
     r = EV.rouge_l("pred", "gold")
