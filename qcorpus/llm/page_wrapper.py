@@ -16,7 +16,9 @@ wrapper per host, bounded by the host's tags and not by its pages; partial
 wrappers merge by the same alignment, in two steps so that a large host does
 not meet in one task.  From a host's wrapper follows its rule: where the varying,
 unlinked text sits.  The rule, and the fixed list of elements that are never
-main text, extract each page.
+main text, extract each page.  A class word that may as well describe a block of the
+article, such as "alert", counts inside the main element only where the wrapper shows
+the part constant or linked.
 """
 
 from __future__ import annotations
@@ -49,48 +51,74 @@ INLINE = FORMAT | {"a", "img", "label"}
 APART = set("nav footer aside form button select dialog menu head object audio video canvas".split())
 APART_WORDS = set(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo banner cookie cookies consent "
-    "gdpr notice notices alert popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb "
-    "breadcrumbs sidebar rail widget related recommended share sharing social comment comments discussion disqus reply "
-    "replies respond footer masthead toolbar pagination pager copyright disclaimer".split())
+    "gdpr popup modal overlay newsletter subscribe signup login menu nav navbar navigation breadcrumb breadcrumbs sidebar "
+    "comment comments discussion disqus reply replies respond footer masthead toolbar pagination pager".split())
+# Words that name such a part outside the main element; inside it they may as well describe the article's own blocks.
+DOUBTFUL_WORDS = set("notice notices alert rail widget related recommended share sharing social copyright disclaimer".split())
+# Words that say nothing about a part when they stand beside one of the above, as in share-buttons.
+NEUTRAL_WORDS = set(
+    "area bar block body bottom box button buttons center column container content footer form group header holder icon icons "
+    "inner item items left line link links list main my outer page panel post posts right row section site slot text the top "
+    "unit wrap wrapper zone js".split())
+TEXT_BLOCKS = HEADINGS | set("p li dd dt td th blockquote pre figcaption caption summary address".split())
 MAIN = ("article", "main")
 MAX_DEPTH, MAX_PARTS, MAX_PERIOD = 150, 64, 4
+NOT_APART, DOUBTFUL, CERTAIN = 0, 1, 2
 
+# A quote opens a value only after an equals sign and if it is closed; else it is part of a name.
+_VALUE = r"\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+|(?=>))"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.I)
+                    rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:{_VALUE})?+|=)*+)>", re.S)
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
 
 
 class Node:
-    """An element of a page: key (tag, class and id), tag, content."""
-    __slots__ = ("key", "tag", "apart", "content")
+    """An element of a page: key (tag, class and id), tag that counts, tag as
+    written, whether it is never main text, content."""
+    __slots__ = ("key", "tag", "name", "apart", "content")
 
-    def __init__(self, key: str, tag: str, apart: bool):
-        self.key, self.tag, self.apart, self.content = key, tag, apart, []
+    def __init__(self, key: str, tag: str, name: str, apart: int, content: list | None = None):
+        self.key, self.tag, self.name, self.apart = key, tag, name, apart
+        self.content = [] if content is None else content
 
 
-_known: dict[tuple[str, str], tuple[str, str, bool]] = {}
+def _named_apart(value: str) -> int:
+    """Whether a class or id names a part that is never main text.  A name of
+    several words does if all of them belong to such a part: ``share-buttons``,
+    but not ``share-price``."""
+    level = NOT_APART
+    for name in value.split():
+        words = set(re.findall(r"[a-z]+", name))
+        if words & APART_WORDS and words <= APART_WORDS | DOUBTFUL_WORDS | NEUTRAL_WORDS:
+            return CERTAIN
+        if words & DOUBTFUL_WORDS and words <= DOUBTFUL_WORDS | NEUTRAL_WORDS:
+            level = DOUBTFUL
+    return level
 
 
-def _describe(tag: str, attributes: str) -> tuple[str, str, bool]:
+_known: dict[tuple[str, str], tuple[str, str, int]] = {}
+
+
+def _describe(tag: str, attributes: str) -> tuple[str, str, int]:
     """(key, tag that counts, never main text)."""
     got = _known.get((tag, attributes))
     if got:
         return got
-    key, words, counts = tag, set(), tag
-    apart = tag in APART
-    for name, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
-        if hidden:
-            apart = True
-            continue
-        value = (a or b or c).lower()
-        if name.lower() == "role":
+    key, counts = tag, tag
+    apart = CERTAIN if tag in APART else NOT_APART
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), (a or b or c).lower()
+        if name == "hidden":
+            apart = CERTAIN
+        elif name == "role":
             if value == "main":
                 counts = "main"
-            apart |= value in ("navigation", "banner", "complementary", "contentinfo", "search")
-            continue
-        words |= set(re.findall(r"[a-z]+", value))
-        key += ("." if name.lower() == "class" else "#") + re.sub(r"\d+", "0", value)
-    apart |= bool(words & APART_WORDS) and tag not in ("html", "body", *MAIN)
+            if value in ("navigation", "banner", "complementary", "contentinfo", "search"):
+                apart = CERTAIN
+        elif name in ("class", "id"):
+            if tag not in ("html", "body", *MAIN):
+                apart = max(apart, _named_apart(value))
+            key += ("." if name == "class" else "#") + re.sub(r"\d+", "0", value)
     if len(_known) > 50_000:
         _known.clear()
     _known[tag, attributes] = key, counts, apart
@@ -98,9 +126,14 @@ def _describe(tag: str, attributes: str) -> tuple[str, str, bool]:
 
 
 def parse(page: str) -> Node:
-    """The page as a tree; unknown or broken markup never fails."""
-    root = Node("", "", False)
+    """The page as a tree; unknown or broken markup never fails.
+
+    Below ``MAX_DEPTH`` open elements the tree is flat: the content of deeper
+    ones goes to the element at that depth, in order, but for parts that are never
+    main text, which keep their own."""
+    root = Node("", "", "", NOT_APART)
     stack = [root]
+    count: dict[str, int] = {}  # open elements by tag
     at, size = 0, len(page)
 
     def text(lo: int, hi: int) -> None:
@@ -110,6 +143,14 @@ def parse(page: str) -> Node:
                 piece = entities.unescape(piece)
             stack[-1].content.append(piece)
 
+    def close(k: int) -> None:
+        ends_block = len(stack) > MAX_DEPTH and stack[k].tag not in INLINE
+        for node in stack[k:]:
+            count[node.name] -= 1
+        del stack[k:]
+        if ends_block:
+            stack[-1].content.append(Node("br", "br", "br", NOT_APART))
+
     while True:
         m = _TOKEN.search(page, at)
         if not m:
@@ -124,42 +165,46 @@ def parse(page: str) -> Node:
         tag = tag.lower()
         if m.group(1):
             if tag == "br":
-                stack[-1].content.append(Node("br", "br", False))
-            elif tag == "head" or tag not in ("html", "body"):
+                stack[-1].content.append(Node("br", "br", "br", NOT_APART))
+            elif count.get(tag) and tag not in ("html", "body"):
                 for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].key.split(".")[0].split("#")[0] == tag:
-                        del stack[k:]
+                    if stack[k].name == tag:
+                        close(k)
                         break
                     if tag in FORMAT and stack[k].tag not in INLINE:
                         break
             continue
         if tag in ("html", "body"):
-            del stack[1:]
+            if len(stack) > 1:
+                close(1)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and count.get("p"):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag not in INLINE:
                     break
-        if tag in CLOSES:
+        if tag in CLOSES and any(count.get(t) for t in CLOSES[tag][0]):
             ends, scope = CLOSES[tag]
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in scope:
                     break
                 if stack[k].tag in ends:
-                    del stack[k:]
+                    close(k)
                     break
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
         key, counts, apart = _describe(tag, m.group(3))
-        node = Node(key, counts, apart)
+        node = Node(key, counts, tag, apart)
         stack[-1].content.append(node)
-        if tag not in VOID and not m.group().endswith("/>") and len(stack) < MAX_DEPTH:
+        if tag not in VOID and not m.group().endswith("/>"):
+            if len(stack) >= MAX_DEPTH and apart <= stack[-1].apart:
+                node = Node(key, counts, tag, stack[-1].apart, stack[-1].content)
             stack.append(node)
+            count[tag] = count.get(tag, 0) + 1
     text(at, size)
     return root
 
@@ -219,7 +264,7 @@ def merge_part(a, b):
     if a[0] == "t":
         return ["t", a[1] if a[1] == b[1] else None, a[2] or b[2], a[3] + b[3]]
     if a[0] == "e":
-        return ["e", a[1], a[2], a[3] or b[3], a[4] or b[4], a[5] or b[5], align(a[6], b[6])]
+        return ["e", a[1], a[2], max(a[3], b[3]), a[4] or b[4], a[5] or b[5], align(a[6], b[6])]
     return ["g", a[1] or b[1], a[2] or b[2], [merge_part(x, y) for x, y in zip(a[3], b[3])]]
 
 
@@ -290,9 +335,36 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
-def rule_of(parts: list) -> list[str]:
-    """Keys on the way from the top to the element that holds the main text;
-    empty: the whole page."""
+def _is_template(part, linked: bool = False) -> bool:
+    """Whether all text of a part is linked, or the same wherever it was seen
+    more than once."""
+    if part[0] == "t":
+        return linked or part[1] is not None and part[3] > 1.5 * len(part[1])
+    return all(_is_template(p, linked or (part[0] == "e" and part[2] == "a")) for p in (part[6] if part[0] == "e" else part[3]))
+
+
+def _template_keys(parts: list):
+    """Keys of the parts whose class leaves in doubt what they are, but which
+    the pages show to be template."""
+    for p in parts:
+        if p[0] == "g" or p[0] == "e" and p[3] < DOUBTFUL:
+            yield from _template_keys(p[3] if p[0] == "g" else p[6])
+        elif p[0] == "e" and p[3] == DOUBTFUL:
+            if _is_template(p):
+                yield p[1]
+            else:
+                yield from _template_keys(p[6])
+
+
+def rule_of(parts: list) -> dict:
+    """``path``: keys on the way from the top to the element that holds the main
+    text (empty: the whole page); ``template``: keys of parts inside that are not
+    main text after all."""
+    path, part = _place_of(parts)
+    return {"path": path, "template": sorted(set(_template_keys(part[6]))) if part else []}
+
+
+def _place_of(parts: list) -> tuple[list[str], list | None]:
     def varying(part, linked: bool = False) -> int:
         if part[0] == "t":
             return 0 if linked or part[1] is not None else part[3]
@@ -317,19 +389,20 @@ def rule_of(parts: list) -> list[str]:
     found = [(sum(map(varying, p[6])), path, p) for path, p in named(parts, [])]
     if found:
         amount, path, part = max(found, key=lambda x: x[0])
-        inner = [(sum(map(varying, p[6])), q) for q, p in named(part[6], path)]
-        if inner and max(inner)[0] * 2 > amount > 0:
-            return max(inner)[1]
-        return path
-    path, inner = [], parts
+        inner = [(sum(map(varying, p[6])), q, p) for q, p in named(part[6], path)]
+        deepest = max(inner, key=lambda x: x[:2], default=None)
+        if deepest and deepest[0] * 2 > amount > 0:
+            return deepest[1:]
+        return path, part
+    path, inner, part = [], parts, None
     while True:
         own = sum(varying(p) for p in inner if p[0] == "t")
         total = sum(map(varying, inner))
         best = max(elements(inner), key=varying, default=None)
         if best is None or best[2] in HEADINGS | INLINE | {"p", "li", "td", "tr", "dd", "dt", "pre", "blockquote"} \
                 or best[5] or varying(best) < 0.8 * total or own > 0.2 * total:
-            return path
-        path, inner = path + [best[1]], best[6]
+            return path, part
+        path, inner, part = path + [best[1]], best[6], best
 
 
 def _places(root: Node, path: list[str]) -> list[Node]:
@@ -347,11 +420,19 @@ def _named(node: Node) -> list[Node]:
     return out
 
 
-def main_text(root: Node, path: list[str]) -> str:
+def main_text(root: Node, path: list[str], template: list[str] = ()) -> str:
     """The blocks of the rule's element, or of the page's own main elements
-    where the page has no such element, joined by line breaks."""
+    where the page has no such element, joined by line breaks.
+
+    Inside, a block of text whose class leaves in doubt what it is stays, unless the
+    host's pages show it to be template; a container of such a class goes."""
     places = _places(root, path) or _named(root) or [root]
     inside = bool(path) or places != [root]
+
+    def left_out(c: Node) -> bool:
+        if c.apart == DOUBTFUL and inside:
+            return c.key in template or c.tag not in TEXT_BLOCKS | INLINE
+        return c.apart != NOT_APART or c.tag == "header" and not inside
     blocks: list[str] = []
     run: list[str] = []
 
@@ -365,7 +446,7 @@ def main_text(root: Node, path: list[str]) -> str:
         for c in node.content:
             if isinstance(c, str):
                 run.append(c)
-            elif c.apart or c.tag == "header" and not inside:
+            elif left_out(c):
                 end()
             elif c.tag in INLINE:
                 walk(c)
@@ -456,7 +537,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     def extracted(batches):
         for batch in batches:
             sources, paths = batch.column("html"), batch.column("rule")
-            texts = [main_text(parse(sources[k].as_py() or ""), json.loads(paths[k].as_py() or "[]"))
+            texts = [main_text(parse(sources[k].as_py() or ""), **json.loads(paths[k].as_py() or '{"path": []}'))
                      for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), sources, pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())],

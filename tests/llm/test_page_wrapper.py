@@ -102,3 +102,48 @@ def test_a_wrapper_stays_small():
 
 def test_empty_table(spark):
     assert P.extract_pages(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def _extract(spark, pages, host="a.org"):
+    df = spark.createDataFrame([(k, f"http://{host}/{k}", p, None, None) for k, p in enumerate(pages)], SCHEMA)
+    return {r["page_id"]: r["text"] for r in P.extract_pages(df).collect()}
+
+
+def test_class_words_of_the_articles_own_blocks(spark):
+    rng = random.Random(7)
+    pages, want = [], []
+    for k in range(12):
+        own = [words(rng, 12) for _ in range(6)]
+        pages.append(
+            f"<html><body><nav class=menu>Menu</nav><div class='notice'>Site closed {k}</div><article><h1>H{k}</h1>"
+            f"<p class='share'>{own[0]}</p><p class=alert>{own[1]}</p><div class='notice-board'>{own[2]}</div>"
+            f"<ul class='related-work'><li>{own[3]}</li></ul><p class='share-price'>{own[4]}</p>"
+            f"<p style='overflow: hidden' data-class='ad'>{own[5]}</p>"
+            f"<p class=notice>This site keeps all its pages</p><p class=related><a href=x>{words(rng, 3)}</a></p>"
+            f"<div class='share-buttons'>Tweet {k} <span>Like</span></div><p class='ad'>Buy {k}</p>"
+            f"<div class='site-footer'>foot {k}</div></article><footer>end</footer></body></html>")
+        want.append("\n".join([f"H{k}", *own]))
+    got = _extract(spark, pages)
+    for k, w in enumerate(want):
+        assert got[k] == w
+    # a page alone on its host: nothing shows its blocks to be template
+    alone = _extract(spark, ["<article><p class='share'>one</p><p class='alert'>two</p></article>"], "alone.org")
+    assert alone == {0: "one\ntwo"}
+
+
+def test_parts_below_many_elements(spark):
+    deep = "<div>" * 200 + "<p>kept</p><nav>menu <p>menu</p></nav>also<div class=cookie-notice>ok</div><p>end</p>" + "</div>" * 200
+    got = _extract(spark, [deep, "<article>" + deep + "</article>"])
+    assert got == {0: "kept\nalso\nend", 1: "kept\nalso\nend"}
+    many = "<div><span>" * 60_000 + "text" + "</i></section>" * 60_000  # unclosed, and closed without being open
+    assert _extract(spark, [many]) == {0: "text"}
+
+
+def test_stray_quotes(spark):
+    pages = {"<p class=\"x>Broken quote text": "Broken quote text", "<p class=x\">one</p>": "one",
+             "<p title='a>b'>two</p>": "two", "<p title=\"it's\">three</p><p title='x'>four</p>": "three\nfour",
+             "<p =x>five</p>": "five", "<p a = b c='d' / e>six</p>": "six", "<p class= >seven</p>": "seven",
+             "a < b and <3": "a < b and <3", "<a href=x/>eight</a>": "eight"}
+    got = _extract(spark, list(pages))
+    assert got == dict(enumerate(pages.values()))
+    assert len(P.parse("<p " + "a='" * 100_000 + ">x").content) == 1  # no long search
