@@ -72,3 +72,74 @@ def test_two_notices_in_one_text(spark):
     for r in L.scan_licenses(df).where("doc_id >= 0").collect():
         a, b, _ = pairs[r["doc_id"]]
         assert r["labels"] == ",".join(sorted({a[0], b[0]})), texts[r["doc_id"]]
+
+
+WORDINGS = [
+    ("This is subject to the Mozilla Public License Version 2.0.", "mpl-2"),
+    ("Licensed under the GNU General Public License (GPL) version 3", "gpl-3"),
+    ("GNU General Public License, version 2", "gpl-2"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+     "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3"),
+    ("Redistribution and use of this software in source and binary forms, with or without modification, are permitted", "bsd"),
+    ("Permission is hereby granted, free of charge, to any person or organisation obtaining a copy of this software and "
+     "associated documentation files", "mit"),
+    ("released under the terms of the MIT license", "mit"),
+    ("Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("Creative Commons Attribution-ShareAlike 4.0 International", "cc-by-sa"),
+    ("Creative Commons Attribution-NonCommercial 4.0 International", "cc-by-nc"),
+    ("the GNU Lesser General Public License, version 2.1", "lgpl-2.1"),
+    ("the GNU Affero General Public License version 3", "agpl-3"),
+    ("Licensed under the Apache License 2.0", "apache-2"),
+    ("released into the public domain as free and unencumbered software", ""),
+    ("The general public read the lesser known license of version 3, free of charge.", ""),
+    ("Neither the name nor the forms are in the binary source; permission to use the copy is with the authors.", ""),
+    ("GNU General Public License, of which many a year later there came version 3", ""),
+]
+
+
+def test_common_wordings(spark):
+    rows = list(enumerate(t for t, _ in WORDINGS)) + [(100 + k, f"The word {k} of a text to read and use.") for k in range(300)]
+    rows += [(1000 + k, "x " * 50 + t + " y" * 50) for k, (t, _) in enumerate(WORDINGS)]
+    got = {r["doc_id"]: r["labels"] for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (text, labels) in enumerate(WORDINGS):
+        assert got[k] == got[1000 + k] == labels, text
+    assert all(got[100 + k] == "" for k in range(300))
+
+
+def test_labels_equal_brute_force(spark):
+    """The rule itself, on texts of licence words with changes of one or two words."""
+    import math
+    import random
+    rng = random.Random(5)
+    texts = []
+    for k in range(300):
+        label, notice, _ = rng.choice(L.NOTICES)
+        w = [rng.choice(L.vocabulary()) for _ in range(rng.randint(0, 6))] + notice.split()
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(w))
+            w[at:at + rng.randint(0, 1)] = rng.choice([[], ["new"], [rng.choice(L.vocabulary())]])
+        texts.append(" ".join(w + [rng.choice(L.vocabulary()) for _ in range(rng.randint(0, 6))]))
+    split = [t.split() for t in texts]
+    idf = {w: math.log((len(texts) + 1) / (sum(w in s for s in split) + 1)) + 1e-6 for w in L.vocabulary()}
+
+    def labels(w):
+        out = {label for phrase, label in L.BASE_PHRASES if f" {phrase} " in f" {' '.join(w)} "}
+        for label, notice, phrases in L.NOTICES:
+            parts = notice.split()
+            anchor = max(phrases, key=lambda ph: sum(idf[x] for x in ph.split()))
+
+            def stands(phrase, at):
+                p = phrase.split()
+                return at >= 0 and w[at:at + len(p)] == p
+            for f in range(len(w)):
+                if not stands(anchor, f):
+                    continue
+                at = f - L._start(parts, anchor)
+                near = w[max(at - L.WINDOW, 0):at + len(parts) + L.WINDOW]
+                if (all(any(stands(ph, at + L._start(parts, ph) + s) for s in range(-L.WINDOW, L.WINDOW + 1)) for ph in phrases)
+                        and sum(idf[x] for x in parts if x in near) >= L.MIN_COVERAGE * sum(idf[x] for x in parts)):
+                    out.add(label)
+        return ",".join(sorted(out))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in L.scan_licenses(df).collect():
+        assert r["labels"] == labels(split[r["doc_id"]]), texts[r["doc_id"]]
