@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -86,3 +89,55 @@ def test_no_labels_and_empty_table(spark):
     df = no_docs(spark)
     assert X.score(df, X.train(df, none)).collect() == []
     assert {r["predicted"] for r in X.score(docs(spark), X.train(docs(spark), none)).collect()} == {0}
+
+
+def trained_by_hand(rows):
+    """(features, weights, bias) of the training rule in plain loops; only the
+    hashes of a single word come from the library."""
+    def features_of(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return [int(f) for f in X._sentences(raw, np.array([0, len(raw)]))[0].ravel() if f]
+    bags = []
+    for doc_id, text, toxic, _ in rows:
+        if zlib.crc32(str(doc_id).encode()) % 3 != 1 and text:
+            sentences = [re.findall(r"[A-Za-z0-9]+", s) for s in re.split(r"[.!?\n]", text)]
+            bags.append((toxic, [[f for w in s for f in features_of(w)] for s in sentences if s]))
+    n = [sum(1 - y for y, _ in bags), sum(y for y, _ in bags)]
+    seen = {}
+    for y, bag in bags:
+        for f in {f for s in bag for f in s}:
+            seen.setdefault(f, [0, 0])[y] += 1
+    chosen = []
+    for f, have in seen.items():
+        table = [(have[y], n[y], sum(have)) for y in (0, 1)] + [(n[y] - have[y], n[y], sum(n) - sum(have)) for y in (0, 1)]
+        g = sum(2 * a * math.log(a * sum(n) / (b * c)) for a, b, c in table if a)
+        if sum(have) >= 3 and g >= X.MIN_STATISTIC:
+            chosen.append(f)
+    chosen.sort()
+    place = {f: k for k, f in enumerate(chosen)}
+    bags = [(y, [[place[f] for f in s if f in place] for s in bag]) for y, bag in bags]
+    share = n[1] / sum(n)
+    values = [0.0] * len(chosen) + [-5.0]
+    moment, speed = [0.0] * len(values), [0.0] * len(values)
+    for step in range(1, 251):
+        grad = [1e-4 * v for v in values[:-1]] + [0.0]
+        for y, bag in bags:
+            p = [1 / (1 + math.exp(-max(-30, min(30, sum(values[k] for k in s) + values[-1])))) for s in bag]
+            clean = math.prod(1 - q for q in p)
+            pull = -clean / (1 - clean) * 0.3 / share if y else 0.7 / (1 - share)
+            for q, s in zip(p, bag):
+                for k in [*s, -1]:
+                    grad[k] += q * pull / len(bags)
+        for k, d in enumerate(grad):
+            moment[k] = 0.9 * moment[k] + 0.1 * d
+            speed[k] = 0.999 * speed[k] + 0.001 * d * d
+            values[k] -= 0.15 * (moment[k] / (1 - 0.9 ** step)) / (math.sqrt(speed[k] / (1 - 0.999 ** step)) + 1e-8)
+    return chosen, values[:-1], values[-1]
+
+
+def test_training_equals_brute_force(spark):
+    rows = made(150, seed=3) + [(1000, "", 1, []), (1001, "?!", 0, [])]
+    model = X.train(*data(spark, rows))
+    features, weights, bias = trained_by_hand(rows)
+    assert [int(f) for f in model.features] == features and len(features) >= len(BAD)
+    assert np.allclose(model.weights, weights, rtol=1e-4, atol=1e-5) and abs(model.bias - bias) < 1e-4
