@@ -18,38 +18,47 @@ MO = f"model_outputs as ({fixtures.MODEL_OUTPUTS_SQL})"
 CORPUS = f"sql_corpus as ({fixtures.SQL_CORPUS_SQL})"
 
 
-def _names():
-    """``table.column`` names of a catalog database (every derived database
-    holds the same tables), longest first, ties by name."""
-    names = [f"{t}.{c}" for t, cs in fixtures.CATALOG_TABLES for c in cs]
+def _names(kind):
+    """``table.column`` names that a database of a kind (its number modulo 3) has
+    besides those of a third of its tables, longest first, ties by name."""
+    names = [f"{t}.{c}" for t, cs in fixtures.CATALOG_TABLES for c in cs if (len(t) + kind) % 3 != 0]
     return sorted(names, key=lambda n: (-len(n), n))
 
 
-def _mask_sql(x):
-    for n in _names():
+def _mask_sql(x, kind):
+    for n in _names(kind):
         x = f"replace({x}, '{n}', '[MASK]')"
     return x
 
 
+NAMED_IN_ANSWERS = " ordered by orders.o_orderkey, nation.n_name and events.event_id, with documents.text of labels.doc_id"
+
+
 @register("mask_and_fill", "B19 B20", sql=f"""
 with {MO},
-m as (select doc_id, {_mask_sql('output')} as masked from model_outputs),
-f as (select doc_id, masked, string_split(masked, '[MASK]') as parts from m),
-fills as (select list(n order by n) as fl from (values {", ".join(f"('{n}')" for n in _names())}) as t(n))
+d as (select doc_id, doc_id % (select count(distinct o_custkey // 10) from orders) % 3 as kind,
+  case when doc_id % 2 = 0 then concat(output, '{NAMED_IN_ANSWERS}') else output end as output from model_outputs),
+m as (select doc_id, kind, case kind {" ".join(f"when {k} then {_mask_sql('output', k)}" for k in range(3))} end as masked from d),
+f as (select doc_id, kind, masked, string_split(masked, '[MASK]') as parts from m),
+fills as (select kind, list(n order by n) as fl
+  from (values {", ".join(f"({k}, '{n}')" for k in range(3) for n in _names(k))}) as t(kind, n) group by 1)
 select doc_id, md5(masked) as masked_md5, cast(len(parts) - 1 as bigint) as n_masks,
   md5(array_to_string(list_transform(parts, lambda p, i: case when i < len(parts)
         then concat(p, coalesce(fl[i], '[MASK]')) else p end), '')) as filled_md5
-from f, fills""")
+from f join fills using (kind)""")
 def mask_and_fill(spark, sf_dir):
-    # documents are spread over the first 15 databases (present at every scale)
-    mo = fixtures.load(spark, sf_dir, "model_outputs").withColumn(
-        "db_id", F.concat(F.lit("db_"), (F.col("doc_id") % 15).cast("string")))
+    """Documents dealt to all databases, whose names differ; several names a text."""
     from qcorpus.plans.catalog_queries import catalog
     named = K.named_columns(catalog(spark, sf_dir))
+    number = F.regexp_extract("db_id", r"(\d+)$", 1).cast("long")
+    named = named.where((F.length("table_name") + number) % 3 != 0)
     names = named.groupBy("db_id").agg(F.collect_list(F.concat_ws(".", "table_name", "column_name")).alias("names"))
-    j = mo.join(names, "db_id", "left")  # one row per database: dimension-sized
-    masked = T.mask_schema("output", F.col("names"))
-    out = j.withColumn("masked", masked)
+    answers = fixtures.load(spark, sf_dir, "model_outputs").select(
+        "doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat("output", F.lit(NAMED_IN_ANSWERS))).otherwise(F.col("output"))
+        .alias("output"), F.concat(F.lit("db_"), (F.col("doc_id") % names.agg(F.count(F.lit(1))).scalar()).cast("string"))
+        .alias("db_id"))
+    j = answers.join(names, "db_id", "left")  # one row per database
+    out = j.withColumn("masked", T.mask_schema("output", F.col("names")))
     filled = T.fill_masks("masked", F.array_sort("names"))
     return out.select("doc_id", F.md5("masked").alias("masked_md5"),
                       (F.size(F.split("masked", r"\[MASK\]")) - 1).cast("bigint").alias("n_masks"),
