@@ -247,42 +247,68 @@ def catalog_template() -> dict:
             "primary_keys": pks, "foreign_keys": fks}
 
 
+def catalog_extras() -> dict[int, dict]:
+    """What databases have besides, by their number modulo 3.  1: a table whose
+    names hold spaces, and a key to no column; 2: a table without columns, and a
+    second target of a key."""
+    t = catalog_template()
+    table, column = len(t["table_names_original"]), len(t["column_names_original"])
+    pos = {f"{t['table_names_original'][int(a)]}.{c}": k for k, (a, c) in enumerate(t["column_names_original"]) if a != "-1"}
+    return {1: {"table_names_original": ["order notes"],
+                "column_names_original": [[str(table), c] for c in ("note id", "order key", "note text")],
+                "primary_keys": [str(column)],
+                "foreign_keys": [[column + 1, pos["orders.o_orderkey"]], [column + 2, 10 * column]]},
+            2: {"table_names_original": ["archive"], "column_names_original": [], "primary_keys": [],
+                "foreign_keys": [[pos["lineitem.l_suppkey"], pos["part.p_partkey"]]]}}
+
+
 def catalog(orders: DataFrame) -> DataFrame:
     """Nested catalog, one row per database found in the corpus
     (``db_id, table_names_original, column_names_original, primary_keys,
     foreign_keys``) -- the form ``sources.catalog.read_catalog`` reads."""
-    t = catalog_template()
-    dbs = orders.select(F.concat(F.lit("db_"), _s(F.floor(F.col("o_custkey") / 10))).alias("db_id")).distinct()
-    return dbs.select(
-        "db_id",
-        F.array(*[F.lit(x) for x in t["table_names_original"]]).alias("table_names_original"),
-        F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in t["column_names_original"]]).alias("column_names_original"),
-        F.array(*[F.lit(x) for x in t["primary_keys"]]).alias("primary_keys"),
-        F.array(*[F.array(F.lit(a).cast("int"), F.lit(b).cast("int")) for a, b in t["foreign_keys"]]).alias("foreign_keys"),
-    )
+    t, extras = catalog_template(), catalog_extras()
+    number = F.floor(F.col("o_custkey") / 10)
+    dbs = orders.select(F.concat(F.lit("db_"), _s(number)).alias("db_id"), (number % 3).alias("kind")).distinct()
+
+    def nested(field, kind, value):
+        def array(values):
+            return F.array(*[value(x) for x in values]).cast(kind)
+        whole = array(t[field])
+        for k, more in extras.items():
+            whole = F.when(F.col("kind") == k, array(t[field] + more[field])).otherwise(whole)
+        return whole.alias(field)
+    text, pair = F.lit, (lambda x: F.array(*[F.lit(v) for v in x]))
+    return dbs.select("db_id", nested("table_names_original", "array<string>", text),
+                      nested("column_names_original", "array<array<string>>", pair),
+                      nested("primary_keys", "array<string>", text), nested("foreign_keys", "array<array<int>>", pair))
 
 
 def catalog_sql_ctes() -> str:
     """DuckDB CTEs ``cat_db, cat_tables, cat_columns, cat_fks, cat_pks`` equal to the
-    flattened :func:`catalog` (flat rows written out from the same fixed values)."""
-    t = catalog_template()
-    tables = ", ".join(f"({i}, '{n}')" for i, n in enumerate(t["table_names_original"]))
-    cols = ", ".join(f"({i}, {int(a)}, '{b}')" for i, (a, b) in enumerate(t["column_names_original"]) if a != "-1")
-    fks = ", ".join(f"({i}, {s}, {g})" for i, (s, g) in enumerate(t["foreign_keys"]))
-    pk_rows = []
-    for i, pk in enumerate(t["primary_keys"]):
-        idxs = [int(x) for x in pk.strip("[]").split(",")]
-        pk_rows += [f"({i}, {j}, {x})" for j, x in enumerate(idxs)]
+    flattened :func:`catalog` (flat rows written out from the same fixed values;
+    ``only_kind``: the kind of database that has them, or null)."""
+    base = catalog_template()
+    rows: dict[str, list[str]] = {"t": [], "c": [], "f": [], "p": []}
+    at = {field: len(base[field]) for field in base}
+    for only, part in [("null", base), *catalog_extras().items()]:
+        first = {field: 0 if only == "null" else at[field] for field in base}
+        rows["t"] += [f"({i}, '{n}', {only})" for i, n in enumerate(part["table_names_original"], first["table_names_original"])]
+        rows["c"] += [f"({i}, {int(a)}, '{b}', {only})" for i, (a, b)
+                      in enumerate(part["column_names_original"], first["column_names_original"]) if a != "-1"]
+        rows["f"] += [f"({i}, {x}, {y}, {only})" for i, (x, y) in enumerate(part["foreign_keys"], first["foreign_keys"])]
+        for i, pk in enumerate(part["primary_keys"], first["primary_keys"]):
+            rows["p"] += [f"({i}, {j}, {int(x)}, {only})" for j, x in enumerate(pk.strip("[]").split(","))]
+    tables, cols, fks, pks = (", ".join(rows[k]) for k in "tcfp")
     return f"""
-cat_db as (select distinct concat('db_', cast(o_custkey // 10 as varchar)) as db_id from orders),
-cat_t(table_idx, table_name) as (values {tables}),
-cat_c(col_idx, table_idx, column_name) as (values {cols}),
-cat_f(fk_pos, src_col_idx, tgt_col_idx) as (values {fks}),
-cat_p(pk_pos, key_pos, col_idx) as (values {", ".join(pk_rows)}),
-cat_tables as (select db_id, table_idx, table_name from cat_db, cat_t),
-cat_columns as (select db_id, col_idx, table_idx, column_name from cat_db, cat_c),
-cat_fks as (select db_id, fk_pos, src_col_idx, tgt_col_idx from cat_db, cat_f),
-cat_pks as (select db_id, pk_pos, key_pos, col_idx from cat_db, cat_p)"""
+cat_db as (select distinct concat('db_', cast(o_custkey // 10 as varchar)) as db_id, o_custkey // 10 % 3 as kind from orders),
+cat_t(table_idx, table_name, only_kind) as (values {tables}),
+cat_c(col_idx, table_idx, column_name, only_kind) as (values {cols}),
+cat_f(fk_pos, src_col_idx, tgt_col_idx, only_kind) as (values {fks}),
+cat_p(pk_pos, key_pos, col_idx, only_kind) as (values {pks}),
+cat_tables as (select db_id, table_idx, table_name from cat_db, cat_t where coalesce(only_kind, kind) = kind),
+cat_columns as (select db_id, col_idx, table_idx, column_name from cat_db, cat_c where coalesce(only_kind, kind) = kind),
+cat_fks as (select db_id, fk_pos, src_col_idx, tgt_col_idx from cat_db, cat_f where coalesce(only_kind, kind) = kind),
+cat_pks as (select db_id, pk_pos, key_pos, col_idx from cat_db, cat_p where coalesce(only_kind, kind) = kind)"""
 
 
 # ---------------------------------------------------------------------------

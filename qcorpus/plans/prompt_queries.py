@@ -21,7 +21,9 @@ CORPUS = f"sql_corpus as ({fixtures.SQL_CORPUS_SQL})"
 def _names(kind):
     """``table.column`` names that a database of a kind (its number modulo 3) has
     besides those of a third of its tables, longest first, ties by name."""
-    names = [f"{t}.{c}" for t, cs in fixtures.CATALOG_TABLES for c in cs if (len(t) + kind) % 3 != 0]
+    more = fixtures.catalog_extras().get(kind)
+    tables = fixtures.CATALOG_TABLES + ([(more["table_names_original"][0], [c for _, c in more["column_names_original"]])] if more else [])
+    names = [f"{t}.{c}" for t, cs in tables for c in cs if (len(t) + kind) % 3 != 0]
     return sorted(names, key=lambda n: (-len(n), n))
 
 
