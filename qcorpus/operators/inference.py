@@ -1,7 +1,7 @@
 """Batch inference with a model supplied by the user.
 
 No model ships with the library.  A *factory* returns a predictor; it is
-called once per task (inside ``mapInPandas``), so heavy models load once per
+called once per task (inside ``mapInArrow``), so heavy models load once per
 executor task and then see Arrow batches.  A predictor is a callable
 ``predict(prompts: list[str]) -> list[dict]`` whose dicts carry ``text`` and,
 optionally, ``prompt_tokens`` / ``completion_tokens``.  A failed call yields
@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,9 @@ from qcorpus.functions.text import extract_fenced, parse_json_object, split_reas
 from qcorpus.sources.json_array import open_store
 
 
+COUNTS = ("prompt_tokens", "completion_tokens")
+
+
 def batch_generate(df: DataFrame, prompt_col: str, factory: Callable, out_col: str = "output",
                    batch_size: int = 16, timeout_sec: float | None = None) -> DataFrame:
     """``df`` plus ``out_col`` (text), token counts and
@@ -36,15 +40,25 @@ def batch_generate(df: DataFrame, prompt_col: str, factory: Callable, out_col: s
     fields = [f for f in df.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     schema += f", `{out_col}` string, prompt_tokens bigint, completion_tokens bigint, generation_error string"
+    at = df.columns.index(prompt_col)
+    names = [*df.columns, out_col, *COUNTS, "generation_error"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows go on call by call: beside the Arrow batch a task holds one call's texts
         call = _caller(factory, timeout_sec)
-        for pdf in batches:
-            prompts = pdf[prompt_col].fillna("").tolist()
-            res = [r for i in range(0, len(prompts), batch_size) for r in call(prompts[i:i + batch_size])]
-            yield _with_answers(pdf, res, out_col)
+        for batch in batches:
+            for i in range(0, batch.num_rows, batch_size):
+                part = batch.slice(i, batch_size)
+                answers = call(["" if p is None else p for p in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, *_answer_columns(answers)], names=names)
+
+    return df.mapInArrow(run, schema)
+
 
-    return df.mapInPandas(run, schema)
+def _answer_columns(answers: list[dict]) -> list[pa.Array]:
+    counts = [pa.array(pd.array([r.get(c) for r in answers], dtype="Int64"), pa.int64()) for c in COUNTS]
+    return [pa.array([r.get("text") for r in answers], pa.string()), *counts,
+            pa.array([r.get("error") for r in answers], pa.string())]
 
 
 def _caller(factory: Callable, timeout_sec: float | None) -> Callable[[list[str]], list[dict]]:

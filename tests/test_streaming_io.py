@@ -439,3 +439,28 @@ def test_evaluation_with_embedding_score_and_means(spark):
     assert got == {1: (1.0, 1.0, 1.0), 2: (0.0, 0.0, 0.0)}
     mean = EV.evaluation_means(out).first()
     assert mean["n"] == 2 and mean["mean_em"] == 0.5 and mean["mean_bert_f1"] == 0.5
+
+
+def test_answers_go_on_call_by_call():
+    """One Arrow batch of 40 prompts: a row is passed on before the next call is made."""
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+    calls = []
+
+    class Rows:
+        schema = StructType([StructField("id", LongType()), StructField("p", StringType())])
+        columns = ["id", "p"]
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    def factory():
+        return lambda prompts: calls.append(list(prompts)) or [{"text": p.upper(), "prompt_tokens": len(p)} for p in prompts]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(40)), "p": [None if k == 3 else f"p{k}" for k in range(40)]})
+    run = INF.batch_generate(Rows(), "p", factory, batch_size=16)(iter([batch]))
+    first = next(run)
+    assert [len(c) for c in calls] == [16] and first.num_rows == 16
+    rows = pa.Table.from_batches([first, *run]).to_pylist()
+    assert [len(c) for c in calls] == [16, 16, 8] and [r["id"] for r in rows] == list(range(40))
+    assert rows[3] == {"id": 3, "p": None, "output": "", "prompt_tokens": 0, "completion_tokens": None, "generation_error": None}
+    assert rows[39]["output"] == "P39"
