@@ -138,7 +138,9 @@ from t join c on t.request_id = c.request_id
 where (close_seq is null or seq <= close_seq) and last <= (select max(ts) from events) - interval 2 day group by 1""")
 def stream_assembly(spark, sf_dir):
     """Pieces that arrive up to a day late, in five parts that cut through the
-    requests: those that the watermark has closed at the end of the log."""
+    requests: those that the watermark has closed at the end of the log.  The
+    stream goes on from its checkpoint after every part, a part being one
+    micro-batch of however many files."""
     ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     toks = ev.select(F.floor(F.col("event_id") / 8).cast("bigint").alias("request_id"), F.col("event_id").alias("seq"),
                      F.concat(F.when(F.col("event_id") % 8 == 0, "").otherwise(" "), "event_type").alias("token"),
@@ -149,12 +151,12 @@ def stream_assembly(spark, sf_dir):
     ends = ev.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
     first, last = ends[0] or 0, ends[1] or 0
     part = F.least(F.lit(4), F.floor((F.unix_seconds("timestamp") + late - first) * 5 / (last - first + 1)))
+    path, progress = _folder(spark, "messages"), _folder(spark, "assembly")
     for n in range(5):
-        SK.append_events(toks.where(part == n).coalesce(1), log)
-    stream = spark.readStream.schema(toks.schema).option("maxFilesPerTrigger", 1).json(log)
-    out = AS.assemble_tokens_ordered(stream, watermark="1 day", hold="1 day", keep="1 day")
-    path = _folder(spark, "messages")
-    with AS.rocksdb_state(spark):
-        out.writeStream.format("parquet").option("path", path).option("checkpointLocation", _folder(spark, "assembly")) \
-            .trigger(availableNow=True).start().awaitTermination()
+        SK.append_events(toks.where(part == n), log)
+        stream = spark.readStream.schema(toks.schema).json(log)
+        out = AS.assemble_tokens_ordered(stream, watermark="1 day", hold="1 day", keep="1 day")
+        with AS.rocksdb_state(spark):
+            out.writeStream.format("parquet").option("path", path).option("checkpointLocation", progress) \
+                .trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(path)

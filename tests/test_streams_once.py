@@ -80,3 +80,33 @@ def test_records_are_scored_once_and_replays_add_nothing(spark, tmpdir_path):
 
 def test_nothing_written_yet(spark, tmpdir_path):
     assert ST.read_batches(spark, f"{tmpdir_path}/none", "a long").collect() == []
+
+
+def test_state_calls_do_not_grow_with_the_pieces():
+    from types import SimpleNamespace as NS
+    from pyspark.sql import Row
+    calls, kept, timers = [], [], set()
+    value = {}
+
+    def call(name, do):
+        return lambda *a: calls.append(name) or do(*a)
+    pieces = NS(appendList=call("append", kept.extend), get=call("pieces", lambda: iter(kept)), clear=call("drop", lambda: kept.clear()))
+    request = NS(get=call("get", lambda: value.get("v")), update=call("update", lambda v: value.update(v=v)),
+                 clear=call("clear", lambda: value.clear()))
+    a = A._Assembler(100, 1000)
+    a.init(NS(getListState=lambda *_: pieces, getValueState=lambda *_: request, registerTimer=call("timer", timers.add)))
+
+    def clock(ms):
+        return NS(getCurrentWatermarkInMs=lambda: ms)
+
+    def rows(start, n):
+        return iter([Row(seq=k, token=str(k), kind=0, ms=k) for k in range(start, start + n)])
+    assert list(a.handleInputRows((1,), rows(0, 500), clock(0))) == []
+    assert calls == ["get", "append", "timer", "update"] and timers == {599}
+    assert list(a.handleInputRows((1,), rows(490, 60), clock(0))) == [] and timers == {599}
+    assert list(a.handleExpiredTimer((1,), clock(620), NS(getExpiryTimeInMs=lambda: 599))) == [] and timers == {599, 649}
+    out = list(a.handleExpiredTimer((1,), clock(700), NS(getExpiryTimeInMs=lambda: 649)))
+    assert [(r.n_tokens, r.message, r.done) for r in out] == [(550, "".join(map(str, range(550))), False)]
+    assert timers == {599, 649, 1649} and not kept
+    assert list(a.handleInputRows((1,), rows(600, 5), clock(700))) == [] and not kept
+    assert list(a.handleExpiredTimer((1,), clock(1700), NS(getExpiryTimeInMs=lambda: 1649))) == [] and not value
