@@ -71,3 +71,20 @@ def test_empty_tables(spark):
     columns = spark.createDataFrame([], "db_id string, table_name string, column_name string")
     texts = spark.createDataFrame([(1, "b", "tab")], "question_id long, db_id string, sql string")
     assert L.link_schema(texts, columns).collect() == [] and L.link_schema(texts.limit(0), columns).collect() == []
+
+
+def test_names_are_pairs_without_field_names():
+    f = L.NameFinder('[["orders", "o_id"], ["orders", null], [null, "id"], ["line", "id"]]')
+    assert f.columns == {"orders": ["o_id"], "line": ["id"]}
+    assert f.links("select o_id, id from orders", False, False) == [("orders", "o_id")]
+
+
+def test_more_rows_than_are_read_at_a_time(spark):
+    n = 2 * L.FOUND_ROWS + 7
+    texts = spark.range(n, numPartitions=1).selectExpr("id as question_id", "case id % 3 when 0 then 'a' when 1 then 'b' end as db_id",
+                                                       "concat('tab col orders o_id ', id) as sql")
+    columns = spark.createDataFrame(COLUMNS, "db_id string, table_name string, column_name string")
+    got = {r.question_id: {tuple(x) for x in r.links} for r in L.with_links(texts, columns, whole_word=True).collect()}
+    assert len(got) == n
+    assert all(("orders", "o_id") in got[k] for k in range(0, n, 3))
+    assert all(got[k] == {("tab", "col")} for k in range(1, n, 3)) and all(not got[k] for k in range(2, n, 3))
