@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from qcorpus.llm.ngram_jaccard import drop_linked
 from qcorpus.llm.quality_rules import drop_rejected
 from qcorpus.llm.queries import TOKENIZER
-from qcorpus.llm.scratch import stored
+from qcorpus.llm.scratch import keep_batches_small, stored
 from qcorpus.llm.sentence_spans import remove_repeated_passages
 from qcorpus.llm.sentencepiece_codec import encode_texts
 from qcorpus.llm.source_mixing import mix_sources
@@ -32,6 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages; documents with nothing left go."""
+    keep_batches_small(spark)
     cleaned = remove_repeated_passages(docs).where("n_removed = 0 or n_removed < n_sentences")
     return _measured(cleaned, docs)
 
@@ -47,6 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids."""
+    keep_batches_small(spark)
     return encode_texts(docs, TOKENIZER)
 
 

@@ -95,9 +95,14 @@ def _features(docs: DataFrame, passed: Sequence[str]) -> DataFrame:
                      F.array(*counts).alias("classes"), F.array(*bins).alias("common"))
 
 
-def _distance(counts: Column, reference: Sequence[float]) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of a histogram and a reference."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+def _total(counts: Column | str) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _distance(counts: Column, total: Column, reference: Sequence[float]) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of a histogram and a reference.
+    ``total`` is the histogram's sum, a stored column: an expression would be
+    computed again for every bin."""
     q = F.array(*[F.lit(float(x)) for x in reference])
 
     def part(x: Column, y: Column) -> Column:
@@ -140,17 +145,17 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
         # a column that is not deterministic keeps later filters from being pushed below,
         # where every step would be computed again for each of its uses
         out = _features(wide, passed).withColumn("step", F.monotonically_increasing_id())
-        return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
-                              | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).withColumn(
-            "common", F.concat("common", F.array(
-                F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x))))
+        return (out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
+                               | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+                .withColumn("common", F.concat("common", F.array(F.col("n_words") - _total("common"))))
+                .withColumn("n_classes", _total("classes")).withColumn("n_common", _total("common")))
     # features are computed once and written with the columns asked for; the references read the histograms only
     f = stored(features([*[f"in_{c}" for c in names], "group"]), "features")
     n_bins = len(vocabulary())
 
     def measured(sums, rows: DataFrame) -> DataFrame:
         def nearest(column: str) -> Column:
-            each = [_distance(F.col(column), [v / sum(r[column]) for v in r[column]]) for r in sums]
+            each = [_distance(F.col(column), F.col(f"n_{column}"), [v / sum(r[column]) for v in r[column]]) for r in sums]
             return F.lit(0.0) if not each else each[0] if len(each) == 1 else F.least(*each)
         return rows.withColumn("class_distance", nearest("classes")).withColumn("word_distance", nearest("common"))
 
@@ -165,7 +170,7 @@ def quality_rules(docs: DataFrame, columns: Sequence[str] | None = None,
     for limit in TRIM:
         sums = references(measured(sums, f).where(F.col("class_distance") <= limit)) or sums
     f = measured(sums, f)
-    chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
+    chars = F.col("n_classes")
     odd = (F.col("n_words") >= MIN_HISTOGRAM_WORDS) & (F.col("word_distance") > max_word_distance)
     for least, limit in class_limits:
         odd = odd | ((chars >= least) & (F.col("class_distance") > limit))
